@@ -23,5 +23,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(_docs(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_secrets)}
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenlake.llm import neardup
+
+    return neardup.near_components(_docs(spark, sf_dir), shingle=3, percent=85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_secrets, op6_neardup)}
 ORACLE_SQL: dict[str, str] = {}

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenlake.plans.ship import ship
+
 _DEFAULT_DIR = "/tmp/checkpoints/lumenlake"
 _live: list[tuple[SparkSession, str]] = []
 
@@ -38,6 +40,7 @@ class Stage:
     """A set of intermediate tables; ``close`` deletes all but those that a result still reads."""
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark, self.paths = spark, {}
 
     def table(self, df: DataFrame, tag: str) -> DataFrame:
@@ -45,6 +48,9 @@ class Stage:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read_by(self, df: DataFrame, tag: str) -> bool:
+        return any(self.paths[tag] in f for f in df.inputFiles())
+
     def free(self, *tags: str) -> None:
         drop(self.spark, *(self.paths.pop(t) for t in tags))
 
