@@ -29,5 +29,11 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_components(_docs(spark, sf_dir), shingle=3, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_secrets, op6_neardup)}
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenlake.llm import substrings
+
+    return substrings.remove_repeats(_docs(spark, sf_dir), window=35, with_text=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_secrets, op6_neardup, op8_substrings)}
 ORACLE_SQL: dict[str, str] = {}
