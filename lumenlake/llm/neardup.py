@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lumenlake.llm import idfilter
 from lumenlake.llm.components import components
 from lumenlake.llm.store import Stage
-from lumenlake.llm.textkit import lists, mix32, mix64, pieces, set_keys, shingle_sets
+from lumenlake.llm.textkit import column, lists, mix32, mix64, pieces, set_keys, shingle_sets
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 16, 4
@@ -56,7 +56,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _sketch(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p in pieces(batch, "text_"):
+            for p in pieces(column(batch, "text_")):
                 sets = list(shingle_sets(p, shingle))
                 full = [s for s in sets if len(s)]
                 keys = band_keys(signatures(full, bands * rows), bands, rows) if full else np.empty((0, bands), np.int64)
@@ -76,7 +76,7 @@ def _sketch(shingle: int, bands: int, rows: int):
 
 def _sets(shingle: int):
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [s for p in pieces(batch, "text_") for s in shingle_sets(p, shingle)]
+        sets = [s for p in pieces(column(batch, "text_")) for s in shingle_sets(p, shingle)]
         return pa.RecordBatch.from_arrays([pa.array(set_keys(sets), pa.binary()), lists([s.view(np.int64) for s in sets], pa.int64())], ["key", "grams"])
 
     return kernel

@@ -29,11 +29,24 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_components(_docs(spark, sf_dir), shingle=3, percent=85)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenlake.llm import quality
+
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.assess(docs, quality.fit(docs, labels))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenlake.llm import substrings
 
     return substrings.remove_repeats(_docs(spark, sf_dir), window=35, with_text=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_secrets, op6_neardup, op8_substrings)}
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenlake.llm import decontam
+
+    return decontam.find_leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_secrets, op6_neardup, op7_quality, op8_substrings, op10_decontam)}
 ORACLE_SQL: dict[str, str] = {}

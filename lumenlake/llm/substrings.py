@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm import idfilter
 from lumenlake.llm.store import Stage
-from lumenlake.llm.textkit import grams, lists, mix64, pieces, sequence_hash
+from lumenlake.llm.textkit import column, grams, lists, mix64, pieces, sequence_hash
 
 WINDOW, GRAM = 50, 8
 #: Prefix lengths in words, and hash slots in which prefixes of each length are counted.
@@ -66,7 +66,7 @@ def _survey(window: int, gram: int):
         for batch in batches:
             ids, n, h1, h2, sha, anc = batch.column(0), [], [], [], [], []
             counts = np.zeros((len(LENGTHS), SLOTS), np.int64)
-            for p in pieces(batch, "text_"):
+            for p in pieces(column(batch, "text_")):
                 h = p.hashes()
                 g = grams(h, gram)
                 prefixes = [grams(h, k) & np.uint64(SLOTS - 1) for k in LENGTHS]
@@ -111,10 +111,10 @@ def _suffixes(window: int, gram: int, level_of: list[np.ndarray]):
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         cls, place, group, leaf, heavy, one = [], [], [], [], [], []
-        known = batch.column(batch.schema.get_field_index("h1")).to_numpy()
-        flags = batch.column(batch.schema.get_field_index("anchors"))
-        alone = batch.column(batch.schema.get_field_index("copies")).to_numpy() == 1
-        for p in pieces(batch, "text_"):
+        known = column(batch, "h1").to_numpy()
+        flags = column(batch, "anchors")
+        alone = column(batch, "copies").to_numpy() == 1
+        for p in pieces(column(batch, "text_")):
             h = p.hashes()
             g, full = grams(h, gram), grams(h, window)
             prefixes = [grams(h, k) for k in LENGTHS]
@@ -161,14 +161,14 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        grp, leaf = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("grp", "leaf"))
+        grp, leaf = (column(batch, c).to_numpy() for c in ("grp", "leaf"))
         same = (grp[1:] == grp[:-1]) & (leaf[1:] == leaf[:-1])
         hit = np.zeros(batch.num_rows, bool)
         hit[1:] |= same
         hit[:-1] |= same
         out = batch
         if held is not None:
-            joins = held.column(held.schema.get_field_index("grp"))[0].as_py() == grp[0] and held.column(held.schema.get_field_index("leaf"))[0].as_py() == leaf[0]
+            joins = column(held, "grp")[0].as_py() == grp[0] and column(held, "leaf")[0].as_py() == leaf[0]
             hit[0] |= joins
             if held_hit or joins:
                 yield held.select(_HIT)
@@ -184,10 +184,10 @@ def _cut(window: int):
     """Kept words of texts whose repeated windows start at ``places``."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known = batch.column(batch.schema.get_field_index("h1")).to_numpy()
-        places = batch.column(batch.schema.get_field_index("places"))
+        known = column(batch, "h1").to_numpy()
+        places = column(batch, "places")
         h1, removed, sha, text = [], [], [], []
-        for p in pieces(batch, "text_"):
+        for p in pieces(column(batch, "text_")):
             h = p.hashes()
             for i in range(len(p)):
                 a, b = int(p.word_at[i]), int(p.word_at[i + 1])

@@ -104,9 +104,12 @@ def sequence_hash(h: np.ndarray) -> tuple[int, int]:
     return tuple(mix64(np.concatenate([a, b])).view(np.int64).tolist())
 
 
-def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; a null is the empty text."""
-    col = batch.column(batch.schema.get_field_index(name))
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a string array; a null is the empty text."""
     if col.null_count:
         col = col.fill_null("")
     wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
@@ -114,13 +117,12 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     if offsets is None or len(col) == 0:
         return np.empty(0, np.uint8), np.zeros(len(col) + 1, np.int64)
     at = np.frombuffer(offsets, np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-    bytes_ = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
-    return bytes_, at
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8), at
 
 
-def pieces(batch: pa.RecordBatch, name: str = "text") -> Iterator[Piece]:
-    """The texts of a column in pieces, with the bounds of their words."""
-    data, at = column(batch, name)
+def pieces(texts: pa.Array) -> Iterator[Piece]:
+    """An array of texts in pieces, with the bounds of their words."""
+    data, at = buffers(texts)
     i, n = 0, len(at) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, side="right")) - 1)
