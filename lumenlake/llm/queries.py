@@ -23,6 +23,17 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(_docs(spark, sf_dir)))
 
 
+#: Target weights of the mixture; sources not named here weigh DEFAULT_WEIGHT.
+WEIGHTS = {"src0": 40, "src1": 15, "src2": 15, "src3": 12, "src4": 12}
+DEFAULT_WEIGHT = 10
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenlake.llm import mixing
+
+    return mixing.schedule(_docs(spark, sf_dir), WEIGHTS, default_weight=DEFAULT_WEIGHT)
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenlake.llm import neardup
 
@@ -42,11 +53,21 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_docs(spark, sf_dir), window=35, with_text=False)
 
 
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lumenlake.llm import store, tokenout
+
+    path = store.new_path(spark, "tokens")
+    tokenout.write_tokens(_docs(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenout.read_index(spark, path)
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenlake.llm import decontam
 
     return decontam.find_leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_secrets, op6_neardup, op7_quality, op8_substrings, op10_decontam)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_secrets, op4_mixing, op6_neardup, op7_quality, op8_substrings, op9_tokens, op10_decontam)}
 ORACLE_SQL: dict[str, str] = {}
