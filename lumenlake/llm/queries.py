@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +35,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(_docs(spark, sf_dir), WEIGHTS, default_weight=DEFAULT_WEIGHT)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenlake.llm import toxicity
+
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, labels, ~held_out))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans")
+    )
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenlake.llm import neardup
 
@@ -69,5 +81,5 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_secrets, op4_mixing, op6_neardup, op7_quality, op8_substrings, op9_tokens, op10_decontam)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_secrets, op4_mixing, op5_toxicity, op6_neardup, op7_quality, op8_substrings, op9_tokens, op10_decontam)}
 ORACLE_SQL: dict[str, str] = {}
