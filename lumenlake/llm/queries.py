@@ -18,6 +18,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan_pii(_docs(spark, sf_dir)))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenlake.llm import licenses
+
+    docs = _docs(spark, sf_dir)
+    return licenses.digest(licenses.scan_licenses(docs, licenses.train(licenses.background_of(docs))))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenlake.llm import secret_scan
 
@@ -81,5 +88,5 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_secrets, op4_mixing, op5_toxicity, op6_neardup, op7_quality, op8_substrings, op9_tokens, op10_decontam)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_licenses, op3_secrets, op4_mixing, op5_toxicity, op6_neardup, op7_quality, op8_substrings, op9_tokens, op10_decontam)}
 ORACLE_SQL: dict[str, str] = {}
