@@ -139,6 +139,18 @@ def schedule(
     )
 
 
+def mixed(df: DataFrame, weights: Mapping[str | None, int] | None = None, source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
+    """All rows and columns of ``df``, sorted by ``position``; rows that repeat an id take its positions in any order."""
+    names = df.columns
+    at = schedule(df, weights, source_col, id_col, **options).select(F.col(id_col).alias("mix_id_"), F.col(source_col).alias("mix_src_"), F.col("position").alias("mix_at_"))
+    on = F.col(id_col).eqNullSafe(F.col("mix_id_")) & F.col(source_col).eqNullSafe(F.col("mix_src_"))
+    if not at.groupBy("mix_id_").count().where("count > 1").isEmpty():
+        df = df.withColumn("mix_no_", F.row_number().over(Window.partitionBy(id_col, source_col).orderBy(id_col)))
+        at = at.withColumn("mix_k_", F.row_number().over(Window.partitionBy("mix_id_", "mix_src_").orderBy("mix_at_")))
+        on = on & (F.col("mix_no_") == F.col("mix_k_"))
+    return df.join(at, on).orderBy("mix_at_").select(*names)
+
+
 def _running(cells: DataFrame, group: list[str], order: str, count: str, stage: Stage) -> DataFrame:
     """Rows in earlier cells of the group, as ``before``; in two levels, so no window holds a source's every cell."""
     top = F.substring(order, 1, 4)
@@ -153,4 +165,4 @@ def _running(cells: DataFrame, group: list[str], order: str, count: str, stage:
     return joined.select(*group, order, (F.col("above_") + F.col("fine_")).alias("before"))
 
 
-__all__ = ["schedule", "period", "phases"]
+__all__ = ["schedule", "mixed", "period", "phases"]

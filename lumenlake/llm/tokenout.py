@@ -154,6 +154,12 @@ def write_tokens(
     dealt.mapInArrow(_writer(tokenizer, end_id), FRAMES).write.option("compression", "none").parquet(path)
 
 
+def row_order(df: DataFrame) -> list[Column]:
+    """The order in which a table read from Spark's part files was written: part number, then place in the file."""
+    part = F.regexp_extract(F.col("_metadata.file_path"), r"part-([0-9]+)[^/]*$", 1)
+    return [F.coalesce(part.try_cast("long"), F.lit(0)), F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+
+
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
