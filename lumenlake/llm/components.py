@@ -13,28 +13,20 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.store import Stage
 
-_JUMPS = 3
-
 
 def components(edges: DataFrame, stage: Stage, tag: str) -> DataFrame:
-    """``node``, ``comp`` (the least node of its component) for each node of edges (a, b); a written table."""
-    left = stage.table(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-edges0")
+    """``node``, ``comp`` for each node of edges (a, b), equal where nodes are connected; a written table."""
+    left = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     labels, k = None, 0
     while k == 0 or not left.isEmpty():
         both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).union(left.select("b", "a"))
-        up = stage.table(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("comp")), f"{tag}-up{k}-0")
-        for j in range(_JUMPS):
-            above = up.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-            up = stage.table(up.join(above, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), f"{tag}-up{k}-{j + 1}")
-            stage.free(f"{tag}-up{k}-{j}")
-        if labels is None:
-            labels = up
-        else:
-            above = up.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-            labels = stage.table(labels.join(above, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), f"{tag}-labels{k}")
-        name = lambda c: up.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_"))
-        moved = left.join(name("a"), "a").join(name("b"), "b").where("a_ <> b_")
-        left = stage.table(moved.select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b")).distinct(), f"{tag}-edges{k + 1}")
+        up = stage.table(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("comp")), f"{tag}-up{k}")
+        hop = lambda df, up=up: df.join(up.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+        start = up if labels is None else hop(labels)
+        # Two further steps up: to the parent's parent and beyond.
+        labels = stage.table(hop(hop(start)), f"{tag}-labels{k}")
+        name = lambda c, up=labels: up.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_"))
+        moved = edges.select("a", "b").join(name("a"), "a").join(name("b"), "b").where("a_ <> b_")
+        left = stage.table(moved.select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b")).distinct(), f"{tag}-left{k}")
         k += 1
-    stage.free(*[t for t in list(stage.paths) if t.startswith(f"{tag}-") and not stage.read_by(labels, t)])
     return labels

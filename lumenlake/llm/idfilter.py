@@ -31,8 +31,8 @@ def bitmap(ids: DataFrame, col: str) -> tuple[int, object]:
         .agg(F.expr(f"bit_or(shiftleft(1L, cast({SLOT} & 63 AS int))) AS b"))
     )
     out = np.zeros(bits // 64, np.int64)
-    for w, b in words.collect():
-        out[w] = b
+    got = words.toArrow()
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
     return bits, ids.sparkSession.sparkContext.broadcast(out.tobytes())
 
 

@@ -3,12 +3,15 @@
 One permutation (sigma) places each shingle on a circle of 2^32 points, a second one (pi) is
 shifted around it; the k-th signature coordinate is the least pi over the set shifted by k.
 Two permutations thus make all coordinates. Coordinates are banded, and shared bands
-propose pairs which full shingle sets confirm by exact Jaccard similarity.
+propose pairs, which full shingle sets confirm by exact Jaccard similarity.
 
 How large groups stay linear: equal sets collapse to one class before anything is compared.
-In a bucket of different sets, each is compared with the bucket's leader; buckets whose
-members are then in one component need no more. The others get further leaders, and at last
-every pair of members in different components is compared, so no link is given up.
+In a bucket of different sets each is compared with leaders only, the likest of those that its
+buckets name. Members of buckets that still hold several components are then compared if
+they share a rare shingle: of two similar sets, the 20 (or 100 - ``percent``) per cent of
+shingles that are rarest overlap under any common order, so no link is given up, and what a
+family of edited copies has in common proposes no pairs. A signature rejects pairs far
+from similar before their sets are moved.
 
 Defined results: texts without words, and null texts, link with nothing and are their own
 component; rows with the same text share one class, rows that repeat a doc_id are each
@@ -31,9 +34,14 @@ from lumenlake.llm.store import Stage
 from lumenlake.llm.textkit import column, lists, mix32, mix64, pieces, set_keys, shingle_sets
 
 SHINGLE, PERCENT = 5, 80
-BANDS, ROWS = 16, 4
-#: Leaders tried in turn while the pairs left to compare outnumber the bucket rows so many times.
-LEADERS, PAIRS_PER_ROW = 6, 4
+BANDS, ROWS = 24, 5
+#: Coordinates of a signature, each kept as four bits in eight longs.
+COORDINATES = 128
+#: Coordinates that may differ. At similarity 0.8 they differ by 24 on average; 44 or more have probability 1e-6.
+MOST_DIFFER = 44
+PIVOT_ROUNDS = 2
+#: Slots in which shingles are counted to order them, by the number of sets.
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 18
 
 
 def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
@@ -53,22 +61,32 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return x.view(np.int64)
 
 
+def nibbles(sig: np.ndarray) -> np.ndarray:
+    """The low four bits of each coordinate, sixteen to a long."""
+    x = np.zeros((len(sig), COORDINATES // 16), np.uint64)
+    for k in range(COORDINATES):
+        x[:, k // 16] |= (sig[:, k].astype(np.uint64) & np.uint64(15)) << np.uint64(4 * (k % 16))
+    return x.view(np.int64)
+
+
 def _sketch(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in pieces(column(batch, "text_")):
                 sets = list(shingle_sets(p, shingle))
                 full = [s for s in sets if len(s)]
-                keys = band_keys(signatures(full, bands * rows), bands, rows) if full else np.empty((0, bands), np.int64)
-                width = np.array([bands if len(s) else 0 for s in sets])
+                sig = signatures(full, max(COORDINATES, bands * rows)) if full else np.empty((0, max(COORDINATES, bands * rows)), np.uint32)
+                some = np.array([len(s) > 0 for s in sets])
+                ragged = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(some * x.shape[1])]), pa.int32()), pa.array(x.ravel()))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(p.first, len(p)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([k if len(s) else None for k, s in zip(set_keys(sets), sets)], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *width]), pa.int32()), pa.array(keys.ravel())),
+                        ragged(band_keys(sig, bands, rows)),
+                        ragged(nibbles(sig)),
                     ],
-                    ["id_", "n", "key", "bands"],
+                    ["id_", "n", "key", "bands", "sig"],
                 )
 
     return run
@@ -82,31 +100,74 @@ def _sets(shingle: int):
     return kernel
 
 
+def _count_slots(slots: int):
+    """How often shingles fall into each slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(slots, np.int64)
+        for batch in batches:
+            grams = column(batch, "grams").flatten().to_numpy()
+            counts += np.bincount(grams & (slots - 1), minlength=slots)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "c"])
+
+    return run
+
+
+def _prefixes(counts_: object, slots: int, percent: int):
+    """Of each set its rarest shingles, so many that a similar set must have one of them among its own rarest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.frombuffer(counts_.value, np.int64)
+        for batch in batches:
+            out, grams = [], column(batch, "grams")
+            for k in range(batch.num_rows):
+                g = np.asarray(grams[k].values)
+                order = np.lexsort((g, counts[g & (slots - 1)]))
+                out.append(g[order[: len(g) - -(-percent * len(g) // 100) + 1]])
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), lists(out, pa.int64())], ["node", "grams"])
+
+    return run
+
+
 def _similar(inter: Column, na: Column, nb: Column, percent: int) -> Column:
     return inter * 100 >= (na + nb - inter) * percent
 
 
+def _differ(a: Column, b: Column) -> Column:
+    """Coordinates in which two signatures differ, by their four bits."""
+
+    def one(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return sum((one(a[k], b[k]) for k in range(1, COORDINATES // 16)), one(a[0], b[0]))
+
+
 def near_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id``, ``kept`` of each row of ``df``.
 
-    Rows link where 100 * shared >= percent * united shingles. With 16 bands of 4 rows a
-    link of similarity 0.85 shares a band with probability 1 - 8e-6, one of 0.8 with 1 - 3e-4;
+    Rows link where 100 * shared >= percent * united shingles. With 24 bands of 5 rows a
+    link of similarity 0.85 shares a band with probability 1 - 1e-6, one of 0.8 with 1 - 6e-5;
     raise ``bands`` for more.
     """
     spark = df.sparkSession
     stage = Stage(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"))
-    sketch = stage.table(docs.mapInArrow(_sketch(shingle, bands, rows), "id_ long, n long, key binary, bands array<long>"), "sketch")
+    sketch = stage.table(docs.mapInArrow(_sketch(shingle, bands, rows), "id_ long, n long, key binary, bands array<long>, sig array<long>"), "sketch")
     classes = stage.table(
-        sketch.where("n > 0").groupBy("key").agg(F.min("id_").alias("id_"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-        .select(F.monotonically_increasing_id().alias("node"), "key", "id_", "n", "bands"),
+        sketch.where("n > 0").groupBy("key").agg(F.min("id_").alias("id_"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        .select(F.monotonically_increasing_id().alias("node"), "key", "id_", "n", "bands", "sig"),
         "classes",
     )
-    exploded = classes.select(F.explode("bands").alias("band"), "node", "n")
-    leads = stage.table(exploded.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("c")).where("c > 1").select("band", "lead"), "leads")
-    buckets = stage.table(exploded.join(leads, "band").select("band", "node", "n", "lead"), "buckets")
+    exploded = classes.select(F.explode("bands").alias("band"), "node")
+    shared = stage.table(exploded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band"), "shared")
+    members = exploded.join(shared, "band").join(classes.select("node", "n", "sig"), "node")
+    buckets = stage.table(members.select("band", "node", "n", "sig"), "buckets")
     comp = _link(docs, classes, buckets, stage, shingle, percent)
     named = classes.join(comp, "node", "left").select("key", "id_", F.coalesce("comp", "node").alias("comp"))
     least = stage.table(named.groupBy("comp").agg(F.min("id_").alias("component_id")), "least")
@@ -118,59 +179,63 @@ def near_components(
 
 def _link(docs: DataFrame, classes: DataFrame, buckets: DataFrame, stage: Stage, shingle: int, percent: int) -> DataFrame:
     """node, comp of linked classes."""
-    asked = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("id_")
-    bits, sent = idfilter.bitmap(asked, "id_")
+    wanted = stage.table(classes.select("key", "node", "id_").join(buckets.select("node").distinct(), "node", "left_semi"), "wanted")
+    bits, sent = idfilter.bitmap(wanted, "id_")
     kernel = idfilter.passing(sent, _sets(shingle))
     found = docs.select("id_", "text_", idfilter.slot(bits, F.col("id_"))).mapInArrow(kernel, "key binary, grams array<long>")
-    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("key", "node")
-    sets = stage.table(found.dropDuplicates(["key"]).join(wanted, "key").select("node", "grams"), "sets")
+    sets = stage.table(found.dropDuplicates(["key"]).join(wanted.select("key", "node"), "key").select("node", "grams"), "sets")
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
-        asked = stage.table(pairs.distinct(), f"{tag}-pairs")
+        pairs = stage.table(pairs, f"{tag}-pairs")
         right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
         left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-        both = asked.join(right, "b").join(left, "a")
+        both = pairs.join(right, "b").join(left, "a")
         inter = F.size(F.array_intersect("ga", "gb"))
-        edges = stage.table(both.where(_similar(inter, F.size("ga"), F.size("gb"), percent)).select("a", "b"), f"{tag}-edges")
-        stage.free(f"{tag}-pairs")
-        return edges
-
-    lead_n = classes.select(F.col("node").alias("lead"), F.col("n").alias("lead_n"))
-    first = buckets.where("node <> lead").select("lead", "node", "n").distinct().join(lead_n, "lead").where(near(F.col("n"), F.col("lead_n")))
-    edges = confirmed(first.select(F.col("lead").alias("a"), F.col("node").alias("b")), "first")
-    comp = components(edges, stage, "c0")
-    for k in range(1, LEADERS + 1):
-        open_ = _unresolved(buckets, comp, stage, f"open{k}")
-        n_rows, n_pairs = open_.agg(F.coalesce(F.sum("here"), F.lit(0)), F.coalesce(F.sum(F.col("here") * (F.col("size") - F.col("here"))), F.lit(0))).first()
-        if not n_rows:
+        return stage.table(both.where(_similar(inter, F.size("ga"), F.size("gb"), percent)).select("a", "b"), f"{tag}-edges")
+
+    edges, comp = None, None
+    open_ = buckets.withColumn("comp", F.col("node"))
+    for k in range(PIVOT_ROUNDS):
+        # Each bucket has a leader of its own; each member is compared with the likest leader that it meets.
+        order = F.xxhash64("node", "band", F.lit(k))
+        lead = stage.table(open_.groupBy("band").agg(*[F.min_by(c, order).alias(f"{c}_p") for c in ("node", "n", "comp", "sig")]), f"lead{k}")
+        met = open_.join(lead, "band").where((F.col("comp") != F.col("comp_p")) & near(F.col("n"), F.col("n_p")))
+        met = met.withColumn("differ", _differ(F.col("sig"), F.col("sig_p"))).where(F.col("differ") <= MOST_DIFFER)
+        best = met.groupBy("node").agg(F.min_by("node_p", "differ").alias("b"))
+        more = confirmed(best.select(F.col("node").alias("a"), "b"), f"lead{k}")
+        edges = more if edges is None else edges.union(more)
+        comp = components(edges, stage, f"c{k}")
+        open_ = stage.table(_unresolved(buckets, comp), f"open{k}")
+        if open_.isEmpty():
             return comp
-        members = buckets.select("band", "node", "n").join(open_.select("band").distinct(), "band", "left_semi")
-        members = stage.table(members.join(comp, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp")), f"members{k}")
-        if n_pairs <= 2 * PAIRS_PER_ROW * n_rows or k == LEADERS:
-            a, b = (members.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp")]) for s in "ab")
-            pairs = a.join(b, "band").where((F.col("comp_a") < F.col("comp_b")) & near(F.col("n_a"), F.col("n_b")))
-            pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        else:
-            order = F.xxhash64("node", F.lit(k))
-            pivot = stage.table(members.groupBy("band").agg(*[F.min_by(c, order).alias(f"{c}_p") for c in ("node", "n", "comp")]), f"pivot{k}")
-            pairs = members.join(pivot, "band").where((F.col("comp") != F.col("comp_p")) & near(F.col("n"), F.col("n_p")))
-            pairs = pairs.select(F.col("node_p").alias("a"), F.col("node").alias("b"))
-        more = confirmed(pairs, f"more{k}")
-        if not more.isEmpty():
-            edges = edges.union(more)
-            comp = components(edges, stage, f"c{k}")
-        if n_pairs <= 2 * PAIRS_PER_ROW * n_rows:
-            return comp
-    return comp
-
 
-def _unresolved(buckets: DataFrame, comp: DataFrame, stage: Stage, tag: str) -> DataFrame:
-    """band, comp, here (members of that component), size (members of the band) of bands with several components."""
-    parts = buckets.join(comp, "node", "left").groupBy("band", F.coalesce("comp", "node").alias("comp")).agg(F.count("*").alias("here"))
-    parts = stage.table(parts, f"{tag}-parts")
-    several = parts.groupBy("band").agg(F.sum("here").alias("size"), F.count("*").alias("k")).where("k > 1")
-    return stage.table(parts.join(several.select("band", "size"), "band"), tag)
+    # What is left: members of buckets with several components. Similar ones share a rare shingle.
+    rest = stage.table(open_.select("node", "n", "comp").distinct(), "rest")
+    some = sets.join(rest.select("node"), "node")
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (64 * rest.count()).bit_length()))
+    counts = np.zeros(slots, np.int64)
+    got = some.select("grams").mapInArrow(_count_slots(slots), "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    counts[got["slot"].to_numpy()] = got["c"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(counts.tobytes())
+    rare = some.select("node", "grams").mapInArrow(_prefixes(sent, slots, percent), "node long, grams array<long>")
+    rare = stage.table(rare.join(rest, "node").select(F.explode("grams").alias("gram"), "node", "n", "comp"), "rare")
+    several = stage.table(rare.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram"), "several")
+    rare = rare.join(several, "gram", "left_semi")
+    a, b = (rare.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp")]) for s in "ab")
+    pairs = a.join(b, "gram").where((F.col("comp_a") < F.col("comp_b")) & near(F.col("n_a"), F.col("n_b")))
+    pairs = stage.table(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "rare-pairs")
+    sig = classes.select("node", "sig")
+    pairs = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").where(_differ(F.col("sa"), F.col("sb")) <= MOST_DIFFER)
+    more = confirmed(pairs.select("a", "b"), "rare")
+    return comp if more.isEmpty() else components(edges.union(more), stage, "c-all")
+
+
+def _unresolved(buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members, with their components, of the buckets that have several."""
+    now = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = now.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
+    return now.join(several, "band", "left_semi").select("band", "node", "n", "comp", "sig")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
