@@ -42,7 +42,8 @@ class _Model:
         self.n[:] = np.stack([2 + 8 * (sure >> 3), 2 + 4 * ((sure >> 1) & 3), 16 + 0 * sure], 1)
         self.n = self.n.reshape(-1, 3)
         self.hit0 = np.full(lanes, _SCALE // 8, np.int64)
-        self.n_high = n_high
+        # Leaves each high part a share of the scale.
+        self.cap0 = _SCALE - max(512, 2 * n_high)
 
     def predict(self) -> None:
         self.at1 = self.base + (self.x1 * 40503 >> 4) % _SLOTS
@@ -70,7 +71,7 @@ class _Model:
             ids[at] = np.where(hit | (now > 0), p, x)
             sure[at] = now
         h = self.hit0[escaped]
-        self.hit0[escaped] = np.where(right0, h + ((_SCALE - 512 - h) >> 5), h - ((h - 64) >> 5))
+        self.hit0[escaped] = np.where(right0, h + ((self.cap0 - h) >> 5), h - ((h - 64) >> 5))
         self.id0[self.base0 + (x & 255)] = x
         self.x2, self.x1 = self.x1, x
 
@@ -81,9 +82,9 @@ def _spread(h: np.ndarray, n_high: int) -> np.ndarray:
 
 
 def encode(ids: np.ndarray, vocabulary: int, block_ids: int = BLOCK_IDS) -> bytes:
-    """A frame: all blocks of ``ids``, which are below ``vocabulary`` (at most 2^21)."""
+    """A frame: all blocks of ``ids``, which are below ``vocabulary`` (at most 2^20)."""
     n_high = -(-vocabulary // 256)
-    if n_high > 8192 or len(ids) and int(ids.max()) >= vocabulary:
+    if n_high > 4096 or len(ids) and int(ids.max()) >= vocabulary:
         raise ValueError("ids do not fit the vocabulary")
     lanes = -(-len(ids) // block_ids)
     steps = min(block_ids, len(ids))
