@@ -10,7 +10,8 @@ In a bucket of different sets each is compared with leaders only, the likest of
 buckets name. Members of buckets that still hold several components are then compared if
 they share a rare shingle: of two similar sets, the 20 (or 100 - ``percent``) per cent of
 shingles that are rarest overlap under any common order, so no link is given up, and what a
-family of edited copies has in common proposes no pairs. A signature rejects pairs far
+family of edited copies has in common proposes few pairs; those of their own shingles that no
+other set has bound their similarity with any. A signature rejects pairs far
 from similar before their sets are moved.
 
 Defined results: texts without words, and null texts, link with nothing and are their own
@@ -212,6 +213,11 @@ def _link(docs: DataFrame, classes: DataFrame, buckets: DataFrame, stage: Stage,
 
     # What is left: members of buckets with several components. Similar ones share a rare shingle.
     rest = stage.table(open_.select("node", "n", "comp").distinct(), "rest")
+    # A shingle that no other of them has cannot be shared, which bounds the similarity of a set with any other.
+    each = sets.join(rest.select("node"), "node").select("node", F.explode("grams").alias("gram"))
+    own = each.groupBy("gram").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+    rest = rest.join(own, "node", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("s") * 100 >= F.col("n") * percent)
+    rest = stage.table(rest.select("node", "n", "comp", "s"), "rest-able")
     some = sets.join(rest.select("node"), "node")
     slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (64 * rest.count()).bit_length()))
     counts = np.zeros(slots, np.int64)
@@ -219,11 +225,13 @@ def _link(docs: DataFrame, classes: DataFrame, buckets: DataFrame, stage: Stage,
     counts[got["slot"].to_numpy()] = got["c"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(counts.tobytes())
     rare = some.select("node", "grams").mapInArrow(_prefixes(sent, slots, percent), "node long, grams array<long>")
-    rare = stage.table(rare.join(rest, "node").select(F.explode("grams").alias("gram"), "node", "n", "comp"), "rare")
+    rare = stage.table(rare.join(rest, "node").select(F.explode("grams").alias("gram"), "node", "n", "comp", "s"), "rare")
     several = stage.table(rare.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram"), "several")
     rare = rare.join(several, "gram", "left_semi")
-    a, b = (rare.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp")]) for s in "ab")
-    pairs = a.join(b, "gram").where((F.col("comp_a") < F.col("comp_b")) & near(F.col("n_a"), F.col("n_b")))
+    a, b = (rare.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "s")]) for s in "ab")
+    most = F.least("s_a", "s_b")
+    able = near(F.col("n_a"), F.col("n_b")) & _similar(most, F.col("n_a"), F.col("n_b"), percent)
+    pairs = a.join(b, "gram").where((F.col("comp_a") < F.col("comp_b")) & able)
     pairs = stage.table(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "rare-pairs")
     sig = classes.select("node", "sig")
     pairs = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").where(_differ(F.col("sa"), F.col("sb")) <= MOST_DIFFER)
