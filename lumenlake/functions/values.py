@@ -38,6 +38,11 @@ def text(v: Column) -> Column:
     return v["text"]  # null for other kinds
 
 
+def has(group: str, name: str) -> Column:
+    """A tag or dataset that has a value, by the kernel's list of those."""
+    return F.array_contains("has", f"{group}/{name}")
+
+
 def integer(v: Column) -> Column:
     """An integer scalar; null for anything else."""
     return let(v, lambda x: F.when((x["kind"] == "int") & x["is_scalar"], x["ints"][0]))
@@ -54,7 +59,7 @@ def compact(*names: Column) -> Column:
 
 def present(ifd: str, names: Iterable[str]) -> Column:
     """Those of ``names`` that have a value, in the order given."""
-    return compact(*[F.when(has_value(tag(ifd, n)), F.lit(n)) for n in names])
+    return compact(*[F.when(has(ifd, n), F.lit(n)) for n in names])
 
 
 def xmp_present(names: Iterable[str]) -> Column:
@@ -70,7 +75,7 @@ def iptc_values(name: str) -> Column:
 
 def iptc_present(names: dict[str, str]) -> Column:
     """Keys of ``names`` whose dataset has a value."""
-    return compact(*[F.when(F.exists(iptc_values(d), has_text), F.lit(k)) for k, d in names.items()])
+    return compact(*[F.when(has("IPTC", d), F.lit(k)) for k, d in names.items()])
 
 
 def xmp_text(qualified: str) -> Column:

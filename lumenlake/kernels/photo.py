@@ -8,7 +8,7 @@ from lumenlake.kernels import capture, gps, icc, iptc, xmp
 from lumenlake.kernels.jpeg import EXIF_ID, SOF, XMP_ID, Segment, dimensions, fingerprint, full_walk, header_walk
 from lumenlake.kernels.limits import DEFAULT, Limits, ParseError
 from lumenlake.kernels.names import tag_name
-from lumenlake.kernels.tiff import EXIF_POINTER, GPS_POINTER, TYPES, Block, Directory, tagged
+from lumenlake.kernels.tiff import EXIF_POINTER, GPS_POINTER, TYPES, Block, Directory, has_value, tagged
 
 #: Coding process of the first frame header.
 PROCESSES = {
@@ -138,7 +138,7 @@ def parse(data: bytes, limits: Limits = DEFAULT) -> dict:
     out: dict = {
         "width": None, "height": None, "segments": [], "tags": [], "xmp": [], "iptc": [], "icc": None, "location": None, "capture": None,
         "presence": None, "jpeg_process": None, "scan_sha256": None, "scan_bytes": None, "trailing_bytes": None, "quantization": None, "huffman": None,
-        "exif_segments": 0, "structural": [], "has_extended_xmp": False, "errors": [],
+        "has": [], "exif_segments": 0, "structural": [], "has_extended_xmp": False, "errors": [],
     }
     fail = lambda part, e: out["errors"].append({"part": part, "message": str(e)})
     try:
@@ -159,6 +159,7 @@ def parse(data: bytes, limits: Limits = DEFAULT) -> dict:
             groups = _exif_rows(first.payload[len(EXIF_ID) :], limits)
             out["tags"] = [r | {"value": tagged(r["value"])} for rows in groups.values() for r in rows]
             named = {g: _last(rows) for g, rows in groups.items()}
+            out["has"] = [f"{g}/{n}" for g, values in named.items() for n, v in values.items() if has_value(v)]
         except (ParseError, struct.error) as e:
             fail("exif", e)
     out["location"] = gps.location(named.get("GPS", {}))
@@ -179,6 +180,7 @@ def parse(data: bytes, limits: Limits = DEFAULT) -> dict:
                 break
             if rows is not None:
                 out["iptc"] = rows
+                out["has"] += dict.fromkeys(f"IPTC/{r['name']}" for r in rows if has_value(r["text"]))
                 break
     try:
         profile = icc.reassemble([s.payload for s in head if s.is_icc], limits)

@@ -130,6 +130,15 @@ class Block:
         return {"ifd": ifd, "pos": pos, "tag": e.tag, "tag_name": names.tag_name(ifd, e.tag), "field_type": e.type, "field_type_name": kind, "count": e.count, "value": value}
 
 
+def has_value(value) -> bool:
+    """Present and not blank or empty; zero is present."""
+    if value is None:
+        return False
+    if isinstance(value, str):
+        return bool(value.strip())
+    return bool(len(value)) if isinstance(value, (bytes, tuple, list)) else True
+
+
 def tagged(value) -> dict:
     """A union-typed value as one struct: kind, is_scalar and the array, text or bytes that holds it."""
     out = {"kind": "none", "is_scalar": True, "ints": None, "rationals": None, "floats": None, "text": None, "bytes": None}
