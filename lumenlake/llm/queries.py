@@ -89,4 +89,33 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_licenses, op3_secrets, op4_mixing, op5_toxicity, op6_neardup, op7_quality, op8_substrings, op9_tokens, op10_decontam)}
-ORACLE_SQL: dict[str, str] = {}
+#: Words of each document, and their n-word windows, in DuckDB's SQL.
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+def _sets(table: str, key: str, n: int) -> str:
+    """(key, s) of all distinct n-word shingles, lower-cased; the whole sequence where there are fewer words."""
+    words = _WORDS.format(_FOLD.format("coalesce(text, '')"))
+    return f"""SELECT DISTINCT {key}, CASE WHEN len(w) >= {n} THEN array_to_string(w[k + 1:k + {n}], ' ') ELSE array_to_string(w, ' ') || chr(10) END AS s
+ FROM (SELECT {key}, w, unnest(range(0, greatest(len(w) - {n - 1}, 1))) AS k FROM (SELECT {key}, {words} AS w FROM {table})) WHERE len(w) > 0"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_neardup": f"""WITH RECURSIVE s AS ({_sets("documents", "doc_id", 3)}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ e AS (SELECT a, b FROM c JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+ m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+ SELECT m.doc_id, coalesce(n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.doc_id""",
+    "op8_substrings": f"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+ win AS (SELECT doc_id, k, md5(array_to_string(w[k + 1:k + 35], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 34, 0))) AS k FROM d)),
+ hit AS (SELECT doc_id, k FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+ gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(k, k + 35)) AS p FROM hit) GROUP BY doc_id)
+ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+ sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i - 1)) END, ' ')) AS kept_sha256
+ FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id""",
+    "op10_decontam": f"""WITH s AS ({_sets("documents", "doc_id", 5)}), t AS ({_sets("benchmark", "item_id", 5)}), n AS (SELECT item_id, count(*) AS n FROM t GROUP BY 1)
+ SELECT doc_id, t.item_id, count(*) AS n_shared, any_value(n) AS n_item FROM s JOIN t ON s.s = t.s JOIN n ON n.item_id = t.item_id
+ GROUP BY doc_id, t.item_id HAVING count(*) * 100 >= 80 * any_value(n)""",
+}
