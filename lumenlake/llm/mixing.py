@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from lumenlake.llm.store import Stage
 
 BLOCK = 16
-#: Slots in a period, sources: stated bounds of what the driver holds.
-MOST_WEIGHT, MOST_SOURCES = 1_000_000, 100_000
+#: Slots in a period, sources, slots in the periods of all phases: stated bounds of what the driver holds
+#: and sends out. Beyond them sources must be grouped or weights made coarser.
+MOST_WEIGHT, MOST_SOURCES, MOST_PLAN = 1_000_000, 5_000, 2_000_000
 #: Mean rows of a rank cell, aimed at.
 CELL_ROWS = 2_000
 
@@ -56,11 +57,14 @@ def period(weights: list[int]) -> list[int]:
 def phases(blocks: list[int], weights: list[int]) -> list[list[tuple[int, int, int, int, list[int]]]]:
     """Of each source its (first block, end block, first slot, period length, slots of its blocks in a period), by phase."""
     out: list[list] = [[] for _ in blocks]
-    done, slot = [0] * len(blocks), 0
+    done, slot, planned = [0] * len(blocks), 0, 0
     while True:
         live = [i for i, n in enumerate(blocks) if done[i] < n]
         if not live:
             return out
+        planned += sum(weights[i] for i in live)
+        if planned > MOST_PLAN:
+            raise ValueError(f"the phases hold more than {MOST_PLAN} slots; group sources or make weights coarser")
         order = period([weights[i] for i in live])
         own: list[list[int]] = [[] for _ in live]
         for t, k in enumerate(order):

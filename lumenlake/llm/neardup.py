@@ -8,11 +8,10 @@ propose pairs, which full shingle sets confirm by exact Jaccard similarity.
 How large groups stay linear: equal sets collapse to one class before anything is compared.
 In a bucket of different sets each is compared with leaders only, the likest of those that its
 buckets name. Members of buckets that still hold several components are then compared if
-they share a rare shingle: of two similar sets, the 20 (or 100 - ``percent``) per cent of
-shingles that are rarest overlap under any common order, so no link is given up, and what a
-family of edited copies has in common proposes few pairs; those of their own shingles that no
-other set has bound their similarity with any. A signature rejects pairs far
-from similar before their sets are moved.
+they share a rare shingle: of the shingles that stand in several components, the rarest of two
+similar sets must overlap under any common order, so no link is given up, and what a family of
+edited copies has in common proposes few pairs. A signature rejects pairs far from similar
+before their sets are moved.
 
 Defined results: texts without words, and null texts, link with nothing and are their own
 component; rows with the same text share one class, rows that repeat a doc_id are each
@@ -40,9 +39,7 @@ BANDS, ROWS = 24, 5
 COORDINATES = 128
 #: Coordinates that may differ. At similarity 0.8 they differ by 24 on average; 44 or more have probability 1e-6.
 MOST_DIFFER = 44
-PIVOT_ROUNDS = 2
-#: Slots in which shingles are counted to order them, by the number of sets.
-LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 18
+PIVOT_ROUNDS = 3
 
 
 def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
@@ -101,36 +98,6 @@ def _sets(shingle: int):
     return kernel
 
 
-def _count_slots(slots: int):
-    """How often shingles fall into each slot."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(slots, np.int64)
-        for batch in batches:
-            grams = column(batch, "grams").flatten().to_numpy()
-            counts += np.bincount(grams & (slots - 1), minlength=slots)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "c"])
-
-    return run
-
-
-def _prefixes(counts_: object, slots: int, percent: int):
-    """Of each set its rarest shingles, so many that a similar set must have one of them among its own rarest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(counts_.value, np.int64)
-        for batch in batches:
-            out, grams = [], column(batch, "grams")
-            for k in range(batch.num_rows):
-                g = np.asarray(grams[k].values)
-                order = np.lexsort((g, counts[g & (slots - 1)]))
-                out.append(g[order[: len(g) - -(-percent * len(g) // 100) + 1]])
-            yield pa.RecordBatch.from_arrays([column(batch, "node"), lists(out, pa.int64())], ["node", "grams"])
-
-    return run
-
-
 def _similar(inter: Column, na: Column, nb: Column, percent: int) -> Column:
     return inter * 100 >= (na + nb - inter) * percent
 
@@ -211,31 +178,23 @@ def _link(docs: DataFrame, classes: DataFrame, buckets: DataFrame, stage: Stage,
         if open_.isEmpty():
             return comp
 
-    # What is left: members of buckets with several components. Similar ones share a rare shingle.
-    rest = stage.table(open_.select("node", "n", "comp").distinct(), "rest")
-    # A shingle that no other of them has cannot be shared, which bounds the similarity of a set with any other.
-    each = sets.join(rest.select("node"), "node").select("node", F.explode("grams").alias("gram"))
-    own = each.groupBy("gram").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
-    rest = rest.join(own, "node", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("s") * 100 >= F.col("n") * percent)
-    rest = stage.table(rest.select("node", "n", "comp", "s"), "rest-able")
-    some = sets.join(rest.select("node"), "node")
-    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (64 * rest.count()).bit_length()))
-    counts = np.zeros(slots, np.int64)
-    got = some.select("grams").mapInArrow(_count_slots(slots), "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
-    counts[got["slot"].to_numpy()] = got["c"].to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(counts.tobytes())
-    rare = some.select("node", "grams").mapInArrow(_prefixes(sent, slots, percent), "node long, grams array<long>")
-    rare = stage.table(rare.join(rest, "node").select(F.explode("grams").alias("gram"), "node", "n", "comp", "s"), "rare")
-    several = stage.table(rare.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram"), "several")
-    rare = rare.join(several, "gram", "left_semi")
-    a, b = (rare.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "s")]) for s in "ab")
-    most = F.least("s_a", "s_b")
-    able = near(F.col("n_a"), F.col("n_b")) & _similar(most, F.col("n_a"), F.col("n_b"), percent)
-    pairs = a.join(b, "gram").where((F.col("comp_a") < F.col("comp_b")) & able)
-    pairs = stage.table(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "rare-pairs")
-    sig = classes.select("node", "sig")
-    pairs = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").where(_differ(F.col("sa"), F.col("sb")) <= MOST_DIFFER)
-    more = confirmed(pairs.select("a", "b"), "rare")
+    # What is left: members of buckets with several components. Only shingles that stand in several
+    # components can be shared across them; among those, ordered by how many sets have them, two
+    # similar sets must meet within the first |shared| - least overlap + 1.
+    rest = stage.table(open_.select("node", "n", "comp", "sig").dropDuplicates(["node"]), "rest")
+    each = sets.join(rest.select("node", "comp"), "node").select("node", "comp", F.explode("grams").alias("gram"))
+    crossing = each.groupBy("gram").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram", "c")
+    crossing = stage.table(crossing, "crossing")
+    mine = each.select("node", "gram").join(crossing, "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("g"))
+    s, least = F.size("g"), F.ceil(F.col("n") * percent / 100).cast("int")
+    able = mine.join(rest, "node").where(s >= least)
+    rare = able.select("node", "n", "comp", "sig", s.alias("s"), F.explode(F.slice("g", F.lit(1), s - least + 1)["gram"]).alias("gram"))
+    rare = stage.table(rare, "rare")
+    a, b = (rare.select("gram", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "comp", "s", "sig")]) for k in "ab")
+    possible = near(F.col("n_a"), F.col("n_b")) & _similar(F.least("s_a", "s_b"), F.col("n_a"), F.col("n_b"), percent)
+    alike = _differ(F.col("sig_a"), F.col("sig_b")) <= MOST_DIFFER
+    pairs = a.join(b, "gram").where((F.col("comp_a") < F.col("comp_b")) & possible & alike)
+    more = confirmed(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "rare")
     return comp if more.isEmpty() else components(edges.union(more), stage, "c-all")
 
 
