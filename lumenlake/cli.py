@@ -8,9 +8,9 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.operators import anomalies, batch, comparison, hashing, privacy, sanitize
+from lumenlake.operators import anomalies, batch, comparison, exiftool, hashing, privacy, sanitize
 from lumenlake.plans import reports
-from lumenlake.sources import files
+from lumenlake.sources import files, optional
 
 KEYS = ["path", "size_bytes", "sha256"]
 
@@ -53,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
     kind.add_argument("--csv", metavar="FILE")
     kind.add_argument("--segments", action="store_true")
     scan.add_argument("--sensitive", action="store_true")
+    scan.add_argument("--backend", choices=("native", "exiftool"), default="native")
     for name in ("privacy", "anomalies"):
         verb(name, "path").add_argument("--detailed", action="store_true")
     verb("gps", "path")
@@ -108,11 +109,26 @@ def _scan(args: argparse.Namespace, spark: SparkSession) -> None:
             _print(reports.json_batch(items, f"file:{args.path}", args.recursive) if args.json else reports.text_batch(items))
     elif args.segments:
         _print(reports.text_segments(files.photos(_blobs(spark, args.path), KEYS), ["path"]))
+    elif (kind := _kind(spark, args.path)) in ("PNG", "WEBP", "TIFF"):
+        _print(reports.text_container(files.containers(_blobs(spark, args.path), ["path"]), ["path"]))
+    elif kind == "HEIF":
+        _print(reports.text_heif(_blobs(spark, args.path), ["path"]))
+    elif kind == "RAW":
+        _print(reports.text_raw(optional.raw_images(_blobs(spark, args.path)), ["path"]))
+    elif args.backend == "exiftool":
+        found = optional.exiftool_json(_blobs(spark, args.path))
+        _print(reports.text_exiftool(exiftool.normalise(found, ["path"]), ["path"]))
     else:
         judged = _judged(spark, args.path)
         _print(reports.json_single(judged, ["path"], args.sensitive, pretty=True) if args.json else reports.text_scan(judged, ["path"]))
 
 
+def _kind(spark: SparkSession, path: str) -> str | None:
+    """Format of one file; a camera raw file counts as one even where its reader is missing."""
+    row = files.scan_directory(spark, path).select(files.detect(F.col("content"), F.col("path"), raw_backend=True).alias("f")).first()
+    return row["f"] if row else None
+
+
 def _report(args: argparse.Namespace, spark: SparkSession) -> None:
     import os
 
@@ -120,7 +136,7 @@ def _report(args: argparse.Namespace, spark: SparkSession) -> None:
     if args.text:
         if args.output or args.force:
             raise ValueError("--text excludes --output and --force")
-        _print(reports.text_scan(judged, ["path"]))
+        _print(reports.text_full(judged, ["path"]))
         return
     target = args.output or "report.html"
     if os.path.exists(target) and not args.force:

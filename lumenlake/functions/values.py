@@ -102,3 +102,25 @@ def by_rank(findings: Column, keys: tuple[str, ...] = ("code",)) -> Column:
     rank = lambda f: F.when(f["severity"] == "high", 0).when(f["severity"] == "medium", 1).otherwise(2)
     placed = F.transform(findings, lambda f, i: F.struct(rank(f).alias("r"), *[f[k].alias(f"k_{k}") for k in keys], i.alias("i"), f.alias("f")))
     return F.transform(F.array_sort(placed), lambda x: x["f"])
+
+
+def xmp_summary() -> Column:
+    """The usual XMP properties as one struct."""
+    one = {
+        "title": "dc:title", "description": "dc:description", "creator_tool": "xmp:CreatorTool", "create_date": "xmp:CreateDate", "modify_date": "xmp:ModifyDate",
+        "metadata_date": "xmp:MetadataDate",
+    }
+    return F.struct(xmp_list("dc:creator").alias("creator"), *[xmp_text(q).alias(n) for n, q in one.items()], xmp_rating().alias("rating"))
+
+
+def iptc_summary() -> Column:
+    """The usual IPTC datasets as one struct: lists where they repeat, else the first."""
+    first = {
+        "title": "ObjectName", "headline": "Headline", "caption": "CaptionAbstract", "copyright": "CopyrightNotice", "sublocation": "Sublocation", "city": "City",
+        "province": "ProvinceState", "country_code": "CountryCode", "country": "CountryName",
+    }
+    creators = iptc_values("Byline")
+    return F.struct(
+        creators.alias("creators"), F.try_element_at(creators, F.lit(1)).alias("creator"), iptc_values("Keywords").alias("keywords"),
+        *[F.try_element_at(iptc_values(d), F.lit(1)).alias(n) for n, d in first.items()],
+    )

@@ -232,3 +232,74 @@ def text_batch(items: DataFrame) -> DataFrame:
             F.format_string("Exposure HIGH: %d, MEDIUM: %d, LOW: %d", "high_privacy_count", "medium_privacy_count", "low_privacy_count"),
         ).alias("document")
     )
+
+
+def _rows(**values: Column) -> Column:
+    """One ``label: value`` line per field; a missing value is a dash."""
+    width = max(map(len, values))
+    return _lines(*[F.concat(F.lit(f"{k.replace('_', ' '):<{width}} : "), F.coalesce(v.cast("string"), F.lit("-"))) for k, v in values.items()])
+
+
+def text_score(judged: DataFrame, keys: list[str], detailed: bool = False) -> DataFrame:
+    """Score, level and bar; with ``detailed`` also points by finding and the findings without points."""
+    head = F.concat(or_empty(F.col("points")), F.lit(f"/{privacy.MAXIMUM} "), or_empty(F.col("level")), F.lit(" ["), bar(F.coalesce("points", F.lit(0))), F.lit("]"))
+    given = F.array_join(F.transform(privacy.contributions(F.col("findings")), lambda r: F.concat(F.lit("+"), r["points"].cast("string"), F.lit(" "), r["label"])), "\n")
+    free = F.array_join(F.transform(privacy.unscored(F.col("findings")), lambda c: F.concat(F.lit("not scored: "), c)), "\n")
+    lines = [head, *([F.nullif(given, F.lit("")), F.nullif(free, F.lit(""))] if detailed else [])]
+    return judged.select(*keys, F.coalesce("privacy_error", _lines(*lines)).alias("document"))
+
+
+def text_file_info(info: DataFrame, keys: list[str]) -> DataFrame:
+    return info.select(*keys, _rows(Name=F.col("name"), Size=F.col("size_human"), Bytes=F.col("size_bytes"), Modified=F.col("modified")).alias("document"))
+
+
+def text_special(photos: DataFrame, keys: list[str]) -> DataFrame:
+    line = lambda s: F.concat(s["name"], F.lit(": "), s["meaning"], F.lit(" ("), s["raw"].cast("string"), F.lit(")"))
+    return photos.select(*keys, F.array_join(F.transform(special_fields(), line), "\n").alias("document"))
+
+
+def text_container(containers: DataFrame, keys: list[str]) -> DataFrame:
+    """PNG, WebP and TIFF."""
+    size = F.concat(F.col("width").cast("string"), F.lit(" x "), F.col("height").cast("string"))
+    shown = _rows(Format=F.col("detected"), Resolution=size, Mode=F.col("mode"), Frames=F.col("frames"), EXIF=F.col("exif"), GPS=F.col("gps"), XMP=F.col("xmp"), ICC=F.col("icc"))
+    return containers.select(*keys, F.coalesce(F.concat(F.lit("error: "), F.col("error")), shown).alias("document"))
+
+
+def text_heif(files: DataFrame, keys: list[str]) -> DataFrame:
+    """The file-type box of HEIF files of (content)."""
+    from lumenlake.sources.files import brands, heif_format
+
+    found = brands(F.col("content"))
+    return files.select(*keys, _rows(Format=heif_format(F.col("content")), Major_brand=F.try_element_at(found, F.lit(1)), Compatible=F.array_join(F.slice(found, 2, 64), ", ")).alias("document"))
+
+
+def text_raw(raw: DataFrame, keys: list[str]) -> DataFrame:
+    size = F.concat(F.col("width").cast("string"), F.lit(" x "), F.col("height").cast("string"))
+    shown = _rows(Format=F.lit("RAW"), Resolution=size, Black_level=F.array_join("black_level", ", "))
+    return raw.select(*keys, F.coalesce(F.concat(F.lit("error: "), F.col("error")), shown).alias("document"))
+
+
+def text_exiftool(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Normalised tool output; exact places are never shown."""
+    size = F.concat(F.col("width").cast("string"), F.lit(" x "), F.col("height").cast("string"))
+    groups = F.array_join(F.transform("group_counts", lambda g: F.concat(g["group"], F.lit("="), g["count"].cast("string"))), ", ")
+    return facts.select(
+        *keys,
+        _rows(
+            Type=F.col("file_type"), Resolution=size, Make=F.col("make"), Model=F.col("model"), EXIF=F.col("exif"), GPS=F.col("gps"), XMP=F.col("xmp"), IPTC=F.col("iptc"),
+            ICC=F.col("icc"), Tags=F.col("tag_count"), Groups=groups, Warnings=F.array_join("warnings", "; "),
+        ).alias("document"),
+    )
+
+
+def text_full(judged: DataFrame, keys: list[str]) -> DataFrame:
+    """Scan, score, findings, anomalies and fields with a meaning, one after the other."""
+    makers = (
+        ("Scan", text_scan), ("Exposure", lambda d, k: text_score(d, k, True)), ("Privacy", lambda d, k: text_findings(d, k, "findings", True)),
+        ("Anomalies", lambda d, k: text_findings(d, k, "anomalies", True)), ("Fields", text_special), ("Location", text_gps),
+    )
+    out, names = judged, judged.columns
+    for title, make in makers:
+        out = make(out, [*names, *[c for c in out.columns if c.startswith("doc_")]]).withColumnRenamed("document", f"doc_{title}")
+    titled = [F.concat(F.lit(f"== {t} ==\n"), F.col(f"doc_{t}")) for t, _ in makers]
+    return out.select(*keys, F.array_join(F.array(*titled), "\n").alias("document"))

@@ -140,3 +140,25 @@ def test_optional_backends_are_rows(spark, folder):
     blobs = files.scan_directory(spark, str(folder / "x.nef"))
     for rows in (optional.raw_images(blobs), optional.heif_images(blobs), optional.exiftool_json(blobs)):
         assert rows.first()["error"]
+
+
+def test_all_text_reports(spark, folder):
+    from lumenlake.functions.values import iptc_summary, xmp_summary
+    from lumenlake.operators import exiftool
+    from lumenlake.sources import optional
+
+    blobs = files.scan_directory(spark, str(folder / "84.jpg")).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content")
+    facts = files.photos(blobs, ["path", "size_bytes", "sha256"])
+    full = reports.text_full(anomalies.detect(privacy.assess(facts)), ["path"]).first()["document"]
+    assert "== Anomalies ==" in full and "+40 GPS coordinates" in full and "not scored: gps_altitude" in full and "Orientation: Rotate 90" not in full
+    info = reports.text_file_info(files.file_info(files.scan_directory(spark, str(folder / "84.jpg"))), ["path"]).first()["document"]
+    assert "84.jpg" in info and "1.13 KB" in info
+    row = facts.select(xmp_summary().alias("x"), iptc_summary().alias("i")).first()
+    assert row["x"]["creator"] == ["Creator & 253", "Second"] and row["x"]["rating"] == 1 and row["i"]["keywords"] == ["Öl", "key"] and row["i"]["creator"] == "By253"
+    other = files.scan_directory(spark, str(folder)).where("path like '%.png' or path like '%.nef'")
+    assert all("error" in r["document"] for r in reports.text_container(files.containers(other, ["path"]), ["path"]).collect())
+    assert "unavailable" in reports.text_raw(optional.raw_images(other), ["path"]).first()["document"]
+    assert reports.text_heif(other, ["path"]).count() == 2
+    tool = spark.createDataFrame([("a", '{"SubIFD:ImageWidth":3040,"SubIFD:ImageHeight":2014,"IFD0:ImageWidth":256,"IFD0:ImageHeight":170,"GPS:GPSLatitude":19.4}')], "path string, payload string")
+    said = reports.text_exiftool(exiftool.normalise(tool, ["path"]), ["path"]).first()["document"]
+    assert "3040 x 2014" in said and "19.4" not in said
