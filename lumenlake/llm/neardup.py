@@ -37,9 +37,13 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 24, 5
 #: Coordinates of a signature, each kept as four bits in eight longs.
 COORDINATES = 128
-#: Coordinates that may differ. At similarity 0.8 they differ by 24 on average; 44 or more have probability 1e-6.
-MOST_DIFFER = 44
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+
+
+def most_differ(percent: int) -> int:
+    """Coordinates that may differ: a pair at the threshold has more with a probability of about 1e-6."""
+    mean = COORDINATES * (1 - percent / 100) * 15 / 16
+    return int(mean + 4.8 * (mean * (1 - mean / COORDINATES)) ** 0.5) + 1
 
 
 def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
@@ -169,7 +173,7 @@ def _link(docs: DataFrame, classes: DataFrame, buckets: DataFrame, stage: Stage,
         order = F.xxhash64("node", "band", F.lit(k))
         lead = stage.table(open_.groupBy("band").agg(*[F.min_by(c, order).alias(f"{c}_p") for c in ("node", "n", "comp", "sig")]), f"lead{k}")
         met = open_.join(lead, "band").where((F.col("comp") != F.col("comp_p")) & near(F.col("n"), F.col("n_p")))
-        met = met.withColumn("differ", _differ(F.col("sig"), F.col("sig_p"))).where(F.col("differ") <= MOST_DIFFER)
+        met = met.withColumn("differ", _differ(F.col("sig"), F.col("sig_p"))).where(F.col("differ") <= most_differ(percent))
         best = met.groupBy("node").agg(F.min_by("node_p", "differ").alias("b"))
         more = confirmed(best.select(F.col("node").alias("a"), "b"), f"lead{k}")
         edges = more if edges is None else edges.union(more)
@@ -188,11 +192,13 @@ def _link(docs: DataFrame, classes: DataFrame, buckets: DataFrame, stage: Stage,
     mine = each.select("node", "gram").join(crossing, "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("g"))
     s, least = F.size("g"), F.ceil(F.col("n") * percent / 100).cast("int")
     able = mine.join(rest, "node").where(s >= least)
-    rare = able.select("node", "n", "comp", "sig", s.alias("s"), F.explode(F.slice("g", F.lit(1), s - least + 1)["gram"]).alias("gram"))
+    rare = able.select("node", "n", "comp", "sig", s.alias("s"), F.posexplode(F.slice("g", F.lit(1), s - least + 1)["gram"]).alias("i", "gram"))
     rare = stage.table(rare, "rare")
-    a, b = (rare.select("gram", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "comp", "s", "sig")]) for k in "ab")
-    possible = near(F.col("n_a"), F.col("n_b")) & _similar(F.least("s_a", "s_b"), F.col("n_a"), F.col("n_b"), percent)
-    alike = _differ(F.col("sig_a"), F.col("sig_b")) <= MOST_DIFFER
+    a, b = (rare.select("gram", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "comp", "s", "i", "sig")]) for k in "ab")
+    # Where this is the first shingle that two sets share, they share at most it and what follows it in both.
+    most = F.least(F.col("s_a") - F.col("i_a"), F.col("s_b") - F.col("i_b"))
+    possible = near(F.col("n_a"), F.col("n_b")) & _similar(most, F.col("n_a"), F.col("n_b"), percent)
+    alike = _differ(F.col("sig_a"), F.col("sig_b")) <= most_differ(percent)
     pairs = a.join(b, "gram").where((F.col("comp_a") < F.col("comp_b")) & possible & alike)
     more = confirmed(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "rare")
     return comp if more.isEmpty() else components(edges.union(more), stage, "c-all")
