@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.spans import flat, joined, let, matches
+from lumenlake.llm.spans import flat, let, matches
 
 #: Possessive forms of the contract's patterns: same matches, no backtracking and no deep recursion.
 #: Look-behinds skip starts inside a run, which can only fail; ``\\G`` allows a start at the last match's end.
@@ -126,4 +126,4 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-__all__ = ["scan_pii", "digest", "luhn", "mod97", "joined"]
+__all__ = ["scan_pii", "digest", "luhn", "mod97"]

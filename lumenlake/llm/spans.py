@@ -74,11 +74,6 @@ def matches(text: Column, pattern: str, present: Column, context: int = 0) -> Co
     return F.when(present, found).otherwise(empty)
 
 
-def joined(spans: Column, kind: str) -> Column:
-    """``kind:start:end`` of each span, as array<string>."""
-    return F.transform(spans, lambda x: F.concat(F.lit(kind + ":"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string")))
-
-
 def flat(text: Column) -> Column:
     """Null is the empty text."""
     return F.coalesce(text, F.lit(""))

@@ -48,9 +48,6 @@ class Stage:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def read_by(self, df: DataFrame, tag: str) -> bool:
-        return any(self.paths[tag] in f for f in df.inputFiles())
-
     def free(self, *tags: str) -> None:
         drop(self.spark, *(self.paths.pop(t) for t in tags))
 
