@@ -152,7 +152,8 @@ def mixed(df: DataFrame, weights: Mapping[str | None, int] | None = None, source
         df = df.withColumn("mix_no_", F.row_number().over(Window.partitionBy(id_col, source_col).orderBy(id_col)))
         at = at.withColumn("mix_k_", F.row_number().over(Window.partitionBy("mix_id_", "mix_src_").orderBy("mix_at_")))
         on = on & (F.col("mix_no_") == F.col("mix_k_"))
-    return df.join(at, on).orderBy("mix_at_").select(*names)
+    # A sorted merge at every size: neither side is bounded, so none is broadcast because it happens to be small.
+    return df.join(at.hint("merge"), on).orderBy("mix_at_").select(*names)
 
 
 def _running(cells: DataFrame, group: list[str], order: str, count: str, stage: Stage) -> DataFrame:
