@@ -21,10 +21,21 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Only the start of an IBAN is matched; where it ends is for its country's length and the checksum to say.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+IBAN_RUN = r"^(?:\x20?[A-Z0-9]){11,30}+"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IP_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)(?:\.|$)){4}$"
 
+#: Letters and digits of an IBAN, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: 30 characters with a space before each, one character beyond, and the context.
+IBAN_WINDOW = 112
+
 #: Order of kinds, score before context, words that raise it.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
@@ -73,6 +84,41 @@ def mod97(m: Column) -> Column:
     return let(F.regexp_replace(m, " ", ""), rest) == 1
 
 
+def ibans(text: Column) -> Column:
+    """Spans of IBANs: at each start the end at a word boundary that has the country's length and passes mod 97.
+
+    A country that is not listed may end at any word boundary; the longest that passes is taken.
+    What follows an IBAN is never part of it, and each start is tried whatever the one before it reached.
+    """
+    lengths = F.create_map(*[F.lit(x) for n, codes in IBAN_LENGTHS.items() for code in codes.split() for x in (code, n)])
+    starts = matches(text, IBAN, text.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{3}"), CONTEXT_CHARS, IBAN_WINDOW)
+
+    def ends(all_: Column, reach: Column, wanted: Column) -> Column:
+        def fits(n: Column) -> Column:
+            value = all_.substr(F.lit(1), n)
+            whole = (all_.substr(n, F.lit(1)) != " ") & ~all_.substr(n + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+            return whole & (wanted.isNull() | (F.length(F.replace(value, F.lit(" "), F.lit(""))) == wanted)) & mod97(value)
+
+        return F.array_max(F.filter(F.sequence(F.lit(15), reach), fits))
+
+    def grown(x: Column) -> Column:
+        reach = F.length(x["m"]) + F.length(F.regexp_extract(x["right"], IBAN_RUN, 0))
+        n = let(F.concat(x["m"], x["right"]), lambda a: ends(a, reach, F.try_element_at(lengths, F.left(x["m"], F.lit(2)))))
+        return let(
+            n,
+            lambda n: F.struct(
+                x["s"].alias("s"),
+                (x["s"] + n).alias("e"),
+                F.concat(x["m"], x["right"]).substr(F.lit(1), n).alias("m"),
+                x["before"].alias("before"),
+                F.right(x["left"], F.lit(CONTEXT_CHARS)).alias("left"),
+                x["right"].substr(n - 3, F.lit(CONTEXT_CHARS)).alias("right"),
+            ),
+        )
+
+    return F.filter(F.transform(starts, grown), lambda x: x["e"].isNotNull())
+
+
 def scored(spans: Column, kind: str) -> Column:
     """Add kind and score; context is the text before the span, back to the span before it."""
 
@@ -94,7 +140,7 @@ def proposals(text: Column) -> dict[str, Column]:
         "ip": F.filter(find(IP, text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")), lambda x: x["m"].rlike(IP_PARTS)),
         "card": F.filter(find(CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}")), lambda x: luhn(x["m"])),
         "phone": F.filter(find(PHONE, F.contains(text, F.lit("+"))), lambda x: n_digits(x["m"]).between(9, 15)),
-        "iban": F.filter(find(IBAN, text.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{3}")), lambda x: mod97(x["m"])),
+        "iban": ibans(text),
         "ssn": find(SSN, text.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")),
     }
     return {k: scored(v, k) for k, v in out.items()}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Elements summed one by one inside a block; blocks keep prefix sums far below quadratic.
 _BLOCK = 256
-SPAN = "array<struct<s:int,e:int,m:string,before:string>>"
+SPAN = "array<struct<s:int,e:int,m:string,before:string,left:string,right:string>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,12 +44,32 @@ def prefix_sums(lens: Column) -> Column:
     return let(lens, inner)
 
 
-def matches(text: Column, pattern: str, present: Column, context: int = 0) -> Column:
-    """Leftmost non-overlapping matches of ``pattern`` as array<struct<s,e,m,before>>.
+def _around(p: Column, h: Column, window: int, body: Callable[[Callable[[Column], Column], Callable[[Column], Column]], Column]) -> Column:
+    """``body`` of the up to ``window`` code points before and after match ``i``, across its neighbours.
+
+    A neighbour gives its own ``window`` at most and a match is never empty, so ``window`` neighbours reach far enough.
+    """
+    if not window:
+        return body(lambda i: F.lit(""), lambda i: F.lit(""))
+    w = F.lit(window)
+    ends = F.transform(h, lambda m, i: F.right(F.concat(p[i], m), w))
+    starts = F.transform(h, lambda m, i: F.left(F.concat(m, p[i + 1]), w))
+
+    def both(x: Column, y: Column) -> Column:
+        before = lambda i: F.right(F.concat(F.array_join(F.slice(x, F.greatest(F.lit(1), i - window + 1), F.least(i, w)), ""), F.right(p[i], w)), w)
+        after = lambda i: F.left(F.concat(F.left(p[i + 1], w), F.array_join(F.slice(y, i + 2, w), "")), w)
+        return body(before, after)
+
+    return let(ends, lambda x: let(starts, lambda y: both(x, y)))
+
+
+def matches(text: Column, pattern: str, present: Column, context: int = 0, window: int = 0) -> Column:
+    """Leftmost non-overlapping matches of ``pattern`` as array<struct<s,e,m,before,left,right>>.
 
     ``present`` is a cheap necessary condition; where it fails the expression is an empty
     array. ``before`` holds up to ``context`` code points between the previous match and
-    this one. Patterns must not match the empty string.
+    this one; ``left`` and ``right`` the ``window`` code points of the text on either side,
+    other matches included. Patterns must not match the empty string.
     """
     pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -57,18 +77,21 @@ def matches(text: Column, pattern: str, present: Column, context: int = 0) -> Co
 
     def spans(p: Column, h: Column) -> Column:
         steps = F.transform(h, lambda m, i: F.length(p[i]) + F.length(m))
-        return let(
-            prefix_sums(steps),
-            lambda at: F.transform(
+
+        def found(at: Column, left: Callable[[Column], Column], right: Callable[[Column], Column]) -> Column:
+            return F.transform(
                 h,
                 lambda m, i: F.struct(
                     (at[i] + F.length(p[i])).alias("s"),
                     (at[i] + F.length(p[i]) + F.length(m)).alias("e"),
                     m.alias("m"),
                     (F.right(p[i], F.lit(context)) if context else F.lit("")).alias("before"),
+                    left(i).alias("left"),
+                    right(i).alias("right"),
                 ),
-            ),
-        )
+            )
+
+        return let(prefix_sums(steps), lambda at: _around(p, h, window, lambda left, right: found(at, left, right)))
 
     found = let(hits, lambda h: F.when(F.size(h) > 0, let(pieces, lambda p: spans(p, h))).otherwise(empty))
     return F.when(present, found).otherwise(empty)

@@ -53,6 +53,15 @@ def test_pii(docs, texts, odd):
     assert pii.digest(pii.scan_pii(odd.where("false"))).count() == 0
 
 
+def test_ibans_before_capitals_and_digits(spark):
+    de, gb, fr = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"
+    texts = [f"{de} For payments", f"{de} BIC COBADEFFXXX", f"{gb} EUR 50", f"{de} {gb} {fr} 2024 A", f"AB12 {de} X", f"({fr}) 😀 {gb}, {de}9", "XX" + "82" + "ABCDEFGHIJKL", f"{de[:-1]}1 EUR"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [f["value"] for f in r["findings"] if f["kind"] == "iban"] for r in pii.scan_pii(df).collect()}
+    assert got == {0: [de], 1: [de], 2: [gb], 3: [de, gb, fr], 4: [de], 5: [fr, gb], 6: [], 7: []}
+    assert all(texts[r["doc_id"]][f["start"] : f["end"]] == f["value"] for r in pii.scan_pii(df).collect() for f in r["findings"])
+
+
 def test_pii_runs_without_python(docs):
     plan = pii.digest(pii.scan_pii(docs))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
