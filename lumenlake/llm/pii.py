@@ -111,8 +111,9 @@ def ibans(text: Column) -> Column:
                 (x["s"] + n).alias("e"),
                 F.concat(x["m"], x["right"]).substr(F.lit(1), n).alias("m"),
                 x["before"].alias("before"),
-                F.right(x["left"], F.lit(CONTEXT_CHARS)).alias("left"),
+                x["left"].alias("left"),
                 x["right"].substr(n - 3, F.lit(CONTEXT_CHARS)).alias("right"),
+                x["near"].alias("near"),
             ),
         )
 
@@ -120,10 +121,15 @@ def ibans(text: Column) -> Column:
 
 
 def scored(spans: Column, kind: str) -> Column:
-    """Add kind and score; context is the text before the span, back to the span before it."""
+    """Add kind and score.
+
+    Words that raise a score are looked for on both sides of the span, across its neighbours; words
+    that lower it in the text before the span, back to the span before it, and in the span.
+    """
 
     def one(x: Column) -> Column:
-        near = F.when(x["before"].rlike(CONTEXT[kind]), F.lit(0.2)).otherwise(F.lit(0.0))
+        around = F.concat_ws("\n", F.right(x["left"], F.lit(CONTEXT_CHARS)), F.left(x["right"], F.lit(CONTEXT_CHARS)), x["near"])
+        near = F.when(around.rlike(CONTEXT[kind]), F.lit(0.2)).otherwise(F.lit(0.0))
         decoy = F.when(x["before"].rlike(DECOY) | x["m"].rlike(DECOY), F.lit(0.3)).otherwise(F.lit(0.0))
         score = F.least(F.lit(1.0), F.round(F.lit(PRIOR[kind]) + near - decoy, 3))
         return F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), x["m"].alias("value"), score.alias("score"))
@@ -134,7 +140,7 @@ def scored(spans: Column, kind: str) -> Column:
 def proposals(text: Column) -> dict[str, Column]:
     """Confirmed spans of each kind; the first four are the base, iban and ssn are added."""
     n_digits = lambda m: F.length(digits(m))
-    find = lambda pattern, present: matches(text, pattern, present, CONTEXT_CHARS)
+    find = lambda pattern, present: matches(text, pattern, present, CONTEXT_CHARS, CONTEXT_CHARS)
     out = {
         "email": find(EMAIL, F.contains(text, F.lit("@"))),
         "ip": F.filter(find(IP, text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")), lambda x: x["m"].rlike(IP_PARTS)),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Elements summed one by one inside a block; blocks keep prefix sums far below quadratic.
 _BLOCK = 256
-SPAN = "array<struct<s:int,e:int,m:string,before:string,left:string,right:string>>"
+SPAN = "array<struct<s:int,e:int,m:string,before:string,left:string,right:string,near:string>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -63,13 +63,33 @@ def _around(p: Column, h: Column, window: int, body: Callable[[Callable[[Column]
     return let(ends, lambda x: let(starts, lambda y: both(x, y)))
 
 
+def _said(p: Column, context: int, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``body`` of the nearest pieces around match ``i`` that are more than separators, cut to ``context``."""
+    if not context:
+        return body(lambda i: F.lit(""))
+    says = lambda x: x.rlike(r"\p{L}") | (F.length(x) > context)
+    flags = F.transform(p, lambda x: F.when(says(x), 1).otherwise(0))
+    cut = lambda x: F.coalesce(x, F.lit(""))
+
+    def near(told: Column, before: Column) -> Column:
+        # Before piece ``i`` stand ``before[i]`` telling pieces; of those up to it the last, of those after it the first.
+        last = lambda i: F.right(cut(F.get(told, before[i + 1] - 1)), F.lit(context))
+        first = lambda i: F.left(cut(F.get(told, before[i + 1])), F.lit(context))
+        return body(lambda i: F.concat(last(i), F.lit("\n"), first(i)))
+
+    return let(F.filter(p, says), lambda told: let(prefix_sums(flags), lambda before: near(told, before)))
+
+
 def matches(text: Column, pattern: str, present: Column, context: int = 0, window: int = 0) -> Column:
-    """Leftmost non-overlapping matches of ``pattern`` as array<struct<s,e,m,before,left,right>>.
+    """Leftmost non-overlapping matches of ``pattern`` as array<struct<s,e,m,before,left,right,near>>.
 
     ``present`` is a cheap necessary condition; where it fails the expression is an empty
     array. ``before`` holds up to ``context`` code points between the previous match and
     this one; ``left`` and ``right`` the ``window`` code points of the text on either side,
-    other matches included. Patterns must not match the empty string.
+    other matches included. ``near`` is, with ``context``, the ``context`` code points of the nearest
+    texts on either side that say something: texts between matches that hold no letter and are no longer
+    than ``context`` are passed over, so a heading reaches all of a column. Patterns must not match the
+    empty string.
     """
     pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -78,7 +98,7 @@ def matches(text: Column, pattern: str, present: Column, context: int = 0, windo
     def spans(p: Column, h: Column) -> Column:
         steps = F.transform(h, lambda m, i: F.length(p[i]) + F.length(m))
 
-        def found(at: Column, left: Callable[[Column], Column], right: Callable[[Column], Column]) -> Column:
+        def found(at: Column, left: Callable[[Column], Column], right: Callable[[Column], Column], near: Callable[[Column], Column]) -> Column:
             return F.transform(
                 h,
                 lambda m, i: F.struct(
@@ -88,10 +108,11 @@ def matches(text: Column, pattern: str, present: Column, context: int = 0, windo
                     (F.right(p[i], F.lit(context)) if context else F.lit("")).alias("before"),
                     left(i).alias("left"),
                     right(i).alias("right"),
+                    near(i).alias("near"),
                 ),
             )
 
-        return let(prefix_sums(steps), lambda at: _around(p, h, window, lambda left, right: found(at, left, right)))
+        return let(prefix_sums(steps), lambda at: _around(p, h, window, lambda left, right: _said(p, context, lambda near: found(at, left, right, near))))
 
     found = let(hits, lambda h: F.when(F.size(h) > 0, let(pieces, lambda p: spans(p, h))).otherwise(empty))
     return F.when(present, found).otherwise(empty)

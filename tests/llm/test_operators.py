@@ -62,6 +62,14 @@ def test_ibans_before_capitals_and_digits(spark):
     assert all(texts[r["doc_id"]][f["start"] : f["end"]] == f["value"] for r in pii.scan_pii(df).collect() for f in r["findings"])
 
 
+def test_context_on_both_sides_and_across_spans(spark):
+    column = "SSN\n" + "\n".join(f"123-45-{k:04d}" for k in range(300))
+    texts = ["SSN: 123-45-6789, 987-65-4321", "123-45-6789 is my SSN", column, "part 123-45-6789 of the order", "test 123-45-6789 is no SSN", "x " * 60 + "SSN " + "y " * 60 + "123-45-6789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: sum(f["kind"] == "ssn" for f in r["findings"]) for r in pii.scan_pii(df).collect()}
+    assert got == {0: 2, 1: 1, 2: 300, 3: 0, 4: 0, 5: 0}
+
+
 def test_pii_runs_without_python(docs):
     plan = pii.digest(pii.scan_pii(docs))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
