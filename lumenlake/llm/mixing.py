@@ -8,11 +8,13 @@ share. The schedule repeats after W slots, so one period is computed, and the sl
 block follows from its number by arithmetic: nothing is simulated per row.
 
 When a source runs out, the others go on at their weights in a new phase, so no row is
-dropped: there are at most as many phases as sources.
+dropped: there are at most as many phases as sources. Of a phase only the slots it has are computed,
+at most one period, so the plan never holds more slots than there are blocks; it goes out in parts.
 
 Ranks within a source come from counts of (source, hash prefix) cells and a window inside a
 cell, never from a window over a source; the number of cells follows the number of rows. What
-reaches the driver is one row per source; what is broadcast is one row per source and phase.
+reaches the driver is one row per source; what is broadcast is one part
+of the plan.
 
 Defined results: a null source is a source of its own; a source without a stated weight has
 ``default_weight``; repeated rows are each scheduled, in any order among themselves; an
@@ -22,7 +24,9 @@ empty table gives an empty result; ``position`` has no gaps; other columns are i
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from bisect import bisect_left
+from collections.abc import Iterator, Mapping
+from math import gcd
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,15 +34,20 @@ from pyspark.sql import functions as F
 from lumenlake.llm.store import Stage
 
 BLOCK = 16
-#: Slots in a period, sources, slots in the periods of all phases: stated bounds of what the driver holds
-#: and sends out. Beyond them sources must be grouped or weights made coarser.
-MOST_WEIGHT, MOST_SOURCES, MOST_PLAN = 1_000_000, 5_000, 2_000_000
+#: Slots in a period, and sources: stated bounds of what the driver holds. Beyond them sources must be grouped
+#: or weights made coarser.
+MOST_WEIGHT, MOST_SOURCES = 1_000_000, 5_000
+#: Slots of the phases that are sent out at once; a longer plan goes out in parts.
+PLAN_PART = 1_000_000
 #: Mean rows of a rank cell, aimed at.
 CELL_ROWS = 2_000
 
 
-def period(weights: list[int]) -> list[int]:
-    """The source of each slot of one period, earliest deadline first among released blocks."""
+def period(weights: list[int], blocks: list[int] | None = None) -> list[int]:
+    """The source of each slot of one period, earliest deadline first among released blocks.
+
+    With ``blocks``, it ends with the last block of the source that runs out first, if that comes before the period's end.
+    """
     total, out = sum(weights), []
     waiting = [(0, i, 0) for i, w in enumerate(weights) if w]  # release, source, block
     heapq.heapify(waiting)
@@ -49,39 +58,45 @@ def period(weights: list[int]) -> list[int]:
             heapq.heappush(ready, (-(-(j + 1) * total // weights[i]), i, j))
         _, i, j = heapq.heappop(ready)
         out.append(i)
+        if blocks and j + 1 == blocks[i]:
+            return out
         if j + 1 < weights[i]:
             heapq.heappush(waiting, ((j + 1) * total // weights[i], i, j + 1))
     return out
 
 
-def phases(blocks: list[int], weights: list[int]) -> list[list[tuple[int, int, int, int, list[int]]]]:
-    """Of each source its (first block, end block, first slot, period length, slots of its blocks in a period), by phase."""
-    out: list[list] = [[] for _ in blocks]
-    done, slot, planned = [0] * len(blocks), 0, 0
-    while True:
-        live = [i for i, n in enumerate(blocks) if done[i] < n]
-        if not live:
-            return out
-        planned += sum(weights[i] for i in live)
-        if planned > MOST_PLAN:
-            raise ValueError(f"the phases hold more than {MOST_PLAN} slots; group sources or make weights coarser")
-        order = period([weights[i] for i in live])
-        own: list[list[int]] = [[] for _ in live]
+def phases(blocks: list[int], weights: list[int]) -> Iterator[tuple[list[tuple[int, int, int, int, int, list[int]]], int]]:
+    """Of each phase its sources as (source, first block, end block, first slot, period length, slots of its blocks in a period), and the source that runs out.
+
+    Only the slots that the phase has are computed, at most one period of weights without common divisor:
+    over all phases no more than there are blocks.
+    """
+    done, slot = [0] * len(blocks), 0
+    live = [i for i, n in enumerate(blocks) if n]
+    while live:
+        common = gcd(*(weights[i] for i in live))
+        w = [weights[i] // common for i in live]
+        order = period(w, [blocks[i] - done[i] for i in live])
+        own: dict[int, list[int]] = {}
         for t, k in enumerate(order):
-            own[k].append(t)
+            own.setdefault(k, []).append(t)
         # The phase ends with the last block of the source that runs out first.
         ends = []
-        for k, i in enumerate(live):
-            left = blocks[i] - done[i] - 1
-            ends.append(left // len(own[k]) * len(order) + own[k][left % len(own[k])] + 1)
-        end = min(ends)
+        for k, slots in own.items():
+            left = blocks[live[k]] - done[live[k]] - 1
+            if len(slots) == w[k] or left < len(slots):
+                ends.append((left // len(slots) * len(order) + slots[left % len(slots)] + 1, live[k]))
+        end, out = min(ends)
         whole, rest = divmod(end, len(order))
-        for k, i in enumerate(live):
-            n = whole * len(own[k]) + sum(t < rest for t in own[k])
+        rows = []
+        for k, slots in own.items():
+            i, n = live[k], whole * len(slots) + bisect_left(slots, rest)
             if n:
-                out[i].append((done[i], done[i] + n, slot, len(order), own[k]))
+                rows.append((i, done[i], done[i] + n, slot, len(order), slots))
                 done[i] += n
+        yield rows, out
         slot += end
+        live.remove(out)
 
 
 def schedule(
@@ -101,7 +116,6 @@ def schedule(
     w = [int(weights.get(r["src_"], default_weight)) for r in sizes]
     if len(sizes) > MOST_SOURCES or sum(w) > MOST_WEIGHT or any(x < 1 for x in w):
         raise ValueError(f"weights must be positive, at most {MOST_WEIGHT} together, for at most {MOST_SOURCES} sources")
-    plan = phases([-(-r["n"] // block) for r in sizes], w)
     hexes = max(1, min(8, -(-max(1, sum(r["n"] for r in sizes) // CELL_ROWS).bit_length() // 4)))
 
     # Rank of a row in its source: rows in earlier cells, plus rows before it in its cell.
@@ -114,35 +128,43 @@ def schedule(
     )
     ranked = ranked.select("src_", "id_", (F.col("before") + F.col("in_") - 1).alias("rank_")).withColumn("block_no", F.floor(F.col("rank_") / block))
 
-    table = [(r["src_"], *p) for r, ps in zip(sizes, plan) for p in ps]
-    kind = f"s_ {df.schema[source_col].dataType.simpleString()}, b0 long, b1 long, slot0 long, every long, slots array<long>"
-    phase = F.broadcast(spark.createDataFrame(table, kind))
+    # Rows missing before a phase: all blocks are full but the last of each source, which ends its phase.
+    kind = f"s_ {df.schema[source_col].dataType.simpleString()}, b0 long, b1 long, slot0 long, every long, slots array<long>, holes long"
     k = F.col("block_no") - F.col("b0")
-    placed = ranked.join(phase, F.col("src_").eqNullSafe(F.col("s_")) & (F.col("block_no") >= F.col("b0")) & (F.col("block_no") < F.col("b1")))
     slot = F.col("slot0") + F.floor(k / F.size("slots")) * F.col("every") + F.element_at("slots", (k % F.size("slots") + 1).cast("int"))
-    placed = stage.table(placed.select("src_", "id_", "block_no", "rank_", slot.alias("slot")), "mix-placed")
-
-    # Rows before a slot: all blocks are full but the last of each source.
-    short = [(r["n"] // block, block - r["n"] % block, r["src_"]) for r in sizes if r["n"] % block]
-    gaps = []
-    for b, missing, src in short:
-        _, b0, _, slot0, every, slots = next(x for x in table if x[0] == src and x[1] <= b < x[2])
-        gaps.append((slot0 + (b - b0) // len(slots) * every + slots[(b - b0) % len(slots)], missing))
-    gaps.sort()
-    at, sums = [g[0] for g in gaps], [0]
-    for g in gaps:
-        sums.append(sums[-1] + g[1])
-    holes = F.element_at(F.array(*map(F.lit, sums)), F.size(F.filter(F.array(*map(F.lit, at)) if at else F.array().cast("array<int>"), lambda g: g < F.col("slot"))) + 1)
+    path, schema, staged = stage.new("mix-placed"), None, False
+    for part, last in _parts(sizes, w, block):
+        if not (last or staged):
+            ranked, staged = stage.table(ranked, "mix-ranked"), True
+        phase = F.broadcast(spark.createDataFrame(part, kind))
+        placed = ranked.join(phase, F.col("src_").eqNullSafe(F.col("s_")) & (F.col("block_no") >= F.col("b0")) & (F.col("block_no") < F.col("b1")))
+        placed = placed.select("src_", "id_", "block_no", "rank_", slot.alias("slot"), "holes")
+        placed.write.mode("append").option("compression", "zstd").parquet(path)
+        schema = placed.schema
+    placed = spark.read.schema(schema).parquet(path)
     stage.close(keep=("mix-placed",))
     return placed.select(
         F.col("id_").alias(id_col),
         F.col("src_").alias(source_col),
         F.col("block_no").cast("long").alias("block_no"),
         F.col("slot").cast("long").alias("slot"),
-        (F.col("slot") * block + F.col("rank_") % block - holes).cast("long").alias("position"),
+        (F.col("slot") * block + F.col("rank_") % block - F.col("holes")).cast("long").alias("position"),
     )
 
 
+def _parts(sizes: list, weights: list[int], block: int) -> Iterator[tuple[list[tuple], bool]]:
+    """The plan's rows (source, first block, end block, first slot, period length, slots, rows missing before), about PLAN_PART slots at a time, and whether they are the last."""
+    part, held, holes = [], 0, 0
+    for rows, out in phases([-(-r["n"] // block) for r in sizes], weights):
+        if held >= PLAN_PART:
+            yield part, False
+            part, held = [], 0
+        part += [(sizes[i]["src_"], *row, holes) for i, *row in rows]
+        held += sum(len(row[-1]) for row in rows)
+        holes += -sizes[out]["n"] % block
+    yield part, True
+
+
 def mixed(df: DataFrame, weights: Mapping[str | None, int] | None = None, source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
     """All rows and columns of ``df``, sorted by ``position``; rows that repeat an id take its positions in any order."""
     names = df.columns

@@ -43,8 +43,12 @@ class Stage:
         ship(spark)
         self.spark, self.paths = spark, {}
 
-    def table(self, df: DataFrame, tag: str) -> DataFrame:
+    def new(self, tag: str) -> str:
         path = self.paths[tag] = new_path(self.spark, tag)
+        return path
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        path = self.new(tag)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -214,6 +214,45 @@ def test_schedule(spark, block, weights):
     assert all(ids == sorted(ids, key=lambda d: hashlib.md5(str(d).encode()).hexdigest()) for ids in by.values())
 
 
+def plan_of(blocks, weights):
+    """Source and number of the block in each slot, from the phases."""
+    out = {}
+    for rows, _ in mixing.phases(blocks, weights):
+        for i, b0, b1, slot0, every, slots in rows:
+            for b in range(b0, b1):
+                turn, k = divmod(b - b0, len(slots))
+                assert out.setdefault(slot0 + turn * every + slots[k], (i, b)) == (i, b)
+    return out
+
+
+def test_plan_of_many_sources():
+    rnd = random.Random(3)
+    for _ in range(60):  # against full periods of the weights as they stand
+        n = rnd.randrange(1, 7)
+        blocks, weights = [rnd.randrange(1, 40) for _ in range(n)], [rnd.choice((2, 4, 6, 10, 10)) for _ in range(n)]
+        want, done = [], [0] * n
+        while any(d < b for d, b in zip(done, blocks)):
+            live = [i for i in range(n) if done[i] < blocks[i]]
+            order, t = mixing.period([weights[i] for i in live]), 0
+            while all(done[i] < blocks[i] for i in live):
+                i = live[order[t % len(order)]]
+                want.append((i, done[i]))
+                done[i] += 1
+                t += 1
+        got = plan_of(blocks, weights)
+        assert [got[t] for t in range(len(got))] == want
+    blocks = [1 + k % 7 for k in range(900)]  # 900 sources at one weight beside named ones
+    assert sorted(plan_of([*blocks, 50, 60], [10] * 900 + [15, 12])) == list(range(sum(blocks) + 110))
+
+
+def test_schedule_of_many_sources_in_parts(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id as doc_id", "concat('s', id % 700) as source")
+    whole = each(mixing.schedule(df, {"s0": 15}, block=2, default_weight=10).collect(), "doc_id", "position")
+    assert sorted(p for _, p in whole) == list(range(3000))
+    monkeypatch.setattr(mixing, "PLAN_PART", 900)
+    assert each(mixing.schedule(df, {"s0": 15}, block=2, default_weight=10).collect(), "doc_id", "position") == whole
+
+
 def test_mixed_keeps_all_rows(odd):
     assert Counter(map(str, mixing.mixed(odd, {"s": 2}).collect())) == Counter(map(str, odd.collect()))
     assert mixing.schedule(odd.where("false")).count() == 0
