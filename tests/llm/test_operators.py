@@ -359,6 +359,27 @@ def test_licences(docs, texts, odd):
     assert licenses.scan_licenses(odd.where("false"), model).count() == 0
 
 
+def test_licences_over_several_lines(docs, spark):
+    import textwrap
+
+    model = licenses.train(licenses.background_of(docs))
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 70))
+    isc, lgpl, bsd = (licenses.TEMPLATES[f][k] for f, k in (("ISC", 1), ("LGPL", 1), ("BSD", 3)))
+    prose = "The café is closed 😀 today.\nNothing else stands here, said the guard."
+    short = "Released under the MIT License."
+    cases = [
+        (mpl, ["MPL"]), (wrap(isc, "# "), ["ISC"]), ("/*\n" + wrap(lgpl, " * ") + "\n */\nint x;", ["LGPL"]), (prose + "\n" + wrap(bsd, "//") + "\n" + prose, ["BSD"]),
+        (wrap(isc) + "\n\n" + mpl, ["ISC", "MPL"]), (mpl + "\n" + mpl, ["MPL", "MPL"]), (f"{prose}\n{short}\n{short}\n{prose}", ["MIT", "MIT"]),
+        (wrap(isc)[:70].replace("\n", " ") + "\n\n" + wrap(isc)[-60:], []), (prose, []), (wrap(isc, "dnl "), ["ISC"]),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string").repartition(1)
+    got = {r["doc_id"]: [x for x in r["found"] if x["confirmed"]] for r in licenses.scan_licenses(df, model).collect()}
+    assert {k: [x["family"] for x in got[k]] for k in got} == {k: want for k, (_, want) in enumerate(cases)}
+    x = got[3][0]
+    assert cases[3][0][x["start"] : x["end"]] == wrap(bsd, "//")
+
+
 def test_licence_classifier_on_held_out_variants(docs):
     background = licenses.background_of(docs)
     model = licenses.train(background)
