@@ -24,7 +24,7 @@ ASSIGN_WORDS = r"(?i)passw(?:or)?d|secret|token|api_?key"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Added kind: long mixed-class tokens, kept where a single owner has them.
-ENTROPY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])"
+ENTROPY = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])"
 KINDS = ("assign", "access", "hex", "entropy")
 #: A value that so many owners hold is a copied example.
 SHARED_OWNERS = 3

@@ -91,6 +91,14 @@ def test_ownership_separates_copies(spark):
     assert got[0]["spans"].count("entropy") == 1 and got[0]["n_live"] == 1 and got[1]["spans"] == ""
 
 
+def test_values_after_equals_signs(spark):
+    value = "AbCdEfGh12IjKlMnOpQrStUvWx"
+    texts = [f"KEY={value}", f"AWS_SECRET_ACCESS_KEY={value}9 x", f"MY_VERY_LONG_SECRET_ACCESS_KEY_2={value}8"]
+    df = spark.createDataFrame([(k, t, "s", "en") for k, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][f["start"] : f["end"]] for f in r["findings"] if f["kind"] == "entropy"] for r in secret_scan.scan_secrets(df).collect()}
+    assert got == {0: [value], 1: [value + "9"], 2: [value + "8"]}
+
+
 def test_near_duplicates(docs, texts):
     got = neardup.near_components(docs, shingle=3, percent=85).collect()
     want = brute.components(texts, 3, 85)
