@@ -15,7 +15,6 @@ repeated rows are each written; an empty table gives an empty result; other colu
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,22 +25,81 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlake.llm import rangecoder
-from lumenlake.llm.textkit import lists
+from lumenlake.llm.textkit import buffers, lists, mix64
 from lumenlake.plans.ship import ship
 
 END_ID = 2
-FRAME_IDS = 2048 * rangecoder.BLOCK_IDS
-#: Texts are tokenised in segments that are kept for reuse; so many at most.
-SEGMENTS = 1_000_000
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+FRAME_IDS = rangecoder.BLOCK_IDS
+#: Bytes of text that are cut into segments at a time.
+PIECE = 1 << 21
+#: Slots for segments that are kept for reuse, and the share that may be taken before all are dropped.
+SLOTS, FULL = 1 << 22, 0.6
+#: Segments of up to so many bytes are compared as two integers; longer ones, up to ``KEPT`` bytes, are kept by their bytes.
+SHORT, KEPT = 15, 256
+#: Unseen segments that are tokenised in one string.
+JOINED = 100
 FRAMES = "shard long, frame long, first long, doc_ids array<long>, lengths array<long>, payload binary"
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: First bytes of the white space beyond ASCII, in two and in three bytes.
+_WIDE2, _WIDE3 = np.zeros(256, bool), np.zeros(256, bool)
+_WIDE2[0xC2], _WIDE3[[0xE1, 0xE2, 0xE3]] = True, True
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+class Segments:
+    """A hash table from the bytes of a segment to where its ids are; exact, as keys are whole segments."""
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.low, self.high, self.value = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64)
+        self.pool, self.used, self.taken = np.empty(1 << 16, self.dtype), 0, 0
+        self.long: dict[bytes, int] = {}
+
+    def add(self, ids: np.ndarray) -> int:
+        """Append ids to the pool; the place of the first."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        at = self.used
+        self.pool[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    @staticmethod
+    def _slot(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (mix64(low ^ (high * np.uint64(0x9E3779B97F4A7C15))) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Values of keys; -1 where unknown."""
+        out, todo, at = np.full(len(low), -1), np.arange(len(low)), self._slot(low, high)
+        while len(todo):
+            there = self.high[at]
+            hit = (there == high[todo]) & (self.low[at] == low[todo])
+            out[todo[hit]] = self.value[at[hit]]
+            on = np.flatnonzero(~hit & (there != 0))
+            todo, at = todo[on], (at[on] + 1) & (SLOTS - 1)
+        return out
+
+    def put(self, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> None:
+        """Enter distinct unknown keys."""
+        self.taken += len(low)
+        at = self._slot(low, high)
+        while len(low):
+            free = self.high[at] == 0
+            self.low[at[free]], self.high[at[free]] = low[free], high[free]  # of keys for one slot the last stays
+            won = free & (self.low[at] == low) & (self.high[at] == high)
+            self.value[at[won]] = value[won]
+            low, high, value, at = low[~won], high[~won], value[~won], (at[~won] + 1) & (SLOTS - 1)
 
 
 class Encoder:
     """``tokenizers`` behind a memory of segments.
 
-    A byte-level pre-tokeniser always starts a piece at a space between two non-spaces, so
-    a text cut there has the ids of its segments one after the other.
+    A byte-level pre-tokeniser always starts a piece at white space after a non-space, so a
+    text cut there has the ids of its segments one after the other.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -53,48 +111,92 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         shape = self.tokenizer.to_str()[:20_000]
         self.cuts = '"type":"ByteLevel","add_prefix_space":false' in shape and self.tokenizer.normalizer is None
-        self.vocabulary = self.tokenizer.get_vocab_size()
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
+        self.vocabulary = max(self.tokenizer.get_vocab_size(), end_id + 1)
+        self.end = end_id
+        self.known = Segments(np.dtype(np.uint16 if self.vocabulary <= 1 << 16 else np.uint32))
         # Bytes of text that each id stands for: one per letter of the byte-level alphabet.
         self.width = np.zeros(self.vocabulary, np.int64)
         added = self.tokenizer.get_added_tokens_decoder()
         for word, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(added[i].content.encode()) if i in added else len(word)
 
-    def _fresh(self, segments: list[str]) -> None:
-        """Learn the ids of segments: in one call for those that join without changing each other's pieces."""
-        joins = [s for s in segments if s[0] == " " and not s[-1].isspace()]
-        if len(joins) > 1:
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(joins)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(s.encode()) for s in joins])
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.known.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, segments: list[bytes]) -> np.ndarray:
+        """Values of segments after their ids went to the pool; those that join without changing each other's pieces are tokenised together."""
+        value = np.empty(len(segments), np.int64)
+        joins = [k for k, s in enumerate(segments) if _SPACE[s[0]] and not (_SPACE[s[-1]] or s[-1] > 127)]
+        groups = [joins[k : k + JOINED] for k in range(0, len(joins), JOINED)]
+        rest = set(range(len(segments))) - set(joins)
+        for group, ids in zip(groups, self._encode([b"".join([segments[k] for k in g]).decode() for g in groups])):
+            ends = np.cumsum([len(segments[k]) for k in group])
             at = np.concatenate([[0], np.cumsum(self.width[ids])])
             cuts = np.searchsorted(at, np.concatenate([[0], ends]))
-            if at[-1] == ends[-1] and (at[cuts[1:]] == ends).all():
-                raw = ids.tobytes()
-                for s, a, b in zip(joins, (4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist()):
-                    self.known[s] = raw[a:b]
-                segments = [s for s in segments if s not in self.known]
-        for s, e in zip(segments, self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)):
-            self.known[s] = np.array(e.ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Of each text its ids and the end id, as little-endian 32-bit integers."""
+            if at[-1] == ends[-1] and (at[cuts] == np.concatenate([[0], ends])).all():
+                value[group] = (self.known.add(ids) + cuts[:-1] << 32) + np.diff(cuts)
+            else:
+                rest.update(group)
+        some = sorted(rest)
+        for k, ids in zip(some, self._encode([segments[k].decode() for k in some])):
+            value[k] = (self.known.add(ids) << 32) + len(ids)
+        return value
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, an end id after each, and how many each text has; of texts as bytes and offsets."""
+        offsets = offsets - offsets[0]
+        n = len(offsets) - 1
         if not self.cuts:
-            return [np.array(e.ids, "<u4").tobytes() + self.end for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        cut = []
-        for t in texts:
-            parts = _CUT.split(t) if t else []
-            cut.append(parts[:1] + [" " + p for p in parts[1:]])
-        wanted = {s for c in cut for s in c}
-        missing = [s for s in wanted if s not in self.known]
-        if len(self.known) + len(missing) > SEGMENTS:
+            raw = data.tobytes()
+            ids = self._encode([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+            return np.concatenate([x for i in ids for x in (i, [self.end])] or [np.empty(0)]).astype(self.known.dtype), np.array([len(i) + 1 for i in ids], np.int64)
+        if self.known.taken > FULL * SLOTS or len(self.known.long) > FULL * SLOTS / 16 or self.known.used > 1 << 28:
             self.known.clear()
-            missing = list(wanted)
-        if missing:
-            self._fresh(missing)
         known = self.known
-        return [b"".join([known[s] for s in c]) + self.end for c in cut]
+        space = _SPACE[data]
+        cut = space.copy()
+        cut[1:] &= ~space[:-1]
+        # White space beyond ASCII may run on: no cut where the character before could be some.
+        cut[2:] &= ~_WIDE2[data[:-2]]
+        cut[3:] &= ~_WIDE3[data[:-3]]
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        start = np.flatnonzero(cut)
+        size = np.diff(start, append=len(data))
+        padded = np.concatenate([data, np.zeros(24, np.uint8)])
+        words = np.ndarray((len(data) + 16,), "<u8", padded, 0, (1,))
+        low = words[start] & _MASKS[np.minimum(size, 8)]
+        high = (words[start + 8] & _MASKS[np.clip(size - 8, 0, 7)]) | (np.minimum(size, 255).astype(np.uint64) << np.uint64(56))
+        short = size <= SHORT
+        value = np.full(len(start), -1)
+        at = np.flatnonzero(short)
+        value[at] = known.find(low[at], high[at])
+        miss = at[value[at] < 0]
+        if len(miss):
+            order = miss[np.lexsort((high[miss], low[miss]))]
+            new = np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])
+            first = order[new]
+            fresh = self._fresh([data[a : a + k].tobytes() for a, k in zip(start[first].tolist(), size[first].tolist())])
+            known.put(low[first], high[first], fresh)
+            value[order] = fresh[np.cumsum(new) - 1]
+        long = np.flatnonzero(~short)
+        if len(long):
+            names = [data[a : a + k].tobytes() for a, k in zip(start[long].tolist(), size[long].tolist())]
+            missing = list(dict.fromkeys(s for s in names if s not in known.long and len(s) <= KEPT))
+            known.long.update(zip(missing, self._fresh(missing).tolist()))
+            held = known.used
+            huge = list(dict.fromkeys(s for s in names if len(s) > KEPT))
+            once = dict(zip(huge, self._fresh(huge).tolist()))
+            value[long] = [known.long[s] if len(s) <= KEPT else once[s] for s in names]
+        else:
+            held = known.used
+        # An end id after the segments of each text.
+        ends = np.searchsorted(start, offsets[1:])
+        value = np.insert(value, ends, (known.add(np.array([self.end])) << 32) + 1)
+        of = value & 0xFFFFFFFF
+        upto = np.cumsum(of)
+        ids = known.pool[np.repeat((value >> 32) - upto + of, of) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        known.used = held  # what is met once does not stay
+        return ids, np.diff(upto[ends + np.arange(n)], prepend=0)
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -110,32 +212,33 @@ def encoder(path: str, end_id: int) -> Encoder:
 def _writer(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, shard = encoder(path, end_id), TaskContext.get().partitionId()
-        ids, coded, held, first, number = [], [], 0, 0, 0
+        names, coded, sizes, held, first, number = [], [], [], 0, 0, 0
 
         def frame() -> pa.RecordBatch:
-            all_ids = np.frombuffer(b"".join(coded), "<u4")
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard], pa.int64()),
                     pa.array([number], pa.int64()),
                     pa.array([first], pa.int64()),
-                    pa.array([ids], pa.list_(pa.int64())),
-                    lists([np.array([len(c) // 4 for c in coded])], pa.int64()),
-                    pa.array([rangecoder.encode(all_ids, max(code.vocabulary, end_id + 1))], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, sum(map(len, names))], pa.int32()), pa.concat_arrays(names)),
+                    lists([np.concatenate(sizes)], pa.int64()),
+                    pa.array([rangecoder.encode(np.concatenate(coded), code.vocabulary)], pa.binary()),
                 ],
                 ["shard", "frame", "first", "doc_ids", "lengths", "payload"],
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                for i, c in zip(part.column(0).to_pylist(), code(part.column(1).to_pylist())):
-                    ids.append(i), coded.append(c)
-                    held += len(c) // 4
-                    if held >= FRAME_IDS:
-                        yield frame()
-                        first, number, held, ids, coded = first + held, number + 1, 0, [], []
-        if ids:
+            data, at = buffers(batch.column(1))
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, side="right")) - 1)
+                ids, n = code(data[at[i] : at[j]], at[i : j + 1])
+                names.append(batch.column(0).slice(i, j - i)), coded.append(ids), sizes.append(n)
+                held, i = held + len(ids), j
+                if held >= FRAME_IDS:
+                    yield frame()
+                    first, number, held, names, coded, sizes = first + held, number + 1, 0, [], [], []
+        if names:
             yield frame()
 
     return run
