@@ -1,23 +1,28 @@
 """Removal of word passages that repeat anywhere in the corpus, by prefix-partitioned suffix trees.
 
 The corpus is one string of words; a window of ``window`` words repeats if the suffix tree
-has an internal node of at least that depth above its suffix. The tree is never built whole:
+has an internal node of at least that depth above its suffix. The tree is built in subtrees:
 
 1. Texts with the same words form one class, so a group of copies counts once. A class
    of several texts lies under deep nodes as a whole.
-2. Each window is named by its least ``gram``-word hash (its anchor). Equal windows have equal
+2. Each window is filed under its least ``gram`` words by hash (its anchor). Equal windows have equal
    anchors, so a window whose anchor occurs once has no deep node and its suffix is left out.
    This is exact, and only the anchors (one word in fourteen) are shuffled.
-3. The remaining suffixes are split by prefix. A first-word prefix that holds more suffixes
-   than a group should is split by 2, 4, 8 and 16 words, from counts over all suffixes. A
-   group is a subtree. It is laid out as its sorted leaves, where equal neighbours to full
-   depth share a deep node, so a task streams over its subtrees in constant memory.
-4. A prefix still too heavy at 16 words is a deep path that many texts share; its nodes are
-   found by counts that are combined before the shuffle.
+3. Subtrees are split by these words: all suffixes that could share a deep node have the anchor's
+   words as a common prefix, counted from the anchor. Neighbouring windows mostly share their anchor, so their
+   suffixes travel as one string of words (a run), some three words a suffix. Equal runs are one, with a count.
+4. A task holds some subtrees at a time. It sorts their suffixes by their words (ranks of 1, 2, 4 ... words,
+   from the words themselves), takes the common prefix of neighbours in that order, and so the depth of the
+   deepest internal node above each suffix. Depths of ``window`` or more are repeats; one
+   that is not the tail of a longer one, a word to the left, is a maximal repeat of its run.
+5. An anchor with more than ``MOST_RUNS`` different runs is too large for a task's memory. Its prefix is lengthened to
+   the whole window: such a subtree is one path, whose node is found by counting equal windows.
+
+Words are compared as they are; hashes only choose anchors and name texts and runs (128 bits).
 
 Defined results: a null or empty text has no words; its kept text is empty. Repeated rows are
 copies of each other. Rows that repeat a doc_id are each judged on their own text. An empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored. Ids are cast to long.
 """
 
 from __future__ import annotations
@@ -27,19 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.llm import idfilter
 from lumenlake.llm.store import Stage
-from lumenlake.llm.textkit import column, grams, lists, mix64, pieces, sequence_hash
+from lumenlake.llm.textkit import buffers, column, grams, lists, piece, pieces, sequence_hash
 
 WINDOW, GRAM = 50, 8
-#: Prefix lengths in words, and hash slots in which prefixes of each length are counted.
-LENGTHS = (1, 2, 4, 8, 16)
-SLOTS = 1 << 12
-#: A group may hold so many times the suffixes of an even share among ``GROUPS``.
-GROUPS, HEAVY = 1 << 12, 8
+#: Different runs of an anchor, and words that a task sorts at a time (a group of runs more).
+MOST_RUNS, WORDS = 1_024, 1 << 20
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -60,16 +63,14 @@ def anchors(g: np.ndarray, windows: int, span: int) -> np.ndarray:
 
 
 def _survey(window: int, gram: int):
-    """Of each text: ids and digest of its words, its anchors (those it holds more than once twice), the batch's prefix counts."""
+    """Of each text: ids and digest of its words, and its anchors (those it holds more than once twice)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n, h1, h2, sha, anc = batch.column(0), [], [], [], [], []
-            counts = np.zeros((len(LENGTHS), SLOTS), np.int64)
+            n, h1, h2, sha, anc = [], [], [], [], []
             for p in pieces(column(batch, "text_")):
                 h = p.hashes()
                 g = grams(h, gram)
-                prefixes = [grams(h, k) & np.uint64(SLOTS - 1) for k in LENGTHS]
                 for i in range(len(p)):
                     a, b = int(p.word_at[i]), int(p.word_at[i + 1])
                     x, y = sequence_hash(h[a:b])
@@ -83,126 +84,172 @@ def _survey(window: int, gram: int):
                         seen, times = np.unique(mine, return_counts=True)
                         again = least[times[np.searchsorted(seen, least)] > 1]
                         anc.append(np.concatenate([least, again]).view(np.int64))
-                        for k, s in enumerate(prefixes):
-                            counts[k] += np.bincount(s[a : a + w].astype(np.int64), minlength=SLOTS)
                     else:
                         anc.append(np.empty(0, np.int64))
-            at = np.flatnonzero(counts.ravel())
-            rows = len(n)
             yield pa.RecordBatch.from_arrays(
-                [
-                    ids,
-                    pa.array(n, pa.int64()),
-                    pa.array(h1, pa.int64()),
-                    pa.array(h2, pa.int64()),
-                    pa.array(sha, pa.string()),
-                    lists(anc, pa.int64()),
-                    lists([at] + [at[:0]] * (rows - 1), pa.int64()),
-                    lists([counts.ravel()[at]] + [at[:0]] * (rows - 1), pa.int64()),
-                ],
-                ["id_", "n", "h1", "h2", "sha", "anchors", "slot_no", "slot_n"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sha, pa.string()), lists(anc, pa.int64())],
+                ["id_", "n", "h1", "h2", "sha", "anchors"],
             )
 
     return run
 
 
-def _suffixes(window: int, gram: int, level_of: list[np.ndarray]):
-    """Suffixes of the windows whose anchor is in ``anchors``: class, place, group, leaf, heavy, alone (the class is one text)."""
+def _is(batch: pa.RecordBatch, k: int, h: np.ndarray) -> bool:
+    """Whether row k names the text with the word hashes ``h``; an id may repeat with other texts."""
+    return sequence_hash(h) == (column(batch, "h1")[k].as_py(), column(batch, "h2")[k].as_py())
+
+
+def _runs(window: int, gram: int):
+    """Stretches of windows with one anchor, of those in ``anchors``: class, first window, anchor, words, whether the class is one text."""
+    span = window - gram + 1
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cls, place, group, leaf, heavy, one = [], [], [], [], [], []
-        known = column(batch, "h1").to_numpy()
+        of, place, anchor, text = [], [], [], []
         flags = column(batch, "anchors")
-        alone = column(batch, "copies").to_numpy() == 1
         for p in pieces(column(batch, "text_")):
             h = p.hashes()
-            g, full = grams(h, gram), grams(h, window)
-            prefixes = [grams(h, k) for k in LENGTHS]
+            g = grams(h, gram)
             for i in range(len(p)):
                 a, b = int(p.word_at[i]), int(p.word_at[i + 1])
                 w = b - a - window + 1
-                if w <= 0 or sequence_hash(h[a:b])[0] != known[p.first + i]:
+                if w <= 0 or not _is(batch, p.first + i, h[a:b]):
                     continue
-                mine = np.asarray(flags[p.first + i].values).view(np.uint64)
-                at = np.flatnonzero(np.isin(anchors(g[a : b - gram + 1], w, window - gram + 1), mine))
-                key, done = np.zeros(len(at), np.uint64), np.zeros(len(at), bool)
-                for k, pre in enumerate(prefixes):
-                    x = pre[a + at]
-                    s = x & np.uint64(SLOTS - 1)
-                    fits = ~done & level_of[k][s.astype(np.int64)]
-                    key[fits] = mix64(s[fits] + np.uint64((k + 1) << 32))
-                    done |= fits
-                cls.append(np.full(len(at), known[p.first + i]))
-                place.append(at), group.append(key), leaf.append(full[a + at])
-                heavy.append(~done), one.append(np.full(len(at), alone[p.first + i]))
-        cat = lambda xs, t: np.concatenate(xs) if xs else np.empty(0, t)
+                least = anchors(g[a : b - gram + 1], w, span)
+                first = np.flatnonzero(np.diff(least, prepend=~least[:1]))
+                last = np.append(first[1:], w)
+                known = np.isin(least[first], np.asarray(flags[p.first + i].values).view(np.uint64))
+                for lo, hi in zip(first[known].tolist(), last[known].tolist()):
+                    for x in range(lo, hi, span):  # equal grams in a row could make a run as long as the text
+                        y = min(x + span, hi) + window - 1
+                        words = p.data[int(p.start[a + x]) : int(p.end[a + y - 1])].tobytes().split()
+                        of.append(p.first + i), place.append(x), anchor.append(least[lo])
+                        text.append(b" ".join(words).decode() + " ")
+        of = pa.array(of, pa.int64())
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(cat(cls, np.int64), pa.int64()),
-                pa.array(cat(place, np.int64), pa.int32()),
-                pa.array(cat(group, np.uint64).view(np.int64)),
-                pa.array(cat(leaf, np.uint64).view(np.int64)),
-                pa.array(cat(heavy, bool), pa.bool_()),
-                pa.array(cat(one, bool), pa.bool_()),
+                *(column(batch, c).take(of) for c in ("h1", "h2")),
+                pa.array(place, pa.int32()),
+                pa.array(np.array(anchor, np.uint64).view(np.int64)),
+                pa.array(text, pa.string()),
+                pc.equal(column(batch, "copies").take(of), 1),
             ],
-            ["h1", "place", "grp", "leaf", "heavy", "alone"],
+            ["h1", "h2", "place", "anchor", "words", "alone"],
         )
 
     return kernel
 
 
-_HIT = ["h1", "place", "alone"]
-
-
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves in order of (group, leaf): those with an equal neighbour hang under a deep internal node."""
-    held: pa.RecordBatch | None = None  # the last leaf, which may equal the first of the next batch
-    held_hit = False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        grp, leaf = (column(batch, c).to_numpy() for c in ("grp", "leaf"))
-        same = (grp[1:] == grp[:-1]) & (leaf[1:] == leaf[:-1])
-        hit = np.zeros(batch.num_rows, bool)
-        hit[1:] |= same
-        hit[:-1] |= same
-        out = batch
-        if held is not None:
-            joins = column(held, "grp")[0].as_py() == grp[0] and column(held, "leaf")[0].as_py() == leaf[0]
-            hit[0] |= joins
-            if held_hit or joins:
-                yield held.select(_HIT)
-        held, held_hit = batch.slice(batch.num_rows - 1), bool(hit[-1])
-        rest = out.slice(0, batch.num_rows - 1).filter(pa.array(hit[:-1]))
-        if rest.num_rows:
-            yield rest.select(_HIT)
-    if held is not None and held_hit:
-        yield held.select(_HIT)
+def suffix_order(rank: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Ranks of all suffixes of runs of words, a run ending below any word, and the ranks of their first 1, 2, 4 ... words.
+
+    ``rank`` numbers words from 1; ``end`` is, of each word, where its run ends.
+    """
+    at, levels, k = np.arange(len(rank)), [(1, rank)], 1
+    longest = int((end - at).max()) if len(rank) else 0
+    while k < longest:
+        after = np.where(at + k < end, rank[np.minimum(at + k, len(rank) - 1)], 0)
+        rank = np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)[1] + 1
+        k *= 2
+        levels.append((k, rank))
+    return rank, levels
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray, end: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Words that the suffixes at a and b have in common from their starts."""
+    most = np.minimum(end[a] - a, end[b] - b)
+    d = np.zeros(len(a), np.int64)
+    for k, rank in reversed(levels):
+        on = np.flatnonzero(d < most)
+        on = on[rank[a[on] + d[on]] == rank[b[on] + d[on]]]
+        d[on] += k
+    return np.minimum(d, most)
+
+
+def deepest(texts: pa.Array, copies: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal repeats of at least ``window`` words in runs: number of the run, first word, words."""
+    data, offsets = buffers(texts)
+    p = piece(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+    n = len(p.start)
+    # A word with the space after it, so that words stand one after the other and are told apart exactly.
+    at = np.append(p.start, len(p.data)).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(p.data))])
+    rank = words.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    run = np.repeat(np.arange(len(p)), p.words_in())
+    end = p.word_at[1:][run]
+    order, levels = suffix_order(rank, end)
+    leaf = np.flatnonzero(np.arange(n) + window <= end)
+    leaf = leaf[np.argsort(order[leaf], kind="stable")]
+    shared = common_prefix(leaf[:-1], leaf[1:], end, levels)
+    depth = np.zeros(n + 1, np.int64)
+    depth[leaf[1:]] = shared
+    depth[leaf[:-1]] = np.maximum(depth[leaf[:-1]], shared)
+    whole = leaf[copies[run[leaf]] > 1]
+    depth[whole] = end[whole] - whole
+    deep = np.flatnonzero(depth[:n] >= window)
+    # The tail of a repeat that starts a word earlier in the run is not maximal.
+    tail = (deep > p.word_at[run[deep]]) & (depth[deep - 1] > depth[deep])
+    deep = deep[~tail]
+    return run[deep], deep - p.word_at[run[deep]], depth[deep]
+
+
+def _subtrees(window: int):
+    """Repeats of runs in order of their anchors, some subtrees at a time: key, starts, lengths."""
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        text, key = rows["words"].combine_chunks(), rows["key"].combine_chunks()
+        run, start, length = deepest(text, rows["copies"].to_numpy(), window)
+        cut = np.flatnonzero(np.diff(run, prepend=-1))
+        bounds = pa.array(np.append(cut, len(run)), pa.int32())
+        of = lambda x: pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32()))
+        return pa.RecordBatch.from_arrays([key.take(pa.array(run[cut])), of(start), of(length)], ["key", "starts", "lengths"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += int(pc.sum(pc.binary_length(column(batch, "words"))).as_py() or 0)
+            if size < 6 * WORDS:
+                continue
+            rows = pa.Table.from_batches(held)
+            anchor = rows["anchor"].to_numpy()
+            last = int(np.searchsorted(anchor, anchor[-1]))  # the last subtree may go on
+            if last:
+                yield found(rows.slice(0, last))
+                held = rows.slice(last).to_batches()
+                size = sum(int(pc.sum(pc.binary_length(column(b, "words"))).as_py() or 0) for b in held)
+        if held and sum(b.num_rows for b in held):
+            yield found(pa.Table.from_batches(held))
+
+    return run
 
 
 def _cut(window: int):
-    """Kept words of texts whose repeated windows start at ``places``."""
+    """Kept words of texts whose repeats are ``spans`` (first window of a run, starts in it, lengths)."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known = column(batch, "h1").to_numpy()
-        places = column(batch, "places")
-        h1, removed, sha, text = [], [], [], []
+        spans = column(batch, "spans")
+        of, removed, sha, text = [], [], [], []
         for p in pieces(column(batch, "text_")):
             h = p.hashes()
             for i in range(len(p)):
                 a, b = int(p.word_at[i]), int(p.word_at[i + 1])
-                if sequence_hash(h[a:b])[0] != known[p.first + i]:
+                if not _is(batch, p.first + i, h[a:b]):
                     continue
                 step = np.zeros(b - a + 1, np.int64)
-                at = np.unique(np.asarray(places[p.first + i].values)).astype(np.int64)
+                mine = spans[p.first + i].values
+                start, length = mine.field("starts"), mine.field("lengths")
+                at = np.repeat(mine.field("place").to_numpy(), np.diff(start.offsets.to_numpy())) + start.flatten().to_numpy()
                 np.add.at(step, at, 1)
-                np.add.at(step, at + window, -1)
+                np.add.at(step, at + length.flatten().to_numpy(), -1)
                 gone = np.cumsum(step)[:-1] > 0
                 left = b" ".join(w for w, x in zip(p.text(i).split(), gone.tolist()) if not x)
-                h1.append(known[p.first + i]), removed.append(int(gone.sum()))
+                of.append(p.first + i), removed.append(int(gone.sum()))
                 sha.append(hashlib.sha256(left).hexdigest()), text.append(left.decode())
+        of = pa.array(of, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(h1, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())], ["h1", "n_removed", "sha", "kept"]
+            [*(column(batch, c).take(of) for c in ("h1", "h2")), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())],
+            ["h1", "h2", "n_removed", "sha", "kept"],
         )
 
     return kernel
@@ -217,7 +264,7 @@ def _map(kernel):
 
 
 def _with_text(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """``asked`` with the texts of its ids; other texts stay out of the shuffle. Kernels check ``h1``, as an id may repeat."""
+    """``asked`` with the texts of its ids; other texts stay out of the shuffle. Kernels check the words, as an id may repeat."""
     bits, sent = idfilter.bitmap(asked, "id_")
     some = docs.select("id_", "text_", idfilter.slot(bits, F.col("id_"))).mapInArrow(
         idfilter.passing(sent, lambda b: b), f"id_ long, text_ string, {idfilter.SLOT} long"
@@ -232,44 +279,39 @@ def remove_repeats(
     """``id_col``, ``n_words``, ``n_removed``, ``kept_sha256`` and, if asked, ``kept_text`` (null where no word goes)."""
     spark = df.sparkSession
     stage = Stage(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"))
-    survey = docs.mapInArrow(
-        _survey(window, gram), "id_ long, n long, h1 long, h2 long, sha string, anchors array<long>, slot_no array<long>, slot_n array<long>"
-    )
+    docs = df.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).cast("string").alias("text_"))
+    survey = docs.mapInArrow(_survey(window, gram), "id_ long, n long, h1 long, h2 long, sha string, anchors array<long>")
     survey = stage.table(survey, "survey")
-
-    # Variable-length prefixes: SLOTS counts of each length, whatever the size of the corpus.
-    slots = survey.where(F.size("slot_no") > 0).select(F.explode(F.arrays_zip("slot_no", "slot_n")).alias("z"))
-    counts = np.zeros(len(LENGTHS) * SLOTS, np.int64)
-    for k, c in slots.groupBy("z.slot_no").agg(F.sum("z.slot_n")).collect():
-        counts[k] = c
-    counts = counts.reshape(len(LENGTHS), SLOTS)
-    most = max(1, HEAVY * int(counts[0].sum()) // GROUPS)
-    light = [c <= most for c in counts]
-
     classes = stage.table(
         survey.groupBy("h1", "h2").agg(F.min("id_").alias("id_"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("anchors").alias("anchors")), "classes"
     )
-    each = classes.where(f"n >= {window}").select("h1", F.posexplode("anchors").alias("k", "anchor"))
+    each = classes.where(f"n >= {window}").select("h1", "h2", F.explode("anchors").alias("anchor"))
     twice = stage.table(each.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "twice")
-    flagged = stage.table(each.join(twice, "anchor").groupBy("h1").agg(F.collect_set("anchor").alias("anchors")), "flagged")
-    asked = stage.table(classes.select("h1", "id_", "copies").join(flagged, "h1"), "asked")
-    leaves = _with_text(docs, asked).mapInArrow(_map(_suffixes(window, gram, light)), "h1 long, place int, grp long, leaf long, heavy boolean, alone boolean")
-    leaves = stage.table(leaves, "leaves")
-    trees = leaves.where("not heavy").drop("heavy").repartition("grp").sortWithinPartitions("grp", "leaf")
-    light_hits = trees.mapInArrow(_subtrees, "h1 long, place int, alone boolean")
-    heavy = leaves.where("heavy").select("h1", "place", "alone", "leaf")
-    deep = stage.table(heavy.groupBy("leaf").agg(F.count("*").alias("c")).where("c > 1").select("leaf"), "deep")
-    heavy_hits = heavy.join(deep, "leaf").select(*_HIT)
-    places = light_hits.union(heavy_hits).where("alone").groupBy("h1").agg(F.collect_list("place").alias("places"))
-    places = stage.table(places.join(asked.select("h1", "id_"), "h1"), "places")
-    stage.free("leaves", "deep", "twice")
-    cut = _with_text(docs, places).mapInArrow(_map(_cut(window)), "h1 long, n_removed long, sha string, kept string")
-    cut = stage.table(cut if with_text else cut.drop("kept"), "cut")
-    whole = classes.where(f"copies > 1 and n >= {window}").select("h1", F.col("n").alias("n_removed"), F.lit(EMPTY_SHA).alias("sha"), *([F.lit("").alias("kept")] if with_text else []))
+    flagged = stage.table(each.join(twice, "anchor").groupBy("h1", "h2").agg(F.collect_set("anchor").alias("anchors")), "flagged")
+    asked = stage.table(classes.select("h1", "h2", "id_", "copies").join(flagged, ["h1", "h2"]), "asked")
+    runs = _with_text(docs, asked).mapInArrow(_map(_runs(window, gram)), "h1 long, h2 long, place int, anchor long, words string, alone boolean")
+    runs = stage.table(runs.withColumn("key", F.unhex(F.md5("words"))), "runs")
+    stage.free("twice", "flagged")
+    # Equal runs are combined before they are shuffled, so a passage that a third of all texts share is one row.
+    distinct = stage.table(runs.groupBy("anchor", "key", "words").agg(F.count("*").alias("copies")), "distinct")
+    large = stage.table(distinct.groupBy("anchor").agg(F.count("*").alias("c")).where(f"c > {MOST_RUNS}").select("anchor"), "large")
+    some = not large.isEmpty()
+    trees = (distinct.join(large, "anchor", "left_anti") if some else distinct).repartition("anchor").sortWithinPartitions("anchor", "key")
+    repeats = trees.select("anchor", "key", "words", "copies").mapInArrow(_subtrees(window), "key binary, starts array<int>, lengths array<int>")
+    if some:
+        repeats = repeats.union(_whole_windows(distinct.join(large, "anchor", "left_semi"), window, stage))
+    repeats = stage.table(repeats, "repeats")
+    spans = runs.where("alone").select("h1", "h2", "place", "key").join(repeats, "key")
+    spans = spans.groupBy("h1", "h2").agg(F.collect_list(F.struct("place", "starts", "lengths")).alias("spans"))
+    spans = stage.table(spans.join(asked.select("h1", "h2", "id_"), ["h1", "h2"]), "spans")
+    stage.free("runs", "distinct", "large", "repeats")
+    cut = _with_text(docs, spans).mapInArrow(_map(_cut(window)), "h1 long, h2 long, n_removed long, sha string, kept string")
+    cut = cut if with_text else cut.drop("kept")
+    whole = classes.where(f"copies > 1 and n >= {window}")
+    whole = whole.select("h1", "h2", F.col("n").alias("n_removed"), F.lit(EMPTY_SHA).alias("sha"), *([F.lit("").alias("kept")] if with_text else []))
     changed = stage.table(cut.union(whole), "changed")
     stage.close(keep=("survey", "changed"))
-    out = survey.select("id_", "n", "h1", "sha").join(changed.withColumnRenamed("sha", "cut_sha"), "h1", "left")
+    out = survey.select("id_", "n", "h1", "h2", "sha").join(changed.withColumnRenamed("sha", "cut_sha"), ["h1", "h2"], "left")
     return out.select(
         F.col("id_").alias(id_col),
         F.col("n").alias("n_words"),
@@ -277,3 +319,13 @@ def remove_repeats(
         F.coalesce("cut_sha", "sha").alias("kept_sha256"),
         *([F.col("kept").alias("kept_text")] if with_text else []),
     )
+
+
+def _whole_windows(runs: DataFrame, window: int, stage: Stage) -> DataFrame:
+    """Repeats of runs whose subtree is too large for a task: their windows are counted, combined before the shuffle."""
+    words = F.split(F.rtrim("words"), " ")
+    starts = F.sequence(F.lit(0), F.size("all") - window)
+    each = runs.select("key", "copies", words.alias("all")).select("key", "copies", F.explode(F.transform(starts, lambda i: F.struct(i.alias("start"), F.array_join(F.slice("all", i + 1, window), " ").alias("w")))).alias("x"))
+    each = stage.table(each.select("key", "copies", "x.start", F.unhex(F.md5("x.w")).alias("leaf"), "x.w"), "windows")
+    deep = each.groupBy("leaf", "w").agg(F.sum("copies").alias("c")).where("c > 1").select("leaf", "w")
+    return each.join(deep, ["leaf", "w"]).groupBy("key").agg(F.sort_array(F.collect_list("start")).alias("starts")).select("key", "starts", F.transform("starts", lambda _: F.lit(window)).alias("lengths"))

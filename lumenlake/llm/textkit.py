@@ -18,7 +18,6 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = _BYTE.copy()
 _FOLD[65:91] = _BYTE[97:123]
-_STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, dtype=bool)
@@ -90,9 +89,10 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     m = len(h) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
-    out = h[:m] * _STEP[0]
+    step = mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+    out = h[:m] * step[0]
     for k in range(1, n):
-        out += h[k : k + m] * _STEP[k]
+        out += h[k : k + m] * step[k]
     return mix64(out)
 
 

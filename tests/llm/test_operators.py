@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlake.llm import decontam, licenses, mixing, neardup, pii, quality, queries, rangecoder, secret_scan, substrings, tokenout, toxicity
-from lumenlake.llm.textkit import buffers
+from lumenlake.llm.textkit import buffers, of_texts
 
 LONG = "word " * 20000
 ROWS = [
@@ -153,16 +153,89 @@ def test_quality_on_held_out_rows(spark):
     assert sum(not r["kept"] for r in good) <= 0.01 * len(good) and sum(not r["kept"] for r in bad) >= 0.95 * len(bad)
 
 
-def test_forest_paths():
-    x = np.concatenate([np.random.default_rng(0).normal(0, 1, 500), [50.0]])[:, None]
-    forest = quality.grow(x, 50, 256, 1)
-    s = forest.score(x, 0)
-    assert s.argmax() == 500 and s[500] > 0.7 > s[:500].mean()
+def test_quality_verdicts_against_a_plain_walk(docs, texts, spark, sf_dir):
+    """Each tree walked row by row, and the thresholds applied one by one."""
+    forest = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert quality.MAIN in forest.cuts
+
+    def path(tree, row):
+        stat, value, child, depth = tree
+        at = 0
+        while child[at]:
+            at = child[at] + (row[stat[at]] >= value[at])
+        return depth[at]
+
+    def plain(row, k):
+        return 2 ** (-sum(path(t, row) for t in forest.trees[k]) / len(forest.trees[k]) / forest.norm)
 
+    got = {r["doc_id"]: r for r in quality.assess(docs, forest).collect()}
+    for i, t in texts[:150]:
+        (row,) = quality.statistics(of_texts([t]))[1]
+        kept = not brute.quality(t)[-1] and all(plain(row, k) < cut for k, cut in forest.cuts.items())
+        assert got[i]["kept"] == kept and got[i]["score"] == pytest.approx(plain(row, quality.MAIN))
 
-@pytest.mark.parametrize("heavy", [8, 0])
-def test_repeated_passages(docs, texts, spark, heavy, monkeypatch):
-    monkeypatch.setattr(substrings, "HEAVY", heavy)
+
+def test_forest_paths():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(0, 1, 500), [50.0]])[:, None]
+    forest = quality.grow(x, 50, 256, 1)
+    for k in (0, quality.MAIN):
+        s = forest.score(x, k)
+        assert s.argmax() == 500 and s[500] > 0.7 > s[:500].mean()
+    # Odd in a combination only: both statistics are common by themselves.
+    a = rng.normal(0, 1, 2000)
+    pair = np.concatenate([np.stack([a, a + rng.normal(0, 0.05, 2000)], 1), [[1.8, -1.8]]])
+    forest = quality.grow(pair, 200, 256, 1)
+    assert {len(set(t[0][t[2] > 0])) for t in forest.trees[quality.MAIN]} == {2}
+    rank = lambda k: int((forest.score(pair, k) > forest.score(pair[-1:], k)).sum())
+    assert 2 * rank(quality.MAIN) < min(rank(0), rank(1))
+
+
+def test_separation_of_statistics():
+    good = np.array([True] * 50 + [False] * 50)
+    x = np.stack([np.arange(100.0), np.tile([0.0, 1.0], 50), np.zeros(100)], 1)
+    assert quality.separation(x, good).tolist() == pytest.approx([1, 1e-3, 1e-3])
+    assert quality.separation(x, good[:0]).tolist() == [1, 1, 1]
+
+
+def covered(rows, window):
+    """Of texts, as lists of words, the windows whose words start anywhere else."""
+    starts = Counter(tuple(w[i : i + window]) for w in rows for i in range(len(w) - window + 1))
+    return {(k, i) for k, w in enumerate(rows) for i in range(len(w) - window + 1) if starts[tuple(w[i : i + window])] > 1}
+
+
+@pytest.mark.parametrize("window", [1, 3, 8, 70])
+def test_subtrees_compare_words(window):
+    """All runs in one group, as if all hashes of anchors were equal; some runs stand for several."""
+    rnd = random.Random(window)
+    for n_words in (2, 5, 300):
+        base = [str(rnd.randrange(n_words)) for _ in range(400)]
+        rows = [base[a : a + rnd.randrange(window, window + 90)] for a in (rnd.randrange(200) for _ in range(25))]
+        rows = [list(x) for x in {tuple(r) for r in rows if len(r) >= window}]
+        copies = np.array([1 + (rnd.random() < 0.1) for _ in rows])
+        run, start, length = substrings.deepest(pa.array([" ".join(r) + " " for r in rows]), copies, window)
+        every = rows + [r for r, c in zip(rows, copies) if c > 1]
+        assert {(k, i) for k, a, n in zip(run.tolist(), start.tolist(), length.tolist()) for i in range(a, a + n - window + 1)} == {x for x in covered(every, window) if x[0] < len(rows)}
+        spans = sorted(zip(run.tolist(), start.tolist(), (start + length).tolist()))
+        assert all(x[0] != y[0] or x[2] < y[2] for x, y in zip(spans, spans[1:]))  # none is the tail of another
+
+
+def test_common_prefixes():
+    rnd = random.Random(5)
+    rows = [[rnd.randrange(1, 3) for _ in range(rnd.randrange(1, 40))] for _ in range(30)]
+    end = np.repeat(np.cumsum([len(r) for r in rows]), [len(r) for r in rows])
+    flat = np.array([x for r in rows for x in r])
+    order, levels = substrings.suffix_order(flat, end)
+    suffix = [tuple(flat[i : end[i]]) for i in range(len(flat))]
+    assert [suffix[i] for i in np.argsort(order, kind="stable")] == sorted(suffix)
+    a, b = np.array([[rnd.randrange(len(flat)) for _ in range(500)] for _ in "ab"])
+    plain = [next((k for k, (x, y) in enumerate(zip(suffix[i], suffix[j])) if x != y), min(len(suffix[i]), len(suffix[j]))) for i, j in zip(a, b)]
+    assert substrings.common_prefix(a, b, end, levels).tolist() == plain
+
+
+@pytest.mark.parametrize("most", [1024, 0])
+def test_repeated_passages(docs, texts, spark, most, monkeypatch):
+    monkeypatch.setattr(substrings, "MOST_RUNS", most)
     names = ("doc_id", "n_words", "n_removed", "kept_sha256")
     assert each(substrings.remove_repeats(docs, window=35).collect(), *names) == brute.removed(texts, 35)
     rnd = random.Random(3)
@@ -174,6 +247,7 @@ def test_repeated_passages(docs, texts, spark, heavy, monkeypatch):
     got = substrings.remove_repeats(df, window=35).collect()
     assert each(got, *names) == brute.removed(rows, 35)
     assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in got if r["kept_text"] is not None)
+    assert each(substrings.remove_repeats(df, window=70, with_text=False).collect(), *names) == brute.removed(rows, 70)
     assert substrings.remove_repeats(df.where("false")).count() == 0
 
 
