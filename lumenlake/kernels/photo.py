@@ -133,75 +133,100 @@ def _presence(segments: list[Segment], limits: Limits) -> dict:
     return out
 
 
-def parse(data: bytes, limits: Limits = DEFAULT) -> dict:
-    """All facts of a JPEG; what fails is null and says why in ``errors``."""
+#: Columns that take each part of the work.
+EXIF_COLUMNS = frozenset({"tags", "has", "location", "capture"})
+WALK_COLUMNS = frozenset({"jpeg_process", "scan_sha256", "scan_bytes", "trailing_bytes", "quantization", "huffman", "presence", "exif_segments", "structural"})
+
+
+def parse(data: bytes, limits: Limits = DEFAULT, wanted: frozenset[str] | None = None) -> dict:
+    """All facts of a JPEG, or those ``wanted``; what fails is null and says why in ``errors``."""
     out: dict = {
         "width": None, "height": None, "segments": [], "tags": [], "xmp": [], "iptc": [], "icc": None, "location": None, "capture": None,
         "presence": None, "jpeg_process": None, "scan_sha256": None, "scan_bytes": None, "trailing_bytes": None, "quantization": None, "huffman": None,
         "has": [], "exif_segments": 0, "structural": [], "has_extended_xmp": False, "errors": [],
     }
+    asked = lambda *names: wanted is None or not wanted.isdisjoint(names)
     fail = lambda part, e: out["errors"].append({"part": part, "message": str(e)})
     try:
         head = header_walk(data, limits)
     except (ParseError, struct.error) as e:
         fail("header", e)
         head = []
-    out["segments"] = [s.row() for s in head]
+    if asked("segments"):
+        out["segments"] = [s.row() for s in head]
+    out["has_extended_xmp"] = any(s.is_extended_xmp for s in head)
     if head:
         try:
             out["width"], out["height"] = dimensions(head)
         except ParseError as e:
             fail("dimensions", e)
+    if asked(*EXIF_COLUMNS):
+        _exif_facts(out, head, limits, fail, asked)
+    if asked("xmp"):
+        for k, packet in enumerate(s.payload[len(XMP_ID) :] for s in head if s.is_xmp):
+            try:
+                out["xmp"] += [{"packet": k} | p for p in xmp.properties(packet, limits)]
+            except ParseError as e:
+                fail("xmp", e)
+    if asked("iptc", "has"):
+        for s in head:
+            if s.is_photoshop:
+                try:
+                    rows = iptc.rows(s.payload, limits)
+                except (ParseError, struct.error) as e:
+                    fail("iptc", e)
+                    break
+                if rows is not None:
+                    out["iptc"] = rows
+                    out["has"] += dict.fromkeys(f"IPTC/{r['name']}" for r in rows if has_value(r["text"]))
+                    break
+    if asked("icc"):
+        try:
+            profile = icc.reassemble([s.payload for s in head if s.is_icc], limits)
+            out["icc"] = icc.parse(profile, limits) if profile is not None else None
+        except (ParseError, struct.error) as e:
+            fail("icc", e)
+    if asked(*WALK_COLUMNS):
+        _walk_facts(out, data, limits, fail, asked)
+    return out
+
+
+def _exif_facts(out: dict, head: list[Segment], limits: Limits, fail, asked) -> None:
+    """Tags of the first EXIF segment, and what they say of place and capture."""
     first = next((s for s in head if s.is_exif), None)
     named: dict[str, dict] = {}
     if first is not None:
         try:
             groups = _exif_rows(first.payload[len(EXIF_ID) :], limits)
-            out["tags"] = [r | {"value": tagged(r["value"])} for rows in groups.values() for r in rows]
+            if asked("tags"):
+                out["tags"] = [r | {"value": tagged(r["value"])} for rows in groups.values() for r in rows]
             named = {g: _last(rows) for g, rows in groups.items()}
             out["has"] = [f"{g}/{n}" for g, values in named.items() for n, v in values.items() if has_value(v)]
         except (ParseError, struct.error) as e:
             fail("exif", e)
-    out["location"] = gps.location(named.get("GPS", {}))
-    out["capture"] = capture.summary(named.get("ExifIFD", {}))
-    packets = [s.payload[len(XMP_ID) :] for s in head if s.is_xmp]
-    out["has_extended_xmp"] = any(s.is_extended_xmp for s in head)
-    for k, packet in enumerate(packets):
-        try:
-            out["xmp"] += [{"packet": k} | p for p in xmp.properties(packet, limits)]
-        except ParseError as e:
-            fail("xmp", e)
-    for s in head:
-        if s.is_photoshop:
-            try:
-                rows = iptc.rows(s.payload, limits)
-            except (ParseError, struct.error) as e:
-                fail("iptc", e)
-                break
-            if rows is not None:
-                out["iptc"] = rows
-                out["has"] += dict.fromkeys(f"IPTC/{r['name']}" for r in rows if has_value(r["text"]))
-                break
-    try:
-        profile = icc.reassemble([s.payload for s in head if s.is_icc], limits)
-        out["icc"] = icc.parse(profile, limits) if profile is not None else None
-    except (ParseError, struct.error) as e:
-        fail("icc", e)
+    if asked("location"):
+        out["location"] = gps.location(named.get("GPS", {}))
+    if asked("capture"):
+        out["capture"] = capture.summary(named.get("ExifIFD", {}))
+
+
+def _walk_facts(out: dict, data: bytes, limits: Limits, fail, asked) -> None:
+    """What takes a walk to the end of the file."""
     try:
         walk = full_walk(data, limits=limits)
     except (ParseError, struct.error) as e:
         fail("structure", e)
-        return out
+        return
     out["scan_sha256"], out["scan_bytes"], out["trailing_bytes"] = walk.scan_sha256, walk.scan_bytes, len(walk.trailing)
     out["quantization"], out["huffman"] = fingerprint(walk.segments, 0xDB), fingerprint(walk.segments, 0xC4)
     frame = next((s for s in walk.segments if s.marker in SOF), None)
     out["jpeg_process"] = "UNKNOWN" if frame is None else PROCESSES.get(frame.marker, f"SOF 0x{frame.marker:02X}")
-    out["presence"] = _presence(walk.segments, limits)
+    if asked("presence"):
+        out["presence"] = _presence(walk.segments, limits)
     blocks = [s.payload[len(EXIF_ID) :] for s in walk.segments if s.is_exif]
     out["exif_segments"] = len(blocks)
-    for b in blocks:
+    for b in blocks if asked("structural") else ():
         try:
             out["structural"] += structure(b, limits)
         except (ParseError, struct.error) as e:
             out["structural"].append(_finding("exif_structure_corrupt", "EXIF is declared but its TIFF structure could not be parsed", str(e)))
-    return out

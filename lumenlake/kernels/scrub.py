@@ -13,11 +13,12 @@ from lumenlake.kernels.tiff import EXIF_POINTER, GPS_POINTER, TYPES, Block, Dire
 IFD0_TAGS = frozenset({0x0110, 0x0131, 0x013B, 0x8298})
 EXIF_TAGS = frozenset({0x9003, 0xA420, 0xA430, 0xA431, 0xA435})
 IPTC_SETS = frozenset({(2, 55), (2, 60), (2, 80), (2, 85), (2, 90), (2, 92), (2, 95), (2, 100), (2, 101), (2, 103), (2, 116), (2, 122)})
-XMP_NAMES = frozenset(
-    "artist creator ownername creatortool software rights copyright copyrightnotice documentid instanceid originaldocumentid identifier imageuniqueid "
-    "serialnumber cameraserialnumber lensserialnumber model datetimeoriginal datecreated createdate location sublocation city state provincestate "
-    "country countryname countrycode locationcreated locationshown hasextendedxmp".split()
-)
+XMP_NAMES = frozenset({
+    "artist", "creator", "ownername", "creatortool", "software", "rights", "copyright", "copyrightnotice", "documentid", "instanceid",
+    "originaldocumentid", "identifier", "imageuniqueid", "serialnumber", "cameraserialnumber", "lensserialnumber", "model", "datetimeoriginal",
+    "datecreated", "createdate", "location", "sublocation", "city", "state", "provincestate", "country", "countryname", "countrycode",
+    "locationcreated", "locationshown", "hasextendedxmp",
+})
 TOMBSTONE = 0xFFFF
 
 

@@ -74,28 +74,58 @@ def properties(packet: bytes, limits: Limits = DEFAULT) -> list[dict]:
 
 def sanitize(packet: bytes, private: frozenset[str], limits: Limits = DEFAULT) -> bytes | None:
     """The packet without properties whose local name starts with gps, is hasextendedxmp or is in ``private``; None if none goes."""
-    root = tree(packet, limits)
-    removed = 0
+    root, removed = tree(packet, limits), 0
 
     def drop(name: str) -> bool:
         local = split(name)[1].rsplit(":", 1)[-1].casefold()
         return local.startswith("gps") or local == "hasextendedxmp" or local in private
 
-    def clean(e: ET.Element) -> None:
-        nonlocal removed
+    todo = [root]
+    while todo:
+        e = todo.pop()
         for name in [n for n in e.attrib if drop(n)]:
             del e.attrib[name]
             removed += 1
-        for child in list(e):
-            if isinstance(child.tag, str) and drop(child.tag):
-                e.remove(child)
-                removed += 1
-            else:
-                clean(child)
-
-    clean(root)
-    if not removed:
-        return None
-    for space, prefix in XMP_PREFIXES.items():
-        ET.register_namespace(prefix, space)
-    return ET.tostring(root, encoding="utf-8")
+        gone = [child for child in e if isinstance(child.tag, str) and drop(child.tag)]
+        for child in gone:
+            e.remove(child)
+        removed += len(gone)
+        todo += list(e)
+    return serialise(root) if removed else None
+
+
+def _quoted(text: str, attribute: bool = False) -> str:
+    text = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    return text.replace('"', "&quot;").replace("\r", "&#13;").replace("\n", "&#10;").replace("\t", "&#09;") if attribute else text
+
+
+def serialise(root: ET.Element) -> bytes:
+    """A document as UTF-8, its namespaces declared at the root; without recursion, as hostile packets nest deep."""
+    prefixes = {"http://www.w3.org/XML/1998/namespace": "xml"}
+
+    def name(qualified: str) -> str:
+        if qualified[:1] != "{":
+            return qualified
+        space, local = qualified[1:].split("}", 1)
+        if space not in prefixes:
+            prefixes[space] = XMP_PREFIXES.get(space) or f"ns{len(prefixes)}"
+        return f"{prefixes[space]}:{local}"
+
+    out: list[str] = []
+    todo: list[ET.Element | str] = [root]
+    while todo:
+        e = todo.pop()
+        if isinstance(e, str):
+            out.append(e)
+            continue
+        tag = name(e.tag)
+        attributes = "".join(f' {name(k)}="{_quoted(v, True)}"' for k, v in e.attrib.items())
+        out.append(f"<{tag}{attributes}")
+        if e is root:
+            at = len(out)
+        inside = bool(len(e)) or bool(e.text)
+        out.append(">" + _quoted(e.text or "") if inside else " />")
+        todo.append((f"</{tag}>" if inside else "") + (_quoted(e.tail or "") if e is not root else ""))
+        todo += reversed(list(e))
+    spaces = "".join(f' xmlns:{p}="{_quoted(s, True)}"' for s, p in prefixes.items() if p != "xml")
+    return ("<?xml version='1.0' encoding='utf-8'?>\n" + "".join([*out[:at], spaces, *out[at:]])).encode()

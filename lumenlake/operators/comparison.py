@@ -12,6 +12,9 @@ SNAPSHOT = (
     "size_bytes", "sha256", "width", "height", "jpeg_process", "exif", "gps", "xmp", "iptc", "icc", "camera_model", "quantization", "huffman", "scan_sha256", "trailing_bytes", "error",
 )
 
+#: Columns of the bronze table that a snapshot takes. The codes and messages of changes, evidence and verdicts below.
+NEEDS = ("width", "height", "jpeg_process", "quantization", "huffman", "scan_sha256", "trailing_bytes", "presence", "errors")
+
 
 def snapshots(photos: DataFrame, keys: list[str]) -> DataFrame:
     """One row of comparable facts per file; ``photos`` carries size_bytes and sha256. Fields are null where the file could not be read."""

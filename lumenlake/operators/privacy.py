@@ -13,13 +13,15 @@ POINTS = {
     "device_model": (10, "Device model"), "owner_information": (10, "Owner information"), "software": (5, "Software"), "copyright_author": (5, "Copyright / author"),
 }
 MAXIMUM, HIGH, MEDIUM = 100, 50, 25
-#: Names that each finding looks for.
+#: Names that each finding looks for; the findings' messages below are fixed too.
 SERIAL_XMP = ("SerialNumber", "CameraSerialNumber", "LensSerialNumber")
 UNIQUE_XMP = ("DocumentID", "InstanceID", "OriginalDocumentID", "Identifier", "ImageUniqueID")
 PLACE_IPTC = ("Sublocation", "City", "ProvinceState", "CountryCode", "CountryName")
 PLACE_XMP = (
     "Location", "Sublocation", "City", "State", "ProvinceState", "Country", "CountryName", "CountryCode", "LocationCreated", "LocationShown", "GPSLatitude", "GPSLongitude",
 )
+#: Columns of the bronze table that the rules read.
+NEEDS = ("has", "xmp", "errors")
 FINDINGS = "array<struct<code:string,severity:string,message:string,sources:array<string>,fields:array<string>>>"
 
 

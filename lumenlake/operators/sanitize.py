@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions.text import clean_name
 from lumenlake.kernels.limits import DEFAULT, Limits
 from lumenlake.operators import privacy
-from lumenlake.sources.files import photos, scrubbed
+from lumenlake.sources.files import scrubbed
 
 MODES = ("all", "gps", "privacy")
 
@@ -20,30 +20,43 @@ def scrub(files: DataFrame, mode: str, keys: list[str], content: str = "content"
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
-    out = scrubbed(files, keys, mode, content, limits)
-    return out.select(
+    return _judged(scrubbed(files, keys, mode, content, limits), keys)
+
+
+def _judged(done: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    same = F.col("scan_before") == F.col("scan_after")
+    return done.select(
         *keys, "clean", "changes", "error",
         F.size(F.filter("changes", lambda c: c["removed"])).alias("removed_segments"),
         F.size(F.filter("changes", lambda c: ~c["removed"])).alias("modified_segments"),
         F.aggregate("changes", F.lit(0).cast("bigint"), lambda a, c: a + c["old_bytes"] - c["new_bytes"]).alias("removed_bytes"),
-        (F.col("scan_before") == F.col("scan_after")).alias("same_scans"), "idempotent",
-        (F.col("error").isNull() & F.col("idempotent") & (F.col("scan_before") == F.col("scan_after"))).alias("verified"),
+        same.alias("same_scans"), "idempotent", (F.col("error").isNull() & F.col("idempotent") & same).alias("verified"), *more,
     )
 
 
-def metrics(blobs: DataFrame, keys: list[str], content: str, prefix: str) -> DataFrame:
-    """Findings and GPS presence of a blob column, for before and after."""
-    judged = privacy.assess(photos(blobs, keys, content))
-    return judged.select(*keys, F.size("findings").alias(f"{prefix}_findings"), F.col("presence.gps").alias(f"{prefix}_gps"), F.struct("width", "height").alias(f"{prefix}_size"))
+def metrics(rows: DataFrame, side: str) -> DataFrame:
+    """``rows`` with findings, GPS presence and size of the facts in struct ``side``, in its place."""
+    names = [c for c in rows.columns if c != side]
+    judged = privacy.assess(rows.select(*names, *[F.col(f"{side}.{c}").alias(c) for c in privacy.NEEDS], side))
+    size = F.struct(F.col(f"{side}.width").alias("width"), F.col(f"{side}.height").alias("height"))
+    return judged.select(
+        *names, F.when(F.col(side).isNotNull(), F.size("findings")).alias(f"{side}_findings"), F.col(f"{side}.presence.gps").alias(f"{side}_gps"),
+        F.when(F.col(side).isNotNull(), size).alias(f"{side}_size"),
+    )
+
 
+#: Facts of a blob that a report compares.
+FACTS = (*privacy.NEEDS, "width", "height", "presence")
 
-def report(files: DataFrame, mode: str, keys: list[str]) -> DataFrame:
-    """``scrub`` with findings, GPS presence and dimensions before and after."""
-    done = scrub(files, mode, keys)
-    before, after = metrics(files, keys, "content", "before"), metrics(done.where("clean is not null"), keys, "clean", "after")
-    joined = done.drop("clean").join(before, keys).join(after, keys, "left")
+
+def report(files: DataFrame, mode: str, keys: list[str], limits: Limits = DEFAULT) -> DataFrame:
+    """``scrub`` with findings, GPS presence and dimensions before and after, all from one read of each file."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    done = _judged(scrubbed(files, keys, mode, limits=limits, facts=FACTS), keys, "before", "after").drop("clean")
+    both = metrics(metrics(done, "before"), "after")
     good = F.col("verified") & (F.col("before_size") == F.col("after_size")) & (F.coalesce("after_gps", F.lit("NO")) != "YES")
-    return joined.withColumn("verified", F.coalesce(good, F.lit(False)))
+    return both.withColumn("verified", F.coalesce(good, F.lit(False)))
 
 
 def write_files(cleaned: DataFrame, path_col: str = "path", clean_col: str = "clean") -> DataFrame:

@@ -41,10 +41,11 @@ S = P + """, s AS (SELECT *, CASE WHEN bad THEN NULL ELSE
 , l AS (SELECT *, CASE WHEN points >= 50 THEN 'HIGH' WHEN points >= 25 THEN 'MEDIUM' WHEN points IS NOT NULL THEN 'LOW' END AS level FROM s) """
 
 
-def photos(spark: SparkSession, sf_dir: str, make=forged.order_photo, limits: Limits | None = None) -> DataFrame:
+def photos(spark: SparkSession, sf_dir: str, *columns: str, make=forged.order_photo, limits: Limits | None = None) -> DataFrame:
+    """Facts of the orders' photos, all or ``columns``."""
     blobs = forged.photo_files(spark, sf_dir, make)
     rows = blobs.select("o", "path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content")
-    return files.photos(rows, ["o", "path", "size_bytes", "sha256"], limits=limits or Limits())
+    return files.photos(rows, ["o", "path", "size_bytes", "sha256"], limits=limits or Limits(), columns=columns or None)
 
 
 KIND = """CASE p_partkey % 8 WHEN 0 THEN 'JPEG' WHEN 1 THEN 'PNG' WHEN 2 THEN 'WEBP' WHEN 3 THEN 'TIFF' WHEN 4 THEN 'HEIF' ELSE 'UNSUPPORTED' END"""
@@ -86,13 +87,13 @@ def additional_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda f: F.size(F.filter("segments", lambda s: s[f])).cast("long")
-    rows = photos(spark, sf_dir)
+    rows = photos(spark, sf_dir, "segments")
     return rows.select("o", F.size("segments").cast("long").alias("segments"), n("is_exif").alias("exif"), n("is_xmp").alias("xmp"), n("is_icc").alias("icc"), n("is_photoshop").alias("photoshop"))
 
 
 @query(P + "SELECT o, width::INT AS width, height::INT AS height FROM p WHERE NOT bad")
 def jpeg_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return photos(spark, sf_dir).where("width is not null").select("o", "width", "height")
+    return photos(spark, sf_dir, "width", "height").where("width is not null").select("o", "width", "height")
 
 
 @query(
@@ -106,7 +107,7 @@ def jpeg_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
  LATERAL (SELECT split_part(t, ' ', 1) AS ifd, split_part(t, ' ', 2) AS tag_name) AS y GROUP BY 1, 2"""
 )
 def ifd_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.tags(photos(spark, sf_dir), ["o"]).groupBy("ifd", "tag_name").agg(F.count("*").alias("tags"))
+    return views.tags(photos(spark, sf_dir, "tags"), ["o"]).groupBy("ifd", "tag_name").agg(F.count("*").alias("tags"))
 
 
 @query(
@@ -117,7 +118,7 @@ def tag_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenlake.functions.values import integer, tag
 
     exposure, bias = tag("ExifIFD", "ExposureTime")["rationals"][0], tag("ExifIFD", "ExposureBiasValue")["rationals"][0]
-    rows = photos(spark, sf_dir).where("size(tags) > 0")
+    rows = photos(spark, sf_dir, "tags").where("size(tags) > 0")
     return rows.select("o", exposure["num"].alias("exposure_num"), exposure["den"].alias("exposure_den"), bias["num"].alias("bias_num"), bias["den"].alias("bias_den"), integer(tag("ExifIFD", "PhotographicSensitivity")).alias("iso"))
 
 
@@ -127,7 +128,7 @@ def tag_values(spark: SparkSession, sf_dir: str) -> DataFrame:
  'f/' || ((10 + o % 200) // 10) || CASE WHEN o % 10 = 0 THEN '' ELSE '.' || (o % 10) END AS aperture, (1 + c % 100) || ' mm' AS focal_length FROM p WHERE NOT bad"""
 )
 def capture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = photos(spark, sf_dir).where("size(tags) > 0")
+    rows = photos(spark, sf_dir, "tags", "capture").where("size(tags) > 0")
     return rows.select("o", "capture.date", "capture.time", "capture.exposure", "capture.iso", "capture.aperture", "capture.focal_length")
 
 
@@ -140,7 +141,7 @@ def capture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def gps_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     fix = lambda c: (F.col(f"location.{c}") + 0.0).alias(c)
-    rows = photos(spark, sf_dir).where("location.gps_detected")
+    rows = photos(spark, sf_dir, "location").where("location.gps_detected")
     return rows.select("o", fix("latitude"), fix("longitude"), fix("altitude"), "location.altitude_reference", "location.gps_date")
 
 
@@ -166,7 +167,7 @@ def special_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT o, 'dc:creator', 'Creator & ' || c || '|Second' FROM p WHERE creators AND NOT bad"""
 )
 def xmp_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.xmp_props(photos(spark, sf_dir), ["o"])
+    rows = views.xmp_props(photos(spark, sf_dir, "xmp"), ["o"])
     return rows.select("o", "qualified_name", F.coalesce("value_text", F.array_join("value_list", "|")).alias("value"))
 
 
@@ -177,7 +178,7 @@ def xmp_props(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT 'Byline', 'By' || c FROM p WHERE byline AND NOT bad) GROUP BY 1, 2"""
 )
 def iptc_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.iptc_datasets(photos(spark, sf_dir), ["o"]).groupBy("name", "text").agg(F.count("*").alias("datasets"))
+    return views.iptc_datasets(photos(spark, sf_dir, "iptc"), ["o"]).groupBy("name", "text").agg(F.count("*").alias("datasets"))
 
 
 @query(
@@ -185,7 +186,7 @@ def iptc_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM p WHERE icc AND NOT bad"""
 )
 def icc_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.icc_profiles(photos(spark, sf_dir), ["o"])
+    rows = views.icc_profiles(photos(spark, sf_dir, "icc"), ["o"])
     return rows.select("o", "name", "version", "profile_class", "color_space", "pcs", F.array_join(F.transform("tags", lambda t: t["signature"]), ",").alias("tags"))
 
 
@@ -197,7 +198,7 @@ def icc_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM p WHERE NOT bad"""
 )
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = comparison.snapshots(photos(spark, sf_dir), ["o"]).where("error is null")
+    rows = comparison.snapshots(photos(spark, sf_dir, *comparison.NEEDS), ["o"]).where("error is null")
     return rows.select("o", "width", "height", "jpeg_process", "exif", "gps", "xmp", "iptc", "icc", "camera_model", "scan_sha256", "quantization", "trailing_bytes")
 
 
@@ -215,11 +216,11 @@ def dup_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT scan AS scan_sha256, min(o) AS first, count(*) AS files FROM (SELECT o_orderkey AS o, sha256((o_custkey % 97)::VARCHAR) AS scan FROM orders WHERE o_orderkey % 101 <> 0) GROUP BY 1 HAVING count(*) > 1")
 def same_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.same_scans(comparison.snapshots(photos(spark, sf_dir), ["o"]), "o")
+    return comparison.same_scans(comparison.snapshots(photos(spark, sf_dir, *comparison.NEEDS), ["o"]), "o")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shots = [comparison.snapshots(photos(spark, sf_dir, make), ["o"]) for make in (forged.order_original, forged.order_copy)]
+    shots = [comparison.snapshots(photos(spark, sf_dir, *comparison.NEEDS, make=make), ["o"]) for make in (forged.order_original, forged.order_copy)]
     return comparison.compare(*shots, ["o"])
 
 
@@ -246,17 +247,17 @@ def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
  || CASE WHEN software OR xmp THEN ['software'] ELSE [] END || CASE WHEN iptc THEN ['editorial_location'] ELSE [] END) AS code FROM s WHERE NOT bad)"""
 )
 def privacy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.exploded(privacy.assess(photos(spark, sf_dir)), ["o"]).select("o", "code")
+    return privacy.exploded(privacy.assess(photos(spark, sf_dir, *privacy.NEEDS)), ["o"]).select("o", "code")
 
 
 @query(S + "SELECT o, points::INT AS points, level FROM l")
 def privacy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.assess(photos(spark, sf_dir)).select("o", "points", "level")
+    return privacy.assess(photos(spark, sf_dir, *privacy.NEEDS)).select("o", "points", "level")
 
 
 @query(S + "SELECT coalesce(level, 'UNREADABLE') AS level, count(*) AS files FROM l GROUP BY 1")
 def privacy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = privacy.assess(photos(spark, sf_dir)).select(F.coalesce("level", F.lit("UNREADABLE")).alias("level"))
+    rows = privacy.assess(photos(spark, sf_dir, *privacy.NEEDS)).select(F.coalesce("level", F.lit("UNREADABLE")).alias("level"))
     return rows.groupBy("level").agg(F.count("*").alias("files"))
 
 
@@ -268,12 +269,12 @@ A = P + """, a AS (SELECT o, unnest(CASE WHEN bad THEN ['jpeg_structure_error']
 
 @query(A + "SELECT o, code FROM a")
 def anomaly_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomalies.detect(photos(spark, sf_dir)).select("o", F.explode("anomalies.code").alias("code"))
+    return anomalies.detect(photos(spark, sf_dir, *anomalies.NEEDS)).select("o", F.explode("anomalies.code").alias("code"))
 
 
 @query(A + "SELECT code, count(*) AS files FROM a GROUP BY 1")
 def anomaly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomalies.detect(photos(spark, sf_dir)).select(F.explode("anomalies.code").alias("code")).groupBy("code").agg(F.count("*").alias("files"))
+    return anomalies.detect(photos(spark, sf_dir, *anomalies.NEEDS)).select(F.explode("anomalies.code").alias("code")).groupBy("code").agg(F.count("*").alias("files"))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,7 +380,7 @@ def exiftool_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
  THEN 'too many JPEG segments' ELSE 'ok' END AS status, count(*) AS files FROM p GROUP BY 1"""
 )
 def parser_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = photos(spark, sf_dir, limits=Limits(max_jpeg_segments=7))
+    rows = photos(spark, sf_dir, "segments", "errors", limits=Limits(max_jpeg_segments=7))
     first = F.try_element_at(F.filter("errors", lambda e: e["part"] == "header"), F.lit(1))["message"]
     return rows.groupBy(F.coalesce(first, F.lit("ok")).alias("status")).agg(F.count("*").alias("files"))
 

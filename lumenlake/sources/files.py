@@ -7,7 +7,7 @@ a null and a message in the row.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +22,8 @@ from lumenlake.sources.schema import CONTAINER, PHOTO, SCRUB
 
 #: Blobs in a batch handed to Python; with 1 GiB files the batch limit in bytes takes over.
 BLOBS_PER_BATCH = 64
+#: Excluded paths that are broadcast; more are joined by Spark's own choice.
+MOST_BROADCAST = 10_000
 
 
 def scan_directory(spark: SparkSession, path: str, recursive: bool = False, exclude: list[str] | None = None, glob: str | None = None) -> DataFrame:
@@ -32,8 +34,9 @@ def scan_directory(spark: SparkSession, path: str, recursive: bool = False, excl
     files = reader.load(path)
     if exclude:
         out = spark.createDataFrame([(p,) for p in exclude], "x string")
+        out = F.broadcast(out) if len(exclude) <= MOST_BROADCAST else out
         bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
-        files = files.join(F.broadcast(out), bare(F.col("path")) == bare(F.col("x")), "left_anti")
+        files = files.join(out, bare(F.col("path")) == bare(F.col("x")), "left_anti")
     return files
 
 
@@ -74,33 +77,60 @@ def heif_format(content: Column) -> Column:
     return F.when(any_of(AVIF_BRANDS), None).when(any_of(HEIC_BRANDS), "HEIC").when(any_of(GENERIC_BRANDS), "HEIF")
 
 
-def over_blobs(df: DataFrame, keys: list[str], content: str, schema: str, kernel: Callable[[bytes], dict]) -> DataFrame:
-    """``keys`` and the columns of ``schema``, which ``kernel`` makes of each blob. A null blob is empty."""
+def failure(e: Exception) -> dict:
+    """The row of a blob on which a kernel broke down: one hostile file must not end a job."""
+    return {"error": f"{type(e).__name__}: {e}"}
+
+
+def over_blobs(df: DataFrame, keys: list[str], content: str, schema: str, kernel: Callable[[bytes], dict], broken: Callable[[Exception], dict] = failure, skip_null: bool = False) -> DataFrame:
+    """``keys`` and the columns of ``schema``, which ``kernel`` makes of each blob, or ``broken`` where it raises.
+
+    A null blob is empty, or with ``skip_null`` a row of nulls.
+    """
     ship(df.sparkSession)
     out = StructType(df.select(*keys).schema.fields + StructType.fromDDL(schema).fields)
     names = out.fieldNames()[len(keys) :]
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    def row(data: bytes | None) -> dict:
+        try:
+            return {} if data is None and skip_null else kernel(data or b"")
+        except Exception as e:  # noqa: BLE001
+            return broken(e)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOBS_PER_BATCH):
                 part = batch.slice(at, BLOBS_PER_BATCH)
-                rows = [kernel(x.as_py() or b"") for x in part.column(len(keys))]
+                rows = [row(x.as_py()) for x in part.column(len(keys))]
                 made = pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=arrow)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *made.columns], names=out.fieldNames())
 
     return df.select(*keys, content).mapInArrow(run, out)
 
 
-def photos(df: DataFrame, keys: list[str], content: str = "content", limits: Limits = DEFAULT) -> DataFrame:
-    """Facts of each JPEG: the bronze table."""
+def broken_photo(e: Exception) -> dict:
+    return {"errors": [{"part": "header", "message": failure(e)["error"]}], "segments": [], "tags": [], "xmp": [], "iptc": [], "has": [], "structural": [], "exif_segments": 0}
+
+
+def some_of(schema: str, columns: Iterable[str] | None) -> str:
+    """Those of a schema's columns that are wanted, as DDL."""
+    return schema if columns is None else ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(schema) if f.name in set(columns))
+
+
+def photos(df: DataFrame, keys: list[str], content: str = "content", limits: Limits = DEFAULT, columns: Iterable[str] | None = None, skip_null: bool = False) -> DataFrame:
+    """Facts of each JPEG: the bronze table, or ``columns`` of it; only what these take is parsed, and ``errors`` tells of that.
+
+    Each set of rules names what it reads (``privacy.NEEDS`` and so on). A null blob is empty, or with ``skip_null`` a row of nulls.
+    """
+    wanted = None if columns is None else frozenset(columns)
 
     def kernel(data: bytes) -> dict:
         from lumenlake.kernels.photo import parse
 
-        return parse(data, limits)
+        return parse(data, limits, wanted)
 
-    return over_blobs(df, keys, content, PHOTO, kernel)
+    return over_blobs(df, keys, content, some_of(PHOTO, wanted), kernel, broken_photo, skip_null)
 
 
 def containers(df: DataFrame, keys: list[str], content: str = "content", limits: Limits = DEFAULT) -> DataFrame:
@@ -119,8 +149,22 @@ def containers(df: DataFrame, keys: list[str], content: str = "content", limits:
     return over_blobs(df, keys, content, CONTAINER, kernel)
 
 
-def scrubbed(df: DataFrame, keys: list[str], mode: str, content: str = "content", limits: Limits = DEFAULT) -> DataFrame:
-    """The sanitised blob of each JPEG, its change log and whether a second pass finds nothing and the scans are the same."""
+def scrubbed(df: DataFrame, keys: list[str], mode: str, content: str = "content", limits: Limits = DEFAULT, facts: Iterable[str] = ()) -> DataFrame:
+    """The sanitised blob of each JPEG, its change log and whether a second pass finds nothing and the scans are the same.
+
+    With ``facts``, those columns of the bronze table too, as structs ``before`` and ``after``: one read of a file serves all.
+    """
+    wanted = frozenset(facts)
+    known = StructType.fromDDL(some_of(PHOTO, wanted)).simpleString() if wanted else ""
+    schema = SCRUB + (f", before {known}, after {known}" if wanted else "")
+
+    def parsed(data: bytes) -> dict:
+        from lumenlake.kernels.photo import parse
+
+        try:
+            return parse(data, limits, wanted)
+        except Exception as e:  # noqa: BLE001
+            return broken_photo(e)
 
     def kernel(data: bytes) -> dict:
         import struct
@@ -129,17 +173,18 @@ def scrubbed(df: DataFrame, keys: list[str], mode: str, content: str = "content"
         from lumenlake.kernels.limits import ParseError
         from lumenlake.kernels.scrub import scrub
 
+        before = {"before": parsed(data)} if wanted else {}
         try:
             first = scrub(data, mode, limits)
             again = scrub(first.data, mode, limits)
-            return {
+            return before | ({"after": parsed(first.data)} if wanted else {}) | {
                 "clean": first.data, "changes": first.changes, "scan_before": full_walk(data, limits=limits).scan_sha256,
                 "scan_after": again.scan_sha256, "idempotent": not again.changes, "error": None,
             }
         except (ParseError, struct.error) as e:
-            return {"changes": [], "error": str(e)}
+            return before | {"changes": [], "error": str(e)}
 
-    return over_blobs(df, keys, content, SCRUB, kernel)
+    return over_blobs(df, keys, content, schema, kernel, lambda e: failure(e) | {"changes": []})
 
 
 def file_info(files: DataFrame) -> DataFrame:

@@ -186,3 +186,31 @@ def test_bytes_at_random_never_raise():
         for _ in range(rnd.randrange(1, 6)):
             b[rnd.randrange(len(b))] = rnd.randrange(256)
         photo.parse(bytes(b[: rnd.randrange(len(b))] if rnd.random() < 0.3 else b))
+
+
+def deep_packet(n):
+    rdf = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    head = f'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="{rdf}"><rdf:Description xmlns:exif="http://ns.adobe.com/exif/1.0/" exif:GPSLatitude="1">'
+    return (head + "<a>" * n + "x" + "</a>" * n + "</rdf:Description></rdf:RDF></x:xmpmeta>").encode()
+
+
+def test_deep_packets_are_cleaned():
+    out = xmp.sanitize(deep_packet(9000), frozenset())
+    assert b"GPS" not in out and out.count(b"<a>") == 9000 and sum(1 for _ in xmp.tree(out).iter("a")) == 9000
+
+
+def test_serialised_packets_read_back():
+    import xml.etree.ElementTree as ET
+
+    packet = b'<a xmlns:q="urn:q" xml:lang="x">t&amp;&lt;<q:b c="&quot;&#10;&#9;\xc3\xa9" q:d="1"/>u<e>v</e>w]]&gt;</a>'
+    root, again = ET.fromstring(packet), ET.fromstring(xmp.serialise(ET.fromstring(packet)))
+    flat = lambda e: [(x.tag, x.attrib, x.text, x.tail) for x in e.iter()]
+    assert flat(root) == flat(again)
+
+
+def test_parts_agree_with_the_whole():
+    data, whole = sample(), photo.parse(sample())
+    for columns in (("segments",), ("width", "height"), ("tags",), ("has", "xmp", "errors"), ("location", "capture"), ("iptc",), ("icc",), ("presence", "scan_sha256"), ("structural", "exif_segments")):
+        part = photo.parse(data, wanted=frozenset(columns))
+        assert all(part[c] == whole[c] for c in columns)
+    assert photo.parse(data, wanted=frozenset({"width"}))["tags"] == []

@@ -73,6 +73,29 @@ def test_scrub_report_and_files(spark, folder):
     (folder / "84_clean.jpg").unlink()
 
 
+def test_one_hostile_file_does_not_stop_a_job(spark, folder, monkeypatch):
+    from test_kernels import deep_packet
+
+    from lumenlake.kernels import forge
+
+    hostile = forge.jpeg([forge.segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + deep_packet(3000))], 8, 8)
+    blobs = spark.createDataFrame([("deep", hostile), ("sound", (folder / "84.jpg").read_bytes()), ("none", None)], "path string, content binary")
+    rows = {r["path"]: r for r in sanitize.scrub(blobs, "privacy", ["path"]).collect()}
+    assert rows["deep"]["verified"] and rows["sound"]["verified"] and rows["none"]["error"] and not rows["none"]["verified"]
+    # Whatever a kernel raises is the row's error.
+    broken = files.over_blobs(blobs, ["path"], "content", "n int, error string", lambda data: {"n": 1 // (len(data) - len(hostile))})
+    got = {r["path"]: r for r in broken.collect()}
+    assert got["deep"]["error"].startswith("ZeroDivisionError") and got["sound"]["error"] is None
+
+
+def test_one_read_of_each_file(spark, folder):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    scan = files.scan_directory(spark, str(folder))
+    for rows in (sanitize.report(scan, "privacy", ["path"]), batch.items(scan)):
+        content = [x for x in plan(rows).splitlines() if "Scan binaryFile" in x and "content" in x.split("Batched")[0]]
+        assert len(content) == 1
+
+
 def test_score_levels_and_matrix(spark):
     assert sum(p for p, _ in privacy.POINTS.values()) == 100
     rows = spark.createDataFrame([(0,), (24,), (25,), (49,), (50,), (None,)], "p int").select(privacy.level(F.col("p")).alias("l"))
