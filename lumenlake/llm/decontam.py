@@ -13,14 +13,14 @@ Items are the query set: they are broadcast in blocks of at most ``BLOCK_ITEMS``
 ``BLOCK_CHARS`` characters, and each block is one scan of the documents without a shuffle.
 
 Defined results: null or empty texts and items contain nothing; texts shorter than a shingle
-are one shingle as a whole; items with equal texts are each reported; repeated rows are each
-searched; an empty table gives an empty result; other columns are ignored.
+are one shingle as a whole; items with equal texts are each reported, and so are items that repeat an id; repeated rows are each
+searched; an empty table gives an empty result; other columns are ignored. Items' ids are cast to long.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,53 +41,77 @@ def _place(g: np.ndarray) -> np.ndarray:
     return (mix64(g ^ np.uint64(0xA076_1D64_78BD_642F)) >> np.uint64(32)).astype(np.uint32)
 
 
+@dataclass
+class SizeClass:
+    """Items of at most ``SMALLEST << power`` shingles: (coordinate, minimum) names in order with their items, and a table of which may occur.
+
+    All coordinates share the table, so it has about sixteen slots a name whatever the number of coordinates.
+    """
+
+    power: int
+    names: np.ndarray
+    items: np.ndarray
+    seen: np.ndarray
+    shift: np.uint32
+
+    @staticmethod
+    def build(power: int, numbers: np.ndarray, sets: list[np.ndarray]) -> SizeClass:
+        place, at = _place(np.concatenate(sets)), np.cumsum([0, *map(len, sets)])[:-1]
+        least = np.stack([np.minimum.reduceat(mix32(place + np.uint32(k)), at) for k in range(COORDINATES)])
+        names = ((np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32))[:, None] | least).ravel()
+        order = np.argsort(names, kind="stable")
+        bits = min(28, max(12, (16 * len(names)).bit_length()))
+        out = SizeClass(power, names[order], np.tile(numbers, COORDINATES)[order], np.zeros(1 << bits, bool), np.uint32(32 - bits))
+        for k in range(COORDINATES):
+            out.seen[out.slots(least[k], k)] = True
+        return out
+
+    def slots(self, least: np.ndarray, k: int) -> np.ndarray:
+        return least * np.uint32((2 * k + 1) * 0x9E3779B1 & 0xFFFFFFFF) >> self.shift
+
+    def items_of(self, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``least`` names an item in coordinate k, and the items."""
+        hot = np.flatnonzero(self.seen[self.slots(least, k)])
+        name = least[hot].astype(np.uint64) | np.uint64(k << 32)
+        lo, hi = np.searchsorted(self.names, name, "left"), np.searchsorted(self.names, name, "right")
+        n = hi - lo
+        return np.repeat(hot, n), self.items[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+
+
 @dataclass
 class Index:
-    """Items of one block: their sets, and of each size class and coordinate the minima that name them."""
+    """Items of one block: their sets, and their classes by size."""
 
     ids: list[int]
     sets: list[np.ndarray]
-    classes: list[int] = field(default_factory=list)  # log2 of size / SMALLEST
-    keys: dict = field(default_factory=dict)  # (class, coordinate) -> {minimum: item numbers}
-    table: dict = field(default_factory=dict)  # (class, coordinate) -> which high bits of minima occur
+    classes: list[SizeClass]
 
     @staticmethod
     def build(ids: list[int], texts: list[str | None], shingle: int) -> Index:
         sets = list(shingle_sets(of_texts(texts), shingle))
         keep = [i for i, s in enumerate(sets) if len(s)]
-        out = Index([ids[i] for i in keep], [sets[i] for i in keep])
-        bits = min(20, max(12, int(np.log2(max(1, len(keep)))) + 8))
-        for n, s in enumerate(out.sets):
-            c = max(0, int(np.ceil(np.log2(len(s) / SMALLEST))))
-            place = _place(s)
-            for k in range(COORDINATES):
-                out.keys.setdefault((c, k), {}).setdefault(int(mix32(place + np.uint32(k)).min()), []).append(n)
-        for at, found in out.keys.items():
-            seen = np.zeros(1 << bits, bool)
-            seen[np.array(list(found), np.uint32) >> np.uint32(32 - bits)] = True
-            out.table[at] = seen
-        out.classes = sorted({c for c, _ in out.keys})
-        out.bits = bits
-        return out
+        ids, sets = [ids[i] for i in keep], [sets[i] for i in keep]
+        power = np.array([max(0, int(np.ceil(np.log2(len(s) / SMALLEST)))) for s in sets], np.int64)
+        of = {c: np.flatnonzero(power == c) for c in sorted(set(power.tolist()))}
+        return Index(ids, sets, [SizeClass.build(c, n, [sets[i] for i in n]) for c, n in of.items()])
 
     def candidates(self, g: np.ndarray) -> list[tuple[int, int, int]]:
         """(item number, from, to): parts g[from:to] that share a coordinate with an item."""
         if not len(g) or not self.classes:
             return []
-        top, out = self.classes[-1], set()
+        top, out = self.classes[-1].power, set()
+        by_power = {c.power: c for c in self.classes}
         step = SMALLEST << top
         place = _place(g)
-        shift = np.uint32(32 - self.bits)
         for k in range(COORDINATES):
             low = np.full((-(-len(g) // step) + 1) * step, np.uint32(0xFFFFFFFF))
             low[: len(g)] = mix32(place + np.uint32(k))
             low = low.reshape(-1, SMALLEST).min(1)
             for c in range(top + 1):
-                if c in self.classes:
-                    part = np.minimum(low[:-1], low[1:])
-                    for j in np.flatnonzero(self.table[c, k][part >> shift]).tolist():
-                        u = SMALLEST << c
-                        out.update((n, j * u, (j + 2) * u) for n in self.keys[c, k].get(int(part[j]), ()))
+                if c in by_power:
+                    u = SMALLEST << c
+                    part, items = by_power[c].items_of(np.minimum(low[:-1], low[1:]), k)
+                    out.update((n, j * u, (j + 2) * u) for j, n in zip(part.tolist(), items.tolist()))
                 low = np.minimum(low[0::2], low[1::2]) if c < top else low
         return list(out)
 
