@@ -55,8 +55,12 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("--sensitive", action="store_true")
     scan.add_argument("--backend", choices=("native", "exiftool"), default="native")
     for name in ("privacy", "anomalies"):
-        verb(name, "path").add_argument("--detailed", action="store_true")
-    verb("gps", "path")
+        one = verb(name, "path")
+        one.add_argument("--detailed", action="store_true")
+        if name == "privacy":
+            one.add_argument("--directory", action="store_true")
+            one.add_argument("--recursive", action="store_true")
+    verb("gps", "path").add_argument("--raw", action="store_true")
     report = verb("report", "path")
     report.add_argument("--text", action="store_true")
     report.add_argument("--output", default=None)
@@ -72,12 +76,15 @@ def parser() -> argparse.ArgumentParser:
 def run(args: argparse.Namespace, spark: SparkSession) -> None:
     if args.verb == "scan":
         _scan(args, spark)
+    elif args.verb == "privacy" and args.directory:
+        _print(reports.text_batch_privacy(batch.items(files.scan_directory(spark, args.path, args.recursive)), f"file:{args.path}", args.detailed))
     elif args.verb == "privacy":
         _print(reports.text_findings(_judged(spark, args.path), ["path"], "findings", args.detailed))
     elif args.verb == "anomalies":
         _print(reports.text_findings(_judged(spark, args.path), ["path"], "anomalies", args.detailed))
     elif args.verb == "gps":
-        _print(reports.text_gps(files.photos(_blobs(spark, args.path), KEYS), ["path"]))
+        make = reports.text_gps_raw if args.raw else reports.text_gps
+        _print(make(files.photos(_blobs(spark, args.path), KEYS), ["path"]))
     elif args.verb == "report":
         _report(args, spark)
     elif args.verb == "hash":
@@ -106,13 +113,13 @@ def _scan(args: argparse.Namespace, spark: SparkSession) -> None:
         if args.csv:
             print(reports.write_csv_file(reports.csv_rows(items, f"file:{args.path}"), args.csv))
         else:
-            _print(reports.json_batch(items, f"file:{args.path}", args.recursive) if args.json else reports.text_batch(items))
+            _print(reports.json_batch(items, f"file:{args.path}", args.recursive) if args.json else reports.text_batch(items, f"file:{args.path}"))
     elif args.segments:
         _print(reports.text_segments(files.photos(_blobs(spark, args.path), KEYS), ["path"]))
     elif (kind := _kind(spark, args.path)) in ("PNG", "WEBP", "TIFF"):
         _print(reports.text_container(files.containers(_blobs(spark, args.path), ["path"]), ["path"]))
     elif kind == "HEIF":
-        _print(reports.text_heif(_blobs(spark, args.path), ["path"]))
+        _print(reports.text_heif(optional.heif_images(_blobs(spark, args.path)), ["path"]))
     elif kind == "RAW":
         _print(reports.text_raw(optional.raw_images(_blobs(spark, args.path)), ["path"]))
     elif args.backend == "exiftool":

@@ -67,9 +67,9 @@ def plural(n: Column, one: str, many: str) -> Column:
 
 
 def shutter(x: Column) -> Column:
-    """Seconds, with the reciprocal where below one."""
-    plain = F.concat(trim_zeros(F.format_string("%.8f", x.cast("double"))), F.lit(" s"))
-    return F.when(x <= 0, None).when(x < 1, F.concat(plain, F.lit(" (~1/"), F.bround(1 / x, 0).cast("bigint").cast("string"), F.lit(" s)"))).otherwise(plain)
+    """Seconds with eight digits, and the reciprocal where below one."""
+    plain = F.format_string("%.8f s", x.cast("double"))
+    return F.when((x > 0) & (x < 1), F.concat(plain, F.lit(" (~1/"), F.bround(1 / x, 0).cast("bigint").cast("string"), F.lit(" s)"))).otherwise(plain)
 
 
 def trim_zeros(s: Column) -> Column:

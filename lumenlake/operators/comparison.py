@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 KINDS = {"exif": "EXIF metadata", "gps": "GPS metadata", "xmp": "XMP metadata", "iptc": "IPTC metadata", "icc": "ICC profile"}
 LIKELY, POSSIBLE, NONE = "LIKELY", "POSSIBLE", "NO EVIDENCE"
 SNAPSHOT = (
-    "size_bytes", "sha256", "width", "height", "jpeg_process", "exif", "gps", "xmp", "iptc", "icc", "camera_model", "quantization", "huffman", "scan_sha256", "trailing_bytes", "error",
+    "size_bytes", "sha256", "width", "height", "jpeg_process", "exif", "gps", "xmp", "iptc", "icc", "camera_model", "quantization", "huffman", "scan_sha256", "trailing_bytes", "warnings", "error",
 )
 
 #: Columns of the bronze table that a snapshot takes. The codes and messages of changes, evidence and verdicts below.
@@ -21,7 +21,7 @@ def snapshots(photos: DataFrame, keys: list[str]) -> DataFrame:
     error = F.try_element_at(F.filter("errors", lambda e: e["part"].isin("header", "dimensions", "structure")), F.lit(1))["message"]
     ok = error.isNull()
     facts = ["width", "height", "jpeg_process", "quantization", "huffman", "scan_sha256", "trailing_bytes"]
-    shown = [F.when(ok, F.col(c)).alias(c) for c in facts] + [F.when(ok, F.col(f"presence.{c}")).alias(c) for c in (*KINDS, "camera_model")]
+    shown = [F.when(ok, F.col(c)).alias(c) for c in facts] + [F.when(ok, F.col(f"presence.{c}")).alias(c) for c in (*KINDS, "camera_model", "warnings")]
     return photos.select(*keys, "size_bytes", "sha256", *shown, error.alias("error")).select(*keys, *SNAPSHOT)
 
 

@@ -5,25 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenlake.functions.text import strip_or_null
+
 #: Pairs of width and height, best first; groups that hold EXIF.
 RESOLUTIONS = (
     ("File:ImageWidth", "File:ImageHeight"), ("SubIFD:ImageWidth", "SubIFD:ImageHeight"), ("ExifIFD:ExifImageWidth", "ExifIFD:ExifImageHeight"),
     ("QuickTime:ImageWidth", "QuickTime:ImageHeight"), ("IFD0:ImageWidth", "IFD0:ImageHeight"), ("XMP-tiff:ImageWidth", "XMP-tiff:ImageHeight"),
     ("XMP-exif:ExifImageWidth", "XMP-exif:ExifImageHeight"),
 )
+#: Facts by the tags that hold them, in the order in which they are looked for.
+FACTS = {
+    "file_type": ("FileType",), "mime": ("MIMEType",), "make": ("Make",), "model": ("Model", "CameraModelName"), "software": ("Software",),
+    "datetime_original": ("DateTimeOriginal",), "lens_make": ("LensMake",), "lens_model": ("LensModel", "LensID"), "orientation": ("Orientation",),
+}
 EXIF_GROUPS = ("IFD0", "ExifIFD", "InteropIFD", "GPS")
 
 
 def whole(s: Column) -> Column:
-    """An integer from text, through a double; null for anything else."""
-    return F.coalesce(s.try_cast("bigint"), s.try_cast("double").try_cast("bigint"))
+    """An integer from text, through a double that is cut; null for anything else, truth values included."""
+    return F.coalesce(s.try_cast("bigint"), F.when(~s.isin("true", "false"), s.try_cast("double").try_cast("bigint")))
 
 
 def first_tag(m: Column, *names: str) -> Column:
-    """Value under the exact key of each name in turn, else the first key that ends with ``:name``."""
-    exact = [F.try_element_at(m, F.lit(n)) for n in names]
-    suffix = [F.try_element_at(F.filter(F.map_entries(m), _ends(n)), F.lit(1))["value"] for n in names]
-    return F.coalesce(*exact, *suffix)
+    """Of each name in turn the value under it as a key, else under the first key that ends with ``:name``."""
+    found = [(F.try_element_at(m, F.lit(n)), F.try_element_at(F.filter(F.map_entries(m), _ends(n)), F.lit(1))["value"]) for n in names]
+    return F.coalesce(*[c for pair in found for c in pair])
 
 
 def _ends(name: str):
@@ -31,17 +37,17 @@ def _ends(name: str):
 
 
 def group_of(key: Column) -> Column:
-    return F.when(F.contains(key, F.lit(":")), F.substring_index(key, ":", 1))
+    return F.when(F.contains(key, F.lit(":")), F.substring_index(key, ":", 1)).otherwise("Other")
 
 
 def normalise(df: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:
     """Facts of one JSON object of ``Group:Tag`` keys per row."""
-    m = F.from_json(F.col(payload), "map<string,string>")
+    m = F.map_filter(F.from_json(F.col(payload), "map<string,string>"), lambda k, _: k != "SourceFile")
     base = df.select(*keys, m.alias("m"))
     size = lambda w, h: F.when((w > 0) & (h > 0), F.struct(w.alias("w"), h.alias("h")))
     get = lambda k: F.try_element_at(F.col("m"), F.lit(k))
     pairs = [size(whole(get(w)), whole(get(h))) for w, h in RESOLUTIONS]
-    groups = F.filter(F.array_distinct(F.transform(F.map_keys("m"), group_of)), lambda g: g.isNotNull())
+    groups = F.array_distinct(F.transform(F.map_keys("m"), group_of))
     own = lambda g, tag: whole(F.try_element_at(F.col("m"), F.concat(g, F.lit(":" + tag))))
     fallback = F.try_element_at(F.filter(F.transform(groups, lambda g: size(own(g, "ImageWidth"), own(g, "ImageHeight"))), lambda s: s.isNotNull()), F.lit(1))
     best = F.coalesce(*pairs, fallback)
@@ -50,11 +56,13 @@ def normalise(df: DataFrame, keys: list[str], payload: str = "payload") -> DataF
         F.array_sort(F.transform(groups, lambda g: F.struct(F.lower(g).alias("k"), g.alias("group")))),
         lambda s: F.struct(s["group"].alias("group"), F.size(F.filter(F.map_keys("m"), lambda k: group_of(k).eqNullSafe(s["group"]))).alias("count")),
     )
-    warnings = F.array_distinct(F.transform(F.filter(F.map_entries("m"), lambda e: F.substring_index(e["key"], ":", -1).isin("Warning", "Error")), lambda e: e["value"]))
+    warnings = F.array_distinct(F.transform(F.filter(F.map_entries("m"), lambda e: F.substring_index(e["key"], ":", -1).isin("Warning", "Error")), lambda e: strip_or_null(e["value"])))
+    warnings = F.filter(warnings, lambda w: w.isNotNull())
     return base.select(
-        *keys, first_tag(F.col("m"), "File:FileType", "FileType").alias("file_type"), best["w"].alias("width"), best["h"].alias("height"),
-        first_tag(F.col("m"), "IFD0:Make", "Make").alias("make"), first_tag(F.col("m"), "IFD0:Model", "Model").alias("model"),
-        has(lambda g: g.isin(*EXIF_GROUPS) | F.startswith(g, F.lit("SubIFD"))).alias("exif"), has(lambda g: g == "GPS").alias("gps"),
-        has(lambda g: F.startswith(g, F.lit("XMP"))).alias("xmp"), has(lambda g: g == "IPTC").alias("iptc"), has(lambda g: F.startswith(g, F.lit("ICC"))).alias("icc"),
+        *keys, best["w"].alias("width"), best["h"].alias("height"),
+        *[strip_or_null(first_tag(F.col("m"), *names)).alias(c) for c, names in FACTS.items()],
+        has(lambda g: g.isin(*EXIF_GROUPS) | F.startswith(g, F.lit("SubIFD"))).alias("exif"), F.when(F.exists(F.map_keys("m"), lambda k: F.startswith(F.substring_index(k, ":", -1), F.lit("GPS"))), "YES").otherwise("NO").alias("gps"),
+        has(lambda g: F.startswith(g, F.lit("XMP"))).alias("xmp"), has(lambda g: F.startswith(g, F.lit("IPTC"))).alias("iptc"), has(lambda g: F.startswith(g, F.lit("ICC"))).alias("icc"),
+        has(lambda g: F.startswith(g, F.lit("QuickTime"))).alias("quicktime"),
         counts.alias("group_counts"), F.size("m").alias("tag_count"), warnings.alias("warnings"),
     )

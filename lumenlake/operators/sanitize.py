@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions.text import clean_name
+from lumenlake.kernels.jpeg import Transform
 from lumenlake.kernels.limits import DEFAULT, Limits
 from lumenlake.operators import privacy
 from lumenlake.sources.files import scrubbed
@@ -56,7 +57,12 @@ def report(files: DataFrame, mode: str, keys: list[str], limits: Limits = DEFAUL
     done = _judged(scrubbed(files, keys, mode, limits=limits, facts=FACTS), keys, "before", "after").drop("clean")
     both = metrics(metrics(done, "before"), "after")
     good = F.col("verified") & (F.col("before_size") == F.col("after_size")) & (F.coalesce("after_gps", F.lit("NO")) != "YES")
-    return both.withColumn("verified", F.coalesce(good, F.lit(False)))
+    return both.withColumn("verified", F.coalesce(good, F.lit(False))).withColumn("mode", F.lit(mode))
+
+
+def rewrite(files: DataFrame, rule: Transform, keys: list[str], strip_trailing: bool = False, limits: Limits = DEFAULT) -> DataFrame:
+    """``scrub`` by a rule of the caller's: of each APPn and COM segment, given marker and payload, a new payload (null: drop it) and a reason."""
+    return _judged(scrubbed(files, keys, rule, limits=limits, strip_trailing=strip_trailing), keys)
 
 
 def write_files(cleaned: DataFrame, path_col: str = "path", clean_col: str = "clean") -> DataFrame:

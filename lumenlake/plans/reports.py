@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.functions.meanings import TABLES, interpret
-from lumenlake.functions.text import bar, fit, general, html, or_empty, relative, strip_or_null, yes_no
-from lumenlake.functions.values import integer, tag, text
+from lumenlake.functions.meanings import TABLES, interpret, interpret_value
+from lumenlake.functions.text import bar, file_size, fit, general, hex_bytes, html, or_empty, plural, relative, shutter, strip_or_null, trim_zeros, yes_no
+from lumenlake.functions.values import tag, text
 from lumenlake.operators import batch, comparison, privacy
 
 VERSION = "1.0"
@@ -63,15 +63,29 @@ def _json(value: Column, pretty: bool = False) -> Column:
     return F.to_json(value, {"ignoreNullFields": "false", "pretty": str(pretty).lower()})
 
 
+def finite(x: Column) -> Column:
+    """A number that JSON can hold: null for NaN and the infinities."""
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
 def _location(sensitive: bool) -> Column:
-    names = ("latitude", "longitude", "altitude", "altitude_ref", "altitude_reference", "gps_date", "gps_time", "image_direction")
-    shown = [(F.col(f"location.{n}") if sensitive else F.lit(None).cast("string")).alias(n) for n in names]
+    """Place and time of a file with GPS metadata; values only if asked, and none where they could not be read."""
+    numbers, texts = ("latitude", "longitude", "altitude", "image_direction"), ("altitude_reference", "gps_date", "gps_time")
+    known = (F.col("presence.gps") == "YES") & F.col("location.error").isNull() & F.lit(sensitive)
+    shown = {n: finite(F.col(f"location.{n}")) for n in numbers} | {n: F.col(f"location.{n}") for n in (*texts, "altitude_ref")}
     return F.struct(
-        F.coalesce("location.gps_detected", F.lit(False)).alias("detected"), F.lit(sensitive).alias("sensitive_values_included"), *shown,
-        F.col("location.error").alias("error"),
+        F.col("presence.gps").alias("status"), F.coalesce(F.col("presence.gps") == "YES", F.lit(False)).alias("detected"), F.coalesce(known, F.lit(False)).alias("sensitive_values_included"),
+        *[F.when(known, c).alias(n) for n, c in shown.items()], F.col("location.error").alias("error"),
     )
 
 
+def _warnings() -> Column:
+    """What could not be read, of the file's parts, of what its presence was looked for in, and of its place; each said once."""
+    place = F.when(F.col("location.error").isNotNull(), F.array(F.concat(F.lit("GPS metadata could not be normalized: "), F.col("location.error"))))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.transform("errors", lambda e: e["message"]), F.coalesce("presence.warnings", none), F.coalesce(place, none)))
+
+
 def json_single(assessed: DataFrame, keys: list[str], sensitive: bool = False, pretty: bool = False) -> DataFrame:
     """``keys`` and the JSON document of each assessed file of (path, size_bytes, sha256)."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
@@ -88,7 +102,7 @@ def json_single(assessed: DataFrame, keys: list[str], sensitive: bool = False, p
         F.lit(VERSION).alias("schema_version"), F.lit("single").alias("mode"),
         F.struct("path", name.alias("name"), F.lit("JPEG").alias("format"), F.lit("image/jpeg").alias("mime_type"), "size_bytes", "width", "height", "sha256", "jpeg_process").alias("file"),
         F.struct(*[F.col(f"presence.{k}").alias(k) for k in comparison.KINDS]).alias("metadata"), device.alias("device"), capture.alias("capture"),
-        _location(sensitive).alias("gps"), exposure.alias("privacy"), F.transform("errors", lambda e: e["message"]).alias("warnings"),
+        _location(sensitive).alias("gps"), exposure.alias("privacy"), _warnings().alias("warnings"),
     )
     return assessed.select(*keys, _json(document, pretty).alias("document"))
 
@@ -116,8 +130,8 @@ def json_batch(items: DataFrame, root: str, recursive: bool) -> DataFrame:
 
 
 def special_fields() -> Column:
-    """Fields with a meaning: array<struct<name,raw,meaning>> of those present."""
-    one = lambda n, ifd: F.struct(F.lit(n).alias("name"), integer(tag(ifd, n)).alias("raw"), interpret(n, integer(tag(ifd, n))).alias("meaning"))
+    """Fields with a meaning: array<struct<name,raw,meaning>> of those present; a value that is no integer is called invalid."""
+    one = lambda n, ifd: F.struct(F.lit(n).alias("name"), shown_value(tag(ifd, n)).alias("raw"), interpret_value(n, tag(ifd, n)).alias("meaning"))
     return F.filter(F.array(*[one(n, SPECIAL[n]) for n in SPECIAL if n in TABLES]), lambda x: x["raw"].isNotNull())
 
 
@@ -205,35 +219,86 @@ def text_gps(photos: DataFrame, keys: list[str]) -> DataFrame:
     return photos.select(*keys, F.coalesce(none, _lines(F.when(F.col("location.latitude").isNotNull() & F.col("location.longitude").isNotNull(), at), high, time)).alias("document"))
 
 
+def text_gps_raw(photos: DataFrame, keys: list[str]) -> DataFrame:
+    """Every GPS tag as it stands: fractions exact, bytes as hex."""
+    listed = F.transform(F.filter("tags", lambda t: t["ifd"] == "GPS"), lambda t: F.concat(F.rpad(t["tag_name"], 28, " "), F.lit(": "), raw_value(t["value"])))
+    return photos.select(*keys, F.coalesce(F.nullif(F.array_join(listed, "\n"), F.lit("")), F.lit("No GPS metadata.")).alias("document"))
+
+
+def raw_value(v: Column) -> Column:
+    """A tag's value without interpretation: every fraction as num/den, several in parentheses, bytes as pairs of hex digits."""
+    many = F.coalesce(F.transform(v["rationals"], lambda r: F.concat_ws("/", r["num"].cast("string"), r["den"].cast("string"))), F.transform(v["ints"], lambda x: x.cast("string")), F.transform(v["floats"], lambda x: x.cast("string")))
+    shown = F.when(v["is_scalar"], many[0]).otherwise(F.concat(F.lit("("), F.array_join(many, ", "), F.lit(")")))
+    return F.when(v["kind"] == "text", v["text"]).when(v["kind"] == "bytes", F.lower(hex_bytes(v["bytes"]))).otherwise(shown)
+
+
 def text_comparison(pairs: DataFrame, keys: list[str]) -> DataFrame:
     row = lambda label, f: F.concat(F.rpad(F.lit(label), 22, " "), fit(F.coalesce(F.col(f"original.{f}").cast("string"), F.lit("-")), 28), fit(F.coalesce(F.col(f"copy.{f}").cast("string"), F.lit("-")), 28))
     rows = [row(label, f) for label, f in (("Size", "size_bytes"), ("Width", "width"), ("Height", "height"), ("Process", "jpeg_process"), ("EXIF", "exif"), ("GPS", "gps"), ("XMP", "xmp"), ("IPTC", "iptc"), ("ICC", "icc"), ("Camera", "camera_model"))]
-    changed = F.array_join(F.transform("changes", lambda c: F.concat(F.lit("- "), c["message"])), "\n")
-    return pairs.select(*keys, _lines(*rows, changed, F.concat(F.lit("Recompression: "), F.col("recompression.level"), F.lit(" - "), F.col("recompression.message"))).alias("document"))
+    points = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat(F.lit("- "), x)), "\n")
+    changed = F.coalesce(F.nullif(points(F.transform("changes", lambda c: c["message"])), F.lit("")), F.lit("- no difference in what is compared"))
+    titled = lambda title, xs: F.when(F.size(xs) > 0, F.concat(F.lit(title + "\n"), points(xs)))
+    verdict = F.concat(F.lit("Recompression: "), F.col("recompression.level"), F.lit(" - "), F.col("recompression.message"))
+    # What either file's parts could not be read for, the original's first.
+    none = F.array().cast("array<string>")
+    said = F.concat(*[F.coalesce(F.col(f"{side}.warnings"), none) for side in ("original", "copy")])
+    return pairs.select(*keys, _lines(*rows, changed, verdict, titled("Evidence:", F.col("recompression.evidence")), titled("Warnings:", said)).alias("document"))
 
 
 def text_scrub(report: DataFrame, keys: list[str]) -> DataFrame:
-    return report.select(
-        *keys,
-        _lines(
-            F.format_string("Segments removed: %d, modified: %d, bytes: %d", "removed_segments", "modified_segments", "removed_bytes"),
-            F.concat_ws(" ", F.lit("GPS before/after:"), "before_gps", "after_gps"), F.concat_ws(" ", F.lit("Findings before/after:"), "before_findings", "after_findings"),
-            F.concat(F.lit("Verified: "), yes_no(F.col("verified"))), F.col("error"),
-        ).alias("document"),
+    """Before, after, what is preserved and how much went, of each file of ``sanitize.report``."""
+    kept = lambda c: F.coalesce(yes_no(c), F.lit("NO"))
+    sides = lambda c: F.concat_ws(" -> ", F.coalesce(F.col(f"before_{c}").cast("string"), F.lit("-")), F.coalesce(F.col(f"after_{c}").cast("string"), F.lit("-")))
+    tail = F.coalesce(F.aggregate(F.filter("changes", lambda c: c["marker"] == -1), F.lit(0).cast("long"), lambda a, c: a + c["old_bytes"]), F.lit(0))
+    shown = _rows(
+        Mode=F.upper("mode"), GPS=sides("gps"), Privacy_findings=sides("findings"), JPEG_structure_valid=kept(F.col("error").isNull()),
+        Dimensions_preserved=kept(F.col("before_size") == F.col("after_size")), Image_data_preserved=kept(F.col("same_scans")), Removed_segments=F.col("removed_segments"),
+        Modified_segments=F.col("modified_segments"), Removed_bytes=F.col("removed_bytes"), Trailing_bytes_removed=F.when(tail > 0, tail), Verified=kept(F.col("verified")),
     )
+    return report.select(*keys, _lines(shown, F.concat(F.lit("error: "), F.col("error"))).alias("document"))
 
 
-def text_batch(items: DataFrame) -> DataFrame:
-    counts = batch.summary(items)
-    return counts.select(
-        _lines(
-            F.format_string("Files: %d", "total_files"), *[F.format_string(f"{f}: %d", f"{f.lower()}_count") for f in batch.FORMATS],
-            F.format_string("JPEG analyzed: %d, failed: %d", "analyzed_jpeg_count", "failed_jpeg_count"), F.format_string("GPS detected: %d", "gps_detected_count"),
-            F.format_string("Exposure HIGH: %d, MEDIUM: %d, LOW: %d", "high_privacy_count", "medium_privacy_count", "low_privacy_count"),
-        ).alias("document")
+def failure_lines(items: DataFrame, root: str) -> DataFrame:
+    """path and a line of each JPEG that could not be analysed: for any number of files."""
+    return batch.failed(items).select("path", F.concat(F.lit("- "), relative(F.col("path"), root), F.lit(": "), F.coalesce("error", F.lit("unknown"))).alias("line"))
+
+
+def privacy_lines(items: DataFrame, root: str) -> DataFrame:
+    """path and a line of each JPEG: level, points, GPS and name, or its error: for any number of files."""
+    name = relative(F.col("path"), root)
+    good = F.concat(F.lit("["), F.col("privacy_level"), F.lit("] "), F.col("privacy_points").cast("string"), F.lit(f"/{privacy.MAXIMUM} GPS="), F.when(F.coalesce("gps_detected", F.lit(False)), "YES").otherwise("NO"), F.lit(" "), name)
+    bad = F.concat(F.lit("[ERROR] "), name, F.lit(" - "), F.col("error"))
+    return items.where("format = 'JPEG'").select("path", F.when(F.col("error").isNull(), good).otherwise(bad).alias("line"))
+
+
+def _with_lines(counts: DataFrame, head: Column, title: str, lines: DataFrame) -> DataFrame:
+    """One document: ``head`` over ``counts`` and, under a title, the lines, which one directory's report holds."""
+    listed = lines.agg(F.array_sort(F.collect_list(F.struct(F.lower("path").alias("k"), "path", "line"))).alias("all"))
+    body = F.when(F.size("all") > 0, F.concat(F.lit(f"{title}\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\n")))
+    return counts.crossJoin(F.broadcast(listed)).select(_lines(head, body).alias("document"))
+
+
+def _count_lines() -> Column:
+    total = F.concat(F.col("total_files").cast("string"), F.lit(" "), plural(F.col("total_files"), "file", "files"))
+    return _lines(
+        F.concat(F.lit("Files: "), total), *[F.format_string(f"{f}: %d", f"{f.lower()}_count") for f in batch.FORMATS],
+        F.format_string("JPEG analyzed: %d, failed: %d", "analyzed_jpeg_count", "failed_jpeg_count"), F.format_string("GPS detected: %d", "gps_detected_count"),
+        F.format_string("Exposure HIGH: %d, MEDIUM: %d, LOW: %d", "high_privacy_count", "medium_privacy_count", "low_privacy_count"),
     )
 
 
+def text_batch(items: DataFrame, root: str = "") -> DataFrame:
+    """Counts of a directory, and the JPEGs that could not be analysed."""
+    return _with_lines(batch.summary(items), _count_lines(), "Failed JPEG:", failure_lines(items, root))
+
+
+def text_batch_privacy(items: DataFrame, root: str = "", detailed: bool = False) -> DataFrame:
+    """Counts of a directory and, with ``detailed``, a line for each JPEG."""
+    note = F.lit("Levels come from rules over metadata; they are not probabilities of harm.")
+    head = _lines(_count_lines(), note)
+    return _with_lines(batch.summary(items), head, "JPEG results:", privacy_lines(items, root)) if detailed else batch.summary(items).select(head.alias("document"))
+
+
 def _rows(**values: Column) -> Column:
     """One ``label: value`` line per field; a missing value is a dash."""
     width = max(map(len, values))
@@ -254,29 +319,62 @@ def text_file_info(info: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def text_special(photos: DataFrame, keys: list[str]) -> DataFrame:
-    line = lambda s: F.concat(s["name"], F.lit(": "), s["meaning"], F.lit(" ("), s["raw"].cast("string"), F.lit(")"))
+    line = lambda s: F.concat(s["name"], F.lit(": "), s["meaning"], F.lit(" ("), s["raw"], F.lit(")"))
     return photos.select(*keys, F.array_join(F.transform(special_fields(), line), "\n").alias("document"))
 
 
+def _size(w: str, h: str) -> Column:
+    return F.concat(F.col(w).cast("string"), F.lit(" x "), F.col(h).cast("string"))
+
+
+def _device() -> dict[str, Column]:
+    turned = F.when(F.col("orientation").isNotNull(), F.concat(F.col("orientation").cast("string"), F.lit(" ("), interpret("Orientation", F.col("orientation")), F.lit(")")))
+    return {"Make": F.col("make"), "Model": F.col("model"), "Software": F.col("software"), "Artist": F.col("artist"), "Date_original": F.col("datetime_original"), "Orientation": turned}
+
+
+def _or_error(shown: Column, warnings: Column | None = None) -> Column:
+    said = None if warnings is None else F.when(F.size(warnings) > 0, F.concat(F.lit("Warnings:\n"), F.array_join(F.transform(warnings, lambda w: F.concat(F.lit("- "), w)), "\n")))
+    return F.coalesce(F.concat(F.lit("error: "), F.col("error")), shown if said is None else _lines(shown, said)).alias("document")
+
+
 def text_container(containers: DataFrame, keys: list[str]) -> DataFrame:
     """PNG, WebP and TIFF."""
-    size = F.concat(F.col("width").cast("string"), F.lit(" x "), F.col("height").cast("string"))
-    shown = _rows(Format=F.col("detected"), Resolution=size, Mode=F.col("mode"), Frames=F.col("frames"), EXIF=F.col("exif"), GPS=F.col("gps"), XMP=F.col("xmp"), ICC=F.col("icc"))
-    return containers.select(*keys, F.coalesce(F.concat(F.lit("error: "), F.col("error")), shown).alias("document"))
+    shown = _rows(
+        Format=F.col("detected"), MIME=F.col("mime"), Resolution=_size("width", "height"), Mode=F.col("mode"), Frames=F.col("frames"), Animated=yes_no(F.col("animated")),
+        EXIF=F.col("exif"), GPS=F.col("gps"), XMP=F.col("xmp"), ICC=F.col("icc"), **_device(),
+    )
+    return containers.select(*keys, _or_error(shown, F.col("warnings")))
 
 
-def text_heif(files: DataFrame, keys: list[str]) -> DataFrame:
-    """The file-type box of HEIF files of (content)."""
-    from lumenlake.sources.files import brands, heif_format
+def text_heif(heif: DataFrame, keys: list[str]) -> DataFrame:
+    """HEIF images of ``optional.heif_images``; the brands are shown even where the reader is missing."""
+    box = {"Major_brand": F.try_element_at("brands", F.lit(1)), "Compatible": F.array_join(F.slice("brands", 2, 64), ", ")}
+    shown = _rows(
+        Format=F.col("format"), MIME=F.col("mime"), Size=file_size(F.col("size_bytes")), Resolution=_size("width", "height"), Mode=F.col("mode"), Images=F.col("images"),
+        Bit_depth=F.col("bit_depth"), Chroma=F.col("chroma"), Alpha=yes_no(F.col("has_alpha")), SHA256=F.col("sha256"), **box, EXIF=F.col("exif"), GPS=F.col("gps"),
+        XMP=F.col("xmp"), ICC=F.col("icc"), NCLX=F.col("nclx"), Other_blocks=F.col("other_blocks"), **_device(),
+    )
+    return heif.select(*keys, F.coalesce(F.concat(F.lit("error: "), F.col("error"), F.lit("\n"), _rows(**box)), _or_error(shown, F.col("warnings"))).alias("document"))
+
 
-    found = brands(F.col("content"))
-    return files.select(*keys, _rows(Format=heif_format(F.col("content")), Major_brand=F.try_element_at(found, F.lit(1)), Compatible=F.array_join(F.slice(found, 2, 64), ", ")).alias("document"))
+def number(x: Column) -> Column:
+    """Four digits after the point at most; whole numbers without one."""
+    return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(trim_zeros(F.format_string("%.4f", x)))
 
 
 def text_raw(raw: DataFrame, keys: list[str]) -> DataFrame:
-    size = F.concat(F.col("width").cast("string"), F.lit(" x "), F.col("height").cast("string"))
-    shown = _rows(Format=F.lit("RAW"), Resolution=size, Black_level=F.array_join("black_level", ", "))
-    return raw.select(*keys, F.coalesce(F.concat(F.lit("error: "), F.col("error")), shown).alias("document"))
+    """Camera raw files of ``optional.raw_images``."""
+    listed = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), ", "), F.lit("]")))
+    focal = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f mm", c))
+    shown = _rows(
+        Format=F.lit("RAW"), Variant=F.col("variant"), Size=file_size(F.col("size_bytes")), SHA256=F.col("sha256"), Raw_size=_size("raw_width", "raw_height"), Visible_size=_size("width", "height"),
+        Top_margin=F.col("top_margin"), Left_margin=F.col("left_margin"), Crop=_size("crop_width", "crop_height"), Pixel_aspect=F.col("pixel_aspect"), Flip=F.col("flip"), Raw_type=F.col("raw_type"),
+        Colors=F.col("num_colors"), Color_description=F.col("color_description"), White_level=F.col("white_level"), Black_levels=listed("black_level"), Camera_white=listed("camera_white_level"),
+        Camera_balance=listed("camera_white_balance"), Daylight_balance=listed("daylight_white_balance"), ISO=number(F.col("iso_speed")), Shutter=shutter(F.col("shutter_speed")),
+        Aperture=F.when(F.col("aperture").isNotNull(), F.format_string("f/%.2f", "aperture")), Focal_length=focal("focal_length"), Timestamp=F.col("timestamp"), Shot_order=F.col("shot_order"),
+        Artist=F.col("artist"), Lens_make=F.col("lens_make"), Lens_model=F.col("lens_model"), Min_focal=focal("lens_min_focal"), Max_focal=focal("lens_max_focal"),
+    )
+    return raw.select(*keys, _or_error(shown))
 
 
 def text_exiftool(facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -286,8 +384,9 @@ def text_exiftool(facts: DataFrame, keys: list[str]) -> DataFrame:
     return facts.select(
         *keys,
         _rows(
-            Type=F.col("file_type"), Resolution=size, Make=F.col("make"), Model=F.col("model"), EXIF=F.col("exif"), GPS=F.col("gps"), XMP=F.col("xmp"), IPTC=F.col("iptc"),
-            ICC=F.col("icc"), Tags=F.col("tag_count"), Groups=groups, Warnings=F.array_join("warnings", "; "),
+            Type=F.col("file_type"), Resolution=size, MIME=F.col("mime"), Make=F.col("make"), Model=F.col("model"), Software=F.col("software"), Date_original=F.col("datetime_original"),
+            Lens_make=F.col("lens_make"), Lens_model=F.col("lens_model"), Orientation=F.col("orientation"), EXIF=F.col("exif"), GPS=F.col("gps"), XMP=F.col("xmp"), IPTC=F.col("iptc"),
+            ICC=F.col("icc"), QuickTime=F.col("quicktime"), Tags=F.col("tag_count"), Groups=groups, Warnings=F.array_join("warnings", "; "),
         ).alias("document"),
     )
 

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from lumenlake.kernels.containers import AVIF_BRANDS, GENERIC_BRANDS, HEIC_BRANDS, RAW_EXTENSIONS
+from lumenlake.kernels.jpeg import Transform
 from lumenlake.kernels.limits import DEFAULT, Limits
 from lumenlake.plans.ship import ship
 from lumenlake.sources.schema import CONTAINER, PHOTO, SCRUB
@@ -46,7 +47,7 @@ def ordered(files: DataFrame) -> DataFrame:
 
 
 def detect(content: Column, path: Column, raw_backend: bool = False) -> Column:
-    """Format by magic bytes; raw files by extension before TIFF. Without a raw reader they are UNSUPPORTED."""
+    """Format by magic bytes; raw files by extension before TIFF. Without a raw reader they are UNSUPPORTED; with one, ``batch.items`` still has it open them."""
     starts = lambda raw: F.startswith(content, F.lit(raw))
     part = lambda at, n: F.substring(content, at, n)
     extension = F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
@@ -61,6 +62,12 @@ def detect(content: Column, path: Column, raw_backend: bool = False) -> Column:
     )
 
 
+def strict_format(content: Column) -> Column:
+    """struct<kind,format,mime> of a JPEG by its first bytes, whatever its name; null for anything else."""
+    jpeg = F.struct(F.lit("Image").alias("kind"), F.lit("JPEG").alias("format"), F.lit("image/jpeg").alias("mime"))
+    return F.when(F.startswith(content, F.lit(b"\xff\xd8")), jpeg)
+
+
 def brands(content: Column) -> Column:
     """Major and compatible brands of the file-type box, as array<string>; null without a valid one."""
     size = F.conv(F.hex(F.substring(content, 1, 4)), 16, 10).cast("long")
@@ -149,9 +156,13 @@ def containers(df: DataFrame, keys: list[str], content: str = "content", limits:
     return over_blobs(df, keys, content, CONTAINER, kernel)
 
 
-def scrubbed(df: DataFrame, keys: list[str], mode: str, content: str = "content", limits: Limits = DEFAULT, facts: Iterable[str] = ()) -> DataFrame:
+def scrubbed(
+    df: DataFrame, keys: list[str], mode: str | Transform, content: str = "content", limits: Limits = DEFAULT, facts: Iterable[str] = (), strip_trailing: bool = False
+) -> DataFrame:
     """The sanitised blob of each JPEG, its change log and whether a second pass finds nothing and the scans are the same.
 
+    ``mode`` is one of the modes of ``sanitize`` or a rule over segments, to which alone ``strip_trailing`` applies.
+
     With ``facts``, those columns of the bronze table too, as structs ``before`` and ``after``: one read of a file serves all.
     """
     wanted = frozenset(facts)
@@ -175,8 +186,9 @@ def scrubbed(df: DataFrame, keys: list[str], mode: str, content: str = "content"
 
         before = {"before": parsed(data)} if wanted else {}
         try:
-            first = scrub(data, mode, limits)
-            again = scrub(first.data, mode, limits)
+            clean = (lambda x: full_walk(x, mode, strip_trailing, limits)) if callable(mode) else lambda x: scrub(x, mode, limits)
+            first = clean(data)
+            again = clean(first.data)
             return before | ({"after": parsed(first.data)} if wanted else {}) | {
                 "clean": first.data, "changes": first.changes, "scan_before": full_walk(data, limits=limits).scan_sha256,
                 "scan_after": again.scan_sha256, "idempotent": not again.changes, "error": None,

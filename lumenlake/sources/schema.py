@@ -29,5 +29,19 @@ PHOTO = (
 )
 CHANGE = "struct<seq:int,offset:bigint,marker:int,name:string,reason:string,removed:boolean,old_bytes:bigint,new_bytes:bigint>"
 SCRUB = f"clean binary, changes array<{CHANGE}>, scan_before string, scan_after string, idempotent boolean, error string"
-CONTAINER = "detected string, width int, height int, mode string, frames int, exif string, gps string, xmp string, icc string, error string"
+_SUMMARY = "make string, model string, software string, artist string, datetime_original string, orientation int, warnings array<string>"
+CONTAINER = (
+    "detected string, mime string, width int, height int, mode string, frames int, animated boolean, exif string, gps string, xmp string, icc string, "
+    f"{_SUMMARY}, error string"
+)
+HEIF = (
+    "format string, mime string, width int, height int, mode string, images int, bit_depth int, chroma int, has_alpha boolean, exif string, gps string, xmp string, "
+    f"icc string, nclx string, other_blocks int, {_SUMMARY}, error string"
+)
+RAW = (
+    "raw_width int, raw_height int, width int, height int, top_margin int, left_margin int, crop_width int, crop_height int, pixel_aspect double, flip int, raw_type string, "
+    "num_colors int, color_description string, white_level int, black_level array<int>, camera_white_level array<int>, camera_white_balance array<double>, "
+    "daylight_white_balance array<double>, iso_speed double, shutter_speed double, aperture double, focal_length double, timestamp string, shot_order int, artist string, "
+    "lens_make string, lens_model string, lens_min_focal double, lens_max_focal double, error string"
+)
 EXIFTOOL = "payload string, error string"

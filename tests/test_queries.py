@@ -167,6 +167,7 @@ def test_optional_backends_are_rows(spark, folder):
 
 def test_all_text_reports(spark, folder):
     from lumenlake.functions.values import iptc_summary, xmp_summary
+    from lumenlake.kernels import forge
     from lumenlake.operators import exiftool
     from lumenlake.sources import optional
 
@@ -181,7 +182,128 @@ def test_all_text_reports(spark, folder):
     other = files.scan_directory(spark, str(folder)).where("path like '%.png' or path like '%.nef'")
     assert all("error" in r["document"] for r in reports.text_container(files.containers(other, ["path"]), ["path"]).collect())
     assert "unavailable" in reports.text_raw(optional.raw_images(other), ["path"]).first()["document"]
-    assert reports.text_heif(other, ["path"]).count() == 2
+    heif = spark.createDataFrame([("a.heic", forge.ftyp(b"heic", [b"mif1"]))], "path string, content binary")
+    said = reports.text_heif(optional.heif_images(heif), ["path"]).first()["document"]
+    assert "pillow_heif is unavailable" in said and "heic" in said and "mif1" in said
     tool = spark.createDataFrame([("a", '{"SubIFD:ImageWidth":3040,"SubIFD:ImageHeight":2014,"IFD0:ImageWidth":256,"IFD0:ImageHeight":170,"GPS:GPSLatitude":19.4}')], "path string, payload string")
     said = reports.text_exiftool(exiftool.normalise(tool, ["path"]), ["path"]).first()["document"]
     assert "3040 x 2014" in said and "19.4" not in said
+
+
+class Stub:
+    """A library's object: attributes by name."""
+
+    def __init__(self, **values):
+        self.__dict__.update(values)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return None
+
+
+def raw_stub(**changed):
+    from datetime import datetime
+
+    sizes = Stub(raw_width=3100, raw_height=2050, width=3040, height=2014, top_margin=4, left_margin=6, crop_width=3000, crop_height=2000, pixel_aspect=1.0, flip=5)
+    other = Stub(timestamp=datetime(2020, 5, 6, 7, 8, 9), iso_speed=200.0, shutter_speed=0.004, aperture=2.8, focal_length=35, shot_order=7, artist=" Ann ")
+    raw = Stub(
+        sizes=sizes, other=other, lens=Stub(make="", model="L 35", min_focal=0, max_focal=70.5), raw_type=Stub(name="Flat"), num_colors=3, color_desc=b"RGBG\0", white_level=16383,
+        black_level_per_channel=[0, 0, 0, 0], camera_white_level_per_channel=None, camera_whitebalance=[2.0, 1.0, 1.5, 0.0], daylight_whitebalance=[0.0, 0.0], unpack=lambda: None,
+    )
+    raw.__dict__.update(changed)
+    return Stub(imread=lambda f: raw, LibRawError=KeyError)
+
+
+def test_raw_facts_and_guards(spark):
+    from lumenlake.kernels import external
+    from lumenlake.sources.schema import RAW
+
+    facts = external.raw_facts(raw_stub(), b"")
+    assert facts["color_description"] == "RGBG" and facts["black_level"] == [0, 0, 0, 0] and facts["camera_white_level"] is None and facts["daylight_white_balance"] is None
+    assert (facts["lens_make"], facts["lens_min_focal"], facts["artist"], facts["timestamp"], facts["shot_order"]) == (None, None, "Ann", "2020-05-06T07:08:09", 7)
+    guard = [external.positive(x) for x in (1, 0, -1, "1", None, 2.5)] + [external.positive(x, int) for x in (0.5, 3.9)]
+    assert guard == [1.0, None, None, None, None, 2.5, None, 3] and [external.counted(x) for x in (0, -0.5, -1, "0")] == [0, 0, None, None]
+    assert external.several([1, "x"], int, False) is None and external.several([], int, False) is None and external.colours(5) is None and external.colours(" G\0 ") == "G"
+    assert external.raw_readable(raw_stub(), b"") and not external.raw_readable(Stub(imread=lambda f: {}["x"], LibRawError=KeyError), b"")
+    row = spark.createDataFrame([("p", "NEF", 1500, "ab", *[facts.get(c.split()[0]) for c in RAW.split(", ")])], f"path string, variant string, size_bytes long, sha256 string, {RAW}")
+    said = reports.text_raw(row, ["path"]).first()["document"]
+    for part in ("Raw size", "3100 x 2050", "0.00400000 s (~1/250 s)", "f/2.80", "35.00 mm", "[0, 0, 0, 0]", "ISO", ": 200\n", "70.50 mm", "1.50 KB"):
+        assert part in said
+
+
+def test_heif_facts():
+    from lumenlake.kernels import external, forge
+
+    block = b"Exif\0\0" + forge.tiff([(0x010F, 2, " Maker "), (0x0112, 3, 6)], [(0x9003, 2, "2020:01:02 03:04:05")], [(1, 2, "N")])
+    info = {"exif": block, "xmp": b"<x/>", "nclx_profile": {}, "metadata": [1, 2], "bit_depth": 10, "chroma": "420"}
+    image = type("I", (), {"info": info, "size": (40, 30), "mode": "RGB", "has_alpha": False, "__len__": lambda self: 3})()
+    library = Stub(open_heif=lambda f, convert_hdr_to_8bit: image, get_file_mimetype=lambda f: "")
+    facts = external.heif_facts(library, forge.ftyp(b"heic", [b"mif1"]))
+    assert (facts["make"], facts["orientation"], facts["datetime_original"], facts["gps"], facts["images"]) == ("Maker", 6, "2020:01:02 03:04:05", "YES", 3)
+    assert (facts["mime"], facts["bit_depth"], facts["chroma"], facts["nclx"], facts["xmp"], facts["icc"], facts["other_blocks"]) == ("image/heic", 10, None, "NO", "YES", "NO", 2)
+    info["exif"] = b"broken"
+    facts = external.heif_facts(library, forge.ftyp(b"mif1", [b"heic"]))
+    assert (facts["exif"], facts["gps"], facts["make"]) == ("YES", "UNKNOWN", None) and facts["warnings"]
+
+
+def test_container_summaries():
+    from lumenlake.kernels import containers, forge
+
+    sub, gps = [(0x9003, 2, "2020:01:02 03:04:05")], [(1, 2, "N")]
+    base = [(0x0100, 4, 5), (0x0101, 4, 6), (0x010F, 2, "Mk"), (0x0110, 2, " "), (0x0131, 2, "Sw"), (0x013B, 2, "Ann"), (0x0112, 3, 3)]
+    whole = containers.inspect(forge.tiff(sorted(base), sub, gps))
+    assert (whole["exif"], whole["gps"], whole["make"], whole["model"], whole["software"], whole["artist"], whole["orientation"]) == ("YES", "YES", "Mk", None, "Sw", "Ann", 3)
+    assert (whole["mime"], whole["animated"], whole["datetime_original"]) == ("image/tiff", False, None)
+    plain = containers.inspect(forge.tiff(sorted(base)))
+    assert (plain["exif"], plain["gps"]) == ("NO", "NO")
+    broken = containers.exif_summary(b"II*\0\xff\xff\xff\xff")
+    assert (broken["exif"], broken["gps"]) == ("UNKNOWN", "UNKNOWN") and broken["warnings"]
+
+
+def test_raw_candidates_are_opened(spark, folder, monkeypatch):
+    rows = batch.items(files.scan_directory(spark, str(folder)).where("path like '%.nef'"), raw_backend=True)
+    assert [r["format"] for r in rows.collect()] == ["UNSUPPORTED"]  # the reader is not there
+
+
+def test_meanings_of_odd_values(spark):
+    from lumenlake.functions.meanings import interpret_value
+    from lumenlake.kernels.tiff import tagged
+    from fractions import Fraction
+
+    values = [3, 99, "a'b", 'it"s', "x\ny", (1, 2), (1,), Fraction(1, 2), (Fraction(1, 2), Fraction(3)), 0.5, b"a\x00\xff'\\", b"", None]
+    schema = "v struct<kind:string,is_scalar:boolean,ints:array<bigint>,rationals:array<struct<num:bigint,den:bigint>>,floats:array<double>,text:string,bytes:binary>"
+    got = [r["m"] for r in spark.createDataFrame([(tagged(v),) for v in values], schema).select(interpret_value("Orientation", F.col("v")).alias("m")).collect()]
+    plain = [f"Invalid Orientation value: {v!r}" for v in values[2:]]
+    plain[-3] = "Invalid Orientation value: b'a\\x00\\xff\\'\\\\'"
+    assert got == ["Rotate 180°", "Unknown (99)", *plain]
+
+
+def test_batch_texts(spark, folder):
+    rows = batch.items(files.scan_directory(spark, str(folder)))
+    said = reports.text_batch(rows, f"file:{folder}").first()["document"]
+    assert "Files: 7 files" in said and "Failed JPEG:\n- bad.jpg: " in said and "- bomb.jpg: too many JPEG segments" in said
+    said = reports.text_batch_privacy(rows, f"file:{folder}", True).first()["document"]
+    assert "/100 GPS=YES 24.jpg" in said and "/100 GPS=NO 7.jpg" in said and "[ERROR] bad.jpg - " in said
+    assert "JPEG results" not in reports.text_batch_privacy(rows).first()["document"]
+
+
+def test_raw_places_and_formats(spark, folder):
+    blobs = files.scan_directory(spark, str(folder / "84.jpg")).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content")
+    said = reports.text_gps_raw(files.photos(blobs, ["path", "size_bytes", "sha256"]), ["path"]).first()["document"]
+    assert "GPSLatitudeRef" in said and "(73/1, 24/1, 13/1)" in said
+    kinds = files.scan_directory(spark, str(folder)).select(files.strict_format(F.col("content")).alias("f"), "path").collect()
+    assert {r["path"].rsplit(".", 1)[1]: r["f"] and tuple(r["f"]) for r in kinds} == {"jpg": ("Image", "JPEG", "image/jpeg"), "png": None, "nef": None}
+
+
+def test_a_rule_of_the_callers(spark, folder):
+    blobs = files.scan_directory(spark, str(folder / "84.jpg"))
+    row = sanitize.rewrite(blobs, lambda marker, payload: (None, "gone") if marker == 0xE1 else (payload, None), ["path"]).first()
+    assert row["verified"] and row["removed_segments"] == 2 and {c["reason"] for c in row["changes"]} == {"gone"}
+
+
+def test_scrub_text(spark, folder):
+    blobs = files.scan_directory(spark, str(folder / "84.jpg"))
+    said = reports.text_scrub(sanitize.report(blobs, "privacy", ["path"]), ["path"]).first()["document"]
+    assert "GPS                    : YES -> NO" in said and "Image data preserved   : YES" in said and "Mode                   : PRIVACY" in said
