@@ -4,11 +4,13 @@ A candidate's hash is counted over distinct repositories and owners. One that ma
 share is a copied example; one that a single owner has looks live. Only spans and hashes
 are shuffled, never texts, and every aggregate is combined before its shuffle: first by
 (hash, owner, repository), then (hash, owner), then hash, so that a hash held by a third of
-all rows is spread over its owners' repositories and arrives as one row each.
+all rows is spread over its owners' repositories and arrives as one row each. Counts go back to
+the rows by a shuffle on the hash, but for hashes with more than one in ``1 / HOT`` of all occurrences: there
+are fewer than ``HOT`` of those by their definition, and they are broadcast.
 
 Defined results: a null text is empty; a null owner or repository counts as one unnamed
-owner or repository; repeated rows are scanned each on their own; an empty table gives an
-empty result; other columns are ignored.
+owner or repository, and so do all rows of a table without the columns of the defaults; repeated rows
+are scanned each on their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ ENTROPY = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])"
 KINDS = ("assign", "access", "hex", "entropy")
 #: A value that so many owners hold is a copied example.
 SHARED_OWNERS = 3
+#: Most hashes whose counts are broadcast.
+HOT = 1_000
 
 
 def _tagged(spans: Column, kind: str, value=lambda x: x["m"]) -> Column:
@@ -70,8 +74,9 @@ def scan_secrets(
     """
     spark = df.sparkSession
     stage = Stage(spark)
-    owner = F.col("source") if owner is None else owner
-    repo = F.concat_ws("/", F.col("source"), F.col("lang")) if repo is None else repo
+    named = lambda *names: F.concat_ws("/", *[F.col(c) for c in names if c in df.columns]) if set(names) & set(df.columns) else F.lit("")
+    owner = named("source") if owner is None else owner
+    repo = named("source", "lang") if repo is None else repo
     # Row numbers are fixed by writing them: a retry of this stage cannot change those read later.
     rows = stage.table(
         df.select(
@@ -85,8 +90,11 @@ def scan_secrets(
     )
     each = rows.where(F.size("found") > 0).select("row_no", "owner", "repo", F.explode("found").alias("x")).select("row_no", "owner", "repo", "x.*")
     owners = stage.table(ownership(each), "secret-owners")
+    often = owners.agg(F.sum("n_rows")).first()[0] or 0
+    hot = owners.where(F.col("n_rows") * HOT > often)
+    counted = each.join(F.broadcast(hot), "hash").unionByName(each.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(owners, "hash"))
     judged = (
-        each.join(owners, "hash")
+        counted
         .withColumn("live", F.col("n_owners") < shared_owners)
         .where((F.col("kind_no") < 3) | F.col("live"))
         .groupBy("row_no")
