@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlake import case_queries
 from lumenlake.functions.meanings import FLASH, METERING_MODE, ORIENTATION, interpret
 from lumenlake.functions.text import clean_name, file_size, general
 from lumenlake.kernels.limits import Limits
@@ -282,13 +283,12 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    S + """SELECT count(*) AS total_files, count(*) AS jpeg_count, 0::BIGINT AS png_count, count(*) FILTER (NOT bad) AS analyzed_jpeg_count, count(*) FILTER (bad) AS failed_jpeg_count,
+    S + """SELECT count(*) AS total_files, count(*) AS jpeg_count, 0::BIGINT AS png_count, 0::BIGINT AS webp_count, 0::BIGINT AS tiff_count, 0::BIGINT AS heif_count, 0::BIGINT AS raw_count, 0::BIGINT AS unsupported_count, count(*) FILTER (NOT bad) AS analyzed_jpeg_count, count(*) FILTER (bad) AS failed_jpeg_count,
  count(*) FILTER (gps AND NOT bad) AS gps_detected_count, count(*) FILTER (level = 'HIGH') AS high_privacy_count, count(*) FILTER (level = 'MEDIUM') AS medium_privacy_count,
  count(*) FILTER (level = 'LOW') AS low_privacy_count FROM l"""
 )
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("total_files", "jpeg_count", "png_count", "analyzed_jpeg_count", "failed_jpeg_count", "gps_detected_count", "high_privacy_count", "medium_privacy_count", "low_privacy_count")
-    return batch.summary(_items(spark, sf_dir)).select(*names)
+    return batch.summary(_items(spark, sf_dir))
 
 
 YN = "CASE WHEN {} THEN 'YES' ELSE 'NO' END"
@@ -297,12 +297,14 @@ YN = "CASE WHEN {} THEN 'YES' ELSE 'NO' END"
 @query(
     S + f"""SELECT '1.0' AS schema_version, o || '.jpg' AS path, 'JPEG' AS format, {YN.format('NOT bad')} AS analyzed, CASE WHEN bad THEN '' ELSE width::VARCHAR END AS width,
  CASE WHEN bad THEN '' ELSE height::VARCHAR END AS height, CASE WHEN bad THEN '' WHEN o % 23 = 0 THEN 'Progressive DCT' ELSE 'Baseline DCT' END AS jpeg_process,
- CASE WHEN bad THEN '' ELSE 'YES' END AS metadata_exif, CASE WHEN bad THEN '' ELSE {YN.format('gps')} END AS metadata_gps, CASE WHEN bad OR NOT model THEN '' ELSE 'M' || (c % 7) END AS camera_model,
+ CASE WHEN bad THEN '' ELSE 'YES' END AS metadata_exif, CASE WHEN bad THEN '' ELSE {YN.format('gps')} END AS metadata_gps,
+ CASE WHEN bad THEN '' ELSE {YN.format('xmp')} END AS metadata_xmp, CASE WHEN bad THEN '' ELSE {YN.format('iptc')} END AS metadata_iptc, CASE WHEN bad THEN '' ELSE {YN.format('icc')} END AS metadata_icc,
+ CASE WHEN bad THEN 'truncated JPEG: segment payload is short' ELSE '' END AS error, CASE WHEN bad OR NOT model THEN '' ELSE 'M' || (c % 7) END AS camera_model,
  CASE WHEN bad THEN '' ELSE {YN.format('gps')} END AS gps_detected, coalesce(level, '') AS privacy_level, coalesce(points::VARCHAR, '') AS privacy_points FROM l"""
 )
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reports.csv_rows(_items(spark, sf_dir), "file:/photos")
-    return rows.select("schema_version", "path", "format", "analyzed", "width", "height", "jpeg_process", "metadata_exif", "metadata_gps", "camera_model", "gps_detected", "privacy_level", "privacy_points")
+    return rows.drop("size_bytes", "sha256")  # of forged files, which SQL does not have
 
 
 @query(
@@ -335,13 +337,16 @@ def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.text_scan(_judged(spark, sf_dir), ["o"])
 
 
-_SCRUB = "SELECT o, {} AS removed_segments, {} AS modified_segments, true AS same_scans, true AS verified FROM p WHERE NOT bad"
+_SCRUB = (
+    "SELECT o, CASE WHEN bad THEN 0 ELSE {} END AS removed_segments, CASE WHEN bad THEN 0 ELSE {} END AS modified_segments, CASE WHEN NOT bad THEN true END AS same_scans, NOT bad AS verified, "
+    "CASE WHEN bad THEN 'truncated JPEG: segment payload is short' END AS error FROM p"
+)
 
 
 def _scrub(mode: str, removed: str, modified: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = sanitize.scrub(forged.photo_files(spark, sf_dir), mode, ["o"]).where("error is null")
-        return rows.select("o", F.col("removed_segments").cast("long"), F.col("modified_segments").cast("long"), "same_scans", "verified")
+        rows = sanitize.scrub(forged.photo_files(spark, sf_dir), mode, ["o"])
+        return rows.select("o", F.col("removed_segments").cast("long"), F.col("modified_segments").cast("long"), "same_scans", "verified", "error")
 
     name = {"all": "scrub_full"}.get(mode, f"scrub_{mode}")
     QUERIES[name] = run
@@ -386,17 +391,18 @@ def parser_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CASE WHEN n < 1000 THEN n || ' B' WHEN n < 1000000 THEN u(n, 1000) || ' KB' ELSE u(n, 1000000) || ' MB' END AS size FROM (SELECT doc_id, n_chars AS n FROM documents)""".replace(
-        "u(n, 1000)", "(n // 1000) || '.' || lpad((n % 1000 // 10)::VARCHAR, 2, '0')"
-    ).replace("u(n, 1000000)", "(n // 1000000) || '.' || lpad((n % 1000000 // 10000)::VARCHAR, 2, '0')")
+    """WITH v AS (SELECT doc_id, n_chars AS b, CASE WHEN n_chars < 1000 THEN NULL WHEN n_chars < 1000000 THEN 10 ELSE 10000 END AS unit FROM documents),
+ r AS (SELECT *, b // unit + (2 * (b % unit) > unit OR (2 * (b % unit) = unit AND b // unit % 2 = 1))::INT AS cents FROM v)
+ SELECT doc_id, CASE WHEN unit IS NULL THEN b || ' B' ELSE (cents // 100) || '.' || lpad((cents % 100)::VARCHAR, 2, '0') || CASE unit WHEN 10 THEN ' KB' ELSE ' MB' END END AS size FROM r"""
 )
 def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Cut to tens of bytes first, so that no rounding is in question.
-    n = F.col("n_chars")
-    exact = F.when(n < 1000, n).when(n < 1_000_000, n - n % 10).otherwise(n - n % 10_000)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", file_size(exact).alias("size"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", file_size(F.col("n_chars")).alias("size"))
 
 
 @query("SELECT p_partkey AS p, p_size // 10 || CASE WHEN p_size % 10 = 0 THEN '' ELSE '.' || (p_size % 10) END AS shown FROM part")
 def general_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("p"), general(F.col("p_size") / 10).alias("shown"))
+
+
+QUERIES |= case_queries.QUERIES
+ORACLE_SQL |= case_queries.ORACLE_SQL
