@@ -152,7 +152,7 @@ def _bar(points: str, width: int = 20) -> str:
  || 'Resolution    : ' || CASE WHEN bad THEN '-' ELSE width || ' x ' || height END || chr(10) || 'Process       : ' || CASE WHEN bad THEN '-' WHEN o % 23 = 0 THEN 'Progressive DCT' ELSE 'Baseline DCT' END || chr(10)
  || 'Exposure      : ' || coalesce(points || '/100 ' || level, '-') || chr(10) || '[' || {_bar('coalesce(points, 0)')} || ']' AS document FROM l"""
 )
-def text_scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.text_scan(privacy.assess(_photos(spark, sf_dir, *privacy.NEEDS, *comparison.NEEDS)), ["o"])
 
 
@@ -243,7 +243,7 @@ def raw_places(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE WHEN model THEN 'device_model' END, CASE WHEN gps THEN 'gps_altitude' END, CASE WHEN original THEN 'original_capture_date' END, CASE WHEN creators OR byline THEN 'owner_information' END,
  CASE WHEN software OR xmp THEN 'software' END) || '","error":null},"warnings":[]}' END AS document FROM l"""
 )
-def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def json_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents; sizes and hashes of forged files, and findings beyond their codes in order, are replaced."""
     rows = reports.json_single(privacy.assess(_photos(spark, sf_dir)), ["o", "width"])
     document = F.regexp_replace(F.regexp_replace("document", r'"size_bytes":\d+', '"size_bytes":N'), r'"sha256":"[0-9a-f]{64}"', '"sha256":"H"')
@@ -262,7 +262,7 @@ def _cell(k: str, v: str) -> str:
  CASE WHEN bad THEN '<p>/100 </p><ul></ul>' ELSE '<p>' || points || '/100 ' || level || '</p><ul>' || array_to_string(list_transform(string_split(regexp_replace({_FOUND}, ' [(][^)]*[)]', '', 'g'), chr(10)), lambda x: CASE WHEN x = '' THEN '' ELSE '<li>' || x || '</li>' END), '') || '</ul>' END AS privacy,
  CASE WHEN bad OR NOT gps THEN 0 ELSE 3 END::BIGINT AS hidden FROM l"""
 )
-def html_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = anomalies.detect(privacy.assess(_photos(spark, sf_dir)))
     page = reports.html_report(judged, ["o", "width"])
     section = lambda title: F.regexp_extract("document", rf"<section><h2>{title}</h2>(.*?)</section>", 1)
@@ -346,3 +346,35 @@ def tool_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scrub_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sanitize.report(cases.files(spark, sf_dir, cases.private_photo), "privacy", ["k"])
     return rows.select("k", F.col("before_findings").alias("before"), F.col("after_findings").alias("after"), "before_gps", "after_gps", "after_size.width", "after_size.height", "verified")
+
+
+#: First failing part and its message, of each case that lowers a budget; and how many parts fail.
+BUDGETS = [
+    (0, "", "", 0), (1, "header", "input file exceeds the limit", 1), (2, "header", "too many JPEG segments", 1), (3, "header", "too many marker fill bytes", 1),
+    (4, "header", "segment payload exceeds the limit", 1), (5, "header", "JPEG header payloads exceed the limit", 1), (6, "exif", "too many directory entries", 1),
+    (7, "exif", "too many components", 1), (8, "exif", "value is too large", 1), (9, "exif", "directories are nested too deep", 1),
+    (10, "exif", "too many directories", 1), (11, "xmp", "XMP packet exceeds the limit", 1), (12, "xmp", "XMP has too many nodes", 1),
+    (13, "xmp", "XMP has too many properties", 1), (14, "icc", "ICC profile exceeds the limit", 1), (15, "icc", "too many ICC chunks", 1),
+    (16, "icc", "too many ICC tags", 1), (17, "iptc", "too many Photoshop resources", 1), (18, "iptc", "Photoshop block exceeds the limit", 1),
+    (19, "iptc", "Photoshop resource exceeds the limit", 1), (20, "iptc", "IPTC data exceeds the limit", 1), (21, "iptc", "too many IPTC datasets", 1),
+    (22, "iptc", "IPTC value exceeds the limit", 1), (23, "iptc", "extended length has too many octets", 1),
+]
+
+
+@query(f"WITH {_values('x', BUDGETS)} AS t(i, part, message, errors)) SELECT c_custkey AS k, part, message, errors::INT AS errors FROM customer JOIN x ON c_custkey % {cases.BUDGETS} = i")
+def lowered_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.over_blobs(cases.files(spark, sf_dir, cases.budget_photo), ["k"], "content", "part string, message string, errors int", cases.within_budget)
+
+
+#: The tables of a folder as files: what a scan by name lists of it.
+TABLES_LISTED = ("region", "customer", "supplier", "part", "orders", "events", "benchmark", "labels", "conversations")
+
+
+@query("SELECT unnest([" + ", ".join(f"'{t}.parquet'" for t in sorted(TABLES_LISTED)) + "]) AS name, 'UNSUPPORTED' AS format, '.parquet' AS suffix, true AS sized")
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder's own files as a directory: names by a pattern, others left out, formats by content."""
+    rest = [f"{sf_dir}/{t}.parquet" for t in ("nation", "lineitem", "documents", "embeddings", "pages")]
+    rows = batch.items(files.scan_directory(spark, sf_dir, exclude=rest, glob="*.parquet"))
+    info = files.file_info(files.scan_directory(spark, sf_dir, exclude=rest, glob="*.parquet")).select("path", "name", "size_human")
+    both = rows.join(info, "path")
+    return both.select("name", "format", F.regexp_extract("name", r"(\.[^.]+)$", 1).alias("suffix"), ((F.col("size_bytes") > 0) & F.col("size_human").isNotNull()).alias("sized"))

@@ -112,8 +112,12 @@ def _scan(args: argparse.Namespace, spark: SparkSession) -> None:
         items = batch.items(files.scan_directory(spark, args.path, args.recursive, [args.csv] if args.csv else None))
         if args.csv:
             print(reports.write_csv_file(reports.csv_rows(items, f"file:{args.path}"), args.csv))
+        elif args.json:
+            for part in reports.json_parts(items, f"file:{args.path}", args.recursive):
+                print(part, end="")
+            print()
         else:
-            _print(reports.json_batch(items, f"file:{args.path}", args.recursive) if args.json else reports.text_batch(items, f"file:{args.path}"))
+            _print(reports.text_batch(items, f"file:{args.path}"))
     elif args.segments:
         _print(reports.text_segments(files.photos(_blobs(spark, args.path), KEYS), ["path"]))
     elif (kind := _kind(spark, args.path)) in ("PNG", "WEBP", "TIFF"):

@@ -214,8 +214,3 @@ def fingerprint(segments: list[Segment], marker: int) -> str | None:
     """SHA-256 over length-prefixed payloads of a table marker; None without any."""
     found = [s.payload for s in segments if s.marker == marker]
     return hashlib.sha256(b"".join(struct.pack(">I", len(p)) + p for p in found)).hexdigest() if found else None
-
-
-def require_jpeg(data: bytes) -> None:
-    if data[:2] != b"\xff\xd8":
-        raise ParseError("not a JPEG")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.plans.forged import forged
 
-ANOMALIES, PRIVATE, CHANGES, PLACES = 24, 12, 21, 12
+ANOMALIES, PRIVATE, CHANGES, PLACES, BUDGETS = 24, 12, 21, 12, 24
 MADE = [(0x010F, 2, "Make"), (0x0110, 2, "Model")]
 LATITUDE, LONGITUDE = [(1, 2, "N"), (2, 5, [(19, 1), (25, 1), (30, 1)])], [(3, 2, "W"), (4, 5, [(99, 1), (7, 1), (48, 1)])]
 DATED = [(0x1D, 2, "2026:08:11")]
@@ -119,3 +119,43 @@ def files(spark: SparkSession, sf_dir: str, make) -> DataFrame:
     """k, path, length and content of a file per customer."""
     table = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
     return forged(table, ["k"], make)
+
+
+#: Of each case the budget that it lowers and to what; case 0 lowers none.
+LOWERED = [
+    ("max_input_file_bytes", 1024 << 20), ("max_input_file_bytes", 99), ("max_jpeg_segments", 3), ("max_jpeg_marker_fill_bytes", 1), ("max_jpeg_segment_payload_bytes", 40),
+    ("max_jpeg_header_payload_bytes", 99), ("max_ifd_entries", 1), ("max_tiff_components", 1), ("max_tiff_value_bytes", 1), ("max_ifd_depth", 0), ("max_ifd_nodes", 1),
+    ("max_xmp_packet_bytes", 99), ("max_xmp_xml_nodes", 2), ("max_xmp_properties", 1), ("max_icc_profile_bytes", 99), ("max_icc_chunks", 1), ("max_icc_tags", 0),
+    ("max_photoshop_resources", 0), ("max_photoshop_payload_bytes", 9), ("max_photoshop_resource_bytes", 1), ("max_iptc_data_bytes", 1), ("max_iptc_datasets", 1),
+    ("max_iptc_value_bytes", 1), ("max_iptc_length_octets", 1),
+]
+
+
+def budget_photo(row: dict) -> bytes:
+    """A byte that numbers the case, and a photo with something of everything that a budget bounds; case 3 has fill bytes, case 23 a long length."""
+    import struct
+
+    from lumenlake.kernels import forge as f
+    from lumenlake.kernels.jpeg import PHOTOSHOP_ID
+
+    k = row["k"] % BUDGETS
+    parts = [f.exif([*MADE, (0x011A, 5, (72, 1))], [(0x9003, 2, "2020:01:02 03:04:05")]), f.xmp({"xmp:CreatorTool": "T", "xmp:Rating": "1"}), *f.icc(f.icc_profile("P"), 2)]
+    if k == 23:
+        data = struct.pack(">BBBH", 0x1C, 2, 25, 0x8004) + struct.pack(">I", 3) + b"key"
+        parts.append(f.segment(0xED, PHOTOSHOP_ID + b"8BIM" + struct.pack(">H", 0x0404) + b"\0\0" + struct.pack(">I", len(data)) + data + b"\0" * (len(data) % 2)))
+    else:
+        parts.append(f.iptc([(2, 25, b"key"), (2, 90, b"City")]))
+    data = f.jpeg(parts, 32, 16)
+    return bytes([k]) + (data[:2] + b"\xff\xff" + data[2:] if k == 3 else data)
+
+
+def within_budget(data: bytes) -> dict:
+    """The first error of a ``budget_photo`` under its case's budget."""
+    from dataclasses import replace
+
+    from lumenlake.kernels.limits import DEFAULT
+    from lumenlake.kernels.photo import parse
+
+    name, value = LOWERED[data[0]]
+    errors = parse(data[1:], replace(DEFAULT, **{name: value}), frozenset({"tags", "xmp", "iptc", "icc", "errors"}))["errors"]
+    return {"part": errors[0]["part"] if errors else "", "message": errors[0]["message"] if errors else "", "errors": len(errors)}

@@ -6,6 +6,8 @@ document gathers its rows; it is a report for one directory and is sorted by pat
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,19 +116,37 @@ def json_files(items: DataFrame, root: str) -> DataFrame:
     return items.select("path", _json(one).alias("document"))
 
 
-def json_batch(items: DataFrame, root: str, recursive: bool) -> DataFrame:
-    """One row: the whole directory as a document."""
-    files = json_files(items, root)
-    counts = batch.summary(items)
+def _json_head(items: DataFrame, root: str, recursive: bool) -> DataFrame:
+    """One row: a directory's document up to its list of files, without the closing brace."""
     formats = F.struct(*[F.col(f"{f.lower()}_count").alias(f.lower()) for f in batch.FORMATS])
     summary = F.struct(
         "total_files", formats.alias("formats"), F.struct(F.col("analyzed_jpeg_count").alias("analyzed"), F.col("failed_jpeg_count").alias("failed")).alias("jpeg"),
         F.col("gps_detected_count").alias("gps_detected"), F.struct(*[F.col(f"{v}_privacy_count").alias(v) for v in ("high", "medium", "low")]).alias("privacy_exposure"),
     )
     head = F.struct(F.lit(VERSION).alias("schema_version"), F.lit("batch").alias("mode"), F.lit(root).alias("directory"), F.lit(recursive).alias("recursive"), summary.alias("summary"))
-    listed = files.agg(F.array_sort(F.collect_list(F.struct(F.lower("path").alias("k"), "path", "document"))).alias("all"))
+    return batch.summary(items).select(F.regexp_replace(_json(head), r"\}$", "").alias("head"))
+
+
+def json_batch(items: DataFrame, root: str, recursive: bool) -> DataFrame:
+    """One row: the whole directory as a document, in one task's memory; for large ones see ``json_lines`` and ``json_parts``."""
+    listed = json_files(items, root).agg(F.array_sort(F.collect_list(F.struct(F.lower("path").alias("k"), "path", "document"))).alias("all"))
     body = F.array_join(F.transform("all", lambda x: x["document"]), ",")
-    return counts.crossJoin(F.broadcast(listed)).select(F.concat(F.regexp_replace(_json(head), r"\}$", ""), F.lit(',"files":['), body, F.lit("]}")).alias("document"))
+    return _json_head(items, root, recursive).crossJoin(F.broadcast(listed)).select(F.concat("head", F.lit(',"files":['), body, F.lit("]}")).alias("document"))
+
+
+def json_lines(items: DataFrame, root: str, path: str) -> None:
+    """A folder of JSON lines, one per file, written by Spark: for any size."""
+    json_files(items, root).select("document").write.mode("errorifexists").text(path)
+
+
+def json_parts(items: DataFrame, root: str, recursive: bool) -> Iterator[str]:
+    """The document of ``json_batch`` piece by piece, by path; rows pass through the driver one by one."""
+    yield _json_head(items, root, recursive).first()["head"] + ',"files":['
+    comma = ""
+    for row in json_files(items, root).orderBy(F.lower("path"), "path").toLocalIterator():
+        yield comma + row["document"]
+        comma = ","
+    yield "]}"
 
 
 def special_fields() -> Column:

@@ -318,25 +318,6 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(relative(F.col("path"), "file:/photos").alias("path"), "document")
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomalies.detect(privacy.assess(photos(spark, sf_dir)))
-
-
-@query()
-def json_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.json_single(_judged(spark, sf_dir), ["o"])
-
-
-@query()
-def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.html_report(_judged(spark, sf_dir), ["o"])
-
-
-@query()
-def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.text_scan(_judged(spark, sf_dir), ["o"])
-
-
 _SCRUB = (
     "SELECT o, CASE WHEN bad THEN 0 ELSE {} END AS removed_segments, CASE WHEN bad THEN 0 ELSE {} END AS modified_segments, CASE WHEN NOT bad THEN true END AS same_scans, NOT bad AS verified, "
     "CASE WHEN bad THEN 'truncated JPEG: segment payload is short' END AS error FROM p"

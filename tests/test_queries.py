@@ -44,12 +44,17 @@ def test_one_bad_file_does_not_stop_a_folder(spark, folder):
     document = reports.json_batch(rows, f"file:{folder}", False).first()["document"]
     import json
 
+    assert "".join(reports.json_parts(rows, f"file:{folder}", False)) == document
     assert json.loads(document)["summary"]["total_files"] == 7 and len(json.loads(document)["files"]) == 7
 
 
 def test_csv_file(spark, folder, tmp_path):
     rows = reports.csv_rows(batch.items(files.scan_directory(spark, str(folder))), f"file:{folder}")
     assert reports.write_csv_file(rows, str(tmp_path / "o.csv")) == 7
+    reports.write_csv(rows, str(tmp_path / "parts"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "parts")).count() == 7
+    reports.json_lines(batch.items(files.scan_directory(spark, str(folder))), f"file:{folder}", str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).where("analyzed").count() == 3
     raw = (tmp_path / "o.csv").read_bytes()
     assert raw.startswith(b"\xef\xbb\xbfschema_version,path") and b"1.0,24.jpg,JPEG,YES" in raw
 
@@ -307,3 +312,26 @@ def test_scrub_text(spark, folder):
     blobs = files.scan_directory(spark, str(folder / "84.jpg"))
     said = reports.text_scrub(sanitize.report(blobs, "privacy", ["path"]), ["path"]).first()["document"]
     assert "GPS                    : YES -> NO" in said and "Image data preserved   : YES" in said and "Mode                   : PRIVACY" in said
+
+
+def test_stat_times_and_duplicate_tags(spark, folder):
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in files.stat_times(files.scan_directory(spark, str(folder))).collect()}
+    assert rows["84.jpg"]["changed"] > 1e9 and rows["84.jpg"]["accessed"] > 1e9
+    from lumenlake.plans import cases
+
+    blobs = spark.createDataFrame([(k, cases.anomaly_photo({"k": k})) for k in (0, 17)], "k long, content binary")
+    assert [tuple(r) for r in anomalies.duplicate_tags(files.photos(blobs, ["k"]), ["k"]).collect()] == [(17, "IFD0", "Model", 2)]
+
+
+def test_many_excluded_paths(spark, folder, monkeypatch):
+    monkeypatch.setattr(files, "MOST_BROADCAST", 1)
+    left = files.scan_directory(spark, str(folder), exclude=[str(folder / "a.png"), f"file:{folder}/7.jpg"])
+    assert {r["path"].rsplit("/", 1)[1] for r in left.select("path").collect()} == {"24.jpg", "84.jpg", "bad.jpg", "bomb.jpg", "x.nef"}
+
+
+def test_backends_tell_versions(spark):
+    from lumenlake.sources import optional
+
+    assert {r["name"]: r["available"] for r in optional.backends(spark).collect()} == {"exiftool": False, "rawpy": False, "pillow_heif": False}
+    version, features = optional.library_info("pyarrow", Stub(libraw_version=(0, 21, 2), flags={"B": True, "A": True, "C": False}))
+    assert version.endswith("(0.21.2)") and features == ["A", "B"] and optional.library_info("no such module", Stub()) == ("unknown", [])
