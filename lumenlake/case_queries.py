@@ -378,3 +378,18 @@ def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = files.file_info(files.scan_directory(spark, sf_dir, exclude=rest, glob="*.parquet")).select("path", "name", "size_human")
     both = rows.join(info, "path")
     return both.select("name", "format", F.regexp_extract("name", r"(\.[^.]+)$", 1).alias("suffix"), ((F.col("size_bytes") > 0) & F.col("size_human").isNotNull()).alias("sized"))
+
+
+@query(
+    f"""SELECT c_custkey AS k, CASE c_custkey % {cases.PACKETS} WHEN 0 THEN '0 xmp:Rating=' || c_custkey % 6 || ';1 dc:title=bueno;1 dc:subject=a|b' WHEN 1 THEN '0 xmpMM:DerivedFrom=r1' WHEN 2 THEN '0 dc:title=primero'
+ WHEN 3 THEN '0 {{urn:z}}thing=t' ELSE '' END AS properties, c_custkey % {cases.PACKETS} = 0 AS extended, CASE c_custkey % {cases.PACKETS} WHEN 5 THEN 'Keywords=Öl;Unknown_2_200=3F' ELSE '' END AS datasets,
+ CASE c_custkey % {cases.PACKETS} WHEN 4 THEN 'xmp' ELSE '' END AS failing FROM customer"""
+)
+def packet_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _facts(spark, sf_dir, cases.packet_photo, "xmp", "iptc", "has_extended_xmp", "errors")
+    said = lambda p: F.concat(p["packet"].cast("string"), F.lit(" "), p["qualified_name"], F.lit("="), F.coalesce(p["value_text"], F.array_join(p["value_list"], "|")))
+    data = lambda d: F.concat(d["name"], F.lit("="), F.coalesce(d["text"], F.hex(d["raw"])))
+    return rows.select(
+        "k", F.array_join(F.transform("xmp", said), ";").alias("properties"), F.col("has_extended_xmp").alias("extended"), F.array_join(F.transform("iptc", data), ";").alias("datasets"),
+        F.array_join(F.transform("errors", lambda e: e["part"]), ",").alias("failing"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.plans.forged import forged
 
-ANOMALIES, PRIVATE, CHANGES, PLACES, BUDGETS = 24, 12, 21, 12, 24
+ANOMALIES, PRIVATE, CHANGES, PLACES, BUDGETS, PACKETS = 24, 12, 21, 12, 24, 6
 MADE = [(0x010F, 2, "Make"), (0x0110, 2, "Model")]
 LATITUDE, LONGITUDE = [(1, 2, "N"), (2, 5, [(19, 1), (25, 1), (30, 1)])], [(3, 2, "W"), (4, 5, [(99, 1), (7, 1), (48, 1)])]
 DATED = [(0x1D, 2, "2026:08:11")]
@@ -159,3 +159,25 @@ def within_budget(data: bytes) -> dict:
     name, value = LOWERED[data[0]]
     errors = parse(data[1:], replace(DEFAULT, **{name: value}), frozenset({"tags", "xmp", "iptc", "icc", "errors"}))["errors"]
     return {"part": errors[0]["part"] if errors else "", "message": errors[0]["message"] if errors else "", "errors": len(errors)}
+
+
+def packet_photo(row: dict) -> bytes:
+    """XMP packets with the forms of values, several packets, an extended one, and datasets without a declared character set."""
+    from lumenlake.kernels import forge as f
+    from lumenlake.kernels.jpeg import XMP_EXT_ID, XMP_ID
+
+    k = row["k"] % PACKETS
+    spaces = 'xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:xmpMM="http://ns.adobe.com/xap/1.0/mm/" xmlns:z="urn:z"'
+
+    def packet(body: str) -> bytes:
+        rdf = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">'
+        return f.segment(0xE1, XMP_ID + f'<x:xmpmeta xmlns:x="adobe:ns:meta/">{rdf}<rdf:Description {spaces}>{body}</rdf:Description></rdf:RDF></x:xmpmeta>'.encode())
+
+    item = lambda lang, text: f'<rdf:li xml:lang="{lang}">{text}</rdf:li>'
+    parts = [
+        lambda: [f.xmp({"xmp:Rating": str(row["k"] % 6)}), packet(f"<dc:title><rdf:Alt>{item('es', 'otro')}{item('x-default', 'bueno')}</rdf:Alt></dc:title><dc:subject><rdf:Bag><rdf:li>a</rdf:li><rdf:li> </rdf:li><rdf:li>b</rdf:li></rdf:Bag></dc:subject>"), f.segment(0xE1, XMP_EXT_ID + b"more")],
+        lambda: [packet('<xmpMM:DerivedFrom rdf:resource="r1"/>')], lambda: [packet(f"<dc:title><rdf:Alt>{item('es', 'primero')}{item('de', 'zwei')}</rdf:Alt></dc:title>")],
+        lambda: [packet(" <z:thing> t </z:thing> ")], lambda: [packet("<dc:rights></dc:rights>"), f.segment(0xE1, XMP_ID + b"<broken")],
+        lambda: [f.iptc([(2, 25, "Öl".encode("latin-1")), (2, 200, b"?")])],
+    ][k]()
+    return f.jpeg(parts, 8, 8)
