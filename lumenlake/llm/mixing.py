@@ -31,6 +31,7 @@ from math import gcd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.llm.columns import unused
 from lumenlake.llm.store import Stage
 
 BLOCK = 16
@@ -166,16 +167,18 @@ def _parts(sizes: list, weights: list[int], block: int) -> Iterator[tuple[list[t
 
 
 def mixed(df: DataFrame, weights: Mapping[str | None, int] | None = None, source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
-    """All rows and columns of ``df``, sorted by ``position``; rows that repeat an id take its positions in any order."""
+    """All rows and columns of ``df``, sorted by ``position``.
+
+    Rows that repeat an id are told apart by numbers that are fixed by writing them, and are scheduled by those.
+    """
     names = df.columns
-    at = schedule(df, weights, source_col, id_col, **options).select(F.col(id_col).alias("mix_id_"), F.col(source_col).alias("mix_src_"), F.col("position").alias("mix_at_"))
-    on = F.col(id_col).eqNullSafe(F.col("mix_id_")) & F.col(source_col).eqNullSafe(F.col("mix_src_"))
-    if not at.groupBy("mix_id_").count().where("count > 1").isEmpty():
-        df = df.withColumn("mix_no_", F.row_number().over(Window.partitionBy(id_col, source_col).orderBy(id_col)))
-        at = at.withColumn("mix_k_", F.row_number().over(Window.partitionBy("mix_id_", "mix_src_").orderBy("mix_at_")))
-        on = on & (F.col("mix_no_") == F.col("mix_k_"))
+    key, at_, own = unused(df, "mix_key", "mix_at", "mix_no")
+    if not df.select(F.col(id_col).alias("id")).groupBy("id").count().where("count > 1").isEmpty():
+        df = Stage(df.sparkSession).table(df.withColumn(own, F.monotonically_increasing_id()), "mix-numbered")
+        id_col = own
+    at = schedule(df, weights, source_col, id_col, **options).select(F.col(id_col).alias(key), F.col("position").alias(at_))
     # A sorted merge at every size: neither side is bounded, so none is broadcast because it happens to be small.
-    return df.join(at.hint("merge"), on).orderBy("mix_at_").select(*names)
+    return df.join(at.hint("merge"), F.col(id_col).eqNullSafe(F.col(key))).orderBy(at_).select(*names)
 
 
 def _running(cells: DataFrame, group: list[str], order: str, count: str, stage: Stage) -> DataFrame:

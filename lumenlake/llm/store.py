@@ -7,6 +7,7 @@ re-read of shared files, never a recomputation from the source.
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,11 @@ _live: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local default only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _DEFAULT_DIR).rstrip("/")
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of this machine if it is the only one."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (given or _DEFAULT_DIR).rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
