@@ -111,3 +111,52 @@ def leaks(docs, items, n=5, percent=80):
         s = shingles(t, n)
         out |= {(d, i, len(w & s), len(w)) for i, w in wanted.items() if w and 100 * len(w & s) >= percent * len(w)}
     return out
+
+
+def earliest_deadlines(blocks, weights):
+    """(source, block) of each slot: in each phase, of the live sources' released blocks the one due first, the first source of equal ones."""
+    out, done = [], [0] * len(blocks)
+    while any(d < b for d, b in zip(done, blocks)):
+        live = [i for i in range(len(blocks)) if done[i] < blocks[i]]
+        total, taken, t = sum(weights[i] for i in live), dict.fromkeys(live, 0), 0
+        while all(done[i] < blocks[i] for i in live):
+            released = [i for i in live if taken[i] * total // weights[i] <= t]
+            i = min(released, key=lambda i: (-(-(taken[i] + 1) * total // weights[i]), i))
+            out.append((i, done[i]))
+            taken[i], done[i], t = taken[i] + 1, done[i] + 1, t + 1
+    return out
+
+
+IBAN_LENGTHS = {"DE": 22, "GB": 22, "FR": 27, "NO": 15, "CH": 21, "ES": 24, "IT": 27, "NL": 18, "PL": 28}
+
+
+def ibans(text):
+    """(start, end) of each start of an IBAN with the longest end at a word's end that has its country's length and leaves 1 modulo 97."""
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})", text or "", re.A):
+        for n in range(68, 14, -1):
+            value = text[m.start() : m.start() + n]
+            bare = value.replace(" ", "")
+            after = text[m.start() + n : m.start() + n + 1]
+            if len(value) < n or value[-1] == " " or re.fullmatch("[A-Za-z0-9]", after) or not re.fullmatch(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", value):
+                continue
+            if bare[:2] in IBAN_LENGTHS and len(bare) != IBAN_LENGTHS[bare[:2]]:
+                continue
+            if int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1:
+                out.append((m.start(), m.start() + n))
+                break
+    return out
+
+
+def entropy(rows, owners=3):
+    """Of rows (id, text, owner) the (start, end) of long mixed tokens that fewer than ``owners`` owners hold, and of all hashed values the owners."""
+    rx = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
+    held, found = defaultdict(set), []
+    for i, text, owner in rows:
+        mine = [m for m in rx.finditer(text or "") if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9].*[0-9]", m[0])]
+        found.append((i, mine, owner))
+        values = [m[0] for m in mine] + [m[0] for m in re.finditer("AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", text or "")]
+        values += [m[2] for m in re.finditer(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text or "", re.A) if len(m[2]) >= 6]
+        for v in values:
+            held[v].add(owner)
+    return {i: [(m.start(), m.end()) for m in mine if len(held[m[0]]) < owners] for i, mine, _ in found}

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlake.llm import decontam, licenses, mixing, neardup, pii, quality, queries, rangecoder, secret_scan, substrings, tokenout, toxicity
+from lumenlake.llm import decontam, licenses, mixing, neardup, pii, quality, queries, rangecoder, secret_scan, store, substrings, tokenout, toxicity
 from lumenlake.llm.textkit import buffers, of_texts
 
 LONG = "word " * 20000
@@ -26,7 +26,7 @@ ROWS = [
 def odd(spark):
     """Awkward rows, with columns whose names the operators use themselves."""
     df = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("source", F.when(F.col("doc_id") > 3, "s")).withColumn("lang", F.lit("en"))
-    clash = ("id_", "text_", "n", "key", "comp", "node", "h1", "shard", "row_no", "owner", "slot", "position", "src_", "findings", "score", "kept", "v")
+    clash = ("id_", "text_", "n", "key", "comp", "node", "h1", "shard", "row_no", "owner", "slot", "position", "src_", "findings", "score", "kept", "v", "mix_key", "mix_at", "mix_no", "mix_id_", "mix_at_", "kept_id", "kept_id_", "kept_rows", "key_", "label_", "words", "MIX_KEY_")
     return df.withColumns({c: F.lit(7) for c in clash}).repartition(3)
 
 
@@ -101,7 +101,9 @@ def test_values_after_equals_signs(spark):
     assert got == {0: [value], 1: [value + "9"], 2: [value + "8"]}
 
 
-def test_near_duplicates(docs, texts):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_near_duplicates(docs, texts, most, monkeypatch):
+    monkeypatch.setattr(neardup, "MOST_BROADCAST", most)
     got = neardup.near_components(docs, shingle=3, percent=85).collect()
     want = brute.components(texts, 3, 85)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
@@ -262,10 +264,24 @@ def test_decontamination(docs, texts, odd, spark, sf_dir):
     got = {tuple(r) for r in decontam.find_leaks(a, b).select("doc_id", "item_id", "n_shared", "n_item").collect()}
     assert got == brute.leaks(held, some)
     assert {r["doc_id"] for r in decontam.drop_leaked(a, b).collect()} == {i for i, _ in held} - {g[0] for g in got}
+    again = [r for r in spark.createDataFrame([*some, (1, "Short item")], "item_id long, text string").collect()]  # an id with two texts
+    got = decontam.find_leaks(a, spark.createDataFrame(again)).where("doc_id = 2").collect()
+    assert sorted(r["item_id"] for r in got) == [1, 2, 6]
     assert decontam.find_leaks(odd, b.where("false")).count() == 0 and decontam.find_leaks(odd.where("false"), b).count() == 0
     assert decontam.drop_leaked(odd, items).columns == odd.columns
 
 
+def test_tables_of_items_are_bounded():
+    rnd = random.Random(9)
+    texts = [" ".join(str(rnd.randrange(10**6)) for _ in range(rnd.randrange(5, 3000))) for _ in range(300)]
+    index = decontam.Index.build(list(range(300)), texts, 5)
+    assert sum(len(c.seen) for c in index.classes) <= 32 * decontam.COORDINATES * 300 + 4096 * len(index.classes)
+    assert sum(len(c.names) for c in index.classes) == decontam.COORDINATES * 300
+    for k in (0, 7, 200):  # each item is found in a text that holds it
+        found = decontam.search(index, of_texts([" ".join(["x"] * 5000 + [texts[k]] + ["y"] * 100)]), 5, 80)
+        assert [x[0] for x in found[0]] == [k]
+
+
 def test_decontamination_in_blocks(docs, texts, spark, sf_dir, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_ITEMS", 7)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -311,20 +327,11 @@ def plan_of(blocks, weights):
 
 def test_plan_of_many_sources():
     rnd = random.Random(3)
-    for _ in range(60):  # against full periods of the weights as they stand
+    for _ in range(60):  # against a scheduler that looks at every source in every slot
         n = rnd.randrange(1, 7)
         blocks, weights = [rnd.randrange(1, 40) for _ in range(n)], [rnd.choice((2, 4, 6, 10, 10)) for _ in range(n)]
-        want, done = [], [0] * n
-        while any(d < b for d, b in zip(done, blocks)):
-            live = [i for i in range(n) if done[i] < blocks[i]]
-            order, t = mixing.period([weights[i] for i in live]), 0
-            while all(done[i] < blocks[i] for i in live):
-                i = live[order[t % len(order)]]
-                want.append((i, done[i]))
-                done[i] += 1
-                t += 1
         got = plan_of(blocks, weights)
-        assert [got[t] for t in range(len(got))] == want
+        assert [got[t] for t in range(len(got))] == brute.earliest_deadlines(blocks, weights)
     blocks = [1 + k % 7 for k in range(900)]  # 900 sources at one weight beside named ones
     assert sorted(plan_of([*blocks, 50, 60], [10] * 900 + [15, 12])) == list(range(sum(blocks) + 110))
 
@@ -344,6 +351,44 @@ def test_mixed_keeps_all_rows(odd):
         mixing.schedule(odd, {"s": 0})
 
 
+def test_added_spans_against_brute_force(docs, spark):
+    rnd = random.Random(8)
+    valid = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "NO9386011117947", "CH9300762011623852957", "XK051212012345678906"]
+    words = ["to", "EUR", "50", "X1", "é", ",", "BIC", "COBADEFFXXX", "\n"]
+    token = lambda: "".join(rnd.choice("abcdefXYZ0123456789") for _ in range(rnd.randrange(20, 40)))
+    shared = [token() for _ in range(3)]
+    made = [" ".join(rnd.choice([*valid, *[v[:-1] for v in valid], *words, *shared, token(), "KEY=" + token()]) for _ in range(rnd.randrange(1, 14))) for _ in range(300)]
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.select("doc_id", "text", "source").collect()] + [(10**6 + k, t, f"o{k % 9}") for k, t in enumerate(made)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: sorted((f["start"], f["end"]) for f in r["findings"] if f["kind"] == "iban") for r in pii.scan_pii(df).collect()}
+    want = {i: brute.ibans(t) for i, t, _ in rows}
+    assert got == want and sum(map(len, want.values())) > 100
+    got = {r["doc_id"]: [(f["start"], f["end"]) for f in r["findings"] if f["kind"] == "entropy"] for r in secret_scan.scan_secrets(df).collect()}
+    want = brute.entropy(rows)
+    assert got == want and sum(map(len, want.values())) > 100
+
+
+def test_own_folder_only_on_one_machine():
+    class Session:
+        def __init__(self, master, given=None):
+            self.sparkContext, self.conf = type("C", (), {"master": master}), {"spark.checkpoint.dir": given} if given else {}
+
+    assert store.shared_dir(Session("local[8]")) and store.shared_dir(Session("spark://x:7077", "hdfs://a/b/")) == "hdfs://a/b"
+    for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            store.shared_dir(Session(master))
+
+
+def test_secrets_of_one_hot_key(spark):
+    """A key that a third of all rows hold, in tables with and without the default columns."""
+    rows = [(i, f"token: {'abcdefgh' if i % 3 == 0 else f'own{i:06d}'}", f"src{i % 7}", "en") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r["findings"] for r in secret_scan.scan_secrets(df).collect()}
+    assert all(len(x) == 1 for x in got.values()) and all(got[i][0]["live"] == (i % 3 > 0) for i in got) and got[0][0]["n_owners"] == 7
+    bare = {r["doc_id"]: r["findings"] for r in secret_scan.scan_secrets(df.drop("source", "lang")).collect()}
+    assert bare[0][0]["n_owners"] == bare[0][0]["n_repos"] == 1 and bare[0][0]["live"]
+
+
 def tokenizer():
     import public_tokenizers
 
@@ -431,22 +476,88 @@ def test_toxicity_edges(odd, docs, spark):
     assert "zorkling" in ("good day to all " * 5 + "you awful zorkling here")[span["start"] : span["end"]]
     assert all(0 <= r["score"] <= 1 for r in toxicity.score_toxicity(odd, tagger).collect())
     none = toxicity.fit(texts, labels.where("toxic = 0"), F.lit(True))
-    assert {r["score"] for r in toxicity.score_toxicity(odd, none).collect()} == {0.0}
+    (share,) = {r["score"] for r in toxicity.score_toxicity(odd, none).collect()}
+    assert share < 1e-5
+    # Repeated rows count once, bounds hold, and texts without words are allowed.
+    again = texts.union(texts).union(spark.createDataFrame([(1, ""), (2, None), (3, "extra")], texts.schema))
+    assert toxicity.fit(again, labels, F.lit(True), sample=20, sample_words=300).score(np.zeros(1), np.zeros(1)) <= 0.5
     assert toxicity.score_toxicity(odd.where("false"), tagger).count() == 0
 
 
+def plain_chain(score, edge):
+    """Marginals, log Z and expected 0-1, 1-0 and 1-1 of one text, word by word."""
+    e = np.array([[1, np.exp(edge[0])], [np.exp(edge[1]), np.exp(edge[2])]])
+    node = np.stack([np.ones(len(score)), np.exp(score)], 1)
+    ahead, log_z = [np.array([1.0, 0.0])], 0.0
+    for n in node:
+        x = ahead[-1] @ e * n
+        ahead.append(x / x.sum())
+        log_z += np.log(x.sum())
+    back, p, pair = np.ones(2), [], np.zeros((2, 2))
+    for t in range(len(score) - 1, -1, -1):
+        m = ahead[t + 1] * back
+        p.append(m[1] / m.sum())
+        joint = ahead[t][:, None] * e * (node[t] * back)[None]
+        pair += joint / joint.sum()
+        back = e @ (node[t] * back)
+        back /= back.sum()
+    return np.array(p[::-1]), log_z, pair.ravel()[1:]
+
+
 def test_forward_backward_against_enumeration():
     from itertools import product
 
     rng = np.random.default_rng(3)
-    score, edge = rng.normal(size=(1, 5)), rng.normal(size=(2, 2))
-    inside = np.array([[True, True, True, True, False]])
-    weights = {y: np.exp(sum(score[0, t] * y[t] for t in range(4)) + sum(edge[a, b] for a, b in zip(y, y[1:]))) for y in product((0, 1), repeat=4)}
+    score, edge = rng.normal(size=4), rng.normal(size=3)
+    e = {(0, 0): 0, (0, 1): edge[0], (1, 0): edge[1], (1, 1): edge[2]}
+    weights = {y: np.exp(np.dot(score, y) + sum(e[x] for x in zip((0, *y), y))) for y in product((0, 1), repeat=4)}
     z = sum(weights.values())
-    m, pair, log_z = toxicity.forward_backward(score, edge, inside)
-    assert np.allclose(m[0, :4], [sum(w for y, w in weights.items() if y[t]) / z for t in range(4)])
-    assert np.allclose(pair, [[sum(w * sum(p == (a, b) for p in zip(y, y[1:])) for y, w in weights.items()) / z for b in (0, 1)] for a in (0, 1)])
-    assert np.isclose(log_z, np.log(z))
+    m, log_z, pair = toxicity.Chain(np.array([4]), edge).run(score)
+    assert np.allclose(m, [sum(w for y, w in weights.items() if y[t]) / z for t in range(4)])
+    assert np.allclose(pair.sum(1), [sum(w * sum(p == k for p in zip((0, *y), y)) for y, w in weights.items()) / z for k in ((0, 1), (1, 0), (1, 1))])
+    assert np.isclose(log_z[0], np.log(z))
+
+
+def test_chunks_make_one_chain():
+    rng = np.random.default_rng(4)
+    size = np.array([0, 5, 32, 33, 0, 700, 64, 1, 0])
+    score, edge = rng.normal(-2, 3, size.sum()), np.array([-1.0, 0.5, 1.5])
+    m, log_z, pair = toxicity.Chain(size, edge).run(score)
+    at, pairs = 0, np.zeros(3)
+    for k, n in enumerate(size.tolist()):
+        p, z, own = plain_chain(score[at : at + n], edge)
+        assert np.allclose(m[at : at + n], p) and np.isclose(log_z[k], z)
+        at, pairs = at + n, pairs + own
+    assert np.allclose(pair.sum(1), pairs)
+
+
+def test_gradient_of_the_labels_likelihood():
+    rng = np.random.default_rng(5)
+    score, edge = rng.normal(-3, 1, 9), np.array([-0.5, 0.3, 0.8])
+    likelihood = {True: lambda s: np.log(-np.expm1(-plain_chain(s, edge)[1])), False: lambda s: -plain_chain(s, edge)[1]}
+    p, log_z, _ = toxicity.Chain(np.array([9]), edge).run(score)
+    for toxic, f in likelihood.items():
+        numeric = [(f(score + d) - f(score - d)) / 2e-5 for d in 1e-5 * np.eye(9)]
+        assert np.allclose(p * (1 / np.expm1(log_z[0]) if toxic else -1), numeric, rtol=1e-4)
+
+
+def test_toxicity_against_a_plain_chain(docs, texts, spark, sf_dir):
+    """The query's scores, text by text and word by word."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    tagger = toxicity.fit(docs, labels, ~held_out)
+    got = {r["doc_id"]: r["score"] for r in queries.op5_toxicity(spark, sf_dir).collect()}
+    for i, t in texts[:120]:
+        slots = toxicity.features(of_texts([t]))
+        score = [tagger.bias + sum(float(table[s]) for table, s in zip(tagger.tables, word)) for word in slots.T]
+        p, log_z, _ = plain_chain(np.array(score), tagger.edge) if score else (np.zeros(0), 0.0, None)
+        assert got[i] == pytest.approx(float(tagger.score(np.array([log_z]), np.array([p.sum()]))[0]), abs=1e-6)
+
+
+def test_features_of_words():
+    slots = toxicity.features(of_texts(["The (the) thereby", "", "thereof x"]))
+    assert slots[0, 0] == slots[0, 1] != slots[0, 2] and slots[3, 0] == 0 and slots[1, 2] == slots[1, 3] and slots[2, 2] == slots[2, 3] and slots[3, 2] != slots[3, 3]
+    assert slots[4, 0] == slots[4, 3] == slots[5, 2] == slots[5, 4] == 0 and slots[4, 2] == slots[4, 1] and slots[5, 0] == slots[4, 1]
 
 
 def test_licences(docs, texts, odd):
@@ -480,6 +591,37 @@ def test_licences_over_several_lines(docs, spark):
     assert cases[3][0][x["start"] : x["end"]] == wrap(bsd, "//")
 
 
+def test_licence_identifiers_and_unknown_licences(docs, spark):
+    model = licenses.train(licenses.background_of(docs))
+    both = "Licensed under the Apache License, Version 2.0. Also distributed under the terms of the MIT License."
+    cases = [
+        ("SPDX-License-Identifier: MIT", ["MIT"]), ("# SPDX-License-Identifier: GPL-3.0-only", ["GPL"]), ("// SPDX-License-Identifier: BSD-3-Clause", ["BSD"]),
+        ("under the GNU General Public License, version 3", ["GPL"]), ("GNU Lesser General Public License, version 2.1", ["LGPL"]), (both, ["Apache-2.0", "MIT"]),
+        ("Made available under the Eclipse Public License 2.0", []), ("Licensed under the Educational Community License, Version 2.0", []), ("SPDX-License-Identifier: WTFPL", []),
+        *[(t, []) for t in licenses.HELD_OUT],
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string").repartition(1)
+    got = {r["doc_id"]: [x["family"] for x in r["found"] if x["confirmed"]] for r in licenses.scan_licenses(df, model).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
+
+
+def test_licence_gate_loses_nothing(docs, texts, spark):
+    """Lines without a telling pair of words, evaluated all the same, confirm no licence."""
+    background = licenses.background_of(docs)
+    model = licenses.train(background)
+    lines = [x for _, t in texts for x in (t or "").split("\n")][:4000] + [n for f in licenses.TEMPLATES for n in licenses.notices(f)]
+    n = 0
+    for line in lines:
+        p = of_texts([line])
+        licenses._bare(p)
+        h = p.hashes(fold=True)
+        if not model.telling(licenses.grams(h, 2)).any():
+            assert not any(x[4] >= licenses.CONFIRMED for x in licenses.in_line(model, h))
+        else:
+            n += 1
+    assert n < len(lines) / 2
+
+
 def test_licence_classifier_on_held_out_variants(docs):
     background = licenses.background_of(docs)
     model = licenses.train(background)
