@@ -150,7 +150,7 @@ class Encoder:
             raw = data.tobytes()
             ids = self._encode([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
             return np.concatenate([x for i in ids for x in (i, [self.end])] or [np.empty(0)]).astype(self.known.dtype), np.array([len(i) + 1 for i in ids], np.int64)
-        if self.known.taken > FULL * SLOTS or len(self.known.long) > FULL * SLOTS / 16 or self.known.used > 1 << 28:
+        if self.known.taken > FULL * SLOTS or len(self.known.long) > FULL * SLOTS / 16 or self.known.used > 1 << 25:
             self.known.clear()
         known = self.known
         space = _SPACE[data]
