@@ -101,6 +101,20 @@ def _sets(table: str, key: str, n: int) -> str:
  FROM (SELECT {key}, w, unnest(range(0, greatest(len(w) - {n - 1}, 1))) AS k FROM (SELECT {key}, {words} AS w FROM {table})) WHERE len(w) > 0"""
 
 
+_LIST = "{} || ':' || {} || ':' || {}"
+#: Pattern and hashed value of each kind of secret; the last is a run with the equals signs after it.
+_ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+_SECRETS = ((_ASSIGN, f"regexp_extract(m, '{_ASSIGN}', 2)"), ("AKIA[A-Z0-9]+", "m"), ("[0-9a-f]{24,}", "m"), ("[A-Za-z0-9+/_-]{24,}=*", "m"))
+
+
+def _spans(kind: int, pattern: str, value: str) -> str:
+    """(row_no, kind_no, start, m, value, next) of all matches: ``next`` is what stands after one."""
+    pieces = f"""SELECT row_no, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS h FROM d WHERE regexp_matches(text, '{pattern}')"""
+    each = f"""SELECT row_no, p, h, unnest(range(1, len(h) + 1)) AS i FROM ({pieces})"""
+    at = "list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0)"
+    return f"""SELECT row_no, {kind} AS kind_no, ({at})::BIGINT AS start, h[i] AS m, {value.replace("(m,", "(h[i],") if value != "m" else "h[i]"} AS value, coalesce(nullif(p[i + 1], ''), h[i + 1], '') AS next FROM ({each})"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op6_neardup": f"""WITH RECURSIVE s AS ({_sets("documents", "doc_id", 3)}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
  c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
@@ -118,4 +132,30 @@ ORACLE_SQL: dict[str, str] = {
     "op10_decontam": f"""WITH s AS ({_sets("documents", "doc_id", 5)}), t AS ({_sets("benchmark", "item_id", 5)}), n AS (SELECT item_id, count(*) AS n FROM t GROUP BY 1)
  SELECT doc_id, t.item_id, count(*) AS n_shared, any_value(n) AS n_item FROM s JOIN t ON s.s = t.s JOIN n ON n.item_id = t.item_id
  GROUP BY doc_id, t.item_id HAVING count(*) * 100 >= 80 * any_value(n)""",
+    # One step a slot: of the live sources' released blocks the one due first; a source's last block starts a new phase.
+    "op4_mixing": f"""WITH RECURSIVE d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS r FROM documents),
+ n AS (SELECT source, (max(r) // 16 + 1)::BIGINT AS blocks, CASE source {" ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items())} ELSE {DEFAULT_WEIGHT} END::BIGINT AS weight FROM d GROUP BY 1),
+ l AS (SELECT list(source ORDER BY source IS NOT NULL, source) AS names, list(blocks ORDER BY source IS NOT NULL, source) AS blocks, list(weight ORDER BY source IS NOT NULL, source) AS weights FROM n),
+ s AS (SELECT 0::BIGINT AS slot, 0::BIGINT AS t, list_transform(blocks, lambda b: 0::BIGINT) AS done, list_transform(blocks, lambda b: 0::BIGINT) AS taken, NULL::BIGINT AS i FROM l
+ UNION ALL SELECT slot + 1, CASE WHEN done[k] + 1 = blocks[k] THEN 0 ELSE t + 1 END, list_transform(done, lambda x, j: x + (j = k)::BIGINT),
+ CASE WHEN done[k] + 1 = blocks[k] THEN list_transform(taken, lambda x: 0::BIGINT) ELSE list_transform(taken, lambda x, j: x + (j = k)::BIGINT) END, k
+ FROM (SELECT *, list_min(list_filter(list_transform(range(1, len(blocks) + 1), lambda j: CASE WHEN done[j] < blocks[j] AND taken[j] * total // weights[j] <= t
+ THEN {{'due': ((taken[j] + 1) * total + weights[j] - 1) // weights[j], 'j': j}} END), lambda x: x IS NOT NULL)).j AS k
+ FROM (SELECT s.*, blocks, weights, list_sum(list_transform(range(1, len(blocks) + 1), lambda j: CASE WHEN done[j] < blocks[j] THEN weights[j] ELSE 0 END))::BIGINT AS total FROM s, l)
+ WHERE total > 0)),
+ b AS (SELECT names[i] AS source, done[i] - 1 AS block_no, slot - 1 AS slot FROM s, l WHERE i IS NOT NULL),
+ p AS (SELECT doc_id, d.source, r // 16 AS block_no, b.slot, r FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source AND r // 16 = b.block_no)
+ SELECT doc_id, source, block_no::BIGINT AS block_no, slot::BIGINT AS slot, row_number() OVER (ORDER BY slot, r) - 1 AS position FROM p""",
+    # Positions of matches: each starts where all texts between matches and all matches before it end.
+    "op3_secrets": f"""WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner FROM documents),
+ x AS ({" UNION ALL ".join(_spans(k, *r) for k, r in enumerate(_SECRETS))}),
+ f AS (SELECT * FROM x WHERE CASE kind_no WHEN 0 THEN length(value) >= 6 WHEN 1 THEN length(m) >= 20 WHEN 2 THEN length(m) >= 24
+ ELSE length(rtrim(m, '=')) >= 24 AND length(m) - length(rtrim(m, '=')) <= 2 AND NOT (m LIKE '%=' AND regexp_matches(next, '^[A-Za-z0-9+/_-]'))
+ AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9].*[0-9]') END),
+ o AS (SELECT value, count(DISTINCT owner) AS owners FROM f JOIN d USING (row_no) GROUP BY 1),
+ j AS (SELECT f.*, owners < 3 AS live, {_LIST.format("['assign', 'access', 'hex', 'entropy'][kind_no + 1]", "start", "start + length(m)")} AS said FROM f JOIN o USING (value) WHERE kind_no < 3 OR owners < 3),
+ g AS (SELECT row_no, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex,
+ string_agg(said, ',' ORDER BY start, kind_no) FILTER (kind_no < 3) AS base, string_agg(said, ',' ORDER BY start, kind_no) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_shared FROM j GROUP BY 1)
+ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+ coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared FROM d LEFT JOIN g USING (row_no)""",
 }

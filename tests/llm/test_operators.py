@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import brute
+import compare
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -44,6 +45,11 @@ def each(rows, *names):
     return sorted((tuple(r[n] for n in names) for r in rows), key=str)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_sql(spark, sf_dir, name):
+    assert compare.same(spark, sf_dir, queries.QUERIES[name], queries.ORACLE_SQL[name]) > 0
+
+
 def test_pii(docs, texts, odd):
     want = lambda rows: sorted(((i, *brute.pii(t)[0], brute.pii(t)[1]) for i, t in rows), key=str)
     names = ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
