@@ -115,6 +115,55 @@ def _spans(kind: int, pattern: str, value: str) -> str:
     return f"""SELECT row_no, {kind} AS kind_no, ({at})::BIGINT AS start, h[i] AS m, {value.replace("(m,", "(h[i],") if value != "m" else "h[i]"} AS value, coalesce(nullif(p[i + 1], ''), h[i + 1], '') AS next FROM ({each})"""
 
 
+def _pii_sql() -> str:
+    """Matches of each kind, the texts between them, what stands round each, scores, and the digest."""
+    from lumenlake.llm import pii
+
+    word = lambda pattern: pattern.replace("(?i)\\b", r"(?i)(?:^|[^\p{L}\p{N}_])").removesuffix("\\b") + r"(?:$|[^\p{L}\p{N}_])"
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    # Kinds whose pattern looks round itself are found place by place, in the few texts that may hold one.
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])*", "phone": pii.PHONE}
+    found = [f"SELECT row_no, kind_no AS kind, start AS s, start + length(m) AS e, m FROM ({_spans(k, r, 'm')})" for k, r in enumerate(patterns.values())]
+    found[2] += f" WHERE length({digits}) BETWEEN 13 AND 19"
+    places = "SELECT row_no, text, unnest(range(1, length(text) + 1)) AS i FROM d WHERE regexp_matches(text, '{}')"
+    found.append(f"""SELECT row_no, 4 AS kind, i - 1 AS s, i + 3 AS e, substring(text, i, 4) AS m FROM ({places.format("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{3}")})
+ WHERE regexp_matches(substring(text, i, 26), '^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11}}') AND NOT (i > 1 AND regexp_matches(substring(text, i - 1, 1), '[A-Za-z0-9]'))""")
+    found.append(f"""SELECT row_no, 5 AS kind, i - 1 AS s, i + 10 AS e, substring(text, i, 11) AS m FROM ({places.format("[0-9]{3}-[0-9]{2}-[0-9]{4}")})
+ WHERE regexp_matches(substring(text, i, 11), '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$') AND NOT (i > 1 AND regexp_matches(substring(text, i - 1, 1), '[0-9-]')) AND NOT regexp_matches(substring(text, i + 11, 1), '[0-9-]')""")
+    luhn = f"""list_sum(list_transform(range(length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN substring({digits}, (length({digits}) - i)::INT, 1)::INT
+ ELSE 2 * substring({digits}, (length({digits}) - i)::INT, 1)::INT - CASE WHEN substring({digits}, (length({digits}) - i)::INT, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+    sound = f"""CASE kind WHEN 1 THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(right(x, 3) AS INT), 0) > 255)) = 0 WHEN 2 THEN {luhn}
+ WHEN 3 THEN length({digits}) BETWEEN 9 AND 15 ELSE true END"""
+    # The longest end at a word's end that has the country's length and leaves 1 modulo 97.
+    country = " ".join(f"WHEN '{c}' THEN {n}" for n, codes in pii.IBAN_LENGTHS.items() for c in codes.split())
+    bare = "replace(substring(run, 1, n), ' ', '')"
+    turned = f"substring({bare}, 5) || left({bare}, 4)"
+    rest = f"list_reduce(list_prepend(0, list_transform(string_split({turned}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, c: CASE WHEN c < 10 THEN (a * 10 + c) % 97 ELSE (a * 100 + c) % 97 END)"
+    grown = f"""SELECT row_no, s, max(s + n) AS e FROM (SELECT *, unnest(range(15, length(run) + 1)) AS n FROM (SELECT row_no, s, regexp_extract(substring(text, s + 1, 116), '^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}') AS run,
+ substring(text, s + 1, 116) AS around FROM a WHERE kind = 4)) WHERE substring(run, n::INT, 1) <> ' ' AND NOT regexp_matches(substring(around, n::INT + 1, 1), '[A-Za-z0-9]')
+ AND coalesce(CASE left(run, 2) {country} END, length({bare})) = length({bare}) AND {rest} = 1 GROUP BY 1, 2"""
+    near = "CASE kind " + " ".join(f"WHEN {k} THEN regexp_matches(ctx, '{word(pii.CONTEXT[c])}')" for k, c in enumerate(pii.KINDS)) + " END"
+    decoy = f"(regexp_matches(before, '{word(pii.DECOY)}') OR regexp_matches(value, '{word(pii.DECOY)}'))"
+    prior = "CASE kind " + " ".join(f"WHEN {k} THEN {pii.PRIOR[c]}" for k, c in enumerate(pii.KINDS)) + " END"
+    tells = r"(regexp_matches({0}, '\p{{L}}') OR length({0}) > 48)"
+    said = _LIST.format("[" + ", ".join(f"'{k}'" for k in pii.KINDS) + "][kind + 1]", "s", "e")
+    return f"""WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents), x AS ({" UNION ALL ".join(found)}),
+ q AS (SELECT *, coalesce(lag(e) OVER w, 0) AS prev, lead(s) OVER w IS NULL AS final FROM x WINDOW w AS (PARTITION BY row_no, kind ORDER BY s)),
+ a AS (SELECT q.*, text, substring(text, prev + 1, s - prev) AS p, CASE WHEN final THEN substring(text, e + 1) END AS tail FROM q JOIN d USING (row_no)),
+ t AS (SELECT * EXCLUDE (p, tail), coalesce(last_value(CASE WHEN {tells.format("p")} THEN right(p, 48) END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), '') || chr(10)
+ || coalesce(first_value(CASE WHEN {tells.format("p")} THEN left(p, 48) END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING),
+ max(CASE WHEN {tells.format("tail")} THEN left(tail, 48) END) OVER (PARTITION BY row_no, kind), '') AS near_ FROM a WINDOW w AS (PARTITION BY row_no, kind ORDER BY s)),
+ g AS ({grown}),
+ z AS (SELECT t.* EXCLUDE (e), CASE WHEN kind = 4 THEN g.e ELSE t.e END AS e FROM t LEFT JOIN g ON kind = 4 AND g.row_no = t.row_no AND g.s = t.s),
+ c AS (SELECT row_no, kind, s, e, m, substring(text, s + 1, e - s) AS value, substring(text, greatest(prev, s - 48) + 1, s - greatest(prev, s - 48)) AS before,
+ substring(text, greatest(0, s - 48) + 1, s - greatest(0, s - 48)) || chr(10) || substring(text, e + 1, 48) || chr(10) || near_ AS ctx FROM z WHERE e IS NOT NULL),
+ f AS (SELECT row_no, kind, {said} AS said, s, least(1, {prior} + CASE WHEN {near} THEN 0.2 ELSE 0 END - CASE WHEN {decoy} THEN 0.3 ELSE 0 END) AS score FROM c WHERE {sound}),
+ k AS (SELECT row_no, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{c}" for k, c in enumerate(pii.KINDS[:4]))}, string_agg(said, ',' ORDER BY kind, s) FILTER (kind < 4) AS base,
+ string_agg(said, ',' ORDER BY kind, s) AS spans, count(*) FILTER (score >= 0.7) AS n_confident FROM f WHERE kind < 4 OR score >= {pii.ADDED_SCORE} GROUP BY 1)
+ SELECT doc_id, {", ".join(f"coalesce(n_{c}, 0) AS n_{c}" for c in pii.KINDS[:4])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_confident, 0) AS n_confident
+ FROM d LEFT JOIN k USING (row_no)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op6_neardup": f"""WITH RECURSIVE s AS ({_sets("documents", "doc_id", 3)}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
  c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
@@ -158,4 +207,5 @@ ORACLE_SQL: dict[str, str] = {
  string_agg(said, ',' ORDER BY start, kind_no) FILTER (kind_no < 3) AS base, string_agg(said, ',' ORDER BY start, kind_no) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_shared FROM j GROUP BY 1)
  SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
  coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared FROM d LEFT JOIN g USING (row_no)""",
+    "op1_pii": _pii_sql(),
 }
