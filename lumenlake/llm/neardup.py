@@ -16,7 +16,7 @@ before their sets are moved.
 Defined results: texts without words, and null texts, link with nothing and are their own
 component; rows with the same text share one class, rows that repeat a doc_id are each
 judged on their own text and carry that id; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored. Ids are cast to long.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.llm import idfilter
+from lumenlake.llm.columns import unused
 from lumenlake.llm.components import components
 from lumenlake.llm.store import Stage
 from lumenlake.llm.textkit import column, lists, mix32, mix64, pieces, set_keys, shingle_sets
@@ -38,6 +39,8 @@ BANDS, ROWS = 24, 5
 #: Coordinates of a signature, each kept as four bits in eight longs.
 COORDINATES = 128
 PIVOT_ROUNDS = 2
+#: Rows of two integers that are broadcast, 16 MB; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def most_differ(percent: int) -> int:
@@ -158,8 +161,12 @@ def _link(docs: DataFrame, classes: DataFrame, buckets: DataFrame, stage: Stage,
     sets = stage.table(found.dropDuplicates(["key"]).join(wanted.select("key", "node"), "key").select("node", "grams"), "sets")
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
+    def few(rows: DataFrame) -> DataFrame:
+        """Narrow rows of a written table, broadcast where they are counted to be few, so that the sets stay where they are."""
+        return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
-        pairs = stage.table(pairs, f"{tag}-pairs")
+        pairs = few(stage.table(pairs, f"{tag}-pairs"))
         right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
         left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
         both = pairs.join(right, "b").join(left, "a")
@@ -186,7 +193,7 @@ def _link(docs: DataFrame, classes: DataFrame, buckets: DataFrame, stage: Stage,
     # components can be shared across them; among those, ordered by how many sets have them, two
     # similar sets must meet within the first |shared| - least overlap + 1.
     rest = stage.table(open_.select("node", "n", "comp", "sig").dropDuplicates(["node"]), "rest")
-    each = sets.join(rest.select("node", "comp"), "node").select("node", "comp", F.explode("grams").alias("gram"))
+    each = sets.join(few(rest.select("node", "comp")), "node").select("node", "comp", F.explode("grams").alias("gram"))
     crossing = each.groupBy("gram").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram", "c")
     crossing = stage.table(crossing, "crossing")
     mine = each.select("node", "gram").join(crossing, "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("g"))
@@ -213,9 +220,10 @@ def _unresolved(buckets: DataFrame, comp: DataFrame) -> DataFrame:
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each group of ``df``, the one with the least id; a row that repeats it whole goes too."""
-    kept = near_components(df, id_col, text_col, **options).where("kept").groupBy(F.col(id_col).alias("kept_id_")).agg(F.count("*").alias("rows_"))
+    key, rows = unused(df, "kept_id", "kept_rows")
+    kept = near_components(df, id_col, text_col, **options).where("kept").groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias(rows))
     stage = Stage(df.sparkSession)
     kept = stage.table(kept, "kept")
-    out = df.join(kept.select("kept_id_"), F.col(id_col).eqNullSafe(F.col("kept_id_")), "left_semi")
+    out = df.join(kept.select(key), F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
     # Only ids that occur more than once cost a comparison of whole rows.
-    return out if kept.where("rows_ > 1").isEmpty() else out.dropDuplicates([id_col, text_col])
+    return out if kept.where(F.col(rows) > 1).isEmpty() else out.dropDuplicates([id_col, text_col])
