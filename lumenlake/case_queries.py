@@ -393,3 +393,77 @@ def packet_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         "k", F.array_join(F.transform("xmp", said), ";").alias("properties"), F.col("has_extended_xmp").alias("extended"), F.array_join(F.transform("iptc", data), ";").alias("datasets"),
         F.array_join(F.transform("errors", lambda e: e["part"]), ",").alias("failing"),
     )
+
+
+@query(T + "SELECT coalesce(level, 'UNREADABLE') AS level, count(*) AS files FROM l GROUP BY 1")
+def stream_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos that arrive as a stream, judged as they come, and counted by level in windows of their time; all windows together."""
+    import uuid
+
+    from lumenlake.streaming import ingest
+
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    rows = rows.select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c"), F.col("o_orderdate").alias("d"), F.col("o_orderdate").cast("timestamp").alias("modificationTime"))
+    blobs = forged.forged(rows, ["o", "modificationTime"], forged.order_photo, ["c", "d"])
+    counted = ingest.levels(ingest.assessed(blobs), "3650 days")
+    name = f"levels_{uuid.uuid4().hex}"
+    # The sink holds a row per window and level.
+    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).groupBy(F.coalesce("level", F.lit("UNREADABLE")).alias("level")).agg(F.sum("files").alias("files"))
+
+
+@query(T + "SELECT o, CASE WHEN NOT bad THEN width::INT END AS width, CASE WHEN gps AND NOT bad THEN 6 + (o % 16 <> 0)::INT ELSE 0 END AS places, 0 AS places_left, CASE WHEN bad THEN 0 ELSE 1 END AS models FROM p WHERE model")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kernels as SQL functions: scalar ones over each other, and the table function."""
+    from lumenlake.functions.register import register
+
+    register(spark)
+    view = "forged_photos_of_sql_functions"
+    forged.photo_files(spark, sf_dir).createOrReplaceTempView(view)
+    places = "size(filter(coalesce({}.tags, array()), t -> t.ifd = 'GPS'))"
+    scalar = spark.sql(
+        f"SELECT o, parse_jpeg(content).width AS width, {places.format('parse_jpeg(content)')} AS places, {places.format("parse_jpeg(scrub_jpeg(content, 'gps'))")} AS places_left FROM {view} WHERE o % 5 <> 0"
+    )
+    table = spark.sql(f"SELECT o, CAST(count(*) AS INT) AS models FROM {view}, LATERAL jpeg_tags(content) AS t WHERE t.tag_name = 'Model' GROUP BY o")
+    return scalar.join(table, "o", "left").withColumn("models", F.coalesce("models", F.lit(0)))
+
+
+@query(
+    T + """SELECT o, CASE WHEN bad THEN '' ELSE 'SOI,APP1' || CASE WHEN xmp THEN ',APP1' ELSE '' END || CASE WHEN iptc THEN ',APP13' ELSE '' END || CASE WHEN icc THEN repeat(',APP2', 1 + (o % 2)::INT) ELSE '' END
+ || CASE WHEN o % 10 = 0 THEN ',COM' ELSE '' END || ',DQT,SOF' || CASE WHEN o % 23 = 0 THEN '2' ELSE '0' END || ',SOS' END AS names, CASE WHEN bad THEN 0 ELSE 1 END AS exif FROM p"""
+)
+def segment_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = reports.text_segments(_photos(spark, sf_dir, "segments"), ["o", "segments"])
+    lines = F.filter(F.split("document", "\n"), lambda x: x != "")
+    names = F.transform(lines, lambda x: F.regexp_extract(x, r"^ *[0-9]+  FF[0-9A-F]{2}  (\S+) +[0-9]+$", 1))
+    return said.select("o", F.array_join(names, ",").alias("names"), F.size(F.filter("segments", lambda x: x["is_exif"])).alias("exif"))
+
+
+@query(T + "SELECT o, CASE WHEN bad THEN 0 ELSE (o % 10 = 0)::INT END AS removed, CASE WHEN bad THEN 0 ELSE xmp::INT END AS modified, NOT bad AS verified FROM p")
+def rule_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule of the caller's: comments go, and XMP packets are emptied."""
+    from lumenlake.kernels.jpeg import COM, XMP_ID
+
+    def rule(marker: int, payload: bytes) -> tuple[bytes | None, str | None]:
+        if marker == COM:
+            return None, "no comments"
+        return (XMP_ID, "emptied") if payload.startswith(XMP_ID) else (payload, None)
+
+    rows = sanitize.rewrite(forged.photo_files(spark, sf_dir), rule, ["o"])
+    return rows.select("o", F.col("removed_segments").alias("removed"), F.col("modified_segments").alias("modified"), "verified")
+
+
+@query("SELECT p_partkey AS p, CASE WHEN p_partkey % 8 = 0 THEN 'Image JPEG image/jpeg' END AS kind FROM part")
+def strict_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = files.strict_format(F.col("content"))
+    return forged.mixed_files(spark, sf_dir).select("p", F.when(found.isNotNull(), F.concat_ws(" ", found["kind"], found["format"], found["mime"])).alias("kind"))
+
+
+@query(
+    """SELECT p_partkey AS p, CASE p_partkey % 8 WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/webp' ELSE 'image/tiff' END AS mime, p_partkey % 8 = 2 AND p_size % 4 > 1 AS animated,
+ CASE WHEN p_partkey % 8 = 1 AND p_size % 3 = 0 THEN 'YES' ELSE 'NO' END AS exif, 'NO' AS gps, 'NO' AS icc, 0 AS warnings FROM part WHERE p_partkey % 8 IN (1, 2, 3, 6)"""
+)
+def container_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files.containers(forged.mixed_files(spark, sf_dir), ["p"])
+    return rows.where("error is null").select("p", "mime", "animated", "exif", "gps", "icc", F.size("warnings").alias("warnings"))

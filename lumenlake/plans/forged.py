@@ -16,7 +16,9 @@ from lumenlake.plans.ship import ship
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Narrow rows over all cores before a kernel runs on them; large inputs come in enough splits already."""
+    """Narrow rows over all cores before a kernel runs on them; large inputs come in enough splits already, and streams in batches."""
+    if df.isStreaming:
+        return df
     want = 2 * df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
