@@ -76,6 +76,36 @@ def components(rows, n, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def rare_components(rows, n, percent):
+    """``components`` for many rows: sets that link share one of the rarest shingles that either cannot do without."""
+    sets = [shingles(t, n) for _, t in rows]
+    often = Counter(g for s in set(sets) for g in s)
+    kinds = sorted(set(sets) - {frozenset()}, key=len)
+    where, parent = defaultdict(list), list(range(len(kinds)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, s in enumerate(kinds):
+        rare = sorted(s, key=lambda g: (often[g], g))[: len(s) + 1 - -(-len(s) * percent // 100)]
+        near = {j for g in rare for j in where[g]}
+        for j in near:
+            both = len(s & kinds[j])
+            if 100 * both >= percent * (len(s) + len(kinds[j]) - both):
+                a, b = find(j), find(k)
+                parent[max(a, b)] = min(a, b)
+        for g in rare:
+            where[g].append(k)
+    number, least = {s: k for k, s in enumerate(kinds)}, {}
+    for (i, _), s in zip(rows, sets):
+        if s:
+            c = find(number[s])
+            least[c] = min(i, least.get(c, i))
+    return {i: least[find(number[s])] if s else i for (i, _), s in zip(rows, sets)}
+
+
 def quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     tri = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))

@@ -116,6 +116,13 @@ def test_near_duplicates(docs, texts, most, monkeypatch):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_of_ten_thousand_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_components(docs, shingle=3, percent=85).collect()}
+    assert got == brute.rare_components(rows, 3, 85)
+
+
 def test_near_duplicates_of_families(spark):
     rnd, base = random.Random(1), [f"w{i}" for i in range(200)]
     rows, drift = [(0, None), (1, ""), (2, "a b"), (3, "A  b"), (4, "x")], list(base)
