@@ -88,7 +88,15 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_licenses, op3_secrets, op4_mixing, op5_toxicity, op6_neardup, op7_quality, op8_substrings, op9_tokens, op10_decontam)}
+def op12_veccodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenlake.llm import veccodes
+
+    return veccodes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_pii, op2_licenses, op3_secrets, op4_mixing, op5_toxicity, op6_neardup, op7_quality, op8_substrings, op9_tokens, op10_decontam, op12_veccodes)
+}
 #: Words of each document, and their n-word windows, in DuckDB's SQL.
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -164,7 +172,24 @@ def _pii_sql() -> str:
  FROM d LEFT JOIN k USING (row_no)"""
 
 
+def _codes_sql() -> str:
+    """Four rounds of assignment and means over parts of vectors, one pair of tables for each."""
+    near = lambda r: f"""SELECT vec_id, part, any_value(label) AS label, any_value(p.v) AS v, min({{'d': list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i])))::BIGINT, 'e': entry}}) AS hit
+ FROM p JOIN c{r} AS c USING (part) GROUP BY 1, 2"""
+    moved = lambda r: f"""SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM c{r} AS c LEFT JOIN (SELECT part, entry, list(x ORDER BY i) AS v FROM
+ (SELECT part, hit.e AS entry, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS x FROM (SELECT part, hit, v, unnest(range(1, len(v) + 1)) AS i FROM a{r}) GROUP BY 1, 2, 3) GROUP BY 1, 2) AS m USING (part, entry)"""
+    rounds = "".join(f", a{r} AS MATERIALIZED ({near(r)}), c{r + 1} AS MATERIALIZED ({moved(r)})" for r in range(4))
+    return f"""WITH q AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS MATERIALIZED (SELECT vec_id, label, part, q[part * (len(q) // 4) + 1:(part + 1) * (len(q) // 4)] AS v FROM (SELECT *, unnest(range(4)) AS part FROM q)),
+ c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM p QUALIFY entry < 256){rounds}, a4 AS MATERIALIZED ({near(4)}),
+ e AS (SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', hit.e), '' ORDER BY part) AS code, sum(hit.d)::BIGINT AS error FROM a4 GROUP BY vec_id)
+ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+ (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM c4) AS codebooks_sha256 FROM e"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_veccodes": _codes_sql(),
     "op6_neardup": f"""WITH RECURSIVE s AS ({_sets("documents", "doc_id", 3)}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
  c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
  e AS (SELECT a, b FROM c JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
