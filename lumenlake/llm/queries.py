@@ -88,6 +88,12 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenlake.llm import lexical
+
+    return lexical.rank_documents(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 def op12_veccodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenlake.llm import veccodes
 
@@ -95,7 +101,7 @@ def op12_veccodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_licenses, op3_secrets, op4_mixing, op5_toxicity, op6_neardup, op7_quality, op8_substrings, op9_tokens, op10_decontam, op12_veccodes)
+    f.__name__: f for f in (op1_pii, op2_licenses, op3_secrets, op4_mixing, op5_toxicity, op6_neardup, op7_quality, op8_substrings, op9_tokens, op10_decontam, op11_lexical, op12_veccodes)
 }
 #: Words of each document, and their n-word windows, in DuckDB's SQL.
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -188,7 +194,16 @@ def _codes_sql() -> str:
  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM c4) AS codebooks_sha256 FROM e"""
 
 
+_TERMS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')".format(_FOLD.format("text"))
 ORACLE_SQL: dict[str, str] = {
+    "op11_lexical": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents), e AS (SELECT * FROM d WHERE len(t) > 0),
+ s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(t))::BIGINT AS n_terms FROM e), i AS (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS t FROM benchmark),
+ q AS (SELECT DISTINCT item, item_id, unnest(t) AS term FROM i), p AS (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM e),
+ tf AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*)::BIGINT AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+ w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), s),
+ x AS (SELECT r, doc_id, tf.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS part FROM tf JOIN w ON w.term = tf.term, s),
+ y AS (SELECT item, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id, sum(part)::BIGINT AS score FROM q JOIN x ON x.term = q.term GROUP BY item, r HAVING sum(part) > 0)
+ SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM y) WHERE rank <= 10""",
     "op12_veccodes": _codes_sql(),
     "op6_neardup": f"""WITH RECURSIVE s AS ({_sets("documents", "doc_id", 3)}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
  c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
