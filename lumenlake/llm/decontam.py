@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.textkit import Piece, grams, mix32, mix64, of_texts, pieces, shingle_sets, short_shingle
+from lumenlake.llm.textkit import Piece, grams, mix32, mix64, of_texts, pieces, shingle_sets, shingles
 from lumenlake.plans.ship import ship
 
 SHINGLE, CONTAINMENT = 5, 80  # words, per cent
@@ -56,7 +56,7 @@ class SizeClass:
 
     @staticmethod
     def build(power: int, numbers: np.ndarray, sets: list[np.ndarray]) -> SizeClass:
-        place, at = _place(np.concatenate(sets)), np.cumsum([0, *map(len, sets)])[:-1]
+        place, at = _place(np.concatenate([s[:, 0] for s in sets])), np.cumsum([0, *map(len, sets)])[:-1]
         least = np.stack([np.minimum.reduceat(mix32(place + np.uint32(k)), at) for k in range(COORDINATES)])
         names = ((np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32))[:, None] | least).ravel()
         order = np.argsort(names, kind="stable")
@@ -116,22 +116,28 @@ class Index:
         return list(out)
 
 
+def _shared(item: np.ndarray, part: np.ndarray) -> int:
+    """Shingles of an item (sorted by the first hash) that a part has, by both hashes."""
+    at = np.minimum(np.searchsorted(item[:, 0], part[:, 0]), len(item) - 1)
+    return len(np.unique(at[(item[at] == part).all(1)]))
+
+
 def search(index: Index, p: Piece, shingle: int, containment: int) -> list[list[tuple[int, int, int]]]:
     """Of each text the (item id, shared shingles, item size) that it contains."""
-    h = p.hashes(fold=True)
-    g, parts, at = grams(h, shingle), [], [0]
+    d, parts, at = p.digests(fold=True), [], [0]
+    g = np.stack([grams(np.ascontiguousarray(d[:, k]), shingle) for k in range(2)], 1)
     for i in range(len(p)):
         a, b = int(p.word_at[i]), int(p.word_at[i + 1])
-        parts.append(g[a : b - shingle + 1] if b - a >= shingle else short_shingle(h[a:b]) if b > a else g[:0])
+        parts.append(g[a : b - shingle + 1] if b - a >= shingle else shingles(d[a:b], shingle))
         at.append(at[-1] + len(parts[-1]))
     ends = np.array(at)
     pairs = set()
-    for n, lo, hi in index.candidates(np.concatenate(parts) if parts else g[:0]):
+    for n, lo, hi in index.candidates(np.concatenate(parts)[:, 0] if parts else g[:0, 0]):
         first, last = np.searchsorted(ends, lo, "right") - 1, np.searchsorted(ends, min(hi, at[-1]), "left")
         pairs.update((i, n) for i in range(first, min(last, len(p))))
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(p))]
     for i, n in sorted(pairs):
-        shared = int(np.isin(index.sets[n], parts[i]).sum())
+        shared = _shared(index.sets[n], parts[i])
         if shared * 100 >= containment * len(index.sets[n]):
             out[i].append((index.ids[n], shared, len(index.sets[n])))
     return out

@@ -3,7 +3,7 @@
 One permutation (sigma) places each shingle on a circle of 2^32 points, a second one (pi) is
 shifted around it; the k-th signature coordinate is the least pi over the set shifted by k.
 Two permutations thus make all coordinates. Coordinates are banded, and shared bands
-propose pairs, which full shingle sets confirm by exact Jaccard similarity.
+propose pairs, which full shingle sets confirm by exact Jaccard similarity, by both of two independent 64-bit hashes.
 
 How large groups stay linear: equal sets collapse to one class before anything is compared.
 In a bucket of different sets each is compared with leaders only, the likest of those that its
@@ -80,7 +80,7 @@ def _sketch(shingle: int, bands: int, rows: int):
             for p in pieces(column(batch, "text_")):
                 sets = list(shingle_sets(p, shingle))
                 full = [s for s in sets if len(s)]
-                sig = signatures(full, max(COORDINATES, bands * rows)) if full else np.empty((0, max(COORDINATES, bands * rows)), np.uint32)
+                sig = signatures([s[:, 0] for s in full], max(COORDINATES, bands * rows)) if full else np.empty((0, max(COORDINATES, bands * rows)), np.uint32)
                 some = np.array([len(s) > 0 for s in sets])
                 ragged = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(some * x.shape[1])]), pa.int32()), pa.array(x.ravel()))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
@@ -100,7 +100,8 @@ def _sketch(shingle: int, bands: int, rows: int):
 def _sets(shingle: int):
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [s for p in pieces(column(batch, "text_")) for s in shingle_sets(p, shingle)]
-        return pa.RecordBatch.from_arrays([pa.array(set_keys(sets), pa.binary()), lists([s.view(np.int64) for s in sets], pa.int64())], ["key", "grams"])
+        grams, checks = (lists([s[:, k].view(np.int64) for s in sets], pa.int64()) for k in range(2))
+        return pa.RecordBatch.from_arrays([pa.array(set_keys(sets), pa.binary()), grams, checks], ["key", "grams", "checks"])
 
     return kernel
 
@@ -157,8 +158,8 @@ def _link(docs: DataFrame, classes: DataFrame, buckets: DataFrame, stage: Stage,
     wanted = stage.table(classes.select("key", "node", "id_").join(buckets.select("node").distinct(), "node", "left_semi"), "wanted")
     bits, sent = idfilter.bitmap(wanted, "id_")
     kernel = idfilter.passing(sent, _sets(shingle))
-    found = docs.select("id_", "text_", idfilter.slot(bits, F.col("id_"))).mapInArrow(kernel, "key binary, grams array<long>")
-    sets = stage.table(found.dropDuplicates(["key"]).join(wanted.select("key", "node"), "key").select("node", "grams"), "sets")
+    found = docs.select("id_", "text_", idfilter.slot(bits, F.col("id_"))).mapInArrow(kernel, "key binary, grams array<long>, checks array<long>")
+    sets = stage.table(found.dropDuplicates(["key"]).join(wanted.select("key", "node"), "key").select("node", "grams", "checks"), "sets")
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
     def few(rows: DataFrame) -> DataFrame:
@@ -167,11 +168,10 @@ def _link(docs: DataFrame, classes: DataFrame, buckets: DataFrame, stage: Stage,
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
         pairs = few(stage.table(pairs, f"{tag}-pairs"))
-        right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-        left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
+        right, left = (sets.select(F.col("node").alias(k), F.col("grams").alias(f"g{k}"), F.col("checks").alias(f"c{k}")) for k in "ba")
         both = pairs.join(right, "b").join(left, "a")
-        inter = F.size(F.array_intersect("ga", "gb"))
-        return stage.table(both.where(_similar(inter, F.size("ga"), F.size("gb"), percent)).select("a", "b"), f"{tag}-edges")
+        alike = lambda x, y: _similar(F.size(F.array_intersect(x, y)), F.size(x), F.size(y), percent)
+        return stage.table(both.where(alike("ga", "gb") & alike("ca", "cb")).select("a", "b"), f"{tag}-edges")
 
     edges, comp = None, None
     open_ = buckets.withColumn("comp", F.col("node"))

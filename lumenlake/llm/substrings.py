@@ -18,7 +18,7 @@ has an internal node of at least that depth above its suffix. The tree is built
 5. An anchor with more than ``MOST_RUNS`` different runs is too large for a task's memory. Its prefix is lengthened to
    the whole window: such a subtree is one path, whose node is found by counting equal windows.
 
-Words are compared as they are; hashes only choose anchors and name texts and runs (128 bits).
+Words are compared as they are; hashes only choose anchors, and 128 bits of a SHA-256 name texts and runs.
 
 Defined results: a null or empty text has no words; its kept text is empty. Repeated rows are
 copies of each other. Rows that repeat a doc_id are each judged on their own text. An empty
@@ -28,17 +28,18 @@ table gives an empty result; other columns are ignored. Ids are cast to long.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.llm import idfilter
 from lumenlake.llm.store import Stage
-from lumenlake.llm.textkit import buffers, column, grams, lists, piece, pieces, sequence_hash
+from lumenlake.llm.textkit import buffers, column, grams, lists, piece, pieces
 
 WINDOW, GRAM = 50, 8
 #: Different runs of an anchor, and words that a task sorts at a time (a group of runs more).
@@ -73,9 +74,9 @@ def _survey(window: int, gram: int):
                 g = grams(h, gram)
                 for i in range(len(p)):
                     a, b = int(p.word_at[i]), int(p.word_at[i + 1])
-                    x, y = sequence_hash(h[a:b])
-                    n.append(b - a), h1.append(x), h2.append(y)
-                    sha.append(hashlib.sha256(b" ".join(p.text(i).split())).hexdigest())
+                    digest = _digest(p.text(i))
+                    x, y = _name(digest)
+                    n.append(b - a), h1.append(x), h2.append(y), sha.append(digest.hex())
                     w = b - a - window + 1
                     if w > 0:
                         mine = g[a : b - gram + 1]
@@ -94,9 +95,18 @@ def _survey(window: int, gram: int):
     return run
 
 
-def _is(batch: pa.RecordBatch, k: int, h: np.ndarray) -> bool:
-    """Whether row k names the text with the word hashes ``h``; an id may repeat with other texts."""
-    return sequence_hash(h) == (column(batch, "h1")[k].as_py(), column(batch, "h2")[k].as_py())
+def _digest(text: bytes) -> bytes:
+    """SHA-256 of the words, joined by one space."""
+    return hashlib.sha256(b" ".join(text.split())).digest()
+
+
+def _name(digest: bytes) -> tuple[int, int]:
+    return struct.unpack("<qq", digest[:16])
+
+
+def _is(batch: pa.RecordBatch, k: int, text: bytes) -> bool:
+    """Whether row k names ``text``; an id may repeat with other texts."""
+    return _name(_digest(text)) == (column(batch, "h1")[k].as_py(), column(batch, "h2")[k].as_py())
 
 
 def _runs(window: int, gram: int):
@@ -112,7 +122,7 @@ def _runs(window: int, gram: int):
             for i in range(len(p)):
                 a, b = int(p.word_at[i]), int(p.word_at[i + 1])
                 w = b - a - window + 1
-                if w <= 0 or not _is(batch, p.first + i, h[a:b]):
+                if w <= 0 or not _is(batch, p.first + i, p.text(i)):
                     continue
                 least = anchors(g[a : b - gram + 1], w, span)
                 first = np.flatnonzero(np.diff(least, prepend=~least[:1]))
@@ -231,10 +241,9 @@ def _cut(window: int):
         spans = column(batch, "spans")
         of, removed, sha, text = [], [], [], []
         for p in pieces(column(batch, "text_")):
-            h = p.hashes()
             for i in range(len(p)):
                 a, b = int(p.word_at[i]), int(p.word_at[i + 1])
-                if not _is(batch, p.first + i, h[a:b]):
+                if not _is(batch, p.first + i, p.text(i)):
                     continue
                 step = np.zeros(b - a + 1, np.int64)
                 mine = spans[p.first + i].values
@@ -263,6 +272,11 @@ def _map(kernel):
     return run
 
 
+def _key(words: str) -> Column:
+    """128 bits of the SHA-256 of a string."""
+    return F.unhex(F.substring(F.sha2(F.col(words), 256), 1, 32))
+
+
 def _with_text(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """``asked`` with the texts of its ids; other texts stay out of the shuffle. Kernels check the words, as an id may repeat."""
     bits, sent = idfilter.bitmap(asked, "id_")
@@ -290,7 +304,7 @@ def remove_repeats(
     flagged = stage.table(each.join(twice, "anchor").groupBy("h1", "h2").agg(F.collect_set("anchor").alias("anchors")), "flagged")
     asked = stage.table(classes.select("h1", "h2", "id_", "copies").join(flagged, ["h1", "h2"]), "asked")
     runs = _with_text(docs, asked).mapInArrow(_map(_runs(window, gram)), "h1 long, h2 long, place int, anchor long, words string, alone boolean")
-    runs = stage.table(runs.withColumn("key", F.unhex(F.md5("words"))), "runs")
+    runs = stage.table(runs.withColumn("key", _key("words")), "runs")
     stage.free("twice", "flagged")
     # Equal runs are combined before they are shuffled, so a passage that a third of all texts share is one row.
     distinct = stage.table(runs.groupBy("anchor", "key", "words").agg(F.count("*").alias("copies")), "distinct")
@@ -326,6 +340,6 @@ def _whole_windows(runs: DataFrame, window: int, stage: Stage) -> DataFrame:
     words = F.split(F.rtrim("words"), " ")
     starts = F.sequence(F.lit(0), F.size("all") - window)
     each = runs.select("key", "copies", words.alias("all")).select("key", "copies", F.explode(F.transform(starts, lambda i: F.struct(i.alias("start"), F.array_join(F.slice("all", i + 1, window), " ").alias("w")))).alias("x"))
-    each = stage.table(each.select("key", "copies", "x.start", F.unhex(F.md5("x.w")).alias("leaf"), "x.w"), "windows")
+    each = stage.table(each.select("key", "copies", "x.start", _key("x.w").alias("leaf"), "x.w"), "windows")
     deep = each.groupBy("leaf", "w").agg(F.sum("copies").alias("c")).where("c > 1").select("leaf", "w")
     return each.join(deep, ["leaf", "w"]).groupBy("key").agg(F.sort_array(F.collect_list("start")).alias("starts")).select("key", "starts", F.transform("starts", lambda _: F.lit(window)).alias("lengths"))

@@ -2,11 +2,14 @@
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. A batch is walked in pieces
 of about a megabyte of text, so memory is bounded by the piece or by the longest text.
-Hashes are 64 bits: a byte polynomial per word from prefix sums, then a strong mixer.
+A word's hash is 128 bits: of up to 15 bytes a permutation of the bytes and their number, so that different words never
+have equal ones, of more bytes a cryptographic digest. Its halves are two independent 64-bit hashes, and what must be exact is
+decided by both.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,6 +23,10 @@ _FOLD = _BYTE.copy()
 _FOLD[65:91] = _BYTE[97:123]
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = np.arange(97, 123)
+#: Masks of the first 0 to 16 bytes of two lanes.
+_FIRST = np.array([[(1 << 8 * min(k, 8)) - 1, (1 << 8 * max(0, k - 8)) - 1] for k in range(17)], np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -66,19 +73,31 @@ class Piece:
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
+    def digests(self, fold: bool = False) -> np.ndarray:
+        """Two 64-bit hashes of each word (words x 2); ``fold``: A-Z as a-z."""
+        if not len(self.start):
+            return np.empty((0, 2), np.uint64)
+        data, size = _LOWER[self.data] if fold else self.data, self.end - self.start
+        lanes = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(16, np.uint8)), 16)[self.start].view(np.uint64)
+        lanes &= _FIRST[np.minimum(size, 16)]
+        x, y = lanes[:, 0].copy(), lanes[:, 1] | size.astype(np.uint64) << np.uint64(56)
+        for k in range(1, 4):
+            x ^= mix64(y + np.uint64(k * _BASE % 2**64))
+            y ^= mix64(x + _BYTE[k])
+        lanes[:, 0], lanes[:, 1] = x, y
+        long = np.flatnonzero(size > 15)
+        raw = data.tobytes() if len(long) else b""
+        known: dict[bytes, bytes] = {}
+        for i, a, b in zip(long.tolist(), self.start[long].tolist(), self.end[long].tolist(), strict=True):
+            word = raw[a:b]
+            if (name := known.get(word)) is None:
+                name = known[word] = hashlib.blake2b(word, digest_size=16).digest()
+            lanes[i] = np.frombuffer(name, np.uint64)
+        return lanes
+
     def hashes(self, fold: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; ``fold``: A-Z as a-z."""
-        table, out, n, i = _FOLD if fold else _BYTE, np.empty(len(self.start), np.uint64), len(self.start), 0
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + PIECE)))
-            lo, hi = int(self.start[i]), int(self.end[j - 1])
-            up, down = _power(hi - lo + 1)
-            sums = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(table[self.data[lo:hi]] * up[: hi - lo], out=sums[1:])
-            s = self.start[i:j] - lo
-            out[i:j] = (sums[self.end[i:j] - lo] - sums[s]) * down[s]
-            i = j
-        return mix64(out)
+        return np.ascontiguousarray(self.digests(fold)[:, 0])
 
     def words_in(self) -> np.ndarray:
         return np.diff(self.word_at)
@@ -89,21 +108,12 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     m = len(h) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
-    step = mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
-    out = h[:m] * step[0]
+    out = h[:m] + np.uint64(_BASE)
     for k in range(1, n):
-        out += h[k : k + m] * step[k]
+        out = mix64(out) + h[k : k + m]
     return mix64(out)
 
 
-def sequence_hash(h: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a sequence of word hashes."""
-    up, _ = _power(len(h) + 1)
-    a = (h * up[: len(h)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h))
-    b = (mix64(h + np.uint64(0x1234567)) * up[: len(h)]).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(h))
-    return tuple(mix64(np.concatenate([a, b])).view(np.int64).tolist())
-
-
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -155,33 +165,29 @@ def of_texts(texts: list[str | None]) -> Piece:
     return piece(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
 
 
+def shingles(d: np.ndarray, n: int) -> np.ndarray:
+    """Both hashes of each n-word shingle of one text (shingles x 2), in order; a shorter text is one shingle, an empty one has none."""
+    if len(d) >= n:
+        return np.stack([grams(d[:, 0], n), grams(d[:, 1], n)], 1)
+    return np.frombuffer(hashlib.blake2b(d.tobytes(), digest_size=16, key=b"short").digest(), np.uint64).reshape(1, 2) if len(d) else np.empty((0, 2), np.uint64)
+
+
 def shingle_sets(p: Piece, n: int, fold: bool = True) -> Iterator[np.ndarray]:
-    """Of each text its distinct n-word shingle hashes, sorted; a shorter text is one shingle, an empty one has none."""
-    h = p.hashes(fold)
-    g = grams(h, n)
+    """Of each text its distinct shingles by both hashes (shingles x 2), sorted by the first."""
+    d = p.digests(fold)
+    both = [grams(np.ascontiguousarray(d[:, k]), n) for k in range(2)]
     for i in range(len(p)):
         a, b = int(p.word_at[i]), int(p.word_at[i + 1])
         if b - a >= n:
-            yield np.unique(g[a : b - n + 1])
-        elif b > a:
-            yield short_shingle(h[a:b])
+            first, at = np.unique(both[0][a : b - n + 1], return_index=True)
+            yield np.stack([first, both[1][a + at]], 1)
         else:
-            yield np.empty(0, np.uint64)
-
-
-def short_shingle(h: np.ndarray) -> np.ndarray:
-    """The whole sequence of fewer words than a shingle has, as one; never equal to a full one but by chance."""
-    return mix64(np.array([sequence_hash(h)[0]], np.int64).view(np.uint64) + np.uint64(len(h)))
+            yield shingles(d[a:b], n)
 
 
 def set_keys(sets: Iterable[np.ndarray]) -> list[bytes]:
-    """128 bits that name each set."""
-    out = []
-    for s in sets:
-        a = mix64(s + np.uint64(11)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))
-        b = mix64(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64, keepdims=True)
-        out.append(mix64(np.concatenate([a, b])).tobytes())
-    return out
+    """128 bits that name each set of shingles."""
+    return [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
 
 
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
