@@ -102,7 +102,7 @@ class Weighted:
         norm = np.sqrt(np.bincount(bag, value**2, minlength=rows * len(SLOTS)))[bag]
         return Weighted(row, slot, np.divide(value, norm, out=np.zeros_like(value), where=norm > 0).astype(np.float32), rows)
 
-    def times(self, dense: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    def times(self, dense: np.ndarray, step: int = 1 << 15) -> np.ndarray:
         """This by a dense matrix (slots x columns); rows are in order."""
         out = np.zeros((self.rows, dense.shape[1]), np.float32)
         for i in range(0, len(self.row), step):
