@@ -99,9 +99,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         blobs = _blobs(spark, args.path)
         done = sanitize.scrub(blobs, args.mode, ["path"])
         for row in sanitize.write_files(done.where("verified")).toLocalIterator():
-            if row["error"]:
-                raise ValueError(row["error"])
-            print(row["target"])
+            print("/" + row["target"].removeprefix("file:").lstrip("/"))
         _print(reports.text_scrub(sanitize.report(blobs, args.mode, ["path"]), ["path"]))
 
 

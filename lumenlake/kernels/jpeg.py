@@ -38,6 +38,7 @@ class Segment:
     declared_length: int | None
     payload: bytes
     late: bool = False  # after the first scan began
+    size: int | None = None  # of the payload, where only its first bytes are here
 
     @property
     def is_exif(self) -> bool:
@@ -62,7 +63,7 @@ class Segment:
     def row(self) -> dict:
         return {
             "seq": self.seq, "offset": self.offset, "marker": self.marker, "name": marker_name(self.marker), "declared_length": self.declared_length,
-            "payload_length": len(self.payload), "is_exif": self.is_exif, "is_xmp": self.is_xmp, "is_extended_xmp": self.is_extended_xmp,
+            "payload_length": len(self.payload) if self.size is None else self.size, "is_exif": self.is_exif, "is_xmp": self.is_xmp, "is_extended_xmp": self.is_extended_xmp,
             "is_icc": self.is_icc, "is_photoshop": self.is_photoshop,
         }
 
@@ -80,17 +81,20 @@ def _marker_at(data: bytes, at: int, limits: Limits) -> tuple[int, int]:
     return data[code], code + 1
 
 
-def _payload_at(data: bytes, at: int, limits: Limits) -> tuple[int, bytes, int]:
+def _payload_at(data: bytes, at: int, limits: Limits, keep: int | None = None) -> tuple[int, bytes, int]:
     need(at + 2 <= len(data), "truncated JPEG: segment length expected")
-    (length,) = struct.unpack_from(">H", data, at)
+    length = int.from_bytes(data[at : at + 2], "big")
     need(length >= 2, "segment length is less than 2")
     need(length - 2 <= limits.max_jpeg_segment_payload_bytes, "segment payload exceeds the limit")
     need(at + length <= len(data), "truncated JPEG: segment payload is short")
-    return length, data[at + 2 : at + length], at + length
+    return length, data[at + 2 : at + (length if keep is None else min(length, keep + 2))], at + length
 
 
-def header_walk(data: bytes, limits: Limits = DEFAULT) -> list[Segment]:
-    """SOI and all segments up to EOI or the first SOS."""
+def header_walk(data: bytes, limits: Limits = DEFAULT, keep: int | None = None) -> list[Segment]:
+    """SOI and all segments up to EOI or the first SOS; ``data`` may be anything that gives bytes by place.
+
+    ``keep``: first bytes of a payload that are taken; the rest is passed over.
+    """
     need(len(data) <= limits.max_input_file_bytes, "input file exceeds the limit")
     need(data[:2] == b"\xff\xd8", "not a JPEG: SOI is missing")
     out, at, total = [Segment(0, 0, SOI, None, b"")], 2, 0
@@ -103,10 +107,10 @@ def header_walk(data: bytes, limits: Limits = DEFAULT) -> list[Segment]:
             if marker == EOI:
                 return out
             continue
-        length, payload, at = _payload_at(data, at, limits)
-        total += len(payload)
+        length, payload, at = _payload_at(data, at, limits, keep)
+        total += length - 2
         need(total <= limits.max_jpeg_header_payload_bytes, "JPEG header payloads exceed the limit")
-        out.append(Segment(len(out), start, marker, length, payload))
+        out.append(Segment(len(out), start, marker, length, payload, size=length - 2))
         if marker == SOS:
             return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from lumenlake.kernels.jpeg import Transform
 from lumenlake.kernels.limits import DEFAULT, Limits
 from lumenlake.operators import privacy
 from lumenlake.sources.files import scrubbed
+from lumenlake.sources.sink import write_blobs
 
 MODES = ("all", "gps", "privacy")
 
@@ -65,38 +68,15 @@ def rewrite(files: DataFrame, rule: Transform, keys: list[str], strip_trailing:
     return _judged(scrubbed(files, keys, rule, limits=limits, strip_trailing=strip_trailing), keys)
 
 
-def write_files(cleaned: DataFrame, path_col: str = "path", clean_col: str = "clean") -> DataFrame:
-    """Write each clean blob beside its original under its default name, through a temporary file; one row of (source, target, error) each.
+def write_files(cleaned: DataFrame, path_col: str = "path", clean_col: str = "clean", existing: str = "same") -> DataFrame:
+    """Write each clean blob beside its original under its default name, all or none; (source, target) of each.
 
-    For loose files on a file system that executors share. An existing target is refused unless
-    it already holds the same bytes, so a retried task is harmless.
+    ``existing`` is the sink's: by default a target is refused unless it already holds the same bytes, so a repeated write is harmless.
     """
-
-    def run(batches):
-        import os
-
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = []
-            for source, target, data in zip(*(c.to_pylist() for c in batch.columns)):
-                target = "/" + target.removeprefix("file:").lstrip("/")
-                try:
-                    if os.path.exists(target):
-                        with open(target, "rb") as f:
-                            same = f.read() == data
-                        rows.append((source, target, None if same else "target exists"))
-                        continue
-                    part = f"{target}.{os.getpid()}.part"
-                    with open(part, "wb") as f:
-                        f.write(data)
-                        f.flush()
-                        os.fsync(f.fileno())
-                    os.replace(part, target)
-                    rows.append((source, target, None))
-                except OSError as e:
-                    rows.append((source, target, str(e)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["source", "target", "error"])
-
-    some = cleaned.where(F.col(clean_col).isNotNull()).select(F.col(path_col), clean_name(F.col(path_col)).alias("target"), clean_col)
-    return some.mapInArrow(run, "source string, target string, error string")
+    some = cleaned.where(F.col(clean_col).isNotNull())
+    names = some.select(F.col(path_col).alias("source"), clean_name(F.col(path_col)).alias("target"), F.col(clean_col).alias("clean"))
+    ends = names.agg(F.min("target"), F.max("target")).first()  # what the first and the last have in common, all have
+    if ends[0] is not None:
+        root = os.path.commonprefix(list(ends)).rsplit("/", 1)[0]
+        write_blobs(names.select(F.substr("target", F.lit(len(root) + 2)).alias("name"), "clean"), root, existing)
+    return names.select("source", "target")

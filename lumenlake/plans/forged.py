@@ -84,6 +84,13 @@ def _order_photo(row: dict, exif: bool = True, q: int | None = None, scan: bytes
     return f.jpeg(parts, width, height, scan, 1 + o % 50 if q is None else q, 0xC2 if o % 23 == 0 else 0xC0, b"tail" if o % 29 == 0 else b"")
 
 
+def long_photo(row: dict) -> bytes:
+    """An order's photo with a scan of 16 to 20 thousand bytes, no 255 among them."""
+    o = row["o"]
+    data = _order_photo(row, scan=bytes((o + k) % 251 for k in range(64)) * (256 + o % 64))
+    return data[:40] if o % 101 == 0 else data
+
+
 def order_copy(row: dict) -> bytes:
     """A copy of an order's photo: whole, without EXIF, with another table, another scan, or wider with another table."""
     k = row["o"] % 5

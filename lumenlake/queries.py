@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake import case_queries
+from lumenlake import case_queries, table_queries
 from lumenlake.functions.meanings import FLASH, METERING_MODE, ORIENTATION, interpret
 from lumenlake.functions.text import clean_name, file_size, general
 from lumenlake.kernels.limits import Limits
@@ -385,5 +385,5 @@ def general_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("p"), general(F.col("p_size") / 10).alias("shown"))
 
 
-QUERIES |= case_queries.QUERIES
-ORACLE_SQL |= case_queries.ORACLE_SQL
+QUERIES |= case_queries.QUERIES | table_queries.QUERIES
+ORACLE_SQL |= case_queries.ORACLE_SQL | table_queries.ORACLE_SQL
