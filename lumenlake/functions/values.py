@@ -93,7 +93,7 @@ def xmp_rating() -> Column:
 
 def exif_timestamp(s: Column) -> Column:
     """EXIF date and time, or null; single digits are accepted."""
-    shape = s.rlike(r"^[0-9]{4}:[0-9]{1,2}:[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$")
+    shape = s.rlike(r"^(?!0000)[0-9]{4}:[0-9]{1,2}:[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$")
     return F.when(shape, F.try_to_timestamp(s, F.lit("y:M:d H:m:s"))).cast("timestamp_ntz")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from lumenlake.kernels import capture, gps, icc, iptc, xmp
+from lumenlake.kernels import icc, iptc, xmp
 from lumenlake.kernels.jpeg import EXIF_ID, SOF, XMP_ID, Segment, dimensions, fingerprint, full_walk, header_walk
 from lumenlake.kernels.limits import DEFAULT, Limits, ParseError
 from lumenlake.kernels.names import tag_name
@@ -134,14 +134,14 @@ def _presence(segments: list[Segment], limits: Limits) -> dict:
 
 
 #: Columns that take each part of the work.
-EXIF_COLUMNS = frozenset({"tags", "has", "location", "capture"})
+EXIF_COLUMNS = frozenset({"tags", "has"})
 WALK_COLUMNS = frozenset({"jpeg_process", "scan_sha256", "scan_bytes", "trailing_bytes", "quantization", "huffman", "presence", "exif_segments", "structural"})
 
 
 def parse(data: bytes, limits: Limits = DEFAULT, wanted: frozenset[str] | None = None) -> dict:
     """All facts of a JPEG, or those ``wanted``; what fails is null and says why in ``errors``."""
     out: dict = {
-        "width": None, "height": None, "segments": [], "tags": [], "xmp": [], "iptc": [], "icc": None, "location": None, "capture": None,
+        "width": None, "height": None, "segments": [], "tags": [], "xmp": [], "iptc": [], "icc": None,
         "presence": None, "jpeg_process": None, "scan_sha256": None, "scan_bytes": None, "trailing_bytes": None, "quantization": None, "huffman": None,
         "has": [], "exif_segments": 0, "structural": [], "has_extended_xmp": False, "errors": [],
     }
@@ -192,7 +192,7 @@ def parse(data: bytes, limits: Limits = DEFAULT, wanted: frozenset[str] | None =
 
 
 def _exif_facts(out: dict, head: list[Segment], limits: Limits, fail, asked) -> None:
-    """Tags of the first EXIF segment, and what they say of place and capture."""
+    """Tags of the first EXIF segment."""
     first = next((s for s in head if s.is_exif), None)
     named: dict[str, dict] = {}
     if first is not None:
@@ -204,10 +204,6 @@ def _exif_facts(out: dict, head: list[Segment], limits: Limits, fail, asked) ->
             out["has"] = [f"{g}/{n}" for g, values in named.items() for n, v in values.items() if has_value(v)]
         except (ParseError, struct.error) as e:
             fail("exif", e)
-    if asked("location"):
-        out["location"] = gps.location(named.get("GPS", {}))
-    if asked("capture"):
-        out["capture"] = capture.summary(named.get("ExifIFD", {}))
 
 
 def _walk_facts(out: dict, data: bytes, limits: Limits, fail, asked) -> None:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from lumenlake.functions.places import with_captures, with_places
 from lumenlake.kernels.containers import AVIF_BRANDS, GENERIC_BRANDS, HEIC_BRANDS, RAW_EXTENSIONS
 from lumenlake.kernels.jpeg import Transform
 from lumenlake.kernels.limits import DEFAULT, Limits
@@ -23,6 +24,8 @@ from lumenlake.sources.schema import CONTAINER, PHOTO, SCRUB
 
 #: Blobs in a batch handed to Python; with 1 GiB files the batch limit in bytes takes over.
 BLOBS_PER_BATCH = 64
+#: Columns of the bronze table that are expressions over its tags.
+SUMMARIES = {"location": with_places, "capture": with_captures}
 #: Excluded paths that are broadcast; more are joined by Spark's own choice.
 MOST_BROADCAST = 10_000
 
@@ -131,13 +134,18 @@ def photos(df: DataFrame, keys: list[str], content: str = "content", limits: Lim
     Each set of rules names what it reads (``privacy.NEEDS`` and so on). A null blob is empty, or with ``skip_null`` a row of nulls.
     """
     wanted = None if columns is None else frozenset(columns)
+    summed = [c for c in SUMMARIES if wanted is None or c in wanted]
+    parsed = wanted if wanted is None or not summed else wanted | {"tags"}
 
     def kernel(data: bytes) -> dict:
         from lumenlake.kernels.photo import parse
 
-        return parse(data, limits, wanted)
+        return parse(data, limits, parsed)
 
-    return over_blobs(df, keys, content, some_of(PHOTO, wanted), kernel, broken_photo, skip_null)
+    out = over_blobs(df, keys, content, some_of(PHOTO, parsed), kernel, broken_photo, skip_null)
+    for c in summed:
+        out = SUMMARIES[c](out)
+    return out if parsed == wanted or "tags" in wanted else out.drop("tags")
 
 
 def containers(df: DataFrame, keys: list[str], content: str = "content", limits: Limits = DEFAULT) -> DataFrame:

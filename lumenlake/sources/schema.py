@@ -14,17 +14,12 @@ ICC = (
     "struct<size:bigint,cmm:string,version:string,profile_class:string,color_space:string,pcs:string,platform:string,"
     "tags:array<struct<signature:string,offset:bigint,size:bigint>>,name:string>"
 )
-LOCATION = (
-    "struct<gps_detected:boolean,latitude:double,longitude:double,altitude:double,altitude_ref:int,altitude_reference:string,"
-    "gps_date:string,gps_time:string,image_direction:double,error:string>"
-)
-CAPTURE = "struct<date:string,time:string,exposure:string,iso:bigint,aperture:string,focal_length:string,lens:string>"
 PRESENCE = "struct<exif:string,gps:string,xmp:string,iptc:string,icc:string,camera_model:string,warnings:array<string>>"
 FINDING = "struct<code:string,severity:string,category:string,message:string,evidence:array<string>>"
-#: One row per JPEG, as ``kernels.photo.parse`` makes it.
+#: One row per JPEG, as ``kernels.photo.parse`` makes it; ``location`` and ``capture`` are made of its tags (``functions.places``).
 PHOTO = (
-    f"width int, height int, segments array<{SEGMENT}>, tags array<{TAG}>, xmp array<{XMP}>, iptc array<{IPTC}>, icc {ICC}, location {LOCATION}, "
-    f"capture {CAPTURE}, has array<string>, presence {PRESENCE}, jpeg_process string, scan_sha256 string, scan_bytes bigint, trailing_bytes bigint, quantization string, "
+    f"width int, height int, segments array<{SEGMENT}>, tags array<{TAG}>, xmp array<{XMP}>, iptc array<{IPTC}>, icc {ICC}, "
+    f"has array<string>, presence {PRESENCE}, jpeg_process string, scan_sha256 string, scan_bytes bigint, trailing_bytes bigint, quantization string, "
     f"huffman string, exif_segments int, structural array<{FINDING}>, has_extended_xmp boolean, errors array<struct<part:string,message:string>>"
 )
 CHANGE = "struct<seq:int,offset:bigint,marker:int,name:string,reason:string,removed:boolean,old_bytes:bigint,new_bytes:bigint>"
