@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from lumenlake.kernels.limits import DEFAULT, Limits, ParseError, need
 
 SOI, EOI, SOS, DNL, COM, TEM = 0xD8, 0xD9, 0xDA, 0xDC, 0xFE, 0x01
+#: Stands for entropy-coded bytes where they are rows.
+SCAN = -1
 SOF = frozenset({*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC})
 EXIF_ID = b"Exif\0\0"
 XMP_ID = b"http://ns.adobe.com/xap/1.0/\0"
@@ -27,7 +29,7 @@ MARKER_NAMES = (
 
 
 def marker_name(marker: int) -> str:
-    return MARKER_NAMES.get(marker) or f"UNKNOWN_{marker:02X}"
+    return "SCAN" if marker == SCAN else MARKER_NAMES.get(marker) or f"UNKNOWN_{marker:02X}"
 
 
 @dataclass
@@ -137,9 +139,10 @@ class Rewrite:
     scan_bytes: int
     trailing: bytes
     changes: list[dict] = field(default_factory=list)
+    scans: list[Segment] = field(default_factory=list)  # entropy-coded stretches, numbered by the segment before
 
 
-def full_walk(data: bytes, transform: Transform | None = None, strip_trailing: bool = False, limits: Limits = DEFAULT) -> Rewrite:
+def full_walk(data: bytes, transform: Transform | None = None, strip_trailing: bool = False, limits: Limits = DEFAULT, keep_scans: bool = False) -> Rewrite:
     """The whole file, scans included; ``transform`` may change or drop APPn and COM segments.
 
     The scan digest is over the entropy-coded bytes of all scans with stuffed bytes, restart
@@ -147,7 +150,7 @@ def full_walk(data: bytes, transform: Transform | None = None, strip_trailing: b
     """
     need(len(data) <= limits.max_input_file_bytes, "input file exceeds the limit")
     need(data[:2] == b"\xff\xd8", "not a JPEG: SOI is missing")
-    out, segments, changes = [b"\xff\xd8"], [Segment(0, 0, SOI, None, b"")], []
+    out, segments, changes, scans = [b"\xff\xd8"], [Segment(0, 0, SOI, None, b"")], [], []
     scan, scanned, saw_scan = hashlib.sha256(), 0, False
     at = 2
     while True:
@@ -195,6 +198,8 @@ def full_walk(data: bytes, transform: Transform | None = None, strip_trailing: b
                 chunk = data[begin:cut]
                 scan.update(chunk)
                 scanned += len(chunk)
+                if keep_scans:
+                    scans.append(Segment(len(segments) - 1, begin, SCAN, None, chunk, True))
                 length, payload, end = _payload_at(data, at + 1, limits)
                 segments.append(Segment(len(segments), cut, DNL, length, payload, True))
                 out.append(data[begin:end])
@@ -204,6 +209,8 @@ def full_walk(data: bytes, transform: Transform | None = None, strip_trailing: b
         chunk = data[begin:cut]
         scan.update(chunk)
         scanned += len(chunk)
+        if keep_scans:
+            scans.append(Segment(len(segments) - 1, begin, SCAN, None, chunk, True))
         out.append(chunk)
         at = cut
     trailing = data[at:]
@@ -211,7 +218,7 @@ def full_walk(data: bytes, transform: Transform | None = None, strip_trailing: b
         out.append(trailing)
     elif trailing:
         changes.append({"seq": -1, "offset": at, "marker": -1, "name": "TRAILING", "reason": "trailing data after EOI", "removed": True, "old_bytes": len(trailing), "new_bytes": 0})
-    return Rewrite(b"".join(out), segments, scan.hexdigest(), scanned, trailing, changes)
+    return Rewrite(b"".join(out), segments, scan.hexdigest(), scanned, trailing, changes, scans)
 
 
 def fingerprint(segments: list[Segment], marker: int) -> str | None:

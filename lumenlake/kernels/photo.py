@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 from lumenlake.kernels import icc, iptc, xmp
-from lumenlake.kernels.jpeg import EXIF_ID, SOF, XMP_ID, Segment, dimensions, fingerprint, full_walk, header_walk
+from lumenlake.kernels.jpeg import EXIF_ID, SCAN, SOF, XMP_ID, Segment, dimensions, fingerprint, full_walk, header_walk
 from lumenlake.kernels.limits import DEFAULT, Limits, ParseError
 from lumenlake.kernels.names import tag_name
 from lumenlake.kernels.tiff import EXIF_POINTER, GPS_POINTER, TYPES, Block, Directory, has_value, tagged
@@ -103,23 +103,47 @@ def _entries(block: Block, ifd: str, d: Directory) -> list[dict]:
     return out
 
 
+def block_presence(payload: bytes, limits: Limits) -> tuple[str, str | None, str | None]:
+    """Of one EXIF segment whether it points to GPS tags (YES, NO or UNKNOWN), its camera model, and what is wrong with it."""
+    try:
+        block = Block.open(payload[len(EXIF_ID) :], limits)
+        ifd0 = block.directory(block.first)
+        gps = "YES" if any(e.tag == GPS_POINTER for e in ifd0.entries) else "NO"
+        model = next((e for e in ifd0.entries if e.tag == 0x0110), None)
+        text = block.value(model) if model is not None else None
+        return gps, (text.strip() or None) if isinstance(text, str) else None, None
+    except ParseError as e:
+        return "UNKNOWN", None, str(e)
+
+
+def segment_rows(data: bytes, limits: Limits, payload_of: frozenset[int]) -> dict:
+    """Segments in order, whole ones of the markers in ``payload_of``; those up to the first scan where the rest cannot be walked."""
+    error = None
+    try:
+        walk = full_walk(data, limits=limits, keep_scans=SCAN in payload_of)
+        found = [*walk.segments, *walk.scans]
+    except (ParseError, struct.error) as e:
+        error = str(e)
+        try:
+            found = header_walk(data, limits)
+        except (ParseError, struct.error):
+            return {"found": [], "error": error}
+    rows = []
+    for s in found:
+        gps, model, problem = block_presence(s.payload, limits) if s.is_exif else (None, None, None)
+        rows.append(s.row() | {"late": s.late, "head": s.payload[:16], "payload": s.payload if s.marker in payload_of else None, "gps": gps, "camera_model": model, "problem": problem})
+    return {"found": rows, "error": error}
+
+
 def _presence(segments: list[Segment], limits: Limits) -> dict:
     """Presence of each kind of metadata in the whole file: YES, NO or UNKNOWN."""
     out = {"exif": "NO", "gps": "NO", "xmp": "NO", "iptc": "NO", "icc": "NO", "camera_model": None, "warnings": []}
     for s in segments:
         if s.is_exif:
-            out["exif"], pointer = "YES", None
-            try:
-                block = Block.open(s.payload[len(EXIF_ID) :], limits)
-                ifd0 = block.directory(block.first)
-                pointer = any(e.tag == GPS_POINTER for e in ifd0.entries)
-                out["gps"] = "YES" if pointer else "NO"
-                model = next((e for e in ifd0.entries if e.tag == 0x0110), None)
-                if model is not None and isinstance(text := block.value(model), str) and text.strip():
-                    out["camera_model"] = text.strip()
-            except ParseError as e:
-                out["gps"] = "UNKNOWN"
-                out["warnings"].append(f"EXIF: {e}")
+            out["exif"] = "YES"
+            out["gps"], model, problem = block_presence(s.payload, limits)
+            out["camera_model"] = model or out["camera_model"]
+            out["warnings"] += [f"EXIF: {problem}"] if problem else []
         elif s.is_xmp or s.is_extended_xmp:
             out["xmp"] = "YES"
         elif s.is_icc:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.plans.forged import forged
 
-ANOMALIES, PRIVATE, CHANGES, PLACES, BUDGETS, PACKETS = 24, 12, 21, 12, 24, 6
+ANOMALIES, PRIVATE, CHANGES, PLACES, BUDGETS, PACKETS, CHUNKS = 24, 12, 21, 12, 24, 6, 9
 MADE = [(0x010F, 2, "Make"), (0x0110, 2, "Model")]
 LATITUDE, LONGITUDE = [(1, 2, "N"), (2, 5, [(19, 1), (25, 1), (30, 1)])], [(3, 2, "W"), (4, 5, [(99, 1), (7, 1), (48, 1)])]
 DATED = [(0x1D, 2, "2026:08:11")]
@@ -181,3 +181,19 @@ def packet_photo(row: dict) -> bytes:
         lambda: [f.iptc([(2, 25, "Öl".encode("latin-1")), (2, 200, b"?")])],
     ][k]()
     return f.jpeg(parts, 8, 8)
+
+
+def chunk_photo(row: dict) -> bytes:
+    """A profile in one, two or three chunks, some out of order, missing, doubled, at odds or badly numbered; in case 8 none."""
+    from lumenlake.kernels import forge as f
+    from lumenlake.kernels.jpeg import ICC_ID
+
+    k = row["k"]
+    profile = f.icc_profile(f"P{k}")
+    chunk = lambda no, of, data: f.segment(0xE2, ICC_ID + bytes((no, of)) + data)
+    a, b, c = (chunk(j + 1, 3, profile[50 * j : 50 * (j + 1)] if j < 2 else profile[100:]) for j in range(3))
+    parts = {
+        0: [chunk(1, 1, profile)], 1: [a, b, c], 2: [c, a, b], 3: [a, c], 4: [a, b, c, b], 5: [a, b, chunk(3, 4, profile[100:])], 6: [chunk(0, 1, profile)],
+        7: [f.segment(0xE2, ICC_ID + b"\1")], 8: [f.segment(0xE2, b"other")],
+    }[k % CHUNKS]
+    return f.jpeg(parts, 8, 8)

@@ -91,6 +91,30 @@ def long_photo(row: dict) -> bytes:
     return data[:40] if o % 101 == 0 else data
 
 
+def packet_of_rating() -> bytes:
+    """The payload of a packet with one property."""
+    from lumenlake.kernels import forge as f
+
+    return f.xmp({"xmp:Rating": "1"})[4:]
+
+
+def blocks_photo(row: dict) -> bytes:
+    """No to three EXIF blocks that differ in model and GPS tags, up to two packets, comments, and at times a frame header before the true one."""
+    import struct
+
+    from lumenlake.kernels import forge as f
+
+    o, c = row["o"], row["c"]
+    parts = [f.segment(0xFE, bytes(c % 50))]
+    for j in range(o % 4):
+        model = [(0x0110, 2, f" M{(o + j) % 7} ")] if (o + j) % 3 else []
+        parts.append(f.exif([(0x010F, 2, "Make"), *model], None, [(1, 2, "N")] if (c + j) % 2 else None))
+    parts += [f.xmp({"xmp:Rating": "1"})] * (o % 3)
+    if o % 23 == 0:
+        parts.append(f.segment(0xC1, struct.pack(">BHHB", 8, 7, 9, 1) + b"\x01\x11\x00"))
+    return f.jpeg(parts, 16 + c % 4000, 16 + o % 3000, b"scan", 1 + o % 50)
+
+
 def order_copy(row: dict) -> bytes:
     """A copy of an order's photo: whole, without EXIF, with another table, another scan, or wider with another table."""
     k = row["o"] % 5

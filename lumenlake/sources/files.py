@@ -20,7 +20,7 @@ from lumenlake.kernels.containers import AVIF_BRANDS, GENERIC_BRANDS, HEIC_BRAND
 from lumenlake.kernels.jpeg import Transform
 from lumenlake.kernels.limits import DEFAULT, Limits
 from lumenlake.plans.ship import ship
-from lumenlake.sources.schema import CONTAINER, PHOTO, SCRUB
+from lumenlake.sources.schema import CONTAINER, PHOTO, SCRUB, SEGMENT_ROW
 
 #: Blobs in a batch handed to Python; with 1 GiB files the batch limit in bytes takes over.
 BLOBS_PER_BATCH = 64
@@ -148,6 +148,22 @@ def photos(df: DataFrame, keys: list[str], content: str = "content", limits: Lim
     return out if parsed == wanted or "tags" in wanted else out.drop("tags")
 
 
+def segment_rows(df: DataFrame, keys: list[str], content: str = "content", limits: Limits = DEFAULT, payload_of: Iterable[int] = ()) -> DataFrame:
+    """``keys`` and a row for each segment of the whole file, in order by ``seq``; a file that has none is one row with its ``error``.
+
+    Payloads stay behind but for the markers in ``payload_of``; ``head`` has the first 16 bytes. EXIF segments tell of GPS tags and model.
+    """
+    whole = frozenset(payload_of)
+
+    def kernel(data: bytes) -> dict:
+        from lumenlake.kernels.photo import segment_rows as rows
+
+        return rows(data, limits, whole)
+
+    found = over_blobs(df, keys, content, f"found array<{SEGMENT_ROW}>, error string", kernel)
+    return found.select(*keys, "error", F.explode_outer("found").alias("x")).select(*keys, "error", "x.*")
+
+
 def containers(df: DataFrame, keys: list[str], content: str = "content", limits: Limits = DEFAULT) -> DataFrame:
     """Facts of PNG, WebP and TIFF files."""
 

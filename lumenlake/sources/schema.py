@@ -7,6 +7,8 @@ SEGMENT = (
     "struct<seq:int,offset:bigint,marker:int,name:string,declared_length:int,payload_length:int,is_exif:boolean,is_xmp:boolean,"
     "is_extended_xmp:boolean,is_icc:boolean,is_photoshop:boolean>"
 )
+#: A segment as a row of its own: what a file's windows and groups take.
+SEGMENT_ROW = SEGMENT[:-1] + ",late:boolean,head:binary,payload:binary,gps:string,camera_model:string,problem:string>"
 TAG = f"struct<ifd:string,pos:int,tag:int,tag_name:string,field_type:int,field_type_name:string,count:bigint,value:{VALUE}>"
 XMP = "struct<packet:int,pos:int,namespace_uri:string,local_name:string,qualified_name:string,value_text:string,value_list:array<string>>"
 IPTC = "struct<pos:int,record:int,dataset:int,name:string,text:string,raw:binary,encoding:string>"

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.operators import sanitize
+from lumenlake.kernels.jpeg import SCAN
+from lumenlake.operators import sanitize, segments
 from lumenlake.plans import cases, forged, shared
-from lumenlake.sources import ranges, sink
+from lumenlake.sources import files, ranges, sink
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -58,3 +59,59 @@ def clean_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink.write_blobs(done.select(F.concat(F.col("k").cast("string"), F.lit("_clean.jpg")), "clean"), folder, sync=False)
     found = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("clean"))
     return found.groupBy("name").agg(F.first("clean").alias("clean"), F.count("*").cast("int").alias("files")).select(F.regexp_extract("name", "^[0-9]+", 0).cast("long").alias("k"), "clean", "name", "files")
+
+
+#: Bytes of a block's payload: identifier, header, one or two entries, a text that does not fit in its entry, a pointer and the directory it points to.
+_BLOCK = "(6 + 8 + 2 + 12 + 4 + 6 + CASE WHEN (o + j) % 3 > 0 THEN 12 + 6 ELSE 0 END + CASE WHEN (c + j) % 2 = 1 THEN 12 + 18 ELSE 0 END)"
+_PACKET = len(forged.packet_of_rating())
+
+
+@query(
+    f"""WITH p AS (SELECT o_orderkey AS o, o_custkey AS c, o_orderkey % 4 AS n FROM orders),
+ b AS (SELECT o, sum({_BLOCK})::BIGINT AS bytes, arg_max('M' || ((o + j) % 7), j) FILTER ((o + j) % 3 > 0) AS model, arg_max((c + j) % 2 = 1, j) AS gps FROM (SELECT o, c, unnest(range(n)) AS j FROM p) GROUP BY o),
+ q AS (SELECT p.o, c, n, p.o % 3 AS packets, p.o % 23 = 0 AS early, coalesce(bytes, 0) AS bytes, model, coalesce(gps, false) AS gps FROM p LEFT JOIN b ON p.o = b.o)
+ SELECT o, 6 + n + packets + early::INT AS segment_count, c % 50 + bytes + {_PACKET} * packets + 9 * early::INT + 65 + 9 + 6 AS payload_bytes, n AS exif_segments, CASE WHEN gps THEN 'YES' ELSE 'NO' END AS gps, model AS camera_model,
+ CASE WHEN packets > 0 THEN 2 + n END::INT AS first_xmp, CASE WHEN early THEN 'Extended sequential DCT' ELSE 'Baseline DCT' END AS jpeg_process, CASE WHEN early THEN 9 ELSE 16 + c % 4000 END AS width,
+ CASE WHEN early THEN 7 ELSE 16 + o % 3000 END AS height, CASE WHEN packets > 0 AND c % 50 + bytes + {_PACKET} > 400 THEN 2 + n WHEN packets > 1 AND c % 50 + bytes + 2 * {_PACKET} > 400 THEN 3 + n END::INT AS first_over FROM q"""
+)
+def segment_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of files with several EXIF blocks, by windows over their segments; ``first_over``: the first packet at which payloads exceed 400 bytes."""
+    rows = files.segment_rows(forged.photo_files(spark, sf_dir, forged.blocks_photo), ["o"])
+    facts = segments.file_facts(rows, ["o"])
+    over = segments.in_order(rows, ["o"]).where("is_xmp and payload_sum > 400").groupBy("o").agg(F.min("seq").alias("first_over"))
+    names = ("o", "segment_count", "payload_bytes", "exif_segments", "gps", "camera_model", "first_xmp", "jpeg_process", "width", "height")
+    return facts.select(*names).join(over.where("first_over is not null").withColumnRenamed("o", "o_"), F.col("o") == F.col("o_"), "left").select(*names, "first_over")
+
+
+_PROFILE = """unhex(lpad(printf('%X', (156 + n)::INT), 8, '0') || '54455354' || '04300000' || '6D6E7472' || '52474220' || '58595A20' || repeat('00', 12) || '61637370' || '4150504C' || repeat('00', 84)
+ || '00000001' || '64657363' || '00000090' || lpad(printf('%X', (12 + n)::INT), 8, '0') || '64657363' || '00000000' || lpad(printf('%X', n::INT), 8, '0') || hex('P' || k) || '00')"""
+
+
+@query(
+    f"""WITH x AS (SELECT c_custkey AS k, c_custkey % {cases.CHUNKS} AS i, length('P' || c_custkey) + 1 AS n FROM customer) SELECT k, CASE WHEN i < 3 THEN sha256({_PROFILE}) END AS profile,
+ CASE i WHEN 3 THEN 'ICC chunks are missing' WHEN 4 THEN 'duplicate ICC chunk' WHEN 5 THEN 'ICC chunks disagree on their number' WHEN 6 THEN 'ICC chunk numbering is invalid' WHEN 7 THEN 'ICC chunk is short' END AS problem,
+ CASE WHEN i < 3 THEN '4.3.0 Display device RGB CIE XYZ APPL desc:144:' || (12 + n) END AS said FROM x WHERE i < 8"""
+)
+def profile_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour profiles put together of chunks that come in any order, or not all, or twice."""
+    rows = files.segment_rows(cases.files(spark, sf_dir, cases.chunk_photo), ["k"], payload_of=(segments.APP2,))
+    found = segments.profiles(rows, ["k"])
+    head = segments.profile_header(found.select("k", "profile", "problem"), ["k"]).select(
+        F.col("k").alias("k_"), F.concat_ws(" ", "version", "profile_class", "color_space", "pcs", "platform", F.array_join(F.transform("tags", lambda t: F.concat_ws(":", t["signature"], t["offset"], t["size"])), ",")).alias("said")
+    )
+    return found.join(head, F.col("k") == F.col("k_")).select("k", F.sha2("profile", 256).alias("profile"), "problem", F.when(F.col("profile").isNotNull(), F.col("said")).alias("said"))
+
+
+@query(
+    """SELECT o_orderkey AS o, sha256(unhex('0000004100' || repeat(lpad(printf('%x', (1 + o_orderkey % 50)::INT), 2, '0'), 64))) AS quantization, NULL::VARCHAR AS huffman,
+ sha256((o_custkey % 97)::VARCHAR) AS scan FROM orders WHERE o_orderkey % 101 <> 0"""
+)
+def table_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of tables and scans by aggregates over segment rows, in SQL."""
+    segments.register(spark)
+    rows = files.segment_rows(forged.photo_files(spark, sf_dir), ["o"], payload_of=(segments.DQT, segments.DHT, SCAN)).where("error is null")
+    return spark.sql(
+        f"""SELECT o, jpeg_fingerprint(seq, CASE WHEN marker = {segments.DQT} THEN payload END) AS quantization, jpeg_fingerprint(seq, CASE WHEN marker = {segments.DHT} THEN payload END) AS huffman,
+ ordered_sha256(offset, CASE WHEN marker = {SCAN} THEN payload END) AS scan FROM {{rows}} WHERE payload IS NOT NULL GROUP BY o""",
+        rows=rows,
+    )
