@@ -181,16 +181,6 @@ def text_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.text_findings(privacy.assess(_photos(spark, sf_dir, *privacy.NEEDS)), ["o"], "findings", detailed=True)
 
 
-@query(
-    T + """SELECT 'Files: ' || count(*) || ' files' || chr(10) || 'JPEG: ' || count(*) || chr(10) || 'PNG: 0' || chr(10) || 'WEBP: 0' || chr(10) || 'TIFF: 0' || chr(10) || 'HEIF: 0' || chr(10) || 'RAW: 0' || chr(10)
- || 'UNSUPPORTED: 0' || chr(10) || 'JPEG analyzed: ' || count(*) FILTER (NOT bad) || ', failed: ' || count(*) FILTER (bad) || chr(10) || 'GPS detected: ' || count(*) FILTER (gps AND NOT bad) || chr(10)
- || 'Exposure HIGH: ' || count(*) FILTER (level = 'HIGH') || ', MEDIUM: ' || count(*) FILTER (level = 'MEDIUM') || ', LOW: ' || count(*) FILTER (level = 'LOW') || chr(10) || 'Failed JPEG:' || chr(10)
- || string_agg('- ' || o || '.jpg: truncated JPEG: segment payload is short', chr(10) ORDER BY 'file:/photos/' || o || '.jpg') FILTER (bad) AS document FROM l"""
-)
-def text_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.text_batch(batch.items(forged.photo_files(spark, sf_dir).select("path", "length", "content")), "file:/photos")
-
-
 @query(
     T + """SELECT o || '.jpg' AS path, CASE WHEN bad THEN '[ERROR] ' || o || '.jpg - truncated JPEG: segment payload is short'
  ELSE '[' || level || '] ' || points || '/100 GPS=' || CASE WHEN gps THEN 'YES' ELSE 'NO' END || ' ' || o || '.jpg' END AS line FROM l"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.operators import anomalies, batch, comparison, exiftool, hashing, privacy, sanitize
-from lumenlake.plans import reports
+from lumenlake.plans import reports, shared
 from lumenlake.sources import files, optional
 
 KEYS = ["path", "size_bytes", "sha256"]
@@ -35,6 +35,12 @@ def _print(documents: DataFrame) -> None:
         print(row["document"])
 
 
+def _print_lines(lines: DataFrame) -> None:
+    """A document's lines in order, one by one."""
+    for row in lines.orderBy("section", *reports.by_path()).toLocalIterator():
+        print(row["piece"])
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lumenlake", description=__doc__)
     verbs = top.add_subparsers(dest="verb")
@@ -77,7 +83,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
     if args.verb == "scan":
         _scan(args, spark)
     elif args.verb == "privacy" and args.directory:
-        _print(reports.text_batch_privacy(batch.items(files.scan_directory(spark, args.path, args.recursive)), f"file:{args.path}", args.detailed))
+        items = shared.written(batch.items(files.scan_directory(spark, args.path, args.recursive)), "items")
+        _print_lines(reports.text_batch_privacy(items, f"file:{args.path}", args.detailed))
     elif args.verb == "privacy":
         _print(reports.text_findings(_judged(spark, args.path), ["path"], "findings", args.detailed))
     elif args.verb == "anomalies":
@@ -107,7 +114,7 @@ def _scan(args: argparse.Namespace, spark: SparkSession) -> None:
     if args.sensitive and not args.json:
         raise ValueError("--sensitive needs --json")
     if args.directory or args.csv:
-        items = batch.items(files.scan_directory(spark, args.path, args.recursive, [args.csv] if args.csv else None))
+        items = shared.written(batch.items(files.scan_directory(spark, args.path, args.recursive, [args.csv] if args.csv else None)), "items")
         if args.csv:
             print(reports.write_csv_file(reports.csv_rows(items, f"file:{args.path}"), args.csv))
         elif args.json:
@@ -115,7 +122,7 @@ def _scan(args: argparse.Namespace, spark: SparkSession) -> None:
                 print(part, end="")
             print()
         else:
-            _print(reports.text_batch(items, f"file:{args.path}"))
+            _print_lines(reports.text_batch(items, f"file:{args.path}"))
     elif args.segments:
         _print(reports.text_segments(files.photos(_blobs(spark, args.path), KEYS), ["path"]))
     elif (kind := _kind(spark, args.path)) in ("PNG", "WEBP", "TIFF"):

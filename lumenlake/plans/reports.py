@@ -1,7 +1,7 @@
 """Documents from rows: JSON, CSV, HTML and text, one per file or one per directory.
 
 Per-file documents are Column expressions, so they are made where the row is. A directory's
-document gathers its rows; it is a report for one directory and is sorted by path.
+document is rows sorted by path over ranges and joined as files, whatever its size.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from lumenlake.functions.meanings import TABLES, interpret, interpret_value
 from lumenlake.functions.text import bar, file_size, fit, general, hex_bytes, html, or_empty, plural, relative, shutter, strip_or_null, trim_zeros, yes_no
 from lumenlake.functions.values import tag, text
 from lumenlake.operators import batch, comparison, privacy
+from lumenlake.sources.sink import write_document
 
 VERSION = "1.0"
 #: Columns of the CSV export.
@@ -43,22 +44,21 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).option("emptyValue", "").mode("errorifexists").csv(path)
 
 
+def by_path() -> list[Column]:
+    """Order of files in a document: by path, case folded."""
+    return [F.lower("path"), F.col("path")]
+
+
+def csv_line(names: list[str]) -> Column:
+    """A row's texts with commas between; quoted where they hold a comma, a quote or an end of line."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.concat_ws(",", *[F.when(F.col(n).rlike(r'[",\r\n]'), quoted(F.col(n))).otherwise(F.col(n)) for n in names])
+
+
 def write_csv_file(rows: DataFrame, path: str) -> int:
-    """One local file with a byte-order mark, replaced as a whole. Rows pass through the driver one by one."""
-    import csv
-    import os
-
-    part, n = f"{path}.part", 0
-    with open(part, "w", encoding="utf-8-sig", newline="") as f:
-        out = csv.writer(f)
-        out.writerow(rows.columns)
-        for row in rows.orderBy(F.lower("path"), "path").toLocalIterator():
-            out.writerow(row)
-            n += 1
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(part, path)
-    return n
+    """One file with a byte-order mark, by path, replaced as a whole: for any size. Gives the number of rows."""
+    pieces = rows.select("path", F.concat(csv_line(rows.columns), F.lit("\r\n")).alias("piece"))
+    return write_document(pieces, by_path(), path, head="\ufeff" + ",".join(rows.columns) + "\r\n", replace=True)
 
 
 def _json(value: Column, pretty: bool = False) -> Column:
@@ -127,11 +127,11 @@ def _json_head(items: DataFrame, root: str, recursive: bool) -> DataFrame:
     return batch.summary(items).select(F.regexp_replace(_json(head), r"\}$", "").alias("head"))
 
 
-def json_batch(items: DataFrame, root: str, recursive: bool) -> DataFrame:
-    """One row: the whole directory as a document, in one task's memory; for large ones see ``json_lines`` and ``json_parts``."""
-    listed = json_files(items, root).agg(F.array_sort(F.collect_list(F.struct(F.lower("path").alias("k"), "path", "document"))).alias("all"))
-    body = F.array_join(F.transform("all", lambda x: x["document"]), ",")
-    return _json_head(items, root, recursive).crossJoin(F.broadcast(listed)).select(F.concat("head", F.lit(',"files":['), body, F.lit("]}")).alias("document"))
+def write_json(items: DataFrame, root: str, recursive: bool, path: str, replace: bool = False) -> int:
+    """The whole directory as one JSON file, files by path: for any size. ``items`` are read twice; give a written table. Gives the number of files."""
+    head = _json_head(items, root, recursive).first()["head"]
+    pieces = json_files(items, root).withColumnRenamed("document", "piece")
+    return write_document(pieces, by_path(), path, head=head + ',"files":[', separator=",", tail="]}", replace=replace)
 
 
 def json_lines(items: DataFrame, root: str, path: str) -> None:
@@ -140,7 +140,7 @@ def json_lines(items: DataFrame, root: str, path: str) -> None:
 
 
 def json_parts(items: DataFrame, root: str, recursive: bool) -> Iterator[str]:
-    """The document of ``json_batch`` piece by piece, by path; rows pass through the driver one by one."""
+    """The document of ``write_json`` piece by piece, by path, for a console; rows pass through the driver one by one."""
     yield _json_head(items, root, recursive).first()["head"] + ',"files":['
     comma = ""
     for row in json_files(items, root).orderBy(F.lower("path"), "path").toLocalIterator():
@@ -292,10 +292,15 @@ def privacy_lines(items: DataFrame, root: str) -> DataFrame:
 
 
 def _with_lines(counts: DataFrame, head: Column, title: str, lines: DataFrame) -> DataFrame:
-    """One document: ``head`` over ``counts`` and, under a title, the lines, which one directory's report holds."""
-    listed = lines.agg(F.array_sort(F.collect_list(F.struct(F.lower("path").alias("k"), "path", "line"))).alias("all"))
-    body = F.when(F.size("all") > 0, F.concat(F.lit(f"{title}\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\n")))
-    return counts.crossJoin(F.broadcast(listed)).select(_lines(head, body).alias("document"))
+    """(section, path, piece): the lines of ``head`` over ``counts`` and, under a title, ``lines``."""
+    top = counts.select(F.lit(0).alias("section"), F.posexplode(F.split(head, "\n")).alias("k", "piece")).select("section", F.format_string("%06d", "k").alias("path"), "piece")
+    over = lines.select(F.lit(1).alias("section"), F.lit("").alias("path"), F.lit(title).alias("piece")).limit(1)
+    return top.unionByName(over).unionByName(lines.select(F.lit(2).alias("section"), "path", F.col("line").alias("piece")))
+
+
+def write_text(pieces: DataFrame, path: str, replace: bool = False) -> int:
+    """The lines of ``text_batch`` or ``text_batch_privacy`` as one file: for any number of files. Gives the number of lines."""
+    return write_document(pieces, [F.col("section"), *by_path()], path, separator="\n", replace=replace)
 
 
 def _count_lines() -> Column:
@@ -308,15 +313,16 @@ def _count_lines() -> Column:
 
 
 def text_batch(items: DataFrame, root: str = "") -> DataFrame:
-    """Counts of a directory, and the JPEGs that could not be analysed."""
+    """Lines (section, path, piece): counts of a directory, and the JPEGs that could not be analysed. ``items`` are read several times."""
     return _with_lines(batch.summary(items), _count_lines(), "Failed JPEG:", failure_lines(items, root))
 
 
 def text_batch_privacy(items: DataFrame, root: str = "", detailed: bool = False) -> DataFrame:
-    """Counts of a directory and, with ``detailed``, a line for each JPEG."""
+    """Lines (section, path, piece): counts of a directory and, with ``detailed``, a line for each JPEG."""
     note = F.lit("Levels come from rules over metadata; they are not probabilities of harm.")
     head = _lines(_count_lines(), note)
-    return _with_lines(batch.summary(items), head, "JPEG results:", privacy_lines(items, root)) if detailed else batch.summary(items).select(head.alias("document"))
+    lines = privacy_lines(items, root)
+    return _with_lines(batch.summary(items), head, "JPEG results:", lines if detailed else lines.where("false"))
 
 
 def _rows(**values: Column) -> Column:

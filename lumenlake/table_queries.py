@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlake.case_queries import T
 from lumenlake.kernels.jpeg import SCAN
-from lumenlake.operators import sanitize, segments
-from lumenlake.plans import cases, forged, shared
+from lumenlake.operators import batch, sanitize, segments
+from lumenlake.plans import cases, forged, reports, shared
 from lumenlake.sources import files, ranges, sink
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +116,37 @@ def table_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
  ordered_sha256(offset, CASE WHEN marker = {SCAN} THEN payload END) AS scan FROM {{rows}} WHERE payload IS NOT NULL GROUP BY o""",
         rows=rows,
     )
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared.written(batch.items(forged.photo_files(spark, sf_dir).select("path", "length", "content")), "items")
+
+
+def _document(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("document"))
+
+
+@query(
+    T + """SELECT 'Files: ' || count(*) || ' files' || chr(10) || 'JPEG: ' || count(*) || chr(10) || 'PNG: 0' || chr(10) || 'WEBP: 0' || chr(10) || 'TIFF: 0' || chr(10) || 'HEIF: 0' || chr(10) || 'RAW: 0' || chr(10)
+ || 'UNSUPPORTED: 0' || chr(10) || 'JPEG analyzed: ' || count(*) FILTER (NOT bad) || ', failed: ' || count(*) FILTER (bad) || chr(10) || 'GPS detected: ' || count(*) FILTER (gps AND NOT bad) || chr(10)
+ || 'Exposure HIGH: ' || count(*) FILTER (level = 'HIGH') || ', MEDIUM: ' || count(*) FILTER (level = 'MEDIUM') || ', LOW: ' || count(*) FILTER (level = 'LOW') || chr(10) || 'Failed JPEG:' || chr(10)
+ || string_agg('- ' || o || '.jpg: truncated JPEG: segment payload is short', chr(10) ORDER BY 'file:/photos/' || o || '.jpg') FILTER (bad) AS document FROM l"""
+)
+def text_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text report of a directory, written as one file by ranges of its lines, and read back."""
+    path = shared.new_folder(spark, "report") + "/report.txt"
+    reports.write_text(reports.text_batch(_items(spark, sf_dir), "file:/photos"), path)
+    return _document(spark, path)
+
+
+@query(
+    T + """SELECT '{"schema_version":"1.0","mode":"batch","directory":"file:/photos","recursive":false,"summary":{"total_files":' || count(*) || ',"formats":{"jpeg":' || count(*) || ',"png":0,"webp":0,"tiff":0,"heif":0,"raw":0,"unsupported":0},"jpeg":{"analyzed":'
+ || count(*) FILTER (NOT bad) || ',"failed":' || count(*) FILTER (bad) || '},"gps_detected":' || count(*) FILTER (gps AND NOT bad) || ',"privacy_exposure":{"high":' || count(*) FILTER (level = 'HIGH') || ',"medium":' || count(*) FILTER (level = 'MEDIUM')
+ || ',"low":' || count(*) FILTER (level = 'LOW') || '}},"files":[' || string_agg('{"path":"' || o || '.jpg","format":"JPEG","analyzed":' || CASE WHEN bad THEN 'false,"gps_detected":null,"privacy":null,"error":"truncated JPEG: segment payload is short"}'
+ ELSE 'true,"gps_detected":' || gps::VARCHAR || ',"privacy":{"level":"' || level || '","points":' || points || ',"maximum":100},"error":null}' END, ',' ORDER BY o || '.jpg') || ']}' AS document FROM l"""
+)
+def json_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON document of a directory, written as one file by ranges of its files, and read back."""
+    path = shared.new_folder(spark, "report") + "/report.json"
+    reports.write_json(_items(spark, sf_dir), "file:/photos", False, path)
+    return _document(spark, path)

@@ -41,9 +41,11 @@ def test_one_bad_file_does_not_stop_a_folder(spark, folder):
     counts = batch.summary(rows).first()
     assert (counts["total_files"], counts["analyzed_jpeg_count"], counts["failed_jpeg_count"]) == (7, 3, 2)
     assert files.scan_directory(spark, str(folder), True, [str(folder / "a.png")]).count() == 7
-    document = reports.json_batch(rows, f"file:{folder}", False).first()["document"]
     import json
 
+    out = folder.parent / "batch.json"
+    assert reports.write_json(rows, f"file:{folder}", False, str(out)) == 7
+    document = out.read_text()
     assert "".join(reports.json_parts(rows, f"file:{folder}", False)) == document
     assert json.loads(document)["summary"]["total_files"] == 7 and len(json.loads(document)["files"]) == 7
 
@@ -291,11 +293,14 @@ def test_meanings_of_odd_values(spark):
 
 def test_batch_texts(spark, folder):
     rows = batch.items(files.scan_directory(spark, str(folder)))
-    said = reports.text_batch(rows, f"file:{folder}").first()["document"]
+    read = lambda lines: "\n".join(r["piece"] for r in lines.orderBy("section", *reports.by_path()).collect())
+    said = read(reports.text_batch(rows, f"file:{folder}"))
+    assert reports.write_text(reports.text_batch(rows, f"file:{folder}"), str(folder.parent / "batch.txt")) == len(said.split("\n"))
+    assert (folder.parent / "batch.txt").read_text() == said
     assert "Files: 7 files" in said and "Failed JPEG:\n- bad.jpg: " in said and "- bomb.jpg: too many JPEG segments" in said
-    said = reports.text_batch_privacy(rows, f"file:{folder}", True).first()["document"]
+    said = read(reports.text_batch_privacy(rows, f"file:{folder}", True))
     assert "/100 GPS=YES 24.jpg" in said and "/100 GPS=NO 7.jpg" in said and "[ERROR] bad.jpg - " in said
-    assert "JPEG results" not in reports.text_batch_privacy(rows).first()["document"]
+    assert "JPEG results" not in read(reports.text_batch_privacy(rows))
 
 
 def test_raw_places_and_formats(spark, folder):

@@ -156,3 +156,39 @@ def test_cleaned_folder_reads_back(spark, tmp_path, folder):
     sink.write_blobs(rows, str(tmp_path))
     got = spark.read.format("binaryFile").load(str(tmp_path / "x")).select("path", F.sha2("content", 256).alias("h")).collect()
     assert all(r["h"] == hashlib.sha256((folder / r["path"].rsplit("/", 1)[1]).read_bytes()).hexdigest() for r in got) and len(got) == 10  # names with an underscore are not data
+
+
+def test_one_document_of_any_size(spark, tmp_path):
+    """Parts in order between head and tail; the size of a part and empty parts do not show."""
+    rows = [(k, None if k % 7 == 3 else f"é{k}" if k % 5 else "") for k in range(500)]
+    want = ",".join(p for _, p in rows if p is not None)
+    df = spark.createDataFrame(rows, "k int, piece string").repartition(7)
+    path = tmp_path / "new" / "all.txt"
+    n = sink.write_document(df, [F.col("k")], str(path), head="<", lead="(", separator=",", tail=">")
+    assert path.read_text() == f"<({want}>" and n == sum(p is not None for _, p in rows)
+    assert [p.name for p in path.parent.iterdir()] == ["all.txt"]
+    with pytest.raises(Exception, match="exists"):
+        sink.write_document(df, [F.col("k")], str(path))
+    assert path.read_text() == f"<({want}>" and [p.name for p in path.parent.iterdir()] == ["all.txt"]
+    assert sink.write_document(df.where("false"), [F.col("k")], str(path), head="<", lead="(", tail=">", replace=True) == 0
+    assert path.read_text() == "<>"
+    plan = df.orderBy("k")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "SinglePartition" not in plan
+    bad = df.select("k", F.when(F.col("k") == 300, F.raise_error(F.lit("lost"))).otherwise(F.col("piece")).alias("piece"))
+    with pytest.raises(Exception):
+        sink.write_document(bad, [F.col("k")], str(tmp_path / "new" / "other.txt"))
+    assert [p.name for p in path.parent.iterdir()] == ["all.txt"]
+
+
+def test_csv_lines_as_python_writes_them(spark, tmp_path):
+    import csv
+    import io
+
+    from lumenlake.plans import reports
+
+    rows = [("b", "x,y", ""), ("a", 'say "q"', "é"), ("c", "two\nlines", " s "), ("B", "\r", "1")]
+    df = spark.createDataFrame(rows, "path string, one string, two string").repartition(3)
+    assert reports.write_csv_file(df, str(tmp_path / "o.csv")) == 4
+    out = io.StringIO()
+    csv.writer(out).writerows([df.columns, *sorted(rows, key=lambda r: (r[0].lower(), r[0]))])
+    assert (tmp_path / "o.csv").read_bytes() == ("\ufeff" + out.getvalue()).encode()
