@@ -1,4 +1,4 @@
-"""Kernels as SQL functions: scalar ones over Arrow batches, table ones per blob."""
+"""Kernels as SQL functions: scalar ones over Arrow batches, table ones per blob. What fails in a blob is told in its row, as in ``sources.files``."""
 
 from __future__ import annotations
 
@@ -8,34 +8,87 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, DataType, StructType, _parse_datatype_string
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
+from lumenlake.kernels.limits import DEFAULT
 from lumenlake.plans.ship import ship
-from lumenlake.sources.schema import PHOTO, TAG
+from lumenlake.sources.files import broken_photo
+from lumenlake.sources.schema import ICC, IPTC, PHOTO, SEGMENT, SEGMENT_ROW, TAG, XMP
+
+#: Child tables of a photo by name: the column that holds the rows, and their fields.
+TABLES = {"segments": ("segments", SEGMENT), "tags": ("tags", TAG), "xmp": ("xmp", XMP), "iptc": ("iptc", IPTC), "icc": ("icc", ICC), "errors": ("errors", "struct<part:string,message:string>"), "all_segments": (None, SEGMENT_ROW)}
+
+
+def parsed(data: bytes, wanted: frozenset[str] | None = None) -> dict:
+    """Facts of a blob; never raises."""
+    from lumenlake.kernels.photo import parse
+
+    try:
+        return parse(data, wanted=wanted)
+    except Exception as e:  # noqa: BLE001
+        return broken_photo(e)
+
+
+def shaped(value: object, kind: DataType) -> object:
+    """Dictionaries as tuples by the fields of ``kind``."""
+    if value is None:
+        return None
+    if isinstance(kind, StructType):
+        return tuple(shaped(value.get(f.name), f.dataType) for f in kind.fields)
+    return [shaped(x, kind.elementType) for x in value] if isinstance(kind, ArrayType) else value
+
+
+def child_rows(data: bytes, name: str) -> list[dict]:
+    """The rows of a child table of a blob; none where it cannot be read."""
+    column = TABLES[name][0]
+    if column is None:
+        from lumenlake.kernels.photo import segment_rows
+
+        try:
+            return segment_rows(data, DEFAULT, frozenset())["found"]
+        except Exception:  # noqa: BLE001
+            return []
+    found = parsed(data, frozenset({column}) if column != "errors" else None).get(column)
+    return [found] if isinstance(found, dict) else found or []
+
+
+def jpeg_table(kinds: dict[str, StructType]) -> type:
+    """``jpeg_table(content, name)``: the child table of a blob that ``name``, a constant, says; its columns are that table's."""
+
+    class JpegTable:
+        @staticmethod
+        def analyze(content: AnalyzeArgument, name: AnalyzeArgument) -> AnalyzeResult:
+            if content.dataType.typeName() != "binary":
+                raise ValueError("jpeg_table takes binary content")
+            if not name.isConstantExpression or name.value not in kinds:
+                raise ValueError(f"jpeg_table takes the name of a table: {', '.join(kinds)}")
+            return AnalyzeResult(kinds[name.value])
+
+        def eval(self, content: bytes, name: str) -> Iterator[tuple]:
+            for row in child_rows(bytes(content or b""), name):
+                yield shaped(row, kinds[name])
+
+    return JpegTable
 
 
 def register(spark: SparkSession) -> None:
-    """``parse_jpeg(content)``, ``scrub_jpeg(content, mode)`` and the table function ``jpeg_tags(content)``."""
+    """``parse_jpeg(content)``, ``scrub_jpeg(content, mode)`` and the table functions ``jpeg_tags(content)`` and ``jpeg_table(content, name)``."""
     ship(spark)
     photo = StructType.fromDDL(PHOTO)
     kind = to_arrow_type(photo)
 
     def parse_jpeg(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from lumenlake.kernels.photo import parse
-
         for blobs in batches:
-            yield pa.array([None if b.as_py() is None else parse(b.as_py()) for b in blobs], kind)
+            yield pa.array([None if b.as_py() is None else parsed(b.as_py()) for b in blobs], kind)
 
     def scrub_jpeg(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        import struct
-
-        from lumenlake.kernels.limits import ParseError
         from lumenlake.kernels.scrub import scrub
 
         def one(data: bytes | None, mode: str | None) -> bytes | None:
             try:
                 return None if data is None else scrub(data, mode or "all").data
-            except (ParseError, struct.error):
+            except Exception:  # noqa: BLE001
                 return None
 
         for blobs, modes in batches:
@@ -43,15 +96,14 @@ def register(spark: SparkSession) -> None:
 
     spark.udf.register("parse_jpeg", F.arrow_udf(parse_jpeg, photo))
     spark.udf.register("scrub_jpeg", F.arrow_udf(scrub_jpeg, "binary"))
+    kinds = {name: StructType.fromDDL(ddl.removeprefix("struct<").removesuffix(">")) for name, (_, ddl) in TABLES.items()}
+    tag = kinds["tags"]
 
     @F.udtf(returnType=_parse_datatype_string(TAG))
     class JpegTags:
         def eval(self, content: bytes):
-            from lumenlake.kernels.photo import parse
-
-            for t in parse(content or b"")["tags"]:
-                v = t["value"]
-                pairs = None if v["rationals"] is None else [(r["num"], r["den"]) for r in v["rationals"]]
-                yield (*[t[k] for k in ("ifd", "pos", "tag", "tag_name", "field_type", "field_type_name", "count")], (v["kind"], v["is_scalar"], v["ints"], pairs, v["floats"], v["text"], v["bytes"]))
+            for row in child_rows(bytes(content or b""), "tags"):
+                yield shaped(row, tag)
 
     spark.udtf.register("jpeg_tags", JpegTags)
+    spark.udtf.register("jpeg_table", F.udtf(jpeg_table(kinds)))

@@ -150,3 +150,27 @@ def json_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.new_folder(spark, "report") + "/report.json"
     reports.write_json(_items(spark, sf_dir), "file:/photos", False, path)
     return _document(spark, path)
+
+
+@query(
+    T + """SELECT o, CASE WHEN bad THEN 0 ELSE 5 + xmp::INT + iptc::INT + CASE WHEN icc THEN 1 + o % 2 ELSE 0 END + (o % 10 = 0)::INT END AS segments, CASE WHEN bad OR NOT model THEN NULL ELSE 'M' || (c % 7) END AS model,
+ CASE WHEN xmp AND NOT bad THEN 'Tool ' || (c % 4) END AS tool, CASE WHEN bad OR NOT iptc THEN 0 ELSE 4 + byline::INT END AS datasets, CASE WHEN icc AND NOT bad THEN 'Profile ' || (c % 10) END AS profile,
+ CASE WHEN bad THEN 'truncated JPEG: segment payload is short' END AS error FROM p"""
+)
+def child_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five child tables of each photo by one table function, whose columns follow from its argument; blobs stay where they are read."""
+    from lumenlake.functions.register import register
+
+    register(spark)
+    each = "SELECT o, {} AS kind, {} AS said FROM {{blobs}}, LATERAL jpeg_table(content, {}) AS t {}"
+    parts = (
+        ("'segment'", "CAST(NULL AS STRING)", "'segments'", ""), ("'model'", "t.value.text", "'tags'", "WHERE t.ifd = 'IFD0' AND t.tag_name = 'Model'"),
+        ("'tool'", "t.value_text", "'xmp'", "WHERE t.qualified_name = 'xmp:CreatorTool'"), ("'dataset'", "t.name", "'iptc'", ""), ("'profile'", "t.name", "'icc'", ""),
+        ("'error'", "t.message", "'errors'", "WHERE t.part = 'header'"),
+    )
+    rows = " UNION ALL ".join(each.format(*p) for p in parts)
+    said = ", ".join(f"max(said) FILTER (WHERE kind = '{k}') AS {k}" for k in ("model", "tool", "profile", "error"))
+    return spark.sql(
+        f"""SELECT o, count_if(kind = 'segment') AS segments, count_if(kind = 'dataset') AS datasets, {said} FROM (SELECT o, '' AS kind, NULL AS said FROM {{blobs}} UNION ALL {rows}) GROUP BY o""",
+        blobs=shared.written(forged.photo_files(spark, sf_dir).select("o", "content"), "blobs"),
+    )

@@ -344,3 +344,40 @@ def test_backends_tell_versions(spark):
     assert {r["name"]: r["available"] for r in optional.backends(spark).collect()} == {"exiftool": False, "rawpy": False, "pillow_heif": False}
     version, features = optional.library_info("pyarrow", Stub(libraw_version=(0, 21, 2), flags={"B": True, "A": True, "C": False}))
     assert version.endswith("(0.21.2)") and features == ["A", "B"] and optional.library_info("no such module", Stub()) == ("unknown", [])
+
+
+def test_tables_by_name(spark, folder):
+    from lumenlake.functions.register import TABLES, register
+    from lumenlake.sources.files import photos
+
+    register(spark)
+    blobs = spark.read.format("binaryFile").load(str(folder)).select("path", "content").union(spark.createDataFrame([("none", None)], "path string, content binary"))
+    blobs.createOrReplaceTempView("blobs_by_name")
+    whole = {r["path"]: r for r in photos(blobs, ["path"]).collect()}
+    for name, (column, _) in TABLES.items():
+        got = {}
+        for r in spark.sql(f"SELECT path, t.* FROM blobs_by_name, LATERAL jpeg_table(content, '{name}') AS t").collect():
+            got.setdefault(r["path"], []).append(r.asDict(True))
+        for path, r in whole.items():
+            if column and path != "none":
+                rows = r[column] if isinstance(r[column], list) else [r[column]] if r[column] else []
+                assert [x for x in got.get(path, [])] == [{"path": path} | x.asDict(True) for x in rows], (name, path)
+    assert len([c for c in spark.sql("SELECT t.* FROM blobs_by_name, LATERAL jpeg_table(content, 'segments') AS t").columns]) == 11
+    for bad in ("jpeg_table(content, 'nothing')", "jpeg_table(content, path)", "jpeg_table(path, 'tags')"):
+        with pytest.raises(Exception, match="jpeg_table"):
+            spark.sql(f"SELECT * FROM blobs_by_name, LATERAL {bad}").collect()
+
+
+def test_hostile_blobs_in_sql(spark):
+    """What breaks a kernel is told in the row, in SQL too."""
+    from test_kernels import deep_packet
+
+    from lumenlake.functions.register import register
+    from lumenlake.kernels import forge
+
+    register(spark)
+    hostile = forge.jpeg([forge.segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + deep_packet(3000))], 8, 8)
+    spark.createDataFrame([("a", hostile), ("b", b"\xff\xd8"), ("c", None)], "k string, content binary").createOrReplaceTempView("hostile")
+    rows = {r["k"]: r for r in spark.sql("SELECT k, parse_jpeg(content) AS p, scrub_jpeg(content, 'privacy') AS s, scrub_jpeg(content, 'nonsense') AS n FROM hostile").collect()}
+    assert rows["b"]["p"]["errors"] and rows["c"]["p"] is None and rows["c"]["s"] is None and rows["a"]["s"]
+    assert spark.sql("SELECT count(*) AS n FROM hostile, LATERAL jpeg_tags(content)").first()["n"] == 0
