@@ -174,3 +174,43 @@ def child_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"""SELECT o, count_if(kind = 'segment') AS segments, count_if(kind = 'dataset') AS datasets, {said} FROM (SELECT o, '' AS kind, NULL AS said FROM {{blobs}} UNION ALL {rows}) GROUP BY o""",
         blobs=shared.written(forged.photo_files(spark, sf_dir).select("o", "content"), "blobs"),
     )
+
+
+_KEPT = "CASE WHEN {0}_ AND NOT {0} THEN ['{0}_removed'] WHEN {0} AND NOT {0}_ THEN ['{0}_added'] ELSE [] END"
+
+
+@query(
+    T.split(" s AS (")[0].rstrip().rstrip(",")
+    + f""", f AS (SELECT o, c, bad, gps, xmp, iptc, icc, CASE WHEN model THEN 'M' || (c % 7) END AS camera, height, o % 23 = 0 AS progressive, o % 50 AS q, d FROM p),
+ w AS (SELECT *, {", ".join(f"lag({x}) OVER (PARTITION BY c ORDER BY d, o) AS {x}_" for x in ("bad", "gps", "xmp", "iptc", "icc", "camera", "height", "progressive", "q"))} FROM f)
+ SELECT o, CASE WHEN bad OR bad_ THEN 'unreadable' ELSE array_to_string({" || ".join(_KEPT.format(k) for k in ("gps", "xmp", "iptc", "icc"))}
+ || CASE WHEN camera_ IS NOT NULL AND camera IS NULL THEN ['camera_model_removed'] WHEN camera_ IS NULL AND camera IS NOT NULL THEN ['camera_model_added'] ELSE [] END
+ || CASE WHEN height <> height_ THEN ['resolution_changed'] ELSE [] END || CASE WHEN progressive <> progressive_ THEN ['jpeg_process_changed'] ELSE [] END || CASE WHEN q <> q_ THEN ['quantization_changed'] ELSE [] END, ',') END AS changes
+ FROM w WHERE bad_ IS NOT NULL"""
+)
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's photo as it comes with order after order, in three batches of a stream that remembers the one before."""
+    from lumenlake.operators import comparison
+    from lumenlake.streaming import changes
+
+    arrived, home = shared.new_folder(spark, "arrived"), shared.new_folder(spark, "changes")
+    orders = forged.orders(spark, sf_dir)
+    # No two photos of a customer come at the same time; what is newest comes last.
+    for bounds in ("d < '1994-01-01'", "d >= '1994-01-01' and d < '1996-01-01'", "d >= '1996-01-01'"):
+        orders.where(bounds).coalesce(1).write.mode("append").parquet(arrived)
+    own = spark.newSession()  # the store and the number of its partitions are this stream's alone
+    changes.use_rocksdb(own)
+    own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    rows = own.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    rows = rows.withColumn("modificationTime", F.col("d").cast("timestamp") + F.make_interval(secs=(F.col("o") / 1000000).cast("decimal(18,6)")))
+    blobs = forged.forged(rows, ["o", "modificationTime", "c"], forged.order_photo, ["d"])
+    facts = blobs.select(F.concat_ws(":", "c", "o").alias("key"), F.col("c").cast("string").alias("path"), "modificationTime", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content")
+    shots = comparison.snapshots(files.photos(facts, ["path", "modificationTime", "size_bytes", "sha256"], columns=comparison.NEEDS), ["path", "modificationTime"])
+    out = changes.rearrivals(shots)
+    sink_ = out.writeStream.format("parquet").option("path", f"{home}/rows").option("checkpointLocation", f"{home}/checkpoint").outputMode("append")
+    sink_.trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(out.schema).parquet(f"{home}/rows")
+    said = F.coalesce(F.array_join(F.transform("changes", lambda x: x["code"]), ","), F.lit("unreadable"))
+    number = F.round((F.col("modificationTime").cast("double") - F.floor(F.col("modificationTime").cast("double"))) * 1000000).cast("long")
+    return found.select(number.alias("o"), said.alias("changes"))
