@@ -55,7 +55,7 @@ def use_rocksdb(spark: SparkSession) -> None:
 def rearrivals(snapshots: DataFrame, keep_hours: float | None = None) -> DataFrame:
     """path, modificationTime, identical_files, changes and recompression of each file that has come before.
 
-    The session needs ``use_rocksdb`` before the query starts.
+    The session needs ``use_rocksdb`` before the query starts. With ``keep_hours`` it must run on with time: Spark never ends an ``availableNow`` run that has timers.
     ``snapshots`` is a stream of rows as ``comparison.snapshots`` gives them with keys path and modificationTime; null times are left out.
     ``changes`` is null where either could not be read.
     """

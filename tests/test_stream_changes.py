@@ -1,6 +1,7 @@
 """A stream that remembers the last snapshot of each path: over batches and over a restart."""
 
 import datetime as dt
+import time
 
 import pytest
 
@@ -50,7 +51,15 @@ def test_paths_that_stay_away_are_forgotten(session, tmp_path):
     session.createDataFrame([shot("a", 1)], SHAPE).write.parquet(str(tmp_path / "in"))
     rows = session.readStream.schema(SHAPE).parquet(str(tmp_path / "in"))
     out = changes.rearrivals(rows, keep_hours=1)
-    query = out.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "checkpoint")).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert query.exception() is None and query.lastProgress["stateOperators"][0]["numRowsTotal"] >= 1
+    query = out.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "checkpoint")).outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if (done := query.lastProgress) and done["stateOperators"] and done["stateOperators"][0]["numRowsTotal"] >= 1:
+                break
+        else:
+            pytest.fail("no state")
+    finally:
+        query.stop()
+    assert query.exception() is None
     assert set(comparison.SNAPSHOT) == {x.split(" ")[0] for x in SHAPE.replace(", ", ",").split(",")} - {"path", "modificationTime"}
