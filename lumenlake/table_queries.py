@@ -214,3 +214,21 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.coalesce(F.array_join(F.transform("changes", lambda x: x["code"]), ","), F.lit("unreadable"))
     number = F.round((F.col("modificationTime").cast("double") - F.floor(F.col("modificationTime").cast("double"))) * 1000000).cast("long")
     return found.select(number.alias("o"), said.alias("changes"))
+
+
+@query(
+    """SELECT p_partkey AS p, CASE p_partkey % 8 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN p_size WHEN 3 THEN p_size WHEN 4 THEN p_size WHEN 5 THEN p_size WHEN 6 THEN NULL ELSE NULL END::BIGINT AS width,
+ CASE p_partkey % 8 WHEN 0 THEN 'True' WHEN 1 THEN 'true' WHEN 2 THEN p_size || '.9' WHEN 3 THEN p_size || '.9' WHEN 4 THEN p_size::VARCHAR WHEN 5 THEN p_size::VARCHAR WHEN 6 THEN NULL ELSE NULL END AS software,
+ CASE p_partkey % 8 WHEN 0 THEN 'False' WHEN 1 THEN '1.5' WHEN 7 THEN NULL ELSE '3' END AS orientation FROM part"""
+)
+def typed_tool_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of the tool's JSON by their types: true and "true", 1.9 and "1.9", null, lists."""
+    from lumenlake.operators import exiftool
+
+    k, n = F.col("p_partkey") % 8, F.col("p_size").cast("string")
+    quoted = lambda *c: F.concat(F.lit('"'), *c, F.lit('"'))
+    value = F.when(k == 0, "true").when(k == 1, '"true"').when(k == 2, F.concat(n, F.lit(".9"))).when(k == 3, quoted(n, F.lit(".9"))).when(k == 4, n).when(k == 5, quoted(n, F.lit(" "))).when(k == 6, "null").otherwise("[1]")
+    turned = F.when(k == 0, "false").when(k == 1, "1.50").when(k == 7, '{"a":1}').otherwise("3")
+    payload = F.concat(F.lit('{"File:ImageWidth":'), value, F.lit(',"File:ImageHeight":7,"IFD0:Software":'), value, F.lit(',"IFD0:Orientation":'), turned, F.lit("}"))
+    rows = exiftool.normalise(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("p"), payload.alias("payload")), ["p"])
+    return rows.select("p", "width", "software", "orientation")
