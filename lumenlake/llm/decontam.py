@@ -14,7 +14,8 @@ Items are the query set: they are broadcast in blocks of at most ``BLOCK_ITEMS``
 
 Defined results: null or empty texts and items contain nothing; texts shorter than a shingle
 are one shingle as a whole; items with equal texts are each reported, and so are items that repeat an id; repeated rows are each
-searched; an empty table gives an empty result; other columns are ignored. Items' ids are cast to long.
+searched; an empty table gives an empty result; other columns are ignored. Items' ids are cast to long. Very long texts are
+searched whole; ties do not arise, as every item that is contained is reported.
 """
 
 from __future__ import annotations

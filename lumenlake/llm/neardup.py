@@ -16,7 +16,8 @@ before their sets are moved.
 Defined results: texts without words, and null texts, link with nothing and are their own
 component; rows with the same text share one class, rows that repeat a doc_id are each
 judged on their own text and carry that id; an empty table gives an empty result; other
-columns are ignored. Ids are cast to long.
+columns are ignored. Ids are cast to long. Very long texts are taken whole; ties do not arise, as every link counts
+and the least id names a component.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ Python on the executors.
 
 Defined results: a null text is empty; an empty text has no spans; repeated rows are
 scanned each on their own; an empty table gives an empty result; other columns of the
-input are ignored, so their names cannot clash.
+input are ignored, so their names cannot clash. Very long texts are scanned whole; spans of
+different kinds at one place are each reported, in the order of the kinds.
 """
 
 from __future__ import annotations

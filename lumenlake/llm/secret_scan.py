@@ -10,7 +10,8 @@ are fewer than ``HOT`` of those by their definition, and they are broadcast.
 
 Defined results: a null text is empty; a null owner or repository counts as one unnamed
 owner or repository, and so do all rows of a table without the columns of the defaults; repeated rows
-are scanned each on their own; an empty table gives an empty result; other columns are ignored.
+are scanned each on their own; an empty table gives an empty result; other columns are ignored. Very long
+texts are scanned whole; spans of different kinds at one place are each reported, in the order of the kinds.
 """
 
 from __future__ import annotations

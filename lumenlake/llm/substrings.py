@@ -22,7 +22,8 @@ Words are compared as they are; hashes only choose anchors, and 128 bits of a SH
 
 Defined results: a null or empty text has no words; its kept text is empty. Repeated rows are
 copies of each other. Rows that repeat a doc_id are each judged on their own text. An empty
-table gives an empty result; other columns are ignored. Ids are cast to long.
+table gives an empty result; other columns are ignored. Ids are cast to long. Very long texts are taken whole;
+ties do not arise, as every occurrence of a repeat goes.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ leaves nothing behind and any store will do.
 Only one row per shard is gathered to number the ids over all shards.
 
 Defined results: a null text is empty and gives the end id alone; a null id comes first;
-repeated rows are each written; an empty table gives an empty result; other columns are ignored.
+repeated rows are each written; an empty table gives an empty result; other columns are ignored. Very long texts
+are encoded whole; rows of equal ids stand in the order of a hash of their texts.
 """
 
 from __future__ import annotations
