@@ -357,17 +357,15 @@ def lowered_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The tables of a folder as files: what a scan by name lists of it.
-TABLES_LISTED = ("region", "customer", "supplier", "part", "orders", "events", "benchmark", "labels", "conversations")
+TABLES_LISTED = ("region", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @query("SELECT unnest([" + ", ".join(f"'{t}.parquet'" for t in sorted(TABLES_LISTED)) + "]) AS name, 'UNSUPPORTED' AS format, '.parquet' AS suffix, true AS sized")
 def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The folder's own files as a directory: names by a pattern, others left out, formats by content."""
-    rest = [f"{sf_dir}/{t}.parquet" for t in ("nation", "lineitem", "documents", "embeddings", "pages")]
-    rows = batch.items(files.scan_directory(spark, sf_dir, exclude=rest, glob="*.parquet"))
-    info = files.file_info(files.scan_directory(spark, sf_dir, exclude=rest, glob="*.parquet")).select("path", "name", "size_human")
-    both = rows.join(info, "path")
-    return both.select("name", "format", F.regexp_extract("name", r"(\.[^.]+)$", 1).alias("suffix"), ((F.col("size_bytes") > 0) & F.col("size_human").isNotNull()).alias("sized"))
+    """The folder's own files as a directory: names by a pattern, one left out, formats by content."""
+    rows = batch.items(files.scan_directory(spark, sf_dir, exclude=[f"{sf_dir}/nation.parquet"], glob="*.parquet"))
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return rows.select(name.alias("name"), "format", F.regexp_extract(name, r"(\.[^.]+)$", 1).alias("suffix"), ((F.col("size_bytes") > 0) & file_size(F.col("size_bytes")).isNotNull()).alias("sized"))
 
 
 @query(
@@ -403,19 +401,19 @@ def stream_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).groupBy(F.coalesce("level", F.lit("UNREADABLE")).alias("level")).agg(F.sum("files").alias("files"))
 
 
-@query(T + "SELECT o, CASE WHEN NOT bad THEN width::INT END AS width, CASE WHEN gps AND NOT bad THEN 6 + (o % 16 <> 0)::INT ELSE 0 END AS places, 0 AS places_left, CASE WHEN bad THEN 0 ELSE 1 END AS models FROM p WHERE model")
+@query(T + "SELECT o, CASE WHEN NOT bad THEN width::INT END AS width, CASE WHEN gps AND NOT bad THEN 6 + (o % 16 <> 0)::INT ELSE 0 END AS places, 0 AS places_left, CASE WHEN bad OR NOT model THEN 0 ELSE 1 END AS models FROM p")
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kernels as SQL functions: scalar ones over each other, and the table function."""
     from lumenlake.functions.register import register
 
     register(spark)
-    view = "forged_photos_of_sql_functions"
-    forged.photo_files(spark, sf_dir).createOrReplaceTempView(view)
+    blobs = forged.photo_files(spark, sf_dir)
     places = "size(filter(coalesce({}.tags, array()), t -> t.ifd = 'GPS'))"
     scalar = spark.sql(
-        f"SELECT o, parse_jpeg(content).width AS width, {places.format('parse_jpeg(content)')} AS places, {places.format("parse_jpeg(scrub_jpeg(content, 'gps'))")} AS places_left FROM {view} WHERE o % 5 <> 0"
+        f"SELECT o, parse_jpeg(content).width AS width, {places.format('parse_jpeg(content)')} AS places, {places.format("parse_jpeg(scrub_jpeg(content, 'gps'))")} AS places_left FROM {{blobs}}",
+        blobs=blobs,
     )
-    table = spark.sql(f"SELECT o, CAST(count(*) AS INT) AS models FROM {view}, LATERAL jpeg_tags(content) AS t WHERE t.tag_name = 'Model' GROUP BY o")
+    table = spark.sql("SELECT o, CAST(count(*) AS INT) AS models FROM {blobs}, LATERAL jpeg_tags(content) AS t WHERE t.tag_name = 'Model' GROUP BY o", blobs=blobs)
     return scalar.join(table, "o", "left").withColumn("models", F.coalesce("models", F.lit(0)))
 
 
