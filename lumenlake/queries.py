@@ -275,7 +275,7 @@ def anomaly_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(A + "SELECT code, count(*) AS files FROM a GROUP BY 1")
 def anomaly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomalies.detect(photos(spark, sf_dir, *anomalies.NEEDS)).select(F.explode("anomalies.code").alias("code")).groupBy("code").agg(F.count("*").alias("files"))
+    return photos(spark, sf_dir, *anomalies.NEEDS).select(F.explode(anomalies.codes()).alias("code")).groupBy("code").agg(F.count("*").alias("files"))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
