@@ -9,6 +9,11 @@ tokens             ids are written in that order and read back
 All stages but the last return the columns of documents. The mixing stage's decision is the
 order of its rows: Spark writes a sorted table as numbered part files, and the token stage
 numbers the ids in the order of those files' rows (by id where it gets no files).
+
+Defined results of every stage: null and empty texts fail the quality rules, so later stages get them only when called alone, where they are kept
+(near-duplicates, decontamination, mixing) or written as one end id (tokens); very long texts are taken whole; rows that repeat an id and a text
+are one row after near-duplicates, and a row without an id stays; of similar texts the one of the least id stays; an empty table
+gives an empty table; further columns, whatever their names, are carried on as they are.
 """
 
 from __future__ import annotations
