@@ -113,6 +113,13 @@ def test_score_levels_and_matrix(spark):
     assert [r["l"] for r in rows.collect()] == ["LOW", "LOW", "MEDIUM", "MEDIUM", "HIGH", None]
 
 
+def test_sizes_are_rounded_once(spark):
+    """A quotient just beyond a half, in digits that a decimal quotient does not keep."""
+    given = {12_345_000_400: "12.35 GB", 12_345_000_000: "12.34 GB", 12_355_000_000: "12.36 GB", 12_355_000_001: "12.36 GB", 1_234_999_999_999: "1.23 TB", 1_235_000_000_001: "1.24 TB", 2**63 - 1: "9223372.04 TB"}
+    rows = spark.createDataFrame([(n,) for n in given], "n long").select("n", file_size(F.col("n")).alias("s")).collect()
+    assert {r["n"]: r["s"] for r in rows} == given
+
+
 def test_text_functions(spark):
     values = [2.8, 0.00001234, 123456789.0, 0.0, 100.0, 1 / 3, 17 / 10, 1e5, 999999.5]
     got = [r["g"] for r in spark.createDataFrame([(v,) for v in values], "v double").select(general(F.col("v")).alias("g")).collect()]
