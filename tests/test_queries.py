@@ -345,6 +345,23 @@ def test_many_excluded_paths(spark, folder, monkeypatch):
     assert {r["path"].rsplit("/", 1)[1] for r in left.select("path").collect()} == {"24.jpg", "84.jpg", "bad.jpg", "bomb.jpg", "x.nef"}
 
 
+def test_folder_scan_of_tables_in_several_files(spark, tmp_path):
+    """Tables that are folders of parts are listed once each by their own name, and one left out is left out with all its parts."""
+    from lumenlake.case_queries import ORACLE_SQL, TABLES_LISTED, folder_scan
+
+    for k, t in enumerate((*TABLES_LISTED, "nation")):
+        rows = spark.range(4).repartition(1 + k % 3)
+        if k % 3:
+            rows.write.parquet(f"{tmp_path}/{t}.parquet")
+        else:
+            rows.toPandas().to_parquet(f"{tmp_path}/{t}.parquet")
+    import duckdb
+
+    want = sorted(duckdb.sql(ORACLE_SQL["folder_scan"]).fetchall())
+    for base in (str(tmp_path), f"file://{tmp_path}/"):
+        assert sorted(tuple(r) for r in folder_scan(spark, base).select("name", "format", "suffix", "sized").collect()) == want
+
+
 def test_backends_tell_versions(spark):
     from lumenlake.sources import optional
 
