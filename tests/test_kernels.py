@@ -212,3 +212,29 @@ def test_parts_agree_with_the_whole():
         part = photo.parse(data, wanted=frozenset(columns))
         assert all(part[c] == whole[c] for c in columns)
     assert photo.parse(data, wanted=frozenset({"width"}))["tags"] == []
+
+
+def test_values_without_numbers():
+    """What tells of a value, or makes it a row, without fractions says the same as the value itself, also where it cannot be decoded."""
+    import random
+
+    from lumenlake.kernels.limits import ParseError
+    from lumenlake.kernels.tiff import TYPES, Block, Entry, has_value, tagged, union_filled
+
+    draw = random.Random(3)
+
+    def of(f):
+        try:
+            return f()
+        except ParseError as e:
+            return str(e)
+
+    for k in range(3000):
+        order, kind, n = draw.choice("<>"), draw.choice([*TYPES, 99]), draw.choice([0, 1, 2, 3])
+        data = bytes(draw.choice((0, 0, 1, 32, 65, 200)) for _ in range(64))
+        size = TYPES.get(kind, ("", 1))[1] * n
+        raw = data[:4] if size <= 4 else draw.choice((8, 16, 60)).to_bytes(4, "little" if order == "<" else "big")
+        block, e = Block(data, order, 8), Entry(0x0110, kind, n, raw, 0)
+        assert of(lambda: block.filled(e)) == of(lambda: has_value(block.value(e)))
+        assert of(lambda: block.union(e)) == of(lambda: tagged(block.value(e)))
+        assert of(lambda: union_filled(block.union(e))) == of(lambda: has_value(block.value(e)))
