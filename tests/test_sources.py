@@ -192,3 +192,31 @@ def test_csv_lines_as_python_writes_them(spark, tmp_path):
     out = io.StringIO()
     csv.writer(out).writerows([df.columns, *sorted(rows, key=lambda r: (r[0].lower(), r[0]))])
     assert (tmp_path / "o.csv").read_bytes() == ("\ufeff" + out.getvalue()).encode()
+
+
+def test_header_folders_are_bounded(spark, sf_dir, monkeypatch):
+    """All photos are read, a folder at a time, and none stays on disk."""
+    from compare import same
+
+    from lumenlake import table_queries
+    from lumenlake.plans import shared
+
+    written, write = [], sink.write_blobs
+    monkeypatch.setattr(table_queries, "FOLDER_PHOTOS", 400)
+    monkeypatch.setattr(sink, "write_blobs", lambda rows, *a, **b: (written.append(rows.count()), write(rows, *a, **b)))
+    before = len(shared._live)
+    n = same(spark, sf_dir, table_queries.header_ranges, table_queries.ORACLE_SQL["header_ranges"])
+    assert sum(written) == n and len(written) > 1 and max(written) < 800
+    assert not [p for _, p in shared._live[before:] if "-photos-" in p or "-dealt-" in p]
+
+
+def test_a_stream_of_one_file_is_dealt(spark, sf_dir, tmp_path):
+    """A batch that is one file runs on all cores, in the order of streams too."""
+    from lumenlake.plans import forged
+
+    seen = []
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    run = forged.spread(rows).writeStream.foreachBatch(lambda df, _: seen.append((df.rdd.getNumPartitions(), df.count()))).option("checkpointLocation", str(tmp_path / "c"))
+    run.trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(2 * spark.sparkContext.defaultParallelism, spark.read.parquet(f"{sf_dir}/orders.parquet").count())]
