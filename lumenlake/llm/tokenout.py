@@ -56,7 +56,8 @@ class Segments:
         self.clear()
 
     def clear(self) -> None:
-        self.low, self.high, self.value = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64)
+        self.slot = np.zeros(SLOTS, np.int32)  # place of a key, from 1; 0 where free
+        self.low, self.high, self.value = np.empty(1 << 16, np.uint64), np.empty(1 << 16, np.uint64), np.empty(1 << 16, np.int64)
         self.pool, self.used, self.taken = np.empty(1 << 16, self.dtype), 0, 0
         self.long: dict[bytes, int] = {}
 
@@ -77,23 +78,27 @@ class Segments:
         """Values of keys; -1 where unknown."""
         out, todo, at = np.full(len(low), -1), np.arange(len(low)), self._slot(low, high)
         while len(todo):
-            there = self.high[at]
-            hit = (there == high[todo]) & (self.low[at] == low[todo])
-            out[todo[hit]] = self.value[at[hit]]
-            on = np.flatnonzero(~hit & (there != 0))
-            todo, at = todo[on], (at[on] + 1) & (SLOTS - 1)
+            key = self.slot[at] - 1
+            held = key >= 0
+            todo, at, key = todo[held], at[held], key[held]
+            hit = (self.high[key] == high[todo]) & (self.low[key] == low[todo])
+            out[todo[hit]] = self.value[key[hit]]
+            todo, at = todo[~hit], (at[~hit] + 1) & (SLOTS - 1)
         return out
 
     def put(self, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> None:
         """Enter distinct unknown keys."""
-        self.taken += len(low)
-        at = self._slot(low, high)
-        while len(low):
-            free = self.high[at] == 0
-            self.low[at[free]], self.high[at[free]] = low[free], high[free]  # of keys for one slot the last stays
-            won = free & (self.low[at] == low) & (self.high[at] == high)
-            self.value[at[won]] = value[won]
-            low, high, value, at = low[~won], high[~won], value[~won], (at[~won] + 1) & (SLOTS - 1)
+        first, self.taken = self.taken, self.taken + len(low)
+        if self.taken > len(self.low):
+            size = max(self.taken, len(self.low) * 3 // 2)
+            self.low, self.high, self.value = (np.concatenate([x[:first], np.empty(size - first, x.dtype)]) for x in (self.low, self.high, self.value))
+        self.low[first : self.taken], self.high[first : self.taken], self.value[first : self.taken] = low, high, value
+        at, key = self._slot(low, high), np.arange(first + 1, self.taken + 1, dtype=np.int32)
+        while len(key):
+            free = self.slot[at] == 0
+            self.slot[at[free]] = key[free]  # of keys for one slot the last stays
+            lost = self.slot[at] != key
+            key, at = key[lost], (at[lost] + 1) & (SLOTS - 1)
 
 
 class Encoder:

@@ -70,3 +70,19 @@ def test_one_equal_hash_is_not_enough():
     """Shingles that agree in the first hash alone are not shared."""
     a = np.array([[1, 10], [2, 20], [3, 30]], np.uint64)
     assert decontam._shared(a, np.array([[1, 10], [2, 21], [9, 30], [1, 10]], np.uint64)) == 1
+
+
+def test_a_memory_of_segments_is_as_large_as_what_it_holds():
+    """Keys that share slots are all found, unknown ones are not, and a table of few keys is small."""
+    import numpy as np
+
+    from lumenlake.llm.tokenout import Segments
+
+    held = Segments(np.dtype(np.uint16))
+    rng = np.random.default_rng(1)
+    low, high = rng.integers(0, 1 << 62, 200_000).astype(np.uint64), rng.integers(1, 5, 200_000).astype(np.uint64)
+    for part in np.array_split(np.arange(200_000), 7):
+        held.put(low[part], high[part], part)
+    assert (held.find(low, high) == np.arange(200_000)).all()
+    assert (held.find(low + np.uint64(1 << 62), high) == -1).all()
+    assert sum(x.nbytes for x in vars(held).values() if isinstance(x, np.ndarray)) < 32 << 20
