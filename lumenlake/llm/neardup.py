@@ -39,7 +39,8 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 24, 5
 #: Coordinates of a signature, each kept as four bits in eight longs.
 COORDINATES = 128
-PIVOT_ROUNDS = 2
+#: Rounds with leaders, at most; a round is cheap, and each link it finds spares the pairs between what it joins.
+PIVOT_ROUNDS = 5
 #: Rows of two integers that are broadcast, 16 MB; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -189,6 +190,8 @@ def _link(docs: DataFrame, classes: DataFrame, buckets: DataFrame, stage: Stage,
         open_ = stage.table(_unresolved(buckets, comp), f"open{k}")
         if open_.isEmpty():
             return comp
+        if more.isEmpty():
+            break
 
     # What is left: members of buckets with several components. Only shingles that stand in several
     # components can be shared across them; among those, ordered by how many sets have them, two
