@@ -5,7 +5,7 @@ runs over: the lines of a block are joined, without words that are only punctuat
 and where half of a template's 3-grams stand together over several lines, those lines are one paragraph,
 in place of the lines by themselves. A multinomial logistic regression over word 1- to 3-grams
 tells the licence families and "unknown"; it is trained on the templates below, cut, reworded
-and set in noise, against noise, look-alike sentences and background paragraphs of the corpus.
+and set in noise, against noise, look-alike sentences and background paragraphs drawn from counts over every line of the corpus.
 A temperature and a least probability, both fitted on held-out variants, make the class
 "unknown" a calibrated one. A prediction is confirmed if enough of a template's 3-grams stand in
 the paragraph, and of the words that only its family has.
@@ -14,7 +14,9 @@ A line is only evaluated if it holds a pair of words that stands in a template a
 ``COMMON`` or more ("of the"). More than half of each template's pairs are such, so a line that can be confirmed always is; all
 others are "unknown" by rule and cost one lookup per word.
 
-Training is deterministic and needs no label table; its background is at most ``SAMPLE`` rows.
+Training is deterministic and needs no label table. Its background is counted in one pass over all lines of all rows: how many
+lines hold each n-gram of the templates and look-alikes, with and without those lines that hold a template. Other
+n-grams are not in the model, so the counts are as long as its vocabulary, whatever the corpus.
 
 Defined results: null and empty texts have no paragraphs; repeated rows get equal results; an
 empty table gives an empty result; other columns are ignored. Very long texts are scanned whole.
@@ -164,8 +166,8 @@ def notices(family: str) -> list[str]:
 
 #: First words of comment lines that hold letters.
 MARKS = ("dnl", "rem", "c")
-#: Rows whose first line is background, characters of it, different words drawn as noise; variants of a template; steps of training.
-SAMPLE, BACKGROUND_CHARS, NOISE, VARIANTS, STEPS, RIDGE = 2_000, 400, 20_000, 60, 150, 1e-3
+#: Background paragraphs made by the counts, length of the list of noise words; variants of a template; steps of training.
+DRAWN, NOISE, VARIANTS, STEPS, RIDGE = 2_000, 20_000, 60, 150, 1e-3
 CONFIRMED, LEAST_PRECISION, COMMON = 0.5, 0.99, 200
 _LUT = 1 << 18
 
@@ -304,17 +306,47 @@ def variants(rng: np.random.Generator, noise: list[str], n: int, others: tuple[s
     return texts, labels
 
 
-def train(background: list[str], seed: int = 11) -> Classifier:
-    """A classifier from the templates and background paragraphs (all of them unknown, unless they hold a template)."""
-    rng = np.random.default_rng(seed)
+@dataclass
+class Background:
+    """Counts over all lines that have words, by feature of the vocabulary; iterated, it gives noise words."""
+
+    known: np.ndarray
+    lines: int
+    clean: int  # lines that hold no template
+    words: int
+    seen: np.ndarray  # lines with each feature
+    seen_clean: np.ndarray  # of those the clean ones
+    times: np.ndarray  # how often each word of the vocabulary stands in any line
+
+    def __iter__(self) -> Iterator[str]:
+        """``NOISE`` words as often as the corpus has them, without those of templates; a word that is in no training text is as good as any other."""
+        bare = lambda ts: {w.strip(".,;:()\"").lower() for t in ts for w in t.split()}
+        count = lambda w: int(self.times[np.searchsorted(self.known, mix64(_words(w) + np.uint64(1)))].sum())
+        own = bare(t for f in TEMPLATES for t in notices(f))
+        rest = max(1, self.words - sum(map(count, sorted(own - {""}))))
+        out = [w for w in sorted(bare(OTHERS) - own - {""}) for _ in range(round(NOISE * min(1.0, count(w) / rest)))][:NOISE]
+        yield from out
+        yield from (f"zq{k}x" for k in range(NOISE - len(out)))
+
+    def draw(self, rng: np.random.Generator, n: int) -> list[np.ndarray]:
+        """Features of ``n`` clean paragraphs, each feature as likely as in a clean line of the corpus."""
+        return [np.flatnonzero(rng.random(len(self.known)) * self.clean < self.seen_clean) for _ in range(n if self.clean else 0)]
+
+
+def blank() -> Classifier:
+    """The classifier before training: its vocabulary, templates and their own words."""
     said = {f: notices(f) for f in TEMPLATES}
-    own = {w.strip(".,;:()\"").lower() for ts in said.values() for t in ts for w in t.split()}
-    noise = sorted({w for b in background for w in b.split() if w.strip(".,;:()\"").lower() not in own})
-    noise = [noise[k] for k in sorted(rng.permutation(len(noise))[:NOISE])] or ["lorem", "ipsum", "dolor", "sit", "amet"]
-    noise += [w for t in LOOKALIKES for w in t.split()]
     vocabulary = np.unique(np.concatenate([features_of(t) for ts in (*said.values(), LOOKALIKES, OTHERS) for t in ts]))
     templates = {f: [threes_of(t) for t in ts] for f, ts in said.items()}
-    model = Classifier(vocabulary, np.zeros((len(vocabulary), len(FAMILIES))), np.zeros(len(FAMILIES)), 1.0, 0.5, templates, _own_words(said), _telling([t for ts in said.values() for t in ts], background))
+    return Classifier(vocabulary, np.zeros((len(vocabulary), len(FAMILIES))), np.zeros(len(FAMILIES)), 1.0, 0.5, templates, _own_words(said), np.empty(0, np.uint64))
+
+
+def train(background: Background, seed: int = 11) -> Classifier:
+    """A classifier from the templates and the counts of the background."""
+    rng = np.random.default_rng(seed)
+    model = blank()
+    noise = [*background, *(w for t in LOOKALIKES for w in t.split())]
+    model.pairs = _telling([t for f in TEMPLATES for t in notices(f)], background)
 
     def matrix(texts: list[str]) -> list[np.ndarray]:
         out = []
@@ -323,15 +355,12 @@ def train(background: list[str], seed: int = 11) -> Classifier:
             out.append(f[f >= 0])
         return out
 
-    every = [t for ts in templates.values() for t in ts]
-    holds = lambda g: any(np.isin(t, g).mean() >= CONFIRMED for t in every)
-    known = np.concatenate(every)
-    clean = [b for b, g in ((b, compared(_words(b))) for b in background) if not (np.isin(known, g).any() and holds(g))]
     texts, labels = variants(rng, noise, VARIANTS)
-    x, y = matrix(texts + clean), np.array(labels + [len(FAMILIES) - 1] * len(clean))
+    drawn = background.draw(rng, DRAWN)
+    x, y = matrix(texts) + drawn, np.array(labels + [len(FAMILIES) - 1] * len(drawn))
     # The features are sparse, but the templates' vocabulary is small, so a full matrix is the faster one.
     size = np.array([max(1, len(f)) for f in x])
-    full = np.zeros((len(x), len(vocabulary)), np.float32)
+    full = np.zeros((len(x), len(model.known)), np.float32)
     full[np.repeat(np.arange(len(x)), [len(f) for f in x]), np.concatenate(x)] = np.repeat(1 / np.sqrt(size), [len(f) for f in x])
     truth = np.eye(len(FAMILIES), dtype=np.float32)[y]
     share = (1 / np.maximum(1, np.bincount(y, minlength=len(FAMILIES))))[y][:, None].astype(np.float32)
@@ -354,11 +383,10 @@ def _own_words(said: dict[str, list[str]]) -> dict[str, list[np.ndarray]]:
     return {f: [w[~np.isin(w, rest[f])] for w in ws] for f, ws in of.items()}
 
 
-def _telling(texts: list[str], background: list[str]) -> np.ndarray:
+def _telling(texts: list[str], background: Background) -> np.ndarray:
     """Pairs of words of templates without those that stand in many background lines, but all pairs of a template that would keep too few."""
     pairs = lambda t: np.unique(grams(_words(t), 2))
-    seen, times = np.unique(np.concatenate([np.empty(0, np.uint64), *map(pairs, background)]), return_counts=True)
-    common = seen[times > max(3, len(background) // COMMON)]
+    common = background.known[background.seen > max(3, background.lines // COMMON)]
     out = []
     for t in texts:
         own = pairs(t)
@@ -468,12 +496,57 @@ def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
     return [0, *cut.tolist()] if len(x) else [], [*cut.tolist(), len(x)] if len(x) else []
 
 
-def background_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[str]:
-    """The first line, or ``BACKGROUND_CHARS`` of it, of each of at most ``sample`` rows, least hash of the id first."""
-    ids = docs.select(F.col(id_col).alias("id_")).where("id_ is not null").orderBy(F.xxhash64("id_"), "id_").limit(sample).distinct()
-    rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_")).join(F.broadcast(ids), "id_")
-    first = rows.select("id_", F.substring(F.split("text_", "\n", 2)[F.lit(0)], 1, BACKGROUND_CHARS).alias("p")).where("p is not null").groupBy("id_").agg(F.min("p").alias("p"))
-    return sorted(r["p"] for r in first.collect())
+def line_counts(model: Classifier, p) -> np.ndarray:
+    """Of a piece, rows ``seen``, ``seen_clean`` and ``times`` of ``Background``; the last column has the lines, the clean lines and the words."""
+    size = len(model.known)
+    out = np.zeros((3, size + 1), np.int64)
+    line, text = np.cumsum(p.data == 10)[p.start] if len(p.start) else np.empty(0, np.int64), np.repeat(np.arange(len(p)), p.words_in())
+    _bare(p)
+    h = p.hashes(fold=True)
+    if not len(h):
+        return out
+    unit = np.cumsum(np.concatenate([[False], (line[1:] != line[:-1]) | (text[1:] != text[:-1])]))
+    held = []
+    for k, g in enumerate(_numbered(h)):
+        f = model.find(g)
+        at = np.flatnonzero((f >= 0) & (unit[: len(g)] == unit[k : k + len(g)]))
+        held.append(unit[at] * size + f[at])
+        if k == 0:
+            out[2, :size] = np.bincount(f[at], minlength=size)
+    of, feature = np.divmod(np.unique(np.concatenate(held)), size)
+    # Lines of which a template has enough 3-grams.
+    every = [t for ts in model.templates.values() for t in ts if len(t)]
+    in_template = np.stack([np.isin(model.known, t) for t in every], 1)
+    near = np.flatnonzero(in_template.any(1)[feature])
+    units, row = np.unique(of[near], return_inverse=True)
+    share = np.zeros((len(units), len(every)), np.int64)
+    np.add.at(share, row, in_template[feature[near]])
+    held_by = units[(share >= CONFIRMED * np.array([len(t) for t in every])).any(1)]
+    out[0, :size] = np.bincount(feature, minlength=size)
+    out[1, :size] = np.bincount(feature[~np.isin(of, held_by)], minlength=size)
+    lines = int(unit[-1]) + 1
+    out[:, size] = lines, lines - len(held_by), len(h)
+    return out
+
+
+def background_of(docs: DataFrame, text_col: str = "text") -> Background:
+    """Counts over every line of every row: one pass, and a row of counts a task."""
+    ship(docs.sparkSession)
+    model = blank()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, len(model.known) + 1), np.int64)
+        for batch in batches:
+            for p in pieces(batch.column(0)):
+                total += line_counts(model, p)
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.int64())) for x in total], ["seen", "clean", "times"])
+
+    counted = docs.select(F.col(text_col).cast("string").alias("text_")).mapInArrow(count, "seen array<long>, clean array<long>, times array<long>")
+    each = counted.select(F.posexplode(F.arrays_zip("seen", "clean", "times")).alias("k", "n"))
+    sums = {r["k"]: r for r in each.groupBy("k").agg(*[F.sum(f"n.{c}").alias(c) for c in ("seen", "clean", "times")]).collect()}
+    zero = {"seen": 0, "clean": 0, "times": 0}
+    seen, clean, times = (np.array([sums.get(k, zero)[c] for k in range(len(model.known) + 1)], np.int64) for c in zero)
+    return Background(model.known, int(seen[-1]), int(clean[-1]), int(times[-1]), seen[:-1], clean[:-1], times[:-1])
 
 
 def _over_lines(model: Classifier, p, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, line: np.ndarray) -> list[tuple[int, int, int, str, float, float]]:
