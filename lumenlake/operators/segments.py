@@ -137,6 +137,16 @@ def ordered_sha256(seq: pa.Array, data: pa.Array) -> str:
     return whole.hexdigest()
 
 
+def fingerprint_of(payload: str, by: str = "seq") -> str:
+    """SQL of what ``fingerprint`` gives, as an aggregate of Spark's own."""
+    return f"sha2(listagg(concat(unhex(lpad(hex(length({payload})), 8, '0')), {payload})) WITHIN GROUP (ORDER BY {by}), 256)"
+
+
+def sha256_of(data: str, by: str) -> str:
+    """SQL of what ``ordered_sha256`` gives, as an aggregate of Spark's own."""
+    return f"sha2(coalesce(listagg({data}) WITHIN GROUP (ORDER BY {by}), X''), 256)"
+
+
 def register(spark: SparkSession) -> None:
     """The two aggregates as SQL functions."""
     ship(spark)

@@ -146,3 +146,13 @@ def test_fingerprints_in_sql(spark, blobs, rows):
 def test_empty_table(spark):
     rows = files.segment_rows(spark.createDataFrame([], "path string, content binary"), ["path"], payload_of=ALL)
     assert segments.file_facts(rows, ["path"]).count() == segments.profiles(rows, ["path"]).count() == 0
+
+
+def test_fingerprints_by_own_aggregates(spark):
+    """SQL's own aggregates give what the functions give, also of none, of several and of empty payloads in any order."""
+    rows = spark.createDataFrame([(1, 2, b"bb"), (1, 1, b"a"), (2, 1, None), (3, 1, b""), (3, 2, b"\xff" * 300)], "o int, seq int, payload binary")
+    segments.register(spark)
+    ours = f"{segments.fingerprint_of('payload')} AS a, {segments.sha256_of('payload', 'seq')} AS b"
+    theirs = "jpeg_fingerprint(seq, payload) AS a, ordered_sha256(seq, payload) AS b"
+    found = [spark.sql(f"SELECT o, {x} FROM {{rows}} GROUP BY o ORDER BY o", rows=rows).collect() for x in (ours, theirs)]
+    assert found[0] == found[1]
