@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.plans.ship import ship
+from lumenlake.sources.files import Made
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -212,6 +213,11 @@ def photo_files(spark: SparkSession, sf_dir: str, make=order_photo) -> DataFrame
     return forged(orders(spark, sf_dir), ["o"], make, ["c", "d"])
 
 
+def order_photos(make=order_photo) -> Made:
+    """The same photos, made by the task that reads them."""
+    return Made(("o", "c", "d"), make)
+
+
 def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p, size, path, length, content of a file per part."""
     table = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("p"), F.col("p_size").cast("long").alias("size"))

@@ -334,12 +334,13 @@ def _rows(**values: Column) -> Column:
 
 
 def text_score(judged: DataFrame, keys: list[str], detailed: bool = False) -> DataFrame:
-    """Score, level and bar; with ``detailed`` also points by finding and the findings without points."""
+    """Score, level and bar; with ``detailed`` also points by finding and the findings without points. ``judged`` has findings, or what ``privacy.judge`` found."""
     head = F.concat(or_empty(F.col("points")), F.lit(f"/{privacy.MAXIMUM} "), or_empty(F.col("level")), F.lit(" ["), bar(F.coalesce("points", F.lit(0))), F.lit("]"))
-    given = F.array_join(F.transform(privacy.contributions(F.col("findings")), lambda r: F.concat(F.lit("+"), r["points"].cast("string"), F.lit(" "), r["label"])), "\n")
-    free = F.array_join(F.transform(privacy.unscored(F.col("findings")), lambda c: F.concat(F.lit("not scored: "), c)), "\n")
-    lines = [head, *([F.nullif(given, F.lit("")), F.nullif(free, F.lit(""))] if detailed else [])]
-    return judged.select(*keys, F.coalesce("privacy_error", _lines(*lines)).alias("document"))
+    rows = judged if "found" in judged.columns else judged.withColumn("found", privacy.found_in(F.col("findings")))
+    there = lambda code, line: F.when(F.col("found")[code], F.lit(line))
+    given = [there(c, f"+{p} {label}") for c, (p, label) in privacy.POINTS.items()]
+    free = [there(c, f"not scored: {c}") for c in sorted(privacy.CODES - privacy.POINTS.keys())]
+    return rows.select(*keys, F.coalesce("privacy_error", F.concat_ws("\n", head, *(given + free if detailed else []))).alias("document"))
 
 
 def text_file_info(info: DataFrame, keys: list[str]) -> DataFrame:
