@@ -16,28 +16,28 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from lumenlake.operators import comparison
 from lumenlake.plans.ship import ship
 
-#: Times are microseconds.
-_STATE = StructType([StructField("time", LongType()), StructField("snapshot", StringType())])
-_PAIR = StructType([StructField("path", StringType()), StructField("time", LongType()), StructField("before", StringType()), StructField("after", StringType())])
+#: Times are microseconds; ``number`` tells rows of one time apart.
+_STATE = StructType([StructField("time", LongType()), StructField("number", LongType()), StructField("snapshot", StringType())])
+_PAIR = StructType([StructField("path", StringType()), StructField("time", LongType()), StructField("number", LongType()), StructField("before", StringType()), StructField("after", StringType())])
 
 
 def last_snapshot(keep_ms: int | None) -> StatefulProcessor:
     """The operator. Its class is made here, as the process that starts it on the driver does not have this package."""
 
     class LastSnapshot(StatefulProcessor):
-        """A pair (before, after) for each row after a path's first; rows of one batch in order of their time, a row older than the last is passed over."""
+        """A pair (before, after) for each row after a path's first; rows of one batch in order of their time and number, a row older than the last is passed over."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.last = handle.getValueState("last", _STATE, keep_ms)
 
         def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-            held: tuple[int, str] | None = self.last.get() if self.last.exists() else None
-            for row in sorted(rows, key=lambda r: (r["time"], r["snapshot"])):
-                if held is not None and row["time"] < held[0]:
+            held: tuple[int, int, str] | None = self.last.get() if self.last.exists() else None
+            for row in sorted(rows, key=lambda r: (r["time"], r["number"], r["snapshot"])):
+                if held is not None and (row["time"], row["number"]) < (held[0], held[1]):
                     continue
                 if held is not None:
-                    yield Row(path=key[0], time=row["time"], before=held[1], after=row["snapshot"])
-                held = (row["time"], row["snapshot"])
+                    yield Row(path=key[0], time=row["time"], number=row["number"], before=held[2], after=row["snapshot"])
+                held = (row["time"], row["number"], row["snapshot"])
             if held is not None:
                 self.last.update(held)
 
@@ -52,21 +52,24 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def rearrivals(snapshots: DataFrame, keep_hours: float | None = None) -> DataFrame:
-    """path, modificationTime, identical_files, changes and recompression of each file that has come before.
+def rearrivals(snapshots: DataFrame, keep_hours: float | None = None, number: str | None = None) -> DataFrame:
+    """path, modificationTime, ``number``, identical_files, changes and recompression of each file that has come before.
 
     The session needs ``use_rocksdb`` before the query starts. With ``keep_hours`` it must run on with time: Spark never ends an ``availableNow`` run that has timers.
     ``snapshots`` is a stream of rows as ``comparison.snapshots`` gives them with keys path and modificationTime; null times are left out.
-    ``changes`` is null where either could not be read.
+    ``changes`` is null where either could not be read. ``number``: a column of longs that orders a path's rows of one time; it is never null.
     """
     ship(snapshots.sparkSession)
     shape = snapshots.select(F.struct(*comparison.SNAPSHOT).alias("s")).schema["s"].dataType
-    narrow = snapshots.where("path is not null and modificationTime is not null").select("path", F.unix_micros(F.col("modificationTime").cast("timestamp")).alias("time"), F.to_json(F.struct(*comparison.SNAPSHOT)).alias("snapshot"))
+    narrow = snapshots.where("path is not null and modificationTime is not null").select(
+        "path", F.unix_micros(F.col("modificationTime").cast("timestamp")).alias("time"), (F.col(number).cast("long") if number else F.lit(0).cast("long")).alias("number"),
+        F.to_json(F.struct(*comparison.SNAPSHOT)).alias("snapshot"),
+    )
     keep = None if keep_hours is None else int(keep_hours * 3_600_000)
     pairs = narrow.groupBy("path").transformWithState(last_snapshot(keep), _PAIR, "Append", "ProcessingTime" if keep else "None")
-    both = pairs.select("path", F.timestamp_micros("time").alias("modificationTime"), F.from_json("before", shape).alias("original"), F.from_json("after", shape).alias("copy"))
+    both = pairs.select("path", F.timestamp_micros("time").alias("modificationTime"), *([F.col("number").alias(number)] if number else []), F.from_json("before", shape).alias("original"), F.from_json("after", shape).alias("copy"))
     ok = F.col("original.error").isNull() & F.col("copy.error").isNull()
     return both.select(
-        "path", "modificationTime", (F.col("original.sha256") == F.col("copy.sha256")).alias("identical_files"),
+        "path", "modificationTime", *([number] if number else []), (F.col("original.sha256") == F.col("copy.sha256")).alias("identical_files"),
         F.when(ok, comparison.changes("original", "copy")).alias("changes"), F.when(ok, comparison.recompression("original", "copy")).alias("recompression"),
     )

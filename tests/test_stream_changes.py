@@ -63,3 +63,17 @@ def test_paths_that_stay_away_are_forgotten(session, tmp_path):
         query.stop()
     assert query.exception() is None
     assert set(comparison.SNAPSHOT) == {x.split(" ")[0] for x in SHAPE.replace(", ", ",").split(",")} - {"path", "modificationTime"}
+
+
+def test_keys_of_a_million_and_more(spark, sf_dir, tmp_path):
+    """Orders keep their own key whatever its size, and those of one customer and day follow each other by it."""
+    from compare import same
+    from pyspark.sql import functions as F
+
+    from lumenlake import table_queries
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    far = orders.withColumn("o_orderkey", F.col("o_orderkey") * 3 + 2_999_000).withColumn("o_custkey", F.col("o_custkey") % 40)
+    far = far.withColumn("o_orderdate", F.date_trunc("quarter", "o_orderdate").cast("timestamp_ntz"))
+    far.toPandas().astype({"o_orderdate": "datetime64[us]"}).to_parquet(str(tmp_path / "orders.parquet"))
+    assert same(spark, str(tmp_path), table_queries.stream_changes, table_queries.ORACLE_SQL["stream_changes"]) == 1460
